@@ -1,3 +1,248 @@
-"""Registered queries."""
+"""Registered analytics queries: congestion, sections, stop lists, OD, map layers."""
 
-from odspark.plans.registry import register, T  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from odspark.operators import congestion as cg
+from odspark.operators import layers as ly
+from odspark.operators import od as odo
+from odspark.plans import oracle as O
+from odspark.plans.registry import T, register
+from odspark.sources.fixtures import oracle_with
+
+V = O.V
+
+# --------------------------------------------------------------------------
+# Several routes in one job, in the requested order (all ten routes,
+# listed out of order and with stray spaces, as the endpoint receives them)
+ROUTE_LIST = " R3, R0,R7 ,R1,R9, R2,R5,R8 , R4,R6"
+
+
+def _k19_sql():
+    return (oracle_with("od", "loc") + "," + O.congestion_ctes()
+            + f"""SELECT {O.CONG_COLS},
+  CAST(list_position(['R3','R0','R7','R1','R9','R2','R5','R8','R4','R6'], route_name) AS INTEGER) AS route_order
+FROM cong WHERE route_name IN ('R3','R0','R7','R1','R9','R2','R5','R8','R4','R6')""")
+
+
+@register("congestion_multi", _k19_sql)
+def congestion_multi(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return cg.congestion_for_routes(t.od(), t.loc(), ROUTE_LIST)
+
+
+# --------------------------------------------------------------------------
+# K20
+def _k20_sql():
+    return oracle_with("od") + f"""
+SELECT service_date, route_name, board_name AS stop_name, CAST(MIN(board_seq) AS INTEGER) AS seq
+FROM od WHERE board_ars != {V}
+GROUP BY service_date, route_name, board_name, board_seq"""
+
+
+@register("stops_by_route", _k20_sql)
+def stops_by_route(spark, sf_dir):
+    return cg.stops_by_route(T(spark, sf_dir).od())
+
+
+# --------------------------------------------------------------------------
+# Section requests derived from the routes and dates present: a plain
+# section, a 'to' that only occurs before 'from', a missing 'from', from = to
+SECTION_REQUESTS_SQL = """
+SELECT DISTINCT service_date, route_name, from_name, to_name FROM (
+  SELECT service_date, route_name, CAST(substring(route_name, 2) AS INTEGER) * 1000 AS base FROM {od}) q
+CROSS JOIN LATERAL (VALUES
+  (concat('S', CAST(base + 5 AS VARCHAR(10))), concat('S', CAST(base + 20 AS VARCHAR(10)))),
+  (concat('S', CAST(base + 10 AS VARCHAR(10))), concat('S', CAST(base + 2 AS VARCHAR(10)))),
+  ('nowhere', concat('S', CAST(base + 3 AS VARCHAR(10)))),
+  (concat('S', CAST(base + 7 AS VARCHAR(10))), concat('S', CAST(base + 7 AS VARCHAR(10))))
+) v(from_name, to_name)"""
+
+
+def _section_requests(t):
+    od = t.od()
+    base = F.col("route_name").substr(2, 10).cast("int") * 1000
+    s = lambda off: F.concat(F.lit("S"), (base + off).cast("string"))
+    reqs = F.array(
+        F.struct(s(5).alias("from_name"), s(20).alias("to_name")),
+        F.struct(s(10).alias("from_name"), s(2).alias("to_name")),
+        F.struct(F.lit("nowhere").alias("from_name"), s(3).alias("to_name")),
+        F.struct(s(7).alias("from_name"), s(7).alias("to_name")))
+    return (od.select("service_date", "route_name").distinct()
+            .select("service_date", "route_name", F.explode(reqs).alias("r"))
+            .select("service_date", "route_name", "r.from_name", "r.to_name"))
+
+
+def _k16_sql():
+    return (oracle_with("od", "loc") + "," + O.congestion_ctes() + """,
+req AS (SELECT DISTINCT service_date, route_name, from_name, to_name FROM (
+  SELECT service_date, route_name, CAST(substring(route_name, 2) AS INTEGER) * 1000 AS base FROM od) q,
+  (SELECT 5 AS f, 20 AS t, 0 AS miss UNION ALL SELECT 10, 2, 0 UNION ALL SELECT 0, 3, 1 UNION ALL SELECT 7, 7, 0) v(f, t, miss)
+  CROSS JOIN LATERAL (SELECT CASE WHEN miss = 1 THEN 'nowhere' ELSE concat('S', CAST(base + f AS VARCHAR)) END AS from_name,
+                             concat('S', CAST(base + t AS VARCHAR)) AS to_name) n),
+ranked AS (SELECT c.*, CAST(row_number() OVER (PARTITION BY service_date, route_name
+             ORDER BY seq ASC NULLS LAST, ars ASC NULLS LAST, stop_name ASC NULLS LAST) AS INTEGER) AS pos FROM cong c),
+bounds AS (
+  SELECT q.*, (SELECT MIN(r.pos) FROM ranked r WHERE r.service_date = q.service_date
+                 AND r.route_name = q.route_name AND r.stop_name = q.from_name) AS from_pos
+  FROM req q),
+bounds2 AS (
+  SELECT b.*, (SELECT MIN(r.pos) FROM ranked r WHERE r.service_date = b.service_date
+                 AND r.route_name = b.route_name AND r.stop_name = b.to_name AND r.pos >= b.from_pos) AS to_pos
+  FROM bounds b)
+SELECT r.service_date, r.route_name, b.from_name, b.to_name, r.pos, r.seq, r.ars, r.stop_name, r.load,
+       r.max_load, r.pct, r.grade, r.color, r.lat, r.lon, r.total_riders
+FROM bounds2 b JOIN ranked r ON r.service_date = b.service_date AND r.route_name = b.route_name
+WHERE b.from_pos IS NOT NULL AND r.pos >= b.from_pos AND (b.to_pos IS NULL OR r.pos <= b.to_pos)""")
+
+
+@register("section_congestion", _k16_sql)
+def section_congestion(spark, sf_dir):
+    t = T(spark, sf_dir)
+    cong = cg.congestion(t.od(), t.loc())
+    out = cg.section_congestion(cong, _section_requests(t))
+    return out.withColumn("pos", F.col("pos").cast("int"))
+
+
+# --------------------------------------------------------------------------
+# K21 (every stop), K22
+def _k21_sql():
+    return oracle_with("od") + f"""
+SELECT service_date, route_name, board_ars AS ars, alight_name AS stop_name,
+       CAST(SUM(riders) AS BIGINT) AS riders, CAST(MIN(alight_seq) AS INTEGER) AS seq, 'destination' AS direction
+FROM od WHERE alight_ars != {V} AND board_ars IS NOT NULL
+GROUP BY service_date, route_name, board_ars, alight_name
+UNION ALL
+SELECT service_date, route_name, alight_ars, board_name, CAST(SUM(riders) AS BIGINT),
+       CAST(MIN(board_seq) AS INTEGER), 'origin'
+FROM od WHERE board_ars != {V} AND alight_ars IS NOT NULL
+GROUP BY service_date, route_name, alight_ars, board_name"""
+
+
+@register("od_for_stop", _k21_sql)
+def od_for_stop(spark, sf_dir):
+    return odo.od_for_stops(T(spark, sf_dir).od())
+
+
+def _k22_sql(side):
+    key, name, seq = (("board_ars", "alight_name", "alight_seq") if side == "b"
+                      else ("alight_ars", "board_name", "board_seq"))
+    return oracle_with("od") + f"""
+SELECT service_date, route_name, {key} AS ars, {name} AS stop_name,
+       CAST(SUM(riders) AS BIGINT) AS riders, CAST(MIN({seq}) AS INTEGER) AS seq
+FROM od WHERE board_ars != {V} AND alight_ars != {V}
+GROUP BY service_date, route_name, {key}, {name}"""
+
+
+@register("od_all_boarding", lambda: _k22_sql("b"))
+def od_all_boarding(spark, sf_dir):
+    return odo.all_boarding(T(spark, sf_dir).od())
+
+
+@register("od_all_alighting", lambda: _k22_sql("a"))
+def od_all_alighting(spark, sf_dir):
+    return odo.all_alighting(T(spark, sf_dir).od())
+
+
+# --------------------------------------------------------------------------
+# K23 .. K26
+NET_CTE = f""",
+mapped AS (SELECT * FROM cong WHERE lat IS NOT NULL AND lon IS NOT NULL),
+net AS (
+  SELECT m.*, d.network_max_load,
+         CAST(CASE WHEN d.network_max_load > 0 THEN {O.pct1_sql('m.load', 'd.network_max_load')} ELSE 0.0 END AS DOUBLE)
+           AS network_pct
+  FROM mapped m JOIN (SELECT service_date, MAX(load) AS network_max_load FROM mapped GROUP BY service_date) d
+    ON m.service_date = d.service_date)
+"""
+
+
+def _k25_sql():
+    return (oracle_with("od", "loc") + "," + O.congestion_ctes() + NET_CTE + f"""
+SELECT {O.CONG_COLS}, network_max_load, network_pct, {O.color_sql('network_pct')} AS network_color FROM net""")
+
+
+@register("network_congestion", _k25_sql)
+def network_congestion(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return ly.network_congestion(cg.congestion(t.od(), t.loc()))
+
+
+def _k23_sql():
+    return (oracle_with("od", "loc") + "," + O.congestion_ctes() + NET_CTE + f""",
+seq_net AS (
+  SELECT n.*, row_number() OVER w AS pos, lead(stop_name) OVER w AS to_name,
+         lead(lat) OVER w AS to_lat, lead(lon) OVER w AS to_lon
+  FROM net n
+  WINDOW w AS (PARTITION BY service_date, route_name
+               ORDER BY seq ASC NULLS LAST, ars ASC NULLS LAST, stop_name ASC NULLS LAST))
+SELECT service_date, route_name, CAST(pos AS INTEGER) AS pos, stop_name AS from_name, to_name,
+       lat AS from_lat, lon AS from_lon, to_lat, to_lon, pct, grade, color, network_pct,
+       {O.color_sql('network_pct')} AS network_color
+FROM seq_net WHERE to_lat IS NOT NULL""")
+
+
+@register("map_segments", _k23_sql)
+def map_segments(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return ly.segments(cg.congestion(t.od(), t.loc())).withColumn("pos", F.col("pos").cast("int"))
+
+
+def _k24_sql():
+    return (oracle_with("od", "loc") + "," + O.congestion_ctes() + NET_CTE + f""",
+dest AS (
+  SELECT service_date, route_name, ars,
+         to_json(list(struct_pack(stop_name := stop_name, riders := riders)
+                      ORDER BY seq ASC NULLS LAST, stop_name ASC NULLS FIRST)) AS destinations
+  FROM (SELECT service_date, route_name, board_ars AS ars, alight_name AS stop_name,
+               CAST(SUM(riders) AS BIGINT) AS riders, MIN(alight_seq) AS seq
+        FROM od WHERE board_ars != {V} AND alight_ars != {V}
+        GROUP BY service_date, route_name, board_ars, alight_name) x
+  GROUP BY service_date, route_name, ars),
+orig AS (
+  SELECT service_date, route_name, ars,
+         to_json(list(struct_pack(stop_name := stop_name, riders := riders)
+                      ORDER BY seq ASC NULLS LAST, stop_name ASC NULLS FIRST)) AS origins
+  FROM (SELECT service_date, route_name, alight_ars AS ars, board_name AS stop_name,
+               CAST(SUM(riders) AS BIGINT) AS riders, MIN(board_seq) AS seq
+        FROM od WHERE board_ars != {V} AND alight_ars != {V}
+        GROUP BY service_date, route_name, alight_ars, board_name) x
+  GROUP BY service_date, route_name, ars)
+SELECT n.service_date, n.route_name, strftime(strptime(n.service_date, '%Y%m%d'), '%Y-%m-%d') AS date_label,
+       n.seq, n.ars, n.stop_name, n.lat, n.lon, n.load, n.total_riders, n.pct, n.grade, n.color,
+       CASE WHEN n.pct > 50 THEN 'white' ELSE 'black' END AS text_color,
+       n.network_pct, {O.color_sql('n.network_pct')} AS network_color,
+       COALESCE(CAST(d.destinations AS VARCHAR), '[]') AS destinations,
+       COALESCE(CAST(o.origins AS VARCHAR), '[]') AS origins
+FROM net n
+LEFT JOIN dest d ON d.service_date = n.service_date AND d.route_name = n.route_name AND d.ars = n.ars
+LEFT JOIN orig o ON o.service_date = n.service_date AND o.route_name = n.route_name AND o.ars = n.ars""")
+
+
+@register("map_markers", _k24_sql)
+def map_markers(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return ly.markers(cg.congestion(t.od(), t.loc()), t.od())
+
+
+def _k26_sql():
+    return (oracle_with("od", "loc") + "," + O.congestion_ctes() + f""",
+dens AS (
+  SELECT service_date, ars, stop_name, lat, lon, CAST(SUM(load) AS BIGINT) AS total_load
+  FROM cong WHERE lat IS NOT NULL AND lon IS NOT NULL AND stop_name IS NOT NULL
+  GROUP BY service_date, ars, stop_name, lat, lon),
+dp AS (
+  SELECT d.*, CAST(CASE WHEN m.mx > 0 THEN {O.pct1_sql('d.total_load', 'm.mx')} ELSE 0.0 END AS DOUBLE) AS density_pct
+  FROM dens d JOIN (SELECT service_date, MAX(total_load) AS mx FROM dens GROUP BY service_date) m
+    ON d.service_date = m.service_date)
+SELECT service_date, ars, stop_name, lat, lon, total_load, density_pct,
+       {O.color_sql('density_pct')} AS color,
+       CAST(greatest(4, floor(density_pct / 8) + 4) AS INTEGER) AS radius
+FROM dp""")
+
+
+@register("stop_density", _k26_sql)
+def stop_density(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return ly.stop_density(cg.congestion(t.od(), t.loc()))
