@@ -1,3 +1,206 @@
-"""Registered queries."""
+"""Registered correction queries (each step, each group, the whole chain)."""
 
-from odspark.plans.registry import register, T  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from odspark.constants import OD_COLUMNS
+from odspark.operators import correct as cr
+from odspark.plans import oracle_correct as OC
+from odspark.plans.registry import T, register
+from odspark.session import cut_lineage
+from odspark.sources.fixtures import oracle_with
+
+# prefixes of group 1: each step seen on the data it meets in the chain
+_G1 = {
+    "fix_c1_virtual_boarding_ars": ("c1", 1),
+    "fix_c2_virtual_alighting_ars": ("c2", 2),
+    "fix_c4_origin_virtual_seq": ("c4", 3),
+    "fix_c6_empty_terminal_name": ("c6", 8),
+    "fix_c7_virtual_alighting_to_self": ("c7", 9),
+    "fix_c8_mid_virtual_boarding": ("c8", 10),
+    "fix_c9_virtual_same_od": ("c9", 11),
+}
+
+
+def _g1_query(upto):
+    def q(spark, sf_dir):
+        df = cr.group1_tagged(T(spark, sf_dir).od(), upto=upto)
+        return cr.od_only(df.where(~F.col("t_c5c2")) if "t_c5c2" in df.columns else df)
+    return q
+
+
+for _name, (_upto, _n) in _G1.items():
+    register(_name, (lambda n=_n: OC.chain(OC.GROUP1[:n])))(_g1_query(_upto))
+
+
+@register("fix_c5_terminal_virtual_seq", lambda: OC.chain(OC.GROUP1[:7]))
+def fix_c5(spark, sf_dir):
+    df = cr.group1_tagged(T(spark, sf_dir).od(), upto="c5")
+    return cr.od_only(df.where(~F.col("t_c5c2")))
+
+
+@register("anomaly_rows", lambda: OC.chain(OC.GROUP1[:5] + [OC.step_c5c2_anomalies]))
+def anomaly_rows(spark, sf_dir):
+    return cr.anomaly_rows(T(spark, sf_dir).od())
+
+
+@register("fix_virtual_stop", lambda: OC.chain(OC.GROUP1 + [OC.step_dedup]))
+def fix_virtual_stop(spark, sf_dir):
+    return cr.fix_virtual_stop(T(spark, sf_dir).od())
+
+
+_G1_COUNT_TAGS = ["t_c1", "t_c2", "t_c4", "t_c5a", "t_c5c1", "t_c5c2", "t_c5b", "t_c6", "t_c7",
+                  "t_c8", "t_c9"]
+
+
+@register("virtual_stop_counts")
+def virtual_stop_counts(spark, sf_dir):
+    """Affected rows per group-1 step and date (one aggregate over the tags)."""
+    df = cr.group1_tagged(T(spark, sf_dir).od())
+    return df.groupBy("service_date").agg(
+        *[F.count_if(F.col(t)).alias(t[2:]) for t in _G1_COUNT_TAGS])
+
+
+def _residual_sql():
+    return OC.chain(OC.GROUP1 + [OC.step_dedup], final="""
+SELECT service_date,
+  COUNT(*) FILTER (WHERE (board_name LIKE '%가상%' OR board_name LIKE '%기점가상%' OR board_name LIKE '%경유%')
+                   AND board_ars != '00000' AND board_ars != '06137') AS unfixed_virtual_board_ars,
+  COUNT(*) FILTER (WHERE (alight_name LIKE '%가상%' OR alight_name LIKE '%기점가상%' OR alight_name LIKE '%경유%')
+                   AND alight_ars != '00000' AND alight_ars != '06137') AS unfixed_virtual_alight_ars,
+  COUNT(*) FILTER (WHERE board_ars = '00000' AND board_seq IS NULL) AS null_board_seq,
+  COUNT(*) FILTER (WHERE alight_ars = '00000' AND alight_seq IS NULL) AS null_alight_seq,
+  COUNT(*) FILTER (WHERE (alight_name IS NULL OR alight_name = '') AND alight_code = '277102436') AS empty_terminal_name
+FROM {p} GROUP BY service_date""")
+
+
+@register("residual_counts", _residual_sql)
+def residual_counts(spark, sf_dir):
+    return cr.residual_counts(cr.fix_virtual_stop(T(spark, sf_dir).od()))
+
+
+def _bidir_sql():
+    return oracle_with("od") + """
+SELECT DISTINCT service_date, route_name FROM od b
+WHERE b.board_seq = 0 AND b.board_ars = '00000'
+  AND b.route_name IN (SELECT b2.route_name FROM od b2
+                       WHERE b2.service_date = b.service_date AND b2.board_seq IS NOT NULL
+                         AND b2.board_ars != '00000'
+                       GROUP BY b2.route_name HAVING MAX(b2.board_seq) > 100)"""
+
+
+@register("detect_bidirectional", _bidir_sql)
+def detect_bidirectional(spark, sf_dir):
+    return cr.detect_bidirectional(T(spark, sf_dir).od())
+
+
+# group 2 and 3 as standalone endpoints on the stored table
+@register("fix_k10_seq_by_mode", lambda: OC.chain([OC.step_k10]))
+def fix_k10(spark, sf_dir):
+    return cr.od_only(cr.k10_seq_by_mode(T(spark, sf_dir).od()))
+
+
+@register("fix_k11_alight_seq_spread", lambda: OC.chain([OC.step_k10, OC.step_k11]))
+def fix_k11(spark, sf_dir):
+    return cr.od_only(cr.k11_alight_seq_spread(cr.k10_seq_by_mode(T(spark, sf_dir).od())))
+
+
+@register("fix_sequence", lambda: OC.chain(OC.GROUP2 + [OC.step_dedup]))
+def fix_sequence(spark, sf_dir):
+    return cr.fix_sequence(T(spark, sf_dir).od())
+
+
+@register("fix_k12a_same_stop_by_seq", lambda: OC.chain([OC.step_k12a]))
+def fix_k12a(spark, sf_dir):
+    return cr.od_only(cr.k12a_same_stop_by_seq(T(spark, sf_dir).od()))
+
+
+@register("fix_k12b_same_stop_by_ars", lambda: OC.chain([OC.step_k12a, OC.step_k12b]))
+def fix_k12b(spark, sf_dir):
+    return cr.od_only(cr.k12b_same_stop_by_ars(cr.k12a_same_stop_by_seq(T(spark, sf_dir).od())))
+
+
+@register("fix_same_stop_od", lambda: OC.chain(OC.GROUP3 + [OC.step_dedup]))
+def fix_same_stop_od(spark, sf_dir):
+    return cr.fix_same_stop_od(T(spark, sf_dir).od())
+
+
+@register("dedup_sum", lambda: OC.chain([OC.step_dedup]))
+def dedup_sum(spark, sf_dir):
+    return cr.dedup_sum(T(spark, sf_dir).od())
+
+
+def _dup_groups_sql():
+    return oracle_with("od") + """
+SELECT service_date, CAST(COUNT(*) AS BIGINT) AS duplicate_groups FROM (
+  SELECT service_date FROM od
+  GROUP BY service_date, route_name, route_id, board_seq, board_ars, board_name, alight_seq, alight_ars, alight_name
+  HAVING COUNT(*) > 1) t GROUP BY service_date"""
+
+
+@register("duplicate_groups", _dup_groups_sql)
+def duplicate_groups(spark, sf_dir):
+    return cr.duplicate_groups(T(spark, sf_dir).od())
+
+
+@register("correct_pipeline",
+          lambda: OC.chain(OC.GROUP1 + [OC.step_dedup] + OC.GROUP2 + [OC.step_dedup]
+                           + OC.GROUP3 + [OC.step_dedup]))
+def correct_pipeline(spark, sf_dir):
+    return cr.correct_pipeline(T(spark, sf_dir).od(), cut=cut_lineage)
+
+
+# --------------------------------------------------------------------------
+# NULL codes from other dates
+def _fill_sql(end):
+    ars, code = f"{end}_ars", f"{end}_code"
+    cols = ", ".join(f"COALESCE(a.{code}, s1.code, s2.code) AS {code}" if col == code else f"a.{col}"
+                     for col in OD_COLUMNS)
+    return oracle_with("od") + f""",
+s1 AS (SELECT ars, code FROM (
+  SELECT {ars} AS ars, {code} AS code,
+         ROW_NUMBER() OVER (PARTITION BY {ars} ORDER BY COUNT(*) DESC, {code} ASC) AS rn
+  FROM od WHERE service_date LIKE '2025%' AND {code} IS NOT NULL AND {ars} IS NOT NULL
+  GROUP BY {ars}, {code}) r WHERE rn = 1),
+tgt AS (SELECT DISTINCT service_date, {ars} AS ars FROM od WHERE {code} IS NULL AND {ars} IS NOT NULL),
+s2 AS (SELECT service_date, ars, code FROM (
+  SELECT t.service_date, t.ars, b.{code} AS code,
+         ROW_NUMBER() OVER (PARTITION BY t.service_date, t.ars ORDER BY COUNT(*) DESC, b.{code} ASC) AS rn
+  FROM tgt t JOIN od b ON b.{ars} = t.ars AND b.service_date != t.service_date AND b.{code} IS NOT NULL
+  GROUP BY t.service_date, t.ars, b.{code}) r WHERE rn = 1)
+SELECT {cols}
+FROM od a LEFT JOIN s1 ON s1.ars = a.{ars}
+LEFT JOIN s2 ON s2.service_date = a.service_date AND s2.ars = a.{ars}"""
+
+
+@register("fill_null_codes_board", lambda: _fill_sql("board"))
+def fill_null_codes_board(spark, sf_dir):
+    return cr.fill_null_codes(T(spark, sf_dir).od(), "board")
+
+
+@register("fill_null_codes_alight", lambda: _fill_sql("alight"))
+def fill_null_codes_alight(spark, sf_dir):
+    return cr.fill_null_codes(T(spark, sf_dir).od(), "alight")
+
+
+# --------------------------------------------------------------------------
+# F3..F6 lookups
+@register("null_board_codes", lambda: oracle_with("od") + "SELECT * FROM od WHERE board_code IS NULL")
+def null_board_codes(spark, sf_dir):
+    return T(spark, sf_dir).od().where(F.col("board_code").isNull())
+
+
+@register("null_alight_codes", lambda: oracle_with("od") + "SELECT * FROM od WHERE alight_code IS NULL")
+def null_alight_codes(spark, sf_dir):
+    return T(spark, sf_dir).od().where(F.col("alight_code").isNull())
+
+
+@register("by_board_ars", lambda: oracle_with("od") + "SELECT * FROM od WHERE board_ars = '03005'")
+def by_board_ars(spark, sf_dir):
+    return T(spark, sf_dir).od().where(F.col("board_ars") == "03005")
+
+
+@register("by_route", lambda: oracle_with("od") + "SELECT * FROM od WHERE route_name = 'R3'")
+def by_route(spark, sf_dir):
+    return T(spark, sf_dir).od().where(F.col("route_name") == "R3")
