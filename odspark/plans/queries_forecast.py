@@ -1,3 +1,138 @@
-"""Registered queries."""
+"""Registered forecast feature queries (M1..M10)."""
 
-from odspark.plans.registry import register, T  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from odspark.operators import forecast as fc
+from odspark.plans.oracle import pct1_sql
+from odspark.plans.registry import T, register
+from odspark.sources.fixtures import oracle_with
+
+CUT = "2000-01-01"
+DAYTYPE_SQL = """CASE WHEN h.day IS NOT NULL THEN 'holiday' WHEN dayofweek({d}) = 6 THEN 'saturday'
+  WHEN dayofweek({d}) = 0 THEN 'sunday' ELSE 'weekday' END"""
+
+
+@register("day_type", lambda: oracle_with("daily_od", "holiday") + f"""
+SELECT x.day, {DAYTYPE_SQL.format(d='x.day')} AS day_type
+FROM (SELECT DISTINCT day FROM daily_od) x LEFT JOIN holiday h ON h.day = x.day""")
+def day_type(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return fc.day_type(t.daily_od().select("day").distinct(), t.holiday())
+
+
+LAG_SQL = """
+SELECT d.day, d.route_name, d.riders, l7.riders AS lag_7, l30.riders AS lag_30,
+       CAST(dayofweek(d.day) + 1 AS INTEGER) AS weekday, CAST(month(d.day) AS INTEGER) AS month,
+       {dt} AS day_type
+FROM daily_od d
+LEFT JOIN daily_od l7 ON l7.route_name = d.route_name AND l7.day + INTERVAL 7 DAY = d.day
+LEFT JOIN daily_od l30 ON l30.route_name = d.route_name AND l30.day + INTERVAL 30 DAY = d.day
+LEFT JOIN holiday h ON h.day = d.day"""
+
+
+def _lag_cte():
+    return "feat AS (" + LAG_SQL.format(dt=DAYTYPE_SQL.format(d="d.day")) + ")"
+
+
+@register("lag_features", lambda: oracle_with("daily_od", "holiday") + ",\n" + _lag_cte()
+          + "\nSELECT * FROM feat")
+def lag_features(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return fc.lag_features(t.daily_od(), t.holiday())
+
+
+@register("temporal_split", lambda: oracle_with("daily_od", "holiday") + ",\n" + _lag_cte() + f"""
+SELECT *, CASE WHEN day < DATE '{CUT}' THEN 'train' ELSE 'test' END AS split FROM feat""")
+def temporal_split(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return fc.temporal_split(fc.lag_features(t.daily_od(), t.holiday()), CUT)
+
+
+@register("model_scores", lambda: oracle_with("daily_od", "holiday") + ",\n" + _lag_cte() + f""",
+p AS (SELECT route_name, riders, CAST(lag_7 AS DOUBLE) AS predicted FROM feat
+      WHERE day >= DATE '{CUT}' AND lag_7 IS NOT NULL AND riders IS NOT NULL),
+m AS (SELECT p.*, AVG(CAST(riders AS DOUBLE)) OVER (PARTITION BY route_name) AS mean FROM p)
+SELECT route_name, round(AVG(abs(riders - predicted)), 4) AS mae,
+       round(1 - SUM((riders - predicted) ^ 2) / NULLIF(SUM((riders - mean) ^ 2), 0.0), 4) AS r2,
+       COUNT(*) AS n
+FROM m GROUP BY route_name""")
+def model_scores(spark, sf_dir):
+    """M6 on the seasonal-naive predictor over the test period (the GBT of
+    M5 is ``forecast.train_predict_gbt``; its scores are not comparable)."""
+    t = T(spark, sf_dir)
+    feats = fc.temporal_split(fc.lag_features(t.daily_od(), t.holiday()), CUT)
+    return fc.model_scores(fc.naive_predictions(feats.where(F.col("split") == "test")))
+
+
+HOUR_RATIO_SQL = """
+SELECT route_name, stop_id, hour, riders, riders / SUM(riders) OVER (PARTITION BY route_name, stop_id) AS ratio
+FROM (SELECT r.route_name, t.board_stop_id AS stop_id, CAST(hour(t.board_ts) AS INTEGER) AS hour,
+             CAST(SUM(t.riders) AS BIGINT) AS riders
+      FROM tx t JOIN routes r ON t.route_id = r.route_id
+      GROUP BY r.route_name, t.board_stop_id, hour(t.board_ts)) a"""
+
+
+@register("hour_ratio", lambda: oracle_with("tx", "routes") + HOUR_RATIO_SQL)
+def hour_ratio(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return fc.hour_ratio(t.tx(), t.routes())
+
+
+UPSERT_SQL = """
+SELECT day_type, hour, weight, ver FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY day_type, hour ORDER BY ver DESC, weight DESC) AS rn
+  FROM (SELECT * FROM hour_weight WHERE ver = 1 UNION ALL SELECT * FROM hour_weight WHERE ver = 2) u) r
+WHERE rn = 1"""
+
+
+@register("weight_upsert", lambda: oracle_with("hour_weight") + UPSERT_SQL)
+def weight_upsert(spark, sf_dir):
+    hw = T(spark, sf_dir).hour_weight()
+    return fc.weight_upsert(hw.where(F.col("ver") == 1), hw.where(F.col("ver") == 2))
+
+
+def _hour_split_sql():
+    return oracle_with("daily_od", "holiday", "tx", "routes", "hour_weight") + ",\n" + _lag_cte() + f""",
+hr AS ({HOUR_RATIO_SQL}),
+w AS ({UPSERT_SQL}),
+dp AS (SELECT f.route_name, f.day, CAST(f.lag_7 AS DOUBLE) AS predicted, f.day_type FROM feat f
+       JOIN (SELECT route_name, MAX(day) AS day FROM daily_od GROUP BY route_name) last
+         ON last.route_name = f.route_name AND last.day = f.day)
+SELECT dp.route_name, hr.stop_id, dp.day, dp.day_type, hr.hour, dp.predicted, hr.ratio, w.weight,
+       dp.predicted * hr.ratio * COALESCE(w.weight, 1.0) AS predicted_riders
+FROM dp JOIN hr ON hr.route_name = dp.route_name
+LEFT JOIN w ON w.day_type = dp.day_type AND w.hour = hr.hour"""
+
+
+@register("hour_split", _hour_split_sql)
+def hour_split(spark, sf_dir):
+    """M7 for the next-day request of every route: the last day in the
+    daily table, predicted seasonal-naive, split over every stop-hour."""
+    t = T(spark, sf_dir)
+    feats = fc.lag_features(t.daily_od(), t.holiday())
+    last = t.daily_od().groupBy("route_name").agg(F.max("day").alias("day"))
+    daily_pred = (feats.join(last, ["route_name", "day"])
+                  .select("route_name", "day", F.col("lag_7").cast("double").alias("predicted")))
+    hw = t.hour_weight()
+    weights = fc.weight_upsert(hw.where(F.col("ver") == 1), hw.where(F.col("ver") == 2))
+    return fc.hour_split(daily_pred, fc.hour_ratio(t.tx(), t.routes()), weights, t.holiday())
+
+
+SECTION_ROUTE, SECTION_FROM, SECTION_TO = "R3", 1, 41
+
+
+@register("section_share", lambda: oracle_with("tx", "stops") + f"""
+SELECT route_name, section_riders, route_riders,
+       CAST({pct1_sql('section_riders', 'route_riders')} AS DOUBLE) AS section_pct
+FROM (SELECT s1.route_name,
+        CAST(SUM(CASE WHEN s1.stop_seq BETWEEN {SECTION_FROM} AND {SECTION_TO}
+                       AND s2.stop_seq BETWEEN {SECTION_FROM} AND {SECTION_TO} THEN t.riders ELSE 0 END) AS BIGINT)
+          AS section_riders,
+        CAST(SUM(t.riders) AS BIGINT) AS route_riders
+      FROM tx t JOIN stops s1 ON t.board_stop_id = s1.stop_id JOIN stops s2 ON t.alight_stop_id = s2.stop_id
+      WHERE s1.route_name = '{SECTION_ROUTE}' GROUP BY s1.route_name) a""")
+def section_share(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return fc.section_share(t.tx(), t.stops(), SECTION_ROUTE, SECTION_FROM, SECTION_TO)

@@ -55,8 +55,15 @@ def _load_all() -> None:
     from odspark.plans import queries_forecast  # noqa: F401
 
 
+_TABLES: dict[tuple, Tables] = {}
+
+
 def T(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(spark, sf_dir)
+    """Fixture tables, shared by all queries of one session and directory."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _TABLES:
+        _TABLES[key] = Tables(spark, sf_dir)
+    return _TABLES[key]
 
 
 @register("congestion_by_route", O.q_congestion_by_route)

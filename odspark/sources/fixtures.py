@@ -16,6 +16,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from odspark.session import cut_lineage, ensure_checkpoint_dir
+
 # Fixture view texts; ``{name}`` marks an input table or an earlier view.
 FIXTURE_SQL: dict[str, str] = {
     "od": """
@@ -141,11 +143,19 @@ def oracle_with(*names: str) -> str:
 
 
 class Tables:
-    """Lazily built fixture DataFrames for one scale-factor directory."""
+    """Fixture DataFrames for one scale-factor directory.
+
+    Each view is materialised once (reliable ``checkpoint`` into the
+    session's checkpoint directory), the way the domain tables are stored
+    tables in production: downstream plans then start from a scan instead of
+    re-deriving the view inside every step. Without a checkpoint directory
+    (a cluster that names none) the views stay lazy.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.materialize = materialize and ensure_checkpoint_dir(spark, local_fallback=True) is not None
         self._cache: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
@@ -160,7 +170,8 @@ class Tables:
             # spark.sql formats its text: escape literal braces (JSON), keep placeholders
             text = FIXTURE_SQL[name].replace("{", "{{").replace("}", "}}")
             text = re.sub(r"\{\{(\w+)\}\}", r"{\1}", text)
-            self._cache[name] = self.spark.sql(text, **args)
+            df = self.spark.sql(text, **args)
+            self._cache[name] = cut_lineage(df) if self.materialize else df
         return self._cache[name]
 
     # convenience accessors
