@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from odspark.functions.text import remove_quotes, strip, to_number, zfill
+from odspark.session import cut_lineage
 
 c = F.col
 
@@ -147,7 +148,11 @@ def fill_codes(df: DataFrame, fill_stages: int = 3) -> DataFrame:
         b = _fill_within(b, "board_name", "board_code")
         a = _fill_within(a, "alight_name", "alight_code")
     if fill_stages >= 3:  # across ends: alighting first, then boarding from the updated alighting
+        # the side tables are small (distinct stops x codes); materialised so
+        # the two cross-end joins do not re-run each other's window chains
+        b, a = cut_lineage(b), cut_lineage(a)
         a = _fill(a, "alight_ars", "alight_code", _mode_map(b, "board_ars", "board_code"))
+        a = cut_lineage(a)
         b = _fill(b, "board_ars", "board_code", _mode_map(a, "alight_ars", "alight_code"))
     b = b.select(c("board_ars").alias("_ba"), c("board_name").alias("_bn"),
                  c("orig_code").alias("_bc"), c("board_code").alias("_board_code"))
@@ -170,7 +175,10 @@ def enrich_od(target_raw: DataFrame, reference_raw: DataFrame, fill_stages: int
     df = attach_codes(tgt, ref)
     df = df.withColumn("board_ars", zfill("board_ars")).withColumn("alight_ars", zfill("alight_ars"))
     df = df.select(*[c(n).cast("string").alias(n) for n in OUT_COLUMNS])
-    return fill_codes(df, fill_stages)
+    # staged once: the fill cascade reads these rows three times (two side
+    # tables and the final join), so they are materialised instead of being
+    # re-derived (vote, maps, joins) inside every consumer
+    return fill_codes(cut_lineage(df), fill_stages)
 
 
 def null_report(df: DataFrame) -> DataFrame:
