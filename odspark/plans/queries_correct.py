@@ -204,3 +204,62 @@ def by_board_ars(spark, sf_dir):
 @register("by_route", lambda: oracle_with("od") + "SELECT * FROM od WHERE route_name = 'R3'")
 def by_route(spark, sf_dir):
     return T(spark, sf_dir).od().where(F.col("route_name") == "R3")
+
+
+# --------------------------------------------------------------------------
+# J20..J22: batch restores from masters derived from the data
+from odspark.operators import restore as rs  # noqa: E402
+from odspark.plans.oracle import LOCS_CTE  # noqa: E402
+
+
+def _restore_sql(by_name: bool, bbox: bool):
+    key = "ars, stop_name" if by_name else "ars"
+    cond = "a.board_ars = m.ars" + (" AND a.board_name = m.stop_name" if by_name else "")
+    box = "AND lat BETWEEN 37.0 AND 38.5 AND lon BETWEEN 126.0 AND 128.0" if bbox else ""
+    cols = ", ".join("COALESCE(a.board_code, m.code) AS board_code" if c == "board_code" else f"a.{c}"
+                     for c in OD_COLUMNS)
+    return oracle_with("od", "loc") + f""",
+{LOCS_CTE},
+codes AS (SELECT ars, stop_name, code FROM (
+  SELECT board_ars AS ars, board_name AS stop_name, board_code AS code,
+         ROW_NUMBER() OVER (PARTITION BY board_ars, board_name ORDER BY COUNT(*) DESC, board_code ASC) AS rn
+  FROM od WHERE board_code IS NOT NULL GROUP BY board_ars, board_name, board_code) r WHERE rn = 1),
+master AS (SELECT c.ars, c.stop_name, c.code, l.lat, l.lon FROM codes c
+           LEFT JOIN locs l ON l.ars = c.ars AND l.stop_name = c.stop_name),
+m AS (SELECT {key}, code FROM (
+  SELECT {key}, code, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY COUNT(*) DESC, code ASC) AS rn
+  FROM master WHERE code IS NOT NULL {box} GROUP BY {key}, code) r WHERE rn = 1)
+SELECT {cols} FROM od a LEFT JOIN m ON {cond}"""
+
+
+@register("restore_codes_master", lambda: _restore_sql(True, True))
+def restore_codes_master(spark, sf_dir):
+    """NULL boarding codes restored on (ARS, stop name) from located stops."""
+    t = T(spark, sf_dir)
+    od = t.od()
+    return rs.restore_codes(od, rs.station_master(od, t.loc()), "board", by_name=True, bbox=True)
+
+
+@register("restore_codes_ars", lambda: _restore_sql(False, False))
+def restore_codes_ars(spark, sf_dir):
+    """NULL boarding codes restored from the station master on ARS only."""
+    t = T(spark, sf_dir)
+    od = t.od()
+    return rs.restore_codes(od, rs.station_master(od, t.loc()), "board", by_name=False, bbox=False)
+
+
+def _route_ids_sql():
+    cols = ", ".join("COALESCE(a.route_id, m.route_id) AS route_id" if c == "route_id" else f"a.{c}"
+                     for c in OD_COLUMNS)
+    return oracle_with("od") + f""",
+m AS (SELECT route_name, route_id FROM (
+  SELECT route_name, route_id, ROW_NUMBER() OVER (PARTITION BY route_name ORDER BY COUNT(*) DESC, route_id ASC) AS rn
+  FROM od WHERE route_id IS NOT NULL AND route_name IS NOT NULL GROUP BY route_name, route_id) r WHERE rn = 1)
+SELECT {cols} FROM od a LEFT JOIN m ON a.route_name = m.route_name"""
+
+
+@register("restore_route_ids", _route_ids_sql)
+def restore_route_ids(spark, sf_dir):
+    """NULL route ids restored from a route map (name -> id)."""
+    od = T(spark, sf_dir).od()
+    return rs.restore_route_ids(od, rs.route_map(od))

@@ -136,3 +136,12 @@ FROM (SELECT s1.route_name,
 def section_share(spark, sf_dir):
     t = T(spark, sf_dir)
     return fc.section_share(t.tx(), t.stops(), SECTION_ROUTE, SECTION_FROM, SECTION_TO)
+
+
+@register("model_predictions")
+def model_predictions(spark, sf_dir):
+    """M5: gradient-boosted trees trained on the days before the cut-off,
+    predicting the rest (Spark ML; no SQL oracle, scores differ from the
+    original's XGBoost)."""
+    t = T(spark, sf_dir)
+    return fc.train_predict_gbt(fc.lag_features(t.daily_od(), t.holiday()), CUT, max_iter=10)

@@ -66,6 +66,12 @@ def read_od(spark: SparkSession, path: str, dates=None) -> DataFrame:
     return df.select(*OD_COLUMNS)
 
 
+def append_anomalies(anomalies: DataFrame, path: str) -> None:
+    """The anomaly side output is appended (INSERT ... SELECT), one
+    partition per service date."""
+    anomalies.select(*OD_COLUMNS).write.mode("append").partitionBy("service_date").parquet(path)
+
+
 def materialize(df: DataFrame, path: str, refresh: bool = False) -> DataFrame:
     """Reuse the stored result unless ``refresh`` or it does not exist."""
     spark = df.sparkSession
