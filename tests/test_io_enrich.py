@@ -74,3 +74,21 @@ def test_cross_fill_order(spark):
     assert out[("02002", "01001")] == ("C2", None)
     # alighting 09009 takes boarding... nothing; boarding 09009 stays NULL
     assert out[("09009", "05005")][0] is None
+
+
+def test_nightly_job(spark, tmpdir_path):
+    from odspark.plans.pipeline import run_nightly
+    from odspark.sources.fixtures import Tables
+    od = Tables(spark, "/root/testdata/sf0.001").od()
+    src = os.path.join(tmpdir_path, "od")
+    io.write_od(od, src)
+    final = os.path.join(tmpdir_path, "final")
+    res = run_nightly(spark, src, final, os.path.join(tmpdir_path, "stg"),
+                      os.path.join(tmpdir_path, "anom"), ["20231017", "20251014"])
+    out = io.read_od(spark, final)
+    assert sorted(r.service_date for r in out.select("service_date").distinct().collect()) == [
+        "20231017", "20251014"]
+    rin = od.where(F.col("service_date").isin("20231017", "20251014")).agg(F.sum("riders")).first()[0]
+    ranom = spark.read.parquet(os.path.join(tmpdir_path, "anom")).agg(F.sum("riders")).first()[0]
+    assert out.agg(F.sum("riders")).first()[0] + ranom == rin
+    assert res.step_counts.count() == 2
