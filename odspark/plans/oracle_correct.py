@@ -8,11 +8,12 @@ uses (ROW_NUMBER mode, HAVING COUNT(DISTINCT ...), max per route).
 
 from __future__ import annotations
 
-from odspark.constants import OD_COLUMNS
+from odspark.constants import (CASE_C1_SEQ_RANGE, CASE_C2_MAX_PCT, CASE_C2_MIN_SEQ, OD_COLUMNS,
+                               SEQ_SPREAD_MAX)
+from odspark.plans.oracle import EXEMPT, TERMINAL, V, vname_sql
 from odspark.sources.fixtures import oracle_with
 
-V = "'00000'"
-VNAME = "({n} LIKE '%가상%' OR {n} LIKE '%기점가상%' OR {n} LIKE '%경유%')"
+
 B4 = ["board_seq", "board_ars", "board_code", "board_name"]
 A4 = ["alight_seq", "alight_ars", "alight_code", "alight_name"]
 
@@ -29,17 +30,17 @@ def _upd(prev: str, pred: str, sets: dict, src: str | None = None) -> str:
 
 MAXSEQ = """(SELECT service_date, route_name, MAX(board_seq) AS max_seq FROM {p}
              WHERE board_seq IS NOT NULL GROUP BY service_date, route_name)"""
-C2_COND = (f"a.alight_ars = {V} AND a.alight_seq IS NULL AND a.board_seq * 100 < 48 * b.max_seq "
-           "AND a.board_seq >= 11")
+C2_COND = (f"a.alight_ars = {V} AND a.alight_seq IS NULL "
+           f"AND a.board_seq * 100 < {CASE_C2_MAX_PCT} * b.max_seq AND a.board_seq >= {CASE_C2_MIN_SEQ}")
 
 
 def step_c1(p):
-    return _upd(p, VNAME.format(n="a.board_name") + " AND (a.board_ars != '06137' OR a.board_ars IS NULL)",
+    return _upd(p, vname_sql("a.board_name") + f" AND (a.board_ars != {EXEMPT} OR a.board_ars IS NULL)",
                 {"board_ars": V})
 
 
 def step_c2(p):
-    return _upd(p, VNAME.format(n="a.alight_name") + " AND (a.alight_ars != '06137' OR a.alight_ars IS NULL)",
+    return _upd(p, vname_sql("a.alight_name") + f" AND (a.alight_ars != {EXEMPT} OR a.alight_ars IS NULL)",
                 {"alight_ars": V})
 
 
@@ -53,7 +54,8 @@ def step_c5a(p):
 
 
 def step_c5c1(p):
-    return _upd(p, f"a.alight_ars = {V} AND a.alight_seq IS NULL AND a.board_seq BETWEEN 1 AND 10",
+    lo, hi = CASE_C1_SEQ_RANGE
+    return _upd(p, f"a.alight_ars = {V} AND a.alight_seq IS NULL AND a.board_seq BETWEEN {lo} AND {hi}",
                 {a: f"a.{b}" for a, b in zip(A4, B4)})
 
 
@@ -76,7 +78,7 @@ def step_c5b(p):
 
 
 def step_c6(p):
-    return _upd(p, "(a.alight_name IS NULL OR a.alight_name = '') AND a.alight_code = '277102436'",
+    return _upd(p, f"(a.alight_name IS NULL OR a.alight_name = '') AND a.alight_code = {TERMINAL}",
                 {"alight_name": "a.board_name"})
 
 
@@ -118,7 +120,7 @@ def step_k11(p):
     agg = f"""(SELECT service_date, route_name, board_seq, board_ars, alight_ars, MIN(alight_seq) AS min_seq
     FROM {p} WHERE board_ars != {V} AND alight_ars != {V}
     GROUP BY service_date, route_name, board_seq, board_ars, alight_ars
-    HAVING COUNT(DISTINCT alight_seq) > 1 AND MAX(alight_seq) - MIN(alight_seq) <= 2)"""
+    HAVING COUNT(DISTINCT alight_seq) > 1 AND MAX(alight_seq) - MIN(alight_seq) <= {SEQ_SPREAD_MAX})"""
     src = (f"{p} a LEFT JOIN {agg} b ON a.service_date = b.service_date AND a.route_name = b.route_name "
            f"AND a.board_seq = b.board_seq AND a.board_ars = b.board_ars AND a.alight_ars = b.alight_ars")
     return _upd(p, "a.alight_seq != b.min_seq", {"alight_seq": "b.min_seq"}, src=src)

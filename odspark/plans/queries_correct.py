@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from odspark.constants import OD_COLUMNS
+from odspark.constants import FIRST_FILL_YEAR_PREFIX, OD_COLUMNS
 from odspark.operators import correct as cr
 from odspark.plans import oracle_correct as OC
 from odspark.plans.registry import T, register
@@ -63,16 +63,18 @@ def virtual_stop_counts(spark, sf_dir):
 
 
 def _residual_sql():
-    return OC.chain(OC.GROUP1 + [OC.step_dedup], final="""
+    from odspark.plans.oracle import EXEMPT, TERMINAL, V, vname_sql
+    final = f"""
 SELECT service_date,
-  COUNT(*) FILTER (WHERE (board_name LIKE '%가상%' OR board_name LIKE '%기점가상%' OR board_name LIKE '%경유%')
-                   AND board_ars != '00000' AND board_ars != '06137') AS unfixed_virtual_board_ars,
-  COUNT(*) FILTER (WHERE (alight_name LIKE '%가상%' OR alight_name LIKE '%기점가상%' OR alight_name LIKE '%경유%')
-                   AND alight_ars != '00000' AND alight_ars != '06137') AS unfixed_virtual_alight_ars,
-  COUNT(*) FILTER (WHERE board_ars = '00000' AND board_seq IS NULL) AS null_board_seq,
-  COUNT(*) FILTER (WHERE alight_ars = '00000' AND alight_seq IS NULL) AS null_alight_seq,
-  COUNT(*) FILTER (WHERE (alight_name IS NULL OR alight_name = '') AND alight_code = '277102436') AS empty_terminal_name
-FROM {p} GROUP BY service_date""")
+  COUNT(*) FILTER (WHERE {vname_sql('board_name')}
+                   AND board_ars != {V} AND board_ars != {EXEMPT}) AS unfixed_virtual_board_ars,
+  COUNT(*) FILTER (WHERE {vname_sql('alight_name')}
+                   AND alight_ars != {V} AND alight_ars != {EXEMPT}) AS unfixed_virtual_alight_ars,
+  COUNT(*) FILTER (WHERE board_ars = {V} AND board_seq IS NULL) AS null_board_seq,
+  COUNT(*) FILTER (WHERE alight_ars = {V} AND alight_seq IS NULL) AS null_alight_seq,
+  COUNT(*) FILTER (WHERE (alight_name IS NULL OR alight_name = '') AND alight_code = {TERMINAL}) AS empty_terminal_name
+FROM {{p}} GROUP BY service_date"""
+    return OC.chain(OC.GROUP1 + [OC.step_dedup], final=final)
 
 
 @register("residual_counts", _residual_sql)
@@ -81,13 +83,15 @@ def residual_counts(spark, sf_dir):
 
 
 def _bidir_sql():
-    return oracle_with("od") + """
+    from odspark.constants import BIDIRECTIONAL_MAX_SEQ
+    from odspark.plans.oracle import V
+    return oracle_with("od") + f"""
 SELECT DISTINCT service_date, route_name FROM od b
-WHERE b.board_seq = 0 AND b.board_ars = '00000'
+WHERE b.board_seq = 0 AND b.board_ars = {V}
   AND b.route_name IN (SELECT b2.route_name FROM od b2
                        WHERE b2.service_date = b.service_date AND b2.board_seq IS NOT NULL
-                         AND b2.board_ars != '00000'
-                       GROUP BY b2.route_name HAVING MAX(b2.board_seq) > 100)"""
+                         AND b2.board_ars != {V}
+                       GROUP BY b2.route_name HAVING MAX(b2.board_seq) > {BIDIRECTIONAL_MAX_SEQ})"""
 
 
 @register("detect_bidirectional", _bidir_sql)
@@ -161,7 +165,7 @@ def _fill_sql(end):
 s1 AS (SELECT ars, code FROM (
   SELECT {ars} AS ars, {code} AS code,
          ROW_NUMBER() OVER (PARTITION BY {ars} ORDER BY COUNT(*) DESC, {code} ASC) AS rn
-  FROM od WHERE service_date LIKE '2025%' AND {code} IS NOT NULL AND {ars} IS NOT NULL
+  FROM od WHERE service_date LIKE '{FIRST_FILL_YEAR_PREFIX}%' AND {code} IS NOT NULL AND {ars} IS NOT NULL
   GROUP BY {ars}, {code}) r WHERE rn = 1),
 tgt AS (SELECT DISTINCT service_date, {ars} AS ars FROM od WHERE {code} IS NULL AND {ars} IS NOT NULL),
 s2 AS (SELECT service_date, ars, code FROM (
@@ -215,7 +219,8 @@ from odspark.plans.oracle import LOCS_CTE  # noqa: E402
 def _restore_sql(by_name: bool, bbox: bool):
     key = "ars, stop_name" if by_name else "ars"
     cond = "a.board_ars = m.ars" + (" AND a.board_name = m.stop_name" if by_name else "")
-    box = "AND lat BETWEEN 37.0 AND 38.5 AND lon BETWEEN 126.0 AND 128.0" if bbox else ""
+    from odspark.plans.oracle import BBOX
+    box = f"AND {BBOX}" if bbox else ""
     cols = ", ".join("COALESCE(a.board_code, m.code) AS board_code" if c == "board_code" else f"a.{c}"
                      for c in OD_COLUMNS)
     return oracle_with("od", "loc") + f""",
