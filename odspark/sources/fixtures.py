@@ -171,7 +171,7 @@ class Tables:
             text = FIXTURE_SQL[name].replace("{", "{{").replace("}", "}}")
             text = re.sub(r"\{\{(\w+)\}\}", r"{\1}", text)
             df = self.spark.sql(text, **args)
-            self._cache[name] = cut_lineage(df) if self.materialize else df
+            self._cache[name] = cut_lineage(df, name) if self.materialize else df
         return self._cache[name]
 
     # convenience accessors
