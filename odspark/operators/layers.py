@@ -2,8 +2,10 @@
 
 The original builds these per date and per route in driver loops; here
 each layer is one DataFrame over all dates and routes, keyed by
-``service_date``. Per-date scalars (network max) are aggregated first and
-joined back — never a global window over all rows.
+``service_date``. Per-date scalars (network max, densest stop) are windows
+partitioned by date over the per-stop congestion table — one row per stop
+of the day, never raw OD rows — so the congestion aggregate is computed
+once instead of once more for an aggregate-and-join.
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ def mapped(cong: DataFrame) -> DataFrame:
 def network_congestion(cong: DataFrame) -> DataFrame:
     """Load relative to the largest load of any mapped stop on that
     date (0 when that max is not positive); the grade stays the route's."""
-    m = mapped(cong)
-    day_max = m.groupBy("service_date").agg(F.max("load").alias("network_max_load"))
-    return (m.join(day_max, "service_date")
+    day = Window.partitionBy("service_date")
+    return (mapped(cong)
+            .withColumn("network_max_load", F.max("load").over(day))
             .withColumn("network_pct",
                         F.when(F.col("network_max_load") > 0, pct1("load", "network_max_load"))
                         .otherwise(F.lit(0.0)))
@@ -75,8 +77,7 @@ def stop_density(cong: DataFrame) -> DataFrame:
     dens = (mapped(cong).where(F.col("stop_name").isNotNull())
             .groupBy("service_date", "ars", "stop_name", "lat", "lon")
             .agg(F.sum("load").cast("long").alias("total_load")))
-    day_max = dens.groupBy("service_date").agg(F.max("total_load").alias("max_total_load"))
-    out = (dens.join(day_max, "service_date")
+    out = (dens.withColumn("max_total_load", F.max("total_load").over(Window.partitionBy("service_date")))
            .withColumn("density_pct",
                        F.when(F.col("max_total_load") > 0, pct1("total_load", "max_total_load"))
                        .otherwise(F.lit(0.0))))

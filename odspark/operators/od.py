@@ -72,14 +72,31 @@ def all_alighting(od: DataFrame, dates=None) -> DataFrame:
 def nested_od(od: DataFrame) -> DataFrame:
     """Per (date, route, ARS) the destination and origin lists, each
     ``array<struct<stop_name, riders>>`` in stop order (seq, then name).
-    List length is bounded by the stops of one route."""
-    def lists(side: DataFrame, col: str) -> DataFrame:
-        return (side.groupBy("service_date", "route_name", "ars")
-                .agg(F.array_sort(F.collect_list(F.struct(
-                    F.coalesce(F.col("seq"), F.lit(2147483647)).alias("k1"),
-                    F.col("stop_name").alias("k2"), "stop_name", "riders"))).alias("l"))
-                .select("service_date", "route_name", "ars",
-                        F.transform("l", lambda x: F.struct(x["stop_name"].alias("stop_name"),
-                                                            x["riders"].alias("riders"))).alias(col)))
-    return lists(all_boarding(od), "destinations").join(
-        lists(all_alighting(od), "origins"), ["service_date", "route_name", "ars"], "full")
+
+    One scan: every row (both ends real) becomes a destination entry of its
+    boarding ARS and an origin entry of its alighting ARS; one aggregate
+    sums riders per entry; one more groups by (date, route, ARS) and builds
+    both lists with ``collect_list`` over a ``when`` (NULLs are skipped), so
+    no join is needed. A list is bounded by the stops of one route.
+    """
+    both_real = (F.col("board_ars") != VIRTUAL_ARS) & (F.col("alight_ars") != VIRTUAL_ARS)
+    entries = od.where(both_real).select(
+        "service_date", "route_name", "riders",
+        F.explode(F.array(
+            F.struct(F.lit("d").alias("dir"), F.col("board_ars").alias("ars"),
+                     F.col("alight_name").alias("stop_name"), F.col("alight_seq").alias("seq")),
+            F.struct(F.lit("o").alias("dir"), F.col("alight_ars").alias("ars"),
+                     F.col("board_name").alias("stop_name"), F.col("board_seq").alias("seq")),
+        )).alias("e"))
+    per_stop = (entries.groupBy("service_date", "route_name", "e.dir", "e.ars", "e.stop_name")
+                .agg(F.sum("riders").cast("long").alias("riders"), F.min("e.seq").alias("seq")))
+    item = F.struct(F.coalesce(F.col("seq"), F.lit(2147483647)).alias("k1"), F.col("stop_name").alias("k2"),
+                    "stop_name", "riders")
+    strip_keys = lambda arr: F.transform(F.array_sort(arr), lambda x: F.struct(
+        x["stop_name"].alias("stop_name"), x["riders"].alias("riders")))
+    return (per_stop.groupBy("service_date", "route_name", "ars")
+            .agg(F.collect_list(F.when(F.col("dir") == "d", item)).alias("d"),
+                 F.collect_list(F.when(F.col("dir") == "o", item)).alias("o"))
+            .select("service_date", "route_name", "ars",
+                    F.when(F.size("d") > 0, strip_keys(F.col("d"))).alias("destinations"),
+                    F.when(F.size("o") > 0, strip_keys(F.col("o"))).alias("origins")))
