@@ -222,9 +222,46 @@ def k11_alight_seq_spread(df: DataFrame) -> DataFrame:
                    {"alight_seq": c("min_alight_seq")}).drop("min_alight_seq")
 
 
+def sequence_fixes(od: DataFrame) -> DataFrame:
+    """K10 then K11 from one pre-aggregate (tagged ``t_k10``, ``t_k11``).
+
+    K10 only rewrites ``board_seq``, so both the mode (K10) and the
+    alighting-seq spread over K10's output (K11) follow from one aggregate
+    per (date, route, board ARS, board seq, alight ARS) holding the row
+    count and the min / max alighting seq: the seq of each group is mapped
+    through the mode and the spreads are re-aggregated. The OD rows are read
+    twice (the aggregate, the update) instead of four times, and every
+    shuffle is map-side combined.
+    """
+    key = ROUTE + ["board_ars"]
+    g = (od.where(c("board_ars") != VIRTUAL_ARS)
+         .groupBy(*key, "board_seq", "alight_ars")
+         .agg(F.count(F.lit(1)).alias("n"), F.min("alight_seq").alias("lo"),
+              F.max("alight_seq").alias("hi")))
+    counts = g.groupBy(*key, "board_seq").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*key).orderBy(c("n").desc(), c("board_seq").asc_nulls_last())
+    mode = (counts.withColumn("rn", F.row_number().over(w)).where(c("rn") == 1)
+            .select(*key, c("board_seq").alias("mode_seq")))
+    moved = F.coalesce(c("board_seq") != c("mode_seq"), F.lit(False))
+    # the alighting virtual stop is excluded in the update predicate rather
+    # than by a filter here: a filter would be pushed below ``g`` and stop
+    # the two uses of ``g`` from sharing one exchange
+    spread = (g.join(mode, key, "left")
+              .withColumn("board_seq", F.when(moved, c("mode_seq")).otherwise(c("board_seq")))
+              .groupBy(*key, "board_seq", "alight_ars")
+              .agg(F.min("lo").alias("min_alight_seq"), F.max("hi").alias("max_alight_seq"))
+              .where((c("max_alight_seq") - c("min_alight_seq")).between(1, SEQ_SPREAD_MAX))
+              .drop("max_alight_seq"))
+    k10 = _update(od.join(mode, key, "left"), "t_k10", c("board_seq") != c("mode_seq"),
+                  {"board_seq": c("mode_seq")}).drop("mode_seq")
+    j = k10.join(spread, key + ["board_seq", "alight_ars"], "left")
+    return _update(j, "t_k11", (c("alight_ars") != VIRTUAL_ARS) & (c("alight_seq") != c("min_alight_seq")),
+                   {"alight_seq": c("min_alight_seq")}).drop("min_alight_seq")
+
+
 def fix_sequence(od: DataFrame) -> DataFrame:
     """K11g: K10, K11, dedup."""
-    return dedup_sum(od_only(k11_alight_seq_spread(k10_seq_by_mode(od))))
+    return dedup_sum(od_only(sequence_fixes(od)))
 
 
 # --------------------------------------------------------------------------

@@ -107,7 +107,7 @@ def fix_k10(spark, sf_dir):
 
 @register("fix_k11_alight_seq_spread", lambda: OC.chain([OC.step_k10, OC.step_k11]))
 def fix_k11(spark, sf_dir):
-    return cr.od_only(cr.k11_alight_seq_spread(cr.k10_seq_by_mode(T(spark, sf_dir).od())))
+    return cr.od_only(cr.sequence_fixes(T(spark, sf_dir).od()))
 
 
 @register("fix_sequence", lambda: OC.chain(OC.GROUP2 + [OC.step_dedup]))

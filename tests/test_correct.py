@@ -107,3 +107,10 @@ def test_counts_once_per_step(spark):
     counts = tagged.agg(*[F.count_if(c).alias(c) for c in cr.tags(tagged)]).first().asDict()
     assert counts["t_c5c2"] == 24      # FIXTURES.md §3: true C2 rows at sf 0.001
     assert counts["t_c5a"] >= 2
+
+
+def test_fused_sequence_fixes_equal_stepwise(spark):
+    od = Tables(spark, "/root/testdata/sf0.001").od()
+    a = rows_of(cr.od_only(cr.k11_alight_seq_spread(cr.k10_seq_by_mode(od))))
+    b = rows_of(cr.od_only(cr.sequence_fixes(od)))
+    assert a == b
