@@ -80,3 +80,37 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{base.rstrip('/')}/odspark-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cluster_settings(input_bytes: int, total_cores: int,
+                     target_partition_bytes: int = 256 << 20) -> dict:
+    """SQL settings sized for a cluster run over ``input_bytes`` of OD data.
+
+    * scans split at 256 MB, so a task reads a bounded slice whatever the
+      table size;
+    * the initial shuffle partition count follows the input (one partition
+      per 256 MB, at least 2 waves of the cores); AQE then coalesces small
+      partitions to the advisory size and splits skewed ones;
+    * broadcasts stay capped at 64 MB of measured size — larger sides
+      sort-merge.
+    """
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    }
+
+
+def apply_settings(spark: SparkSession, settings: dict) -> None:
+    for k, v in settings.items():
+        spark.conf.set(k, v)
