@@ -10,14 +10,19 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters Python's ``str.strip()`` removes (``str.isspace``), derived
+# from that rule rather than listed; ``trim`` alone removes only U+0020.
+WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def strip(c) -> Column:
-    """Unicode-whitespace strip like Python ``str.strip()`` (``trim`` only
-    removes U+0020)."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+    """Whitespace strip with the same character set as ``str.strip()``;
+    ``btrim`` is a plain scan, no regular expression."""
+    return F.btrim(_c(c), F.lit(WHITESPACE))
 
 
 def remove_quotes(c) -> Column:
-    return F.regexp_replace(_c(c), '"', "")
+    return F.replace(_c(c), F.lit('"'), F.lit(""))
 
 
 def to_number(c) -> Column:
