@@ -360,11 +360,16 @@ def fill_null_codes(od: DataFrame, end: str = "board") -> DataFrame:
           .where(c("n") > 0)
           .withColumn("rn", F.row_number().over(best(["service_date", "ars"])))
           .where(c("rn") == 1).select("service_date", "ars", c("code").alias("code2")))
-    j = (od.join(s1, od[ars] == s1["ars"], "left").drop("ars")
+    # only rows whose code is NULL need a donor: the others pass through
+    # untouched (no shuffle), and each half's filter reaches the scan
+    known = od.where(c(code).isNotNull()).select(*OD_COLUMNS)
+    missing = od.where(c(code).isNull())
+    j = (missing.join(s1, missing[ars] == s1["ars"], "left").drop("ars")
          .join(s2.withColumnRenamed("service_date", "_d"),
                (c("service_date") == c("_d")) & (c(ars) == c("ars")), "left"))
-    return j.select(*[F.coalesce(c(code), c("code1"), c("code2")).alias(code) if n == code else c(n)
-                      for n in OD_COLUMNS])
+    filled = j.select(*[F.coalesce(c("code1"), c("code2")).alias(code) if n == code else c(n)
+                        for n in OD_COLUMNS])
+    return known.unionByName(filled)
 
 
 # --------------------------------------------------------------------------

@@ -1,5 +1,8 @@
 """Batch restores of NULL keys from master tables (J20..J22).
 
+Only the rows whose value is NULL take part in the join; the rest are
+passed through untouched, so the bulk of the table is never shuffled.
+
 The original restored these row by row (one lookup per NULL, half an hour)
 and then as one set-based UPDATE ... FROM; here each is a left join to a
 master reduced to one row per key (so it cannot fan out) plus ``coalesce``.
@@ -48,10 +51,11 @@ def restore_codes(od: DataFrame, master: DataFrame, end: str = "board",
     if by_name:
         cond = cond & (c(f"{end}_name") == c("_m_name"))
         sel.append(c("stop_name").alias("_m_name"))
-    j = od.join(m.select(*sel), cond, "left")
     code = f"{end}_code"
-    return j.select(*[F.coalesce(c(code), c("_m_code")).alias(code) if n == code else c(n)
-                      for n in OD_COLUMNS])
+    known = od.where(c(code).isNotNull()).select(*OD_COLUMNS)   # passes through, no shuffle
+    j = od.where(c(code).isNull()).join(m.select(*sel), cond, "left")
+    return known.unionByName(j.select(*[c("_m_code").alias(code) if n == code else c(n)
+                                         for n in OD_COLUMNS]))
 
 
 def route_map(od: DataFrame) -> DataFrame:
@@ -64,6 +68,7 @@ def restore_route_ids(od: DataFrame, routes: DataFrame) -> DataFrame:
     """Fill NULL route ids from a route map (one id per name)."""
     m = _one_per_key(routes, ["route_name"], "route_id").select(
         c("route_name").alias("_rn"), c("route_id").alias("_rid"))
-    j = od.join(m, c("route_name") == c("_rn"), "left")
-    return j.select(*[F.coalesce(c("route_id"), c("_rid")).alias("route_id") if n == "route_id"
-                      else c(n) for n in OD_COLUMNS])
+    known = od.where(c("route_id").isNotNull()).select(*OD_COLUMNS)
+    j = od.where(c("route_id").isNull()).join(m, c("route_name") == c("_rn"), "left")
+    return known.unionByName(j.select(*[c("_rid").cast("long").alias("route_id") if n == "route_id"
+                                         else c(n) for n in OD_COLUMNS]))
