@@ -133,9 +133,9 @@ def fill_codes(df: DataFrame, fill_stages: int = 3) -> DataFrame:
     A fill only looks at (ARS, name, code) of one end, so the cascade runs
     on two small side tables — the distinct (ARS, name, code) of each end
     weighted by their row counts — and the final codes are joined back to
-    the rows once (null-safe on the original key). The row table is read
-    three times whatever the number of stages; the plan no longer doubles
-    per stage.
+    the rows whose code was NULL. The row table is read a fixed number of
+    times whatever the number of stages; the plan no longer doubles per
+    stage.
     """
     b_side = df.groupBy("board_ars", "board_name", "board_code").agg(F.count(F.lit(1)).alias("n"))
     a_side = df.groupBy("alight_ars", "alight_name", "alight_code").agg(F.count(F.lit(1)).alias("n"))
@@ -154,16 +154,25 @@ def fill_codes(df: DataFrame, fill_stages: int = 3) -> DataFrame:
         a = _fill(a, "alight_ars", "alight_code", _mode_map(b, "board_ars", "board_code"))
         a = cut_lineage(a)
         b = _fill(b, "board_ars", "board_code", _mode_map(a, "alight_ars", "alight_code"))
-    b = b.select(c("board_ars").alias("_ba"), c("board_name").alias("_bn"),
-                 c("orig_code").alias("_bc"), c("board_code").alias("_board_code"))
-    a = a.select(c("alight_ars").alias("_aa"), c("alight_name").alias("_an"),
-                 c("orig_code").alias("_ac"), c("alight_code").alias("_alight_code"))
-    out = (df.join(b, c("board_ars").eqNullSafe(c("_ba")) & c("board_name").eqNullSafe(c("_bn"))
-                   & c("board_code").eqNullSafe(c("_bc")), "left")
-             .join(a, c("alight_ars").eqNullSafe(c("_aa")) & c("alight_name").eqNullSafe(c("_an"))
-                   & c("alight_code").eqNullSafe(c("_ac")), "left"))
-    return (out.withColumn("board_code", c("_board_code")).withColumn("alight_code", c("_alight_code"))
-            .drop("_ba", "_bn", "_bc", "_board_code", "_aa", "_an", "_ac", "_alight_code"))
+    # only rows with a NULL code can change: they alone are joined back (on
+    # the end's ARS and name, null-safe, to the side rows whose code was NULL);
+    # fully coded rows pass through without a shuffle
+    b = (b.where(c("orig_code").isNull())
+         .select(c("board_ars").alias("_ba"), c("board_name").alias("_bn"),
+                 c("board_code").alias("_board_code")))
+    a = (a.where(c("orig_code").isNull())
+         .select(c("alight_ars").alias("_aa"), c("alight_name").alias("_an"),
+                 c("alight_code").alias("_alight_code")))
+    known = df.where(c("board_code").isNotNull() & c("alight_code").isNotNull())
+    need = df.where(c("board_code").isNull() | c("alight_code").isNull())
+    out = (need.join(b, c("board_code").isNull() & c("board_ars").eqNullSafe(c("_ba"))
+                     & c("board_name").eqNullSafe(c("_bn")), "left")
+               .join(a, c("alight_code").isNull() & c("alight_ars").eqNullSafe(c("_aa"))
+                     & c("alight_name").eqNullSafe(c("_an")), "left"))
+    filled = (out.withColumn("board_code", F.coalesce(c("board_code"), c("_board_code")))
+              .withColumn("alight_code", F.coalesce(c("alight_code"), c("_alight_code")))
+              .select(*df.columns))
+    return known.unionByName(filled)
 
 
 def enrich_od(target_raw: DataFrame, reference_raw: DataFrame, fill_stages: int = 3) -> DataFrame:
