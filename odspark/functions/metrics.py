@@ -38,14 +38,6 @@ def pct1(num, den) -> Column:
     return (F.floor((a * 2000 + b) / (b * 2)).cast("long") / F.lit(10.0))
 
 
-def ratio_pct1(num, den) -> Column:
-    """Signed ``round(100 num / den, 1)``, half away from zero."""
-    a = _c(num).cast("long")
-    b = F.nullif(_c(den).cast("long"), F.lit(0).cast("long"))
-    mag = F.floor((F.abs(a) * 2000 + F.abs(b)) / (F.abs(b) * 2)).cast("long") / F.lit(10.0)
-    return F.when((a < 0) != (b < 0), -mag).otherwise(mag)
-
-
 def grade(pct) -> Column:
     p = _c(pct)
     expr = None

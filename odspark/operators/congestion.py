@@ -109,15 +109,18 @@ def congestion(od: DataFrame, loc: DataFrame | None = None, routes=None, dates=N
 
 
 def congestion_for_routes(od: DataFrame, loc: DataFrame | None, routes: str | list,
-                          date: str | None = None) -> DataFrame:
-    """Comma-separated (or listed) routes, trimmed; rows come out in the
-    requested route order, then stop order."""
+                          date: str | None = None, ordered: bool = False) -> DataFrame:
+    """Comma-separated (or listed) routes, trimmed. ``route_order`` is
+    the position in the request; ``ordered=True`` sorts the rows as the
+    endpoint returns them (request order, then stop order) — a global sort,
+    meant for request-sized results."""
     names = [r.strip() for r in (routes.split(",") if isinstance(routes, str) else routes)]
     names = [n for n in names if n]
     dates = None if date is None else [date]
     rows = congestion(od, loc, routes=names, dates=dates)
     order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("route_name"))
-    return rows.withColumn("route_order", order.cast("int"))
+    rows = rows.withColumn("route_order", order.cast("int"))
+    return rows.orderBy("route_order", "service_date", *stop_order()) if ordered else rows
 
 
 def stops_by_route(od: DataFrame, routes=None, dates=None) -> DataFrame:

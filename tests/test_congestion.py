@@ -73,3 +73,11 @@ def test_density_and_network(make_od):
     assert net["B"] == 100.0
     dens = ly.stop_density(cong).collect()
     assert max(r.density_pct for r in dens) == 100.0
+
+
+def test_multi_route_endpoint_order(make_od):
+    od = _route(make_od).union(make_od([od_row(route="R2", riders=3)]))
+    out = cg.congestion_for_routes(od, None, "R2,R1", ordered=True).collect()
+    assert [r.route_name for r in out][:2] == ["R2", "R2"]
+    r1 = [r.seq for r in out if r.route_name == "R1"]
+    assert r1 == sorted(r1)
