@@ -3,9 +3,11 @@
 One Spark job per run, for any number of service dates: read those date
 partitions, run group 1 (virtual stops) -> group 2 (sequences) -> group 3
 (same-stop OD), each ending in dedup, cut the lineage at each group
-boundary (a parquet table under the shared checkpoint directory), append
-the anomalies, and publish through a staging table that must conserve
-riders (riders in = riders out + anomalies) before the dates are replaced.
+boundary (a parquet table under the shared checkpoint directory), and
+publish through a staging table that must conserve riders (riders in =
+riders out + anomalies) before the dates are replaced; the anomalies of
+those dates are replaced too. Every write replaces whole date partitions,
+so a retried run (lost executors, a failed attempt) is idempotent.
 """
 
 from __future__ import annotations
@@ -49,5 +51,5 @@ def run_nightly(spark: SparkSession, od_path: str, final_path: str, staging_path
     riders_anom = res.anomalies.agg(F.sum("riders")).first()[0] or 0
     io.publish(res.corrected, staging_path, final_path,
                checks=[io.riders_conserved(riders_in - riders_anom)])
-    io.append_anomalies(res.anomalies, anomaly_path)
+    io.write_anomalies(res.anomalies, anomaly_path)
     return res

@@ -66,10 +66,13 @@ def read_od(spark: SparkSession, path: str, dates=None) -> DataFrame:
     return df.select(*OD_COLUMNS)
 
 
-def append_anomalies(anomalies: DataFrame, path: str) -> None:
-    """The anomaly side output is appended (INSERT ... SELECT), one
-    partition per service date."""
-    anomalies.select(*OD_COLUMNS).write.mode("append").partitionBy("service_date").parquet(path)
+def write_anomalies(anomalies: DataFrame, path: str) -> None:
+    """The anomaly side output, one partition per service date. The
+    dates written are replaced (dynamic partition overwrite) rather than
+    appended to, so re-running a date after a failure cannot duplicate its
+    anomalies; other dates are kept."""
+    (anomalies.select(*OD_COLUMNS).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("service_date").parquet(path))
 
 
 def materialize(df: DataFrame, path: str, refresh: bool = False) -> DataFrame:

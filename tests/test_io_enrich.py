@@ -92,3 +92,18 @@ def test_nightly_job(spark, tmpdir_path):
     ranom = spark.read.parquet(os.path.join(tmpdir_path, "anom")).agg(F.sum("riders")).first()[0]
     assert out.agg(F.sum("riders")).first()[0] + ranom == rin
     assert res.step_counts.count() == 2
+
+
+def test_nightly_job_is_idempotent(spark, tmpdir_path):
+    from odspark.plans.pipeline import run_nightly
+    from odspark.sources.fixtures import Tables
+    od = Tables(spark, "/root/testdata/sf0.001").od()
+    src = os.path.join(tmpdir_path, "od")
+    io.write_od(od, src)
+    final, anom = os.path.join(tmpdir_path, "final"), os.path.join(tmpdir_path, "anom")
+    for i in range(2):  # a retry of the same date
+        run_nightly(spark, src, final, os.path.join(tmpdir_path, f"stg{i}"), anom, ["20241019"])
+    rin = od.where(F.col("service_date") == "20241019").agg(F.sum("riders")).first()[0]
+    rout = io.read_od(spark, final).agg(F.sum("riders")).first()[0]
+    ranom = io.read_od(spark, anom).agg(F.sum("riders")).first()[0]
+    assert rout + ranom == rin
