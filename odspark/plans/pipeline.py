@@ -48,8 +48,13 @@ def run_nightly(spark: SparkSession, od_path: str, final_path: str, staging_path
     od = io.read_od(spark, od_path, dates)
     riders_in = od.agg(F.sum("riders")).first()[0] or 0
     res = correct_all(od)
-    riders_anom = res.anomalies.agg(F.sum("riders")).first()[0] or 0
+    # staged before anything is replaced, so the job may also correct its
+    # source table in place (od_path == final_path)
+    staged_anomalies = f"{staging_path.rstrip('/')}_anomalies"
+    io.write_anomalies(res.anomalies, staged_anomalies)
+    anomalies = io.read_od(spark, staged_anomalies, dates)
+    riders_anom = anomalies.agg(F.sum("riders")).first()[0] or 0
     io.publish(res.corrected, staging_path, final_path,
                checks=[io.riders_conserved(riders_in - riders_anom)])
-    io.write_anomalies(res.anomalies, anomaly_path)
+    io.write_anomalies(anomalies, anomaly_path)
     return res

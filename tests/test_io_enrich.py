@@ -107,3 +107,18 @@ def test_nightly_job_is_idempotent(spark, tmpdir_path):
     rout = io.read_od(spark, final).agg(F.sum("riders")).first()[0]
     ranom = io.read_od(spark, anom).agg(F.sum("riders")).first()[0]
     assert rout + ranom == rin
+
+
+def test_nightly_job_in_place(spark, tmpdir_path):
+    from odspark.plans.pipeline import run_nightly
+    from odspark.sources.fixtures import Tables
+    od = Tables(spark, "/root/testdata/sf0.001").od()
+    table = os.path.join(tmpdir_path, "od")
+    io.write_od(od, table)
+    rin = od.agg(F.sum("riders")).first()[0]
+    run_nightly(spark, table, table, os.path.join(tmpdir_path, "stg"),
+                os.path.join(tmpdir_path, "anom"), ["20231017"])
+    after = io.read_od(spark, table)
+    ranom = io.read_od(spark, os.path.join(tmpdir_path, "anom")).agg(F.sum("riders")).first()[0]
+    assert after.agg(F.sum("riders")).first()[0] + ranom == rin   # other dates untouched
+    assert after.select("service_date").distinct().count() == 3
