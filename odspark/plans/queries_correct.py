@@ -85,13 +85,13 @@ def residual_counts(spark, sf_dir):
 def _bidir_sql():
     from odspark.constants import BIDIRECTIONAL_MAX_SEQ
     from odspark.plans.oracle import V
-    return oracle_with("od") + f"""
-SELECT DISTINCT service_date, route_name FROM od b
-WHERE b.board_seq = 0 AND b.board_ars = {V}
-  AND b.route_name IN (SELECT b2.route_name FROM od b2
-                       WHERE b2.service_date = b.service_date AND b2.board_seq IS NOT NULL
-                         AND b2.board_ars != {V}
-                       GROUP BY b2.route_name HAVING MAX(b2.board_seq) > {BIDIRECTIONAL_MAX_SEQ})"""
+    return oracle_with("od") + f""",
+real_max AS (SELECT service_date, route_name, MAX(board_seq) AS m FROM od
+             WHERE board_seq IS NOT NULL AND board_ars <> {V} GROUP BY service_date, route_name),
+virtual_origin AS (SELECT DISTINCT service_date, route_name FROM od WHERE board_seq = 0 AND board_ars = {V})
+SELECT v.service_date, v.route_name FROM virtual_origin v
+JOIN real_max x ON x.service_date = v.service_date AND x.route_name = v.route_name
+WHERE x.m > {BIDIRECTIONAL_MAX_SEQ}"""
 
 
 @register("detect_bidirectional", _bidir_sql)
