@@ -16,20 +16,3 @@ OD_SCHEMA = T.StructType([
     T.StructField("alight_name", T.StringType()),
     T.StructField("riders", T.IntegerType()),
 ])
-
-LOC_SCHEMA = T.StructType([
-    T.StructField("stop_no", T.StringType()),
-    T.StructField("stop_name", T.StringType()),
-    T.StructField("lat", T.DoubleType()),
-    T.StructField("lon", T.DoubleType()),
-])
-
-CONGESTION_COLUMNS = [
-    "service_date", "route_name", "seq", "ars", "stop_name", "load", "max_load",
-    "pct", "grade", "color", "lat", "lon", "total_riders",
-]
-
-
-def all_string_schema(columns):
-    """All-``StringType`` schema for raw CSV scans (leading zeros survive)."""
-    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
