@@ -112,6 +112,9 @@ CROSS JOIN (VALUES ('weekday'), ('saturday'), ('sunday'), ('holiday')) d(dt) CRO
 """,
 }
 
+# views with one row per fact row (the rest are small dimensions)
+_FACT_VIEWS = ("od", "tx", "ref_day", "target_day", "daily_od")
+
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
@@ -171,7 +174,13 @@ class Tables:
             text = FIXTURE_SQL[name].replace("{", "{{").replace("}", "}}")
             text = re.sub(r"\{\{(\w+)\}\}", r"{\1}", text)
             df = self.spark.sql(text, **args)
-            self._cache[name] = cut_lineage(df, name) if self.materialize else df
+            if self.materialize:
+                # the source files are single row groups: spread the rows over
+                # the session's parallelism so later scans are not one task
+                if name in _FACT_VIEWS:
+                    df = df.repartition(self.spark.sparkContext.defaultParallelism)
+                df = cut_lineage(df, name)
+            self._cache[name] = df
         return self._cache[name]
 
     # convenience accessors
