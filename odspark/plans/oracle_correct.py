@@ -34,29 +34,39 @@ C2_COND = (f"a.alight_ars = {V} AND a.alight_seq IS NULL "
            f"AND a.board_seq * 100 < {CASE_C2_MAX_PCT} * b.max_seq AND a.board_seq >= {CASE_C2_MIN_SEQ}")
 
 
+# predicates of the row-local steps, over alias ``a`` of the step's input
+PRED = {
+    "c1": vname_sql("a.board_name") + f" AND (a.board_ars != {EXEMPT} OR a.board_ars IS NULL)",
+    "c2": vname_sql("a.alight_name") + f" AND (a.alight_ars != {EXEMPT} OR a.alight_ars IS NULL)",
+    "c4": f"a.board_ars = {V} AND a.board_seq IS NULL",
+    "c5a": f"a.board_seq = 0 AND a.board_ars = {V} AND a.alight_ars = {V} AND a.alight_seq IS NULL",
+    "c5c1": (f"a.alight_ars = {V} AND a.alight_seq IS NULL "
+             f"AND a.board_seq BETWEEN {CASE_C1_SEQ_RANGE[0]} AND {CASE_C1_SEQ_RANGE[1]}"),
+    "c6": f"(a.alight_name IS NULL OR a.alight_name = '') AND a.alight_code = {TERMINAL}",
+    "c7": f"a.board_ars != {V} AND a.alight_ars = {V} AND a.alight_seq IS NOT NULL",
+    "c8": f"a.board_ars = {V} AND a.board_seq != 0",
+    "c9": f"a.board_ars = {V} AND a.alight_ars = {V} AND a.board_seq = a.alight_seq",
+}
+
+
 def step_c1(p):
-    return _upd(p, vname_sql("a.board_name") + f" AND (a.board_ars != {EXEMPT} OR a.board_ars IS NULL)",
-                {"board_ars": V})
+    return _upd(p, PRED["c1"], {"board_ars": V})
 
 
 def step_c2(p):
-    return _upd(p, vname_sql("a.alight_name") + f" AND (a.alight_ars != {EXEMPT} OR a.alight_ars IS NULL)",
-                {"alight_ars": V})
+    return _upd(p, PRED["c2"], {"alight_ars": V})
 
 
 def step_c4(p):
-    return _upd(p, f"a.board_ars = {V} AND a.board_seq IS NULL", {"board_seq": "0"})
+    return _upd(p, PRED["c4"], {"board_seq": "0"})
 
 
 def step_c5a(p):
-    return _upd(p, f"a.board_seq = 0 AND a.board_ars = {V} AND a.alight_ars = {V} AND a.alight_seq IS NULL",
-                {"alight_seq": "0"})
+    return _upd(p, PRED["c5a"], {"alight_seq": "0"})
 
 
 def step_c5c1(p):
-    lo, hi = CASE_C1_SEQ_RANGE
-    return _upd(p, f"a.alight_ars = {V} AND a.alight_seq IS NULL AND a.board_seq BETWEEN {lo} AND {hi}",
-                {a: f"a.{b}" for a, b in zip(A4, B4)})
+    return _upd(p, PRED["c5c1"], {a: f"a.{b}" for a, b in zip(A4, B4)})
 
 
 def step_c5c2_keep(p):
@@ -78,22 +88,19 @@ def step_c5b(p):
 
 
 def step_c6(p):
-    return _upd(p, f"(a.alight_name IS NULL OR a.alight_name = '') AND a.alight_code = {TERMINAL}",
-                {"alight_name": "a.board_name"})
+    return _upd(p, PRED["c6"], {"alight_name": "a.board_name"})
 
 
 def step_c7(p):
-    return _upd(p, f"a.board_ars != {V} AND a.alight_ars = {V} AND a.alight_seq IS NOT NULL",
-                {a: f"a.{b}" for a, b in zip(A4, B4)})
+    return _upd(p, PRED["c7"], {a: f"a.{b}" for a, b in zip(A4, B4)})
 
 
 def step_c8(p):
-    return _upd(p, f"a.board_ars = {V} AND a.board_seq != 0", {b: f"a.{a}" for a, b in zip(A4, B4)})
+    return _upd(p, PRED["c8"], {b: f"a.{a}" for a, b in zip(A4, B4)})
 
 
 def step_c9(p):
-    return _upd(p, f"a.board_ars = {V} AND a.alight_ars = {V} AND a.board_seq = a.alight_seq",
-                {"alight_seq": "a.board_seq + 1"})
+    return _upd(p, PRED["c9"], {"alight_seq": "a.board_seq + 1"})
 
 
 def step_dedup(p):
@@ -162,3 +169,27 @@ def chain(steps, final: str | None = None, fixtures=("od",), start: str = "od")
     head = oracle_with(*fixtures)
     body = (",\n" + ",\n".join(parts) + "\n") if parts else ""
     return head + body + (final.format(p=prev) if final else f"SELECT * FROM {prev}")
+
+
+def step_counts_sql() -> str:
+    """Affected rows per group-1 step and date: each step's predicate
+    counted on that step's input state (s0 = od ... s10)."""
+    order = ["c1", "c2", "c4", "c5a", "c5c1", "c5c2", "c5b", "c6", "c7", "c8", "c9"]
+    parts = []
+    for i, step in enumerate(order):
+        src = "od" if i == 0 else f"s{i}"
+        if step == "c5c2":
+            body = (f"SELECT a.service_date FROM {src} a JOIN {MAXSEQ.format(p=src)} b "
+                    f"ON a.service_date = b.service_date AND a.route_name = b.route_name WHERE {C2_COND}")
+        elif step == "c5b":
+            body = (f"SELECT a.service_date FROM {src} a JOIN {MAXSEQ.format(p=src)} b "
+                    f"ON a.service_date = b.service_date AND a.route_name = b.route_name "
+                    f"WHERE a.alight_ars = {V} AND a.alight_seq IS NULL")
+        else:
+            body = f"SELECT a.service_date FROM {src} a WHERE {PRED[step]}"
+        parts.append(f"n_{step} AS (SELECT service_date, COUNT(*) AS n FROM ({body}) x GROUP BY service_date)")
+    dates = "dates AS (SELECT DISTINCT service_date FROM od)"
+    cols = ", ".join(f"COALESCE(n_{st}.n, 0) AS {st}" for st in order)
+    joins = " ".join(f"LEFT JOIN n_{st} ON n_{st}.service_date = d.service_date" for st in order)
+    final = (",\n" + ",\n".join(parts + [dates]) + f"\nSELECT d.service_date, {cols} FROM dates d {joins}")
+    return chain(GROUP1, final=" ").rstrip() + final

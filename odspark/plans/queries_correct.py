@@ -54,7 +54,7 @@ _G1_COUNT_TAGS = ["t_c1", "t_c2", "t_c4", "t_c5a", "t_c5c1", "t_c5c2", "t_c5b",
                   "t_c8", "t_c9"]
 
 
-@register("virtual_stop_counts")
+@register("virtual_stop_counts", OC.step_counts_sql)
 def virtual_stop_counts(spark, sf_dir):
     """Affected rows per group-1 step and date (one aggregate over the tags)."""
     df = cr.group1_tagged(T(spark, sf_dir).od())
