@@ -6,8 +6,9 @@ in the test data, so each one is a Spark SQL view over ``lineitem``,
 The same text runs unchanged in DuckDB, which is how the oracle gets
 identical input rows: ``oracle_with(...)`` renders the views as CTEs.
 
-Everything is lazy: a fixture is a logical plan over the parquet scans, so
-column pruning and filter pushdown reach the files.
+In a session each view is materialised once as a parquet table under the
+checkpoint directory (see ``Tables``), so queries start from a scan with
+column pruning and filter pushdown, as they would on the stored tables.
 """
 
 from __future__ import annotations
