@@ -193,3 +193,43 @@ def step_counts_sql() -> str:
     joins = " ".join(f"LEFT JOIN n_{st} ON n_{st}.service_date = d.service_date" for st in order)
     final = (",\n" + ",\n".join(parts + [dates]) + f"\nSELECT d.service_date, {cols} FROM dates d {joins}")
     return chain(GROUP1, final=" ").rstrip() + final
+
+
+def group23_counts_sql() -> str:
+    """Affected rows per date for K10, K11 (group 2 on the stored table) and
+    K12a, K12b (group 3 on the stored table)."""
+    mode = f"""(SELECT service_date, route_name, board_ars, board_seq AS mode_seq FROM (
+    SELECT service_date, route_name, board_ars, board_seq,
+           ROW_NUMBER() OVER (PARTITION BY service_date, route_name, board_ars
+                              ORDER BY COUNT(*) DESC, board_seq ASC NULLS LAST) AS rn
+    FROM od WHERE board_ars != {V}
+    GROUP BY service_date, route_name, board_ars, board_seq) r WHERE rn = 1)"""
+    spread = f"""(SELECT service_date, route_name, board_seq, board_ars, alight_ars, MIN(alight_seq) AS min_seq
+    FROM g2a WHERE board_ars != {V} AND alight_ars != {V}
+    GROUP BY service_date, route_name, board_seq, board_ars, alight_ars
+    HAVING COUNT(DISTINCT alight_seq) > 1 AND MAX(alight_seq) - MIN(alight_seq) <= {SEQ_SPREAD_MAX})"""
+    donors = f"""(SELECT DISTINCT service_date, route_name, board_seq FROM g3a WHERE board_seq IS NOT NULL)"""
+    return oracle_with("od") + f""",
+g2a AS ({step_k10("od")}),
+g3a AS ({step_k12a("od")}),
+n_k10 AS (SELECT a.service_date, COUNT(*) AS n FROM od a JOIN {mode} b
+          ON a.service_date = b.service_date AND a.route_name = b.route_name AND a.board_ars = b.board_ars
+          WHERE a.board_seq != b.mode_seq GROUP BY a.service_date),
+n_k11 AS (SELECT a.service_date, COUNT(*) AS n FROM g2a a JOIN {spread} b
+          ON a.service_date = b.service_date AND a.route_name = b.route_name AND a.board_seq = b.board_seq
+          AND a.board_ars = b.board_ars AND a.alight_ars = b.alight_ars
+          WHERE a.alight_seq != b.min_seq GROUP BY a.service_date),
+n_k12a AS (SELECT a.service_date, COUNT(*) AS n FROM od a
+           WHERE a.board_seq = a.alight_seq AND a.board_ars = a.alight_ars AND a.board_ars != {V}
+           GROUP BY a.service_date),
+n_k12b AS (SELECT a.service_date, COUNT(*) AS n FROM g3a a JOIN {donors} b
+           ON a.service_date = b.service_date AND a.route_name = b.route_name AND b.board_seq = a.board_seq + 1
+           WHERE a.board_ars = a.alight_ars GROUP BY a.service_date),
+dates AS (SELECT DISTINCT service_date FROM od)
+SELECT d.service_date, COALESCE(n_k10.n, 0) AS k10, COALESCE(n_k11.n, 0) AS k11,
+       COALESCE(n_k12a.n, 0) AS k12a, COALESCE(n_k12b.n, 0) AS k12b
+FROM dates d
+LEFT JOIN n_k10 ON n_k10.service_date = d.service_date
+LEFT JOIN n_k11 ON n_k11.service_date = d.service_date
+LEFT JOIN n_k12a ON n_k12a.service_date = d.service_date
+LEFT JOIN n_k12b ON n_k12b.service_date = d.service_date"""

@@ -62,6 +62,18 @@ def virtual_stop_counts(spark, sf_dir):
         *[F.count_if(F.col(t)).alias(t[2:]) for t in _G1_COUNT_TAGS])
 
 
+@register("sequence_same_stop_counts", OC.group23_counts_sql)
+def sequence_same_stop_counts(spark, sf_dir):
+    """Affected rows per date of the group-2 steps (K10, K11) and group-3
+    steps (K12a, K12b), each group run on the stored table."""
+    od = T(spark, sf_dir).od()
+    g2 = cr.sequence_fixes(od).groupBy("service_date").agg(
+        F.count_if(F.col("t_k10")).alias("k10"), F.count_if(F.col("t_k11")).alias("k11"))
+    g3 = cr.k12b_same_stop_by_ars(cr.k12a_same_stop_by_seq(od)).groupBy("service_date").agg(
+        F.count_if(F.col("t_k12a")).alias("k12a"), F.count_if(F.col("t_k12b")).alias("k12b"))
+    return g2.join(g3, "service_date", "full")
+
+
 def _residual_sql():
     from odspark.plans.oracle import EXEMPT, TERMINAL, V, vname_sql
     final = f"""
