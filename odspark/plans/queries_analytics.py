@@ -49,17 +49,6 @@ def stops_by_route(spark, sf_dir):
 # --------------------------------------------------------------------------
 # Section requests derived from the routes and dates present: a plain
 # section, a 'to' that only occurs before 'from', a missing 'from', from = to
-SECTION_REQUESTS_SQL = """
-SELECT DISTINCT service_date, route_name, from_name, to_name FROM (
-  SELECT service_date, route_name, CAST(substring(route_name, 2) AS INTEGER) * 1000 AS base FROM {od}) q
-CROSS JOIN LATERAL (VALUES
-  (concat('S', CAST(base + 5 AS VARCHAR(10))), concat('S', CAST(base + 20 AS VARCHAR(10)))),
-  (concat('S', CAST(base + 10 AS VARCHAR(10))), concat('S', CAST(base + 2 AS VARCHAR(10)))),
-  ('nowhere', concat('S', CAST(base + 3 AS VARCHAR(10)))),
-  (concat('S', CAST(base + 7 AS VARCHAR(10))), concat('S', CAST(base + 7 AS VARCHAR(10))))
-) v(from_name, to_name)"""
-
-
 def _section_requests(t):
     od = t.od()
     base = F.col("route_name").substr(2, 10).cast("int") * 1000
