@@ -38,3 +38,25 @@ def test_congestion_single_scan_and_pushdown(spark):
 def test_dedup_pre_aggregates(spark):
     plan = plan_of(E.queries()["dedup_sum"](spark, SF))
     assert "partial_sum" in plan and "HashAggregate" in plan
+
+
+def _od_scans(plan: str) -> int:
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\]", plan)
+    return sum(1 for s in scans if "board_ars#" in s and "alight_ars#" in s)
+
+
+def test_map_markers_two_od_scans(spark):
+    # congestion once (network max is a window, not a second aggregate) + the payload once
+    plan = plan_of(E.queries()["map_markers"](spark, SF))
+    assert _od_scans(plan) == 2
+
+
+def test_null_fill_splits_on_pushed_null_filter(spark):
+    plan = plan_of(E.queries()["fill_null_codes_board"](spark, SF))
+    assert "IsNull(board_code)" in plan and "IsNotNull(board_code)" in plan
+    assert "Union" in plan
+
+
+def test_enrichment_plan_stays_small(spark):
+    plan = plan_of(E.queries()["enrich_od"](spark, SF))
+    assert plan.count("Exchange") <= 12
