@@ -44,9 +44,26 @@ def origins(od: DataFrame) -> DataFrame:
 
 
 def od_for_stops(od: DataFrame) -> DataFrame:
-    """K21 for every (date, route, ARS): both directions, tagged."""
-    return (destinations(od).withColumn("direction", F.lit("destination"))
-            .unionByName(origins(od).withColumn("direction", F.lit("origin"))))
+    """K21 for every (date, route, ARS): both directions, tagged. One scan:
+    each row is a destination entry of its boarding ARS (kept when the
+    alighting end is real) and an origin entry of its alighting ARS (kept
+    when the boarding end is real); one aggregate over both."""
+    b, a = F.col("board_ars"), F.col("alight_ars")
+    entries = od.select(
+        "service_date", "route_name", "riders",
+        F.explode(F.array(
+            F.struct(F.lit("destination").alias("direction"), b.alias("ars"),
+                     F.col("alight_name").alias("stop_name"), F.col("alight_seq").alias("seq"),
+                     ((a != VIRTUAL_ARS) & b.isNotNull()).alias("keep")),
+            F.struct(F.lit("origin").alias("direction"), a.alias("ars"),
+                     F.col("board_name").alias("stop_name"), F.col("board_seq").alias("seq"),
+                     ((b != VIRTUAL_ARS) & a.isNotNull()).alias("keep")),
+        )).alias("e"))
+    return (entries.where(F.col("e.keep"))
+            .groupBy("service_date", "route_name", F.col("e.ars").alias("ars"),
+                     F.col("e.stop_name").alias("stop_name"), F.col("e.direction").alias("direction"))
+            .agg(F.sum("riders").cast("long").alias("riders"), F.min("e.seq").cast("int").alias("seq"))
+            .select("service_date", "route_name", "ars", "stop_name", "riders", "seq", "direction"))
 
 
 def od_for_stop(od: DataFrame, route: str, ars: str, date: str) -> DataFrame:
