@@ -60,7 +60,11 @@ _TABLES: dict[tuple, Tables] = {}
 
 def T(spark: SparkSession, sf_dir: str) -> Tables:
     """Fixture tables, shared by all queries of one session and directory."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # Spark Connect
+        app = spark.conf.get("spark.app.id", "")
+    key = (id(spark), app, sf_dir.rstrip("/"))
     if key not in _TABLES:
         _TABLES[key] = Tables(spark, sf_dir)
     return _TABLES[key]

@@ -49,7 +49,10 @@ def ensure_checkpoint_dir(spark: SparkSession, local_fallback: bool = False) ->
     Returns the directory, or None when the cluster names none and no local
     fallback is allowed (then lineage is kept instead of cut).
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect session has no SparkContext
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current

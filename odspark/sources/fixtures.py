@@ -146,6 +146,13 @@ def oracle_with(*names: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+def _parallelism(spark: SparkSession) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # Spark Connect
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+
+
 class Tables:
     """Fixture DataFrames for one scale-factor directory.
 
@@ -179,7 +186,7 @@ class Tables:
                 # the source files are single row groups: spread the rows over
                 # the session's parallelism so later scans are not one task
                 if name in _FACT_VIEWS:
-                    df = df.repartition(self.spark.sparkContext.defaultParallelism)
+                    df = df.repartition(_parallelism(self.spark))
                 df = cut_lineage(df, name)
             self._cache[name] = df
         return self._cache[name]
