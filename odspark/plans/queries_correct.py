@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from odspark.constants import FIRST_FILL_YEAR_PREFIX, OD_COLUMNS
 from odspark.operators import correct as cr
+from odspark.operators import lookup as lk
 from odspark.plans import oracle_correct as OC
 from odspark.plans.registry import T, register
 from odspark.session import cut_lineage
@@ -204,22 +205,27 @@ def fill_null_codes_alight(spark, sf_dir):
 # F3..F6 lookups
 @register("null_board_codes", lambda: oracle_with("od") + "SELECT * FROM od WHERE board_code IS NULL")
 def null_board_codes(spark, sf_dir):
-    return T(spark, sf_dir).od().where(F.col("board_code").isNull())
+    return lk.null_codes(T(spark, sf_dir).od(), "board")
 
 
 @register("null_alight_codes", lambda: oracle_with("od") + "SELECT * FROM od WHERE alight_code IS NULL")
 def null_alight_codes(spark, sf_dir):
-    return T(spark, sf_dir).od().where(F.col("alight_code").isNull())
+    return lk.null_codes(T(spark, sf_dir).od(), "alight")
 
 
-@register("by_board_ars", lambda: oracle_with("od") + "SELECT * FROM od WHERE board_ars = '03005'")
+# F5 / F6 in batch form: the request table holds every key present in the data
+@register("by_board_ars", lambda: oracle_with("od")
+          + "SELECT * FROM od WHERE board_ars IN (SELECT DISTINCT board_ars FROM od)")
 def by_board_ars(spark, sf_dir):
-    return T(spark, sf_dir).od().where(F.col("board_ars") == "03005")
+    od = T(spark, sf_dir).od()
+    return lk.by_board_ars(od, od.select("board_ars").distinct())
 
 
-@register("by_route", lambda: oracle_with("od") + "SELECT * FROM od WHERE route_name = 'R3'")
+@register("by_route", lambda: oracle_with("od")
+          + "SELECT * FROM od WHERE route_name IN (SELECT DISTINCT route_name FROM od)")
 def by_route(spark, sf_dir):
-    return T(spark, sf_dir).od().where(F.col("route_name") == "R3")
+    od = T(spark, sf_dir).od()
+    return lk.by_route(od, od.select("route_name").distinct())
 
 
 # --------------------------------------------------------------------------

@@ -114,3 +114,11 @@ def test_fused_sequence_fixes_equal_stepwise(spark):
     a = rows_of(cr.od_only(cr.k11_alight_seq_spread(cr.k10_seq_by_mode(od))))
     b = rows_of(cr.od_only(cr.sequence_fixes(od)))
     assert a == b
+
+
+def test_finder_list_and_table(make_od, spark):
+    from odspark.operators import lookup as lk
+    od = make_od([od_row(bars="01001"), od_row(bars="01002"), od_row(bars=None)])
+    assert lk.by_board_ars(od, ["01002"]).count() == 1
+    keys = spark.createDataFrame([("01001",), ("01001",), ("09999",)], "k string")
+    assert [r.board_ars for r in lk.by_board_ars(od, keys).collect()] == ["01001"]
