@@ -121,13 +121,16 @@ def hour_split(daily_pred: DataFrame, ratios: DataFrame, weights: DataFrame,
                     "weight", "predicted_riders"))
 
 
-def section_share(tx: DataFrame, stops: DataFrame, route: str, seq_from: int, seq_to: int) -> DataFrame:
+def section_share(tx: DataFrame, stops: DataFrame, seq_from: int, seq_to: int,
+                  route: str | None = None) -> DataFrame:
     """Riders travelling within a core section of a route as a percent
-    of all riders boarding on that route."""
+    of all riders boarding on that route (one route, or every route)."""
     s1 = stops.select(c("stop_id").alias("board_stop_id"), c("route_name").alias("board_route"),
                       c("stop_seq").alias("bseq"))
     s2 = stops.select(c("stop_id").alias("alight_stop_id"), c("stop_seq").alias("aseq"))
-    p = tx.join(s1, "board_stop_id").join(s2, "alight_stop_id").where(c("board_route") == route)
+    p = tx.join(s1, "board_stop_id").join(s2, "alight_stop_id")
+    if route is not None:
+        p = p.where(c("board_route") == route)
     inside = c("bseq").between(seq_from, seq_to) & c("aseq").between(seq_from, seq_to)
     agg = p.groupBy("board_route").agg(
         F.sum(F.when(inside, c("riders")).otherwise(0)).cast("long").alias("section_riders"),

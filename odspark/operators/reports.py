@@ -89,13 +89,15 @@ def _pairs(tx: DataFrame, stops: DataFrame) -> DataFrame:
     return tx.join(s1, "board_stop_id").join(s2, "alight_stop_id")
 
 
-def section_pairs(tx, stops, route: str, seq_from: int, seq_to: int) -> DataFrame:   # Q8
-    p = _pairs(tx, stops).where((c("board_route") == route)
-                                & c("board_stop_seq").between(seq_from, seq_to)
+def section_pairs(tx, stops, seq_from: int, seq_to: int, route: str | None = None) -> DataFrame:  # Q8
+    """Riders per (boarding stop, alighting stop) inside a seq range, for one
+    route or — ``route=None`` — every route at once."""
+    p = _pairs(tx, stops).where(c("board_stop_seq").between(seq_from, seq_to)
                                 & c("alight_stop_seq").between(seq_from, seq_to))
-    return (p.groupBy("board_stop", "alight_stop")
-            .agg(F.sum("riders").cast("long").alias("riders"))
-            .orderBy(c("riders").desc(), "board_stop", "alight_stop"))
+    if route is not None:
+        p = p.where(c("board_route") == route)
+    return (p.groupBy(c("board_route").alias("route_name"), "board_stop", "alight_stop")
+            .agg(F.sum("riders").cast("long").alias("riders")))
 
 
 def top_od_pairs(tx, stops, k: int = 20) -> DataFrame:             # Q9

@@ -120,7 +120,7 @@ def hour_split(spark, sf_dir):
     return fc.hour_split(daily_pred, fc.hour_ratio(t.tx(), t.routes()), weights, t.holiday())
 
 
-SECTION_ROUTE, SECTION_FROM, SECTION_TO = "R3", 1, 41
+SECTION_FROM, SECTION_TO = 1, 41
 
 
 @register("section_share", lambda: oracle_with("tx", "stops") + f"""
@@ -132,10 +132,11 @@ FROM (SELECT s1.route_name,
           AS section_riders,
         CAST(SUM(t.riders) AS BIGINT) AS route_riders
       FROM tx t JOIN stops s1 ON t.board_stop_id = s1.stop_id JOIN stops s2 ON t.alight_stop_id = s2.stop_id
-      WHERE s1.route_name = '{SECTION_ROUTE}' GROUP BY s1.route_name) a""")
+      GROUP BY s1.route_name) a""")
 def section_share(spark, sf_dir):
+    """M10 for every route: riders inside the core section (seqs 1..41)."""
     t = T(spark, sf_dir)
-    return fc.section_share(t.tx(), t.stops(), SECTION_ROUTE, SECTION_FROM, SECTION_TO)
+    return fc.section_share(t.tx(), t.stops(), SECTION_FROM, SECTION_TO)
 
 
 @register("model_predictions")
