@@ -33,9 +33,10 @@ def read_raw_csv(spark: SparkSession, path: str, sep: str = ",", null_value: str
 def write_csv(df: DataFrame, path: str, sep: str = "|", header: bool = True,
               mode: str = "overwrite") -> None:
     """CSV sink; the pipe separator keeps names containing commas in
-    one field, lines end with a bare newline."""
+    one field, lines end with a bare newline, and quotes inside a value are
+    doubled (RFC 4180, as spreadsheet tools and ``read_raw_csv`` expect)."""
     (df.write.mode(mode).option("header", header).option("sep", sep).option("lineSep", "\n")
-       .option("quoteAll", False).csv(path))
+       .option("quote", '"').option("escape", '"').option("quoteAll", False).csv(path))
 
 
 def to_od_schema(df: DataFrame) -> DataFrame:
