@@ -58,3 +58,29 @@ def run_nightly(spark: SparkSession, od_path: str, final_path: str, staging_path
                checks=[io.riders_conserved(riders_in - riders_anom)])
     io.write_anomalies(anomalies, anomaly_path)
     return res
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``python -m odspark.plans.pipeline --od PATH --final PATH --staging PATH
+    --anomalies PATH --report PATH --date 20251014 [--date ...]``
+
+    Runs the nightly job for the given dates in the current (or a new)
+    session and writes the per-step counts and residual checks to
+    ``--report`` (one partition per date, replaced on re-runs).
+    """
+    import argparse
+
+    ap = argparse.ArgumentParser(prog="odspark.plans.pipeline")
+    for name in ("od", "final", "staging", "anomalies", "report"):
+        ap.add_argument(f"--{name}", required=True)
+    ap.add_argument("--date", action="append", required=True)
+    args = ap.parse_args(argv)
+    spark = SparkSession.builder.appName("odspark-nightly").getOrCreate()
+    res = run_nightly(spark, args.od, args.final, args.staging, args.anomalies, args.date)
+    report = res.step_counts.join(res.residuals, "service_date", "full")
+    (report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("service_date").parquet(args.report))
+
+
+if __name__ == "__main__":
+    main()

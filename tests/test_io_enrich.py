@@ -122,3 +122,16 @@ def test_nightly_job_in_place(spark, tmpdir_path):
     ranom = io.read_od(spark, os.path.join(tmpdir_path, "anom")).agg(F.sum("riders")).first()[0]
     assert after.agg(F.sum("riders")).first()[0] + ranom == rin   # other dates untouched
     assert after.select("service_date").distinct().count() == 3
+
+
+def test_nightly_cli(spark, tmpdir_path):
+    from odspark.plans.pipeline import main
+    from odspark.sources.fixtures import Tables
+    src = os.path.join(tmpdir_path, "od")
+    io.write_od(Tables(spark, "/root/testdata/sf0.001").od(), src)
+    rep = os.path.join(tmpdir_path, "report")
+    main(["--od", src, "--final", os.path.join(tmpdir_path, "final"), "--staging",
+          os.path.join(tmpdir_path, "stg"), "--anomalies", os.path.join(tmpdir_path, "anom"),
+          "--report", rep, "--date", "20231017", "--date", "20251014"])
+    r = spark.read.parquet(rep)
+    assert r.count() == 2 and "c5c2" in r.columns and "null_board_seq" in r.columns
