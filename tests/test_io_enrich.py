@@ -135,3 +135,18 @@ def test_nightly_cli(spark, tmpdir_path):
           "--report", rep, "--date", "20231017", "--date", "20251014"])
     r = spark.read.parquet(rep)
     assert r.count() == 2 and "c5c2" in r.columns and "null_board_seq" in r.columns
+
+
+def test_map_build_matches_queries(spark, tmpdir_path):
+    import __spark_entry__ as E
+    from conftest import rows_of
+    from odspark.plans.maps import build_map_layers
+    from odspark.sources.fixtures import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    layers = build_map_layers(t.od(), t.loc(), cache_path=os.path.join(tmpdir_path, "cong"))
+    q = E.queries()
+    sf = "/root/testdata/sf0.001"
+    assert rows_of(layers["density"]) == rows_of(q["stop_density"](spark, sf))
+    assert rows_of(layers["segments"].withColumn("pos", F.col("pos").cast("int"))) == rows_of(
+        q["map_segments"](spark, sf))
+    assert layers["legend"].count() == 5
