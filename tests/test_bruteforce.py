@@ -81,3 +81,33 @@ def brute_mode(rows):
 def test_seq_mode_matches_brute_force(spark, rows):
     got = [r.board_seq for r in cr.k10_seq_by_mode(spark.createDataFrame(rows, OD_SCHEMA)).collect()]
     assert sorted(got, key=lambda x: (x is None, x or 0)) == brute_mode(rows)
+
+
+def brute_section(stops, frm, to):
+    """The loop: walk the stops in order; start at the first ``frm``; keep
+    rows; stop after the first ``to`` once started."""
+    out, started = [], False
+    for pos, name in stops:
+        if name == frm:
+            started = True
+        if started:
+            out.append(pos)
+        if started and name == to:
+            break
+    return out
+
+
+@SETTINGS
+@given(names=st.lists(st.sampled_from(["A", "B", "C", "D"]), min_size=1, max_size=12),
+       frm=st.sampled_from(["A", "B", "C", "D", "Z"]), to=st.sampled_from(["A", "B", "C", "D", "Z"]))
+def test_section_matches_loop(spark, names, frm, to):
+    rows = [("20231017", "R1", i + 1, f"{i:05d}", n, 0, 0, 0.0, "쾌적", "#00FF00", None, None, 0)
+            for i, n in enumerate(names)]
+    cong = spark.createDataFrame(rows, "service_date string, route_name string, seq int, ars string, "
+                                       "stop_name string, load bigint, max_load bigint, pct double, "
+                                       "grade string, color string, lat double, lon double, "
+                                       "total_riders bigint")
+    req = spark.createDataFrame([("20231017", "R1", frm, to)],
+                                "service_date string, route_name string, from_name string, to_name string")
+    got = sorted(r.pos for r in cg.section_congestion(cong, req).collect())
+    assert got == brute_section([(i + 1, n) for i, n in enumerate(names)], frm, to)
