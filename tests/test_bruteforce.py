@@ -111,3 +111,13 @@ def test_section_matches_loop(spark, names, frm, to):
                                 "service_date string, route_name string, from_name string, to_name string")
     got = sorted(r.pos for r in cg.section_congestion(cong, req).collect())
     assert got == brute_section([(i + 1, n) for i, n in enumerate(names)], frm, to)
+
+
+@SETTINGS
+@given(rows=st.lists(ROW, min_size=1, max_size=40))
+def test_fused_group2_equals_stepwise_random(spark, rows):
+    from conftest import rows_of
+    od = spark.createDataFrame(rows, OD_SCHEMA)
+    a = rows_of(cr.od_only(cr.k11_alight_seq_spread(cr.k10_seq_by_mode(od))))
+    b = rows_of(cr.od_only(cr.sequence_fixes(od)))
+    assert a == b
