@@ -150,3 +150,21 @@ def test_map_build_matches_queries(spark, tmpdir_path):
     assert rows_of(layers["segments"].withColumn("pos", F.col("pos").cast("int"))) == rows_of(
         q["map_segments"](spark, sf))
     assert layers["legend"].count() == 5
+
+
+def test_cluster_settings_scale_with_input():
+    from odspark.session import cluster_settings
+    small = cluster_settings(1 << 30, 16)
+    big = cluster_settings(100 << 40, 8000)
+    assert int(small["spark.sql.shuffle.partitions"]) == 32            # two waves of 16 cores
+    assert int(big["spark.sql.shuffle.partitions"]) == 409600           # one per 256 MB
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert int(big["spark.sql.autoBroadcastJoinThreshold"]) == 64 << 20
+
+
+def test_to_od_schema_casts_safely(spark):
+    from odspark.constants import OD_COLUMNS
+    df = spark.createDataFrame([("20251014", "R1", "100001", "x", "01001", "c", "A", "3", "01002", "d",
+                                 "B", "7")], ", ".join(f"{c} string" for c in OD_COLUMNS))
+    r = io.to_od_schema(df).first()
+    assert (r.route_id, r.board_seq, r.alight_seq, r.riders) == (100001, None, 3, 7)
