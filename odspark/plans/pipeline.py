@@ -28,6 +28,7 @@ class NightlyResult:
     anomalies: DataFrame
     step_counts: DataFrame      # affected rows per group-1 step and date
     residuals: DataFrame        # A13 checks after group 1
+    bidirectional: DataFrame    # C3: routes to check by hand, per date
 
 
 def correct_all(od: DataFrame) -> NightlyResult:
@@ -40,7 +41,7 @@ def correct_all(od: DataFrame) -> NightlyResult:
     g1 = cut_lineage(cr.dedup_sum(cr.od_only(tagged.where(~F.col("t_c5c2")))), "group1_dedup")
     g2 = cut_lineage(cr.fix_sequence(g1), "group2")
     g3 = cr.fix_same_stop_od(g2)
-    return NightlyResult(g3, anomalies, counts, cr.residual_counts(g1))
+    return NightlyResult(g3, anomalies, counts, cr.residual_counts(g1), cr.detect_bidirectional(od))
 
 
 def run_nightly(spark: SparkSession, od_path: str, final_path: str, staging_path: str,
@@ -77,7 +78,10 @@ def main(argv: list[str] | None = None) -> None:
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("odspark-nightly").getOrCreate()
     res = run_nightly(spark, args.od, args.final, args.staging, args.anomalies, args.date)
-    report = res.step_counts.join(res.residuals, "service_date", "full")
+    flagged = res.bidirectional.groupBy("service_date").agg(
+        F.sort_array(F.collect_set("route_name")).alias("bidirectional_routes"))
+    report = (res.step_counts.join(res.residuals, "service_date", "full")
+              .join(flagged, "service_date", "left"))
     (report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("service_date").parquet(args.report))
 

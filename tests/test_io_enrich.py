@@ -135,6 +135,7 @@ def test_nightly_cli(spark, tmpdir_path):
           "--report", rep, "--date", "20231017", "--date", "20251014"])
     r = spark.read.parquet(rep)
     assert r.count() == 2 and "c5c2" in r.columns and "null_board_seq" in r.columns
+    assert all(row.bidirectional_routes == ["R0"] for row in r.collect())   # route R0 has 120 stops
 
 
 def test_map_build_matches_queries(spark, tmpdir_path):
