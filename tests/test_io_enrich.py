@@ -169,3 +169,17 @@ def test_to_od_schema_casts_safely(spark):
                                  "B", "7")], ", ".join(f"{c} string" for c in OD_COLUMNS))
     r = io.to_od_schema(df).first()
     assert (r.route_id, r.board_seq, r.alight_seq, r.riders) == (100001, None, 3, 7)
+
+
+def test_enrich_job_end_to_end(spark, tmpdir_path):
+    import __spark_entry__ as E
+    from odspark.plans.enrich_job import run
+    from odspark.sources.fixtures import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    tgt, ref = os.path.join(tmpdir_path, "t.csv"), os.path.join(tmpdir_path, "r.csv")
+    t.target_day().write.option("header", True).option("escape", '"').csv(tgt)
+    t.ref_day().write.option("header", True).option("escape", '"').csv(ref)
+    rep = run(spark, tgt, ref, os.path.join(tmpdir_path, "out"), od_store=os.path.join(tmpdir_path, "od"))
+    expected = E.queries()["null_report"](spark, "/root/testdata/sf0.001").first().asDict()
+    assert rep == expected
+    assert io.read_od(spark, os.path.join(tmpdir_path, "od")).count() == rep["total_rows"]
