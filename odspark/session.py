@@ -8,6 +8,7 @@ set their own directory, and only when the setting is absent.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,32 +40,39 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
     builder = builder.config("spark.driver.memory", "8g")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark, local_fallback=True)
+    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, local_fallback: bool = False) -> str | None:
-    """Point the SparkContext at ``spark.checkpoint.dir``.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared staging folder: ``spark.checkpoint.dir`` of the session.
 
-    Returns the directory, or None when the cluster names none and no local
-    fallback is allowed (then lineage is kept instead of cut).
+    A cluster must name it. Only a local master without the setting gets a
+    folder of its own (tests, bench); anything else fails here, before any
+    work is done, because staged tables must be visible to every executor.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # a Spark Connect session has no SparkContext
-        return spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
-    if not conf_dir and local_fallback and sc.master.startswith("local"):
+        sc = None
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir and sc is not None:
+        conf_dir = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not conf_dir and sc is not None and re.match(r"local(\[|$)", sc.master):
         conf_dir = tempfile.mkdtemp(prefix="odspark-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
-    if conf_dir:
+    if not conf_dir:
+        raise ValueError("spark.checkpoint.dir is not set: staged tables need a folder that the "
+                         "driver and all executors share")
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(conf_dir)
-        return conf_dir
-    return None
+    return conf_dir
+
+
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A run-unique path under the shared staging folder."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/odspark-tables/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -73,16 +81,11 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
 
     The written table survives executor loss like a reliable checkpoint,
     and unlike an RDD checkpoint its reads keep column pruning and filter
-    pushdown. Without a configured directory the plan is returned unchanged
-    (correct, only longer lineage).
+    pushdown.
     """
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    if base is None:
-        return df
-    path = f"{base.rstrip('/')}/odspark-tables/{name}-{uuid.uuid4().hex}"
+    path = staged_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cluster_settings(input_bytes: int, total_cores: int,

@@ -17,7 +17,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from odspark.session import cut_lineage, ensure_checkpoint_dir
+from odspark.session import cut_lineage
 
 # Fixture view texts; ``{name}`` marks an input table or an earlier view.
 FIXTURE_SQL: dict[str, str] = {
@@ -156,17 +156,16 @@ def _parallelism(spark: SparkSession) -> int:
 class Tables:
     """Fixture DataFrames for one scale-factor directory.
 
-    Each view is materialised once (reliable ``checkpoint`` into the
-    session's checkpoint directory), the way the domain tables are stored
-    tables in production: downstream plans then start from a scan instead of
-    re-deriving the view inside every step. Without a checkpoint directory
-    (a cluster that names none) the views stay lazy.
+    Each view is materialised once (a written table in the session's shared
+    staging folder), the way the domain tables are stored tables in
+    production: downstream plans then start from a scan instead of
+    re-deriving the view inside every step.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self.materialize = materialize and ensure_checkpoint_dir(spark, local_fallback=True) is not None
+        self.materialize = materialize
         self._cache: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
