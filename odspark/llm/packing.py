@@ -49,8 +49,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, size: int
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
         for b in batches:
             out = []
-            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = enc.encode(t) + end
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_column(b.column(1))):
+                ids += end
                 total = len(ids) // 4
                 for a in range(0, total, size):
                     piece = ids[4 * a:4 * (a + size)]

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odspark.llm import chat_events, packing, quality, token_store, unigram_count, url_filter
+from odspark.llm import (chat_events, decontam, near_dedup, packing, quality, suffix_dedup, token_store,
+                         unigram_count, url_filter, window_dedup)
 from odspark.llm.staging import ship_package
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +51,15 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), url_filter.RULES)
 
 
+@_query
+def op2_suffix_dedup(spark, sf_dir):
+    """Every document's bytes without 400-byte strings that occur elsewhere."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans",
+        F.sha2(F.coalesce("text", F.lit(b"")), 256).alias("kept_sha256"))
+
+
 @_query
 def op3_token_counts(spark, sf_dir):
     """Token count of every document under the unigram reading of the 32k pieces."""
@@ -65,6 +76,19 @@ def op4_token_store(spark, sf_dir):
         F.crc32("ids").alias("ids_crc32"))
 
 
+@_query
+def op5_minhash_dedup(spark, sf_dir):
+    """Near-duplicate component of every document."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).drop("row")
+
+
+@_query
+def op6_decontamination(spark, sf_dir):
+    """Every contaminated document and benchmark item with the best matching window."""
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", "window_start", "window_words", "n_common", "n_union")
+
+
 @_query
 def op7_quality_rules(spark, sf_dir):
     """Base counts and verdict of every document."""
@@ -73,6 +97,15 @@ def op7_quality_rules(spark, sf_dir):
         "n_line_words_removed", "base_failed", "kept")
 
 
+@_query
+def op8_substring_dedup(spark, sf_dir):
+    """Every document's words without 13-word windows of documents with smaller ids."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "), F.lit(" "))
+    return window_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed",
+                                                    F.sha2(words, 256).alias("kept_sha256"))
+
+
 # A conversation that quotes the control strings of a chat format.
 _QUOTING = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 _DELTA_CHARS = 256
@@ -110,3 +143,9 @@ def op10_packing(spark, sf_dir):
     pieces = packing.cut_pieces(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
     return packing.pack_pieces(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens",
                                               "sequence_id", "offset")
+
+
+@_query
+def pipeline(spark, sf_dir):
+    """The corpus pipeline's last stage: packed pieces."""
+    return corpus_pipeline.run(spark, sf_dir)

@@ -169,3 +169,16 @@ def covered(at: np.ndarray, k: int, n: int) -> np.ndarray:
 
 def sums_by_doc(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, weights=values, minlength=n).astype(np.int64)
+
+
+def replace_text(table: pa.Table, text: str, data: np.ndarray, off: np.ndarray, kept: np.ndarray,
+                 binary: bool = False) -> pa.Table:
+    """The table with its text column rebuilt from the kept bytes; nulls stay null."""
+    sizes = np.concatenate(([0], np.cumsum(kept)))[off]
+    old = table.column(text)
+    valid = pa.array(np.asarray(old.is_valid()), pa.bool_()) if old.null_count else None
+    kind = pa.large_binary() if binary else pa.large_string()
+    new = pa.Array.from_buffers(kind, len(old), [
+        None if valid is None else valid.buffers()[1],
+        pa.py_buffer(np.ascontiguousarray(sizes, np.int64)), pa.py_buffer(np.ascontiguousarray(data[kept]))])
+    return table.set_column(table.schema.get_field_index(text), text, new)

@@ -180,7 +180,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, spaces: str =
                 names=["range", "file", "first_doc", "n_docs", "n_ids", "size"])
 
         for b in batches:
-            for r, doc_id, t in zip(*(c.to_pylist() for c in b.columns)):
+            for r, doc_id, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), enc.encode_column(b.column(2))):
                 if r != state.get("bucket"):
                     if state:
                         yield finish()
@@ -188,7 +188,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, spaces: str =
                     filesystem.create_dir(base, recursive=True)
                     out = filesystem.open_output_stream(f"{base}/{name}")
                     state = {"bucket": r, "name": name, "out": out, "writer": StoreWriter(out)}
-                state["writer"].add(doc_id, enc.encode(t) + end)
+                state["writer"].add(doc_id, ids + end)
         if state:
             yield finish()
 

@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from odspark.llm.components import components
 from odspark.llm.staging import staged
 
 # The rules of the registered query.
@@ -95,34 +96,6 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
             .where(F.col("dst").contains("://") & (F.col("src") != F.col("dst"))))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of the undirected edges (a, b).
-
-    Alternating hooking to the smallest neighbour and pointer jumping: each
-    node takes the smallest label among its own and its neighbours', then the
-    label of its label. Neighbour minima are partial aggregates, so a node
-    with a third of all edges sends one row per task. Labels are written
-    between rounds."""
-    e = edges.where("a <> b")
-    e = staged(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = staged(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-                   .select("node", F.least("node", "m").alias("component")), "labels")
-    for _ in range(max_rounds):
-        near = (e.join(label, F.col("b") == F.col("node"))
-                .groupBy("a").agg(F.min("component").alias("m")))
-        hooked = (label.join(near, F.col("node") == F.col("a"), "left")
-                  .select("node", F.col("component").alias("was"),
-                          F.coalesce(F.least("component", "m"), "component").alias("component")))
-        up = hooked.select(F.col("node").alias("p"), F.col("component").alias("pc"))
-        new = staged(hooked.join(up, F.col("component") == F.col("p"), "left")
-                     .select("node", "was", F.coalesce(F.least("component", "pc"), "component")
-                             .alias("component")), "labels")
-        label = new.select("node", "component")
-        if new.where("component <> was").isEmpty():
-            return label
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], edges: DataFrame | None = None,
                key: str = "page_id", url: str = "url", html: str | None = "html") -> DataFrame:
     """One row per row of ``pages``: key, url, host, path, rule, verdict, component."""
