@@ -229,7 +229,9 @@ def test_quality(docs, empty_docs):
     for i in range(80):
         lines = [" ".join("z%d" % r.randrange(500) for _ in range(r.randrange(1, 30))) for _ in range(r.randrange(1, 5))]
         lines.insert(r.randrange(len(lines) + 1), r.choice(common))
-        texts.append("\n".join(lines + ([r.choice(common)] * r.choice([0, 0, 20]))))
+        if i % 5 == 0:
+            lines = [" ".join("long%d" % k for k in range(60)), "own words %s" % lines[0]]
+        texts.append("\n".join(lines))
     rows = [(f"h{i % 3}" if i % 7 else None, t) for i, t in enumerate(texts)]
     frame = docs(texts, clash=True)
     want = brute_judge(rows, 4, 0.1, 0.5)
