@@ -1,9 +1,9 @@
-"""DuckDB formulations of the correction steps.
+"""DuckDB formulations of the correction rules.
 
-Each UPDATE of the original becomes one CTE whose SET columns are CASE
-expressions over the previous CTE; DELETE ... USING becomes a filter;
-UPDATE ... FROM becomes a LEFT JOIN to the same subquery the original
-uses (ROW_NUMBER mode, HAVING COUNT(DISTINCT ...), max per route).
+Every rule is stated over whole rows: a row-local rule is a CASE per column it
+sets; a rule that looks at other rows first puts what it needs beside each row
+(a route's last seq, the most frequent seq, the range of seqs of a pair) and
+then decides row by row. Each step is one CTE over the one before it.
 """
 
 from __future__ import annotations
@@ -28,10 +28,11 @@ def _upd(prev: str, pred: str, sets: dict, src: str | None = None) -> str:
     return f"SELECT {', '.join(cols)} FROM {src or prev + ' a'}"
 
 
-MAXSEQ = """(SELECT service_date, route_name, MAX(board_seq) AS max_seq FROM {p}
-             WHERE board_seq IS NOT NULL GROUP BY service_date, route_name)"""
-C2_COND = (f"a.alight_ars = {V} AND a.alight_seq IS NULL "
-           f"AND a.board_seq * 100 < {CASE_C2_MAX_PCT} * b.max_seq AND a.board_seq >= {CASE_C2_MIN_SEQ}")
+# a route's last boarding seq of the day, beside every row
+LAST = "(SELECT *, MAX(board_seq) OVER (PARTITION BY service_date, route_name) AS last_seq FROM {p})"
+NO_ALIGHT_SEQ = f"alight_ars = {V} AND alight_seq IS NULL"
+TOO_EARLY = (f"({NO_ALIGHT_SEQ} AND board_seq >= {CASE_C2_MIN_SEQ} "
+             f"AND 100 * board_seq < {CASE_C2_MAX_PCT} * last_seq)")
 
 
 # predicates of the row-local steps, over alias ``a`` of the step's input
@@ -70,21 +71,16 @@ def step_c5c1(p):
 
 
 def step_c5c2_keep(p):
-    return (f"SELECT a.* FROM {p} a LEFT JOIN {MAXSEQ.format(p=p)} b "
-            f"ON a.service_date = b.service_date AND a.route_name = b.route_name "
-            f"WHERE NOT COALESCE({C2_COND}, FALSE)")
+    return f"SELECT * EXCLUDE (last_seq) FROM {LAST.format(p=p)} r WHERE {TOO_EARLY} IS NOT TRUE"
 
 
 def step_c5c2_anomalies(p):
-    return (f"SELECT a.* FROM {p} a JOIN {MAXSEQ.format(p=p)} b "
-            f"ON a.service_date = b.service_date AND a.route_name = b.route_name WHERE {C2_COND}")
+    return f"SELECT * EXCLUDE (last_seq) FROM {LAST.format(p=p)} r WHERE {TOO_EARLY}"
 
 
 def step_c5b(p):
-    src = (f"{p} a LEFT JOIN {MAXSEQ.format(p=p)} b "
-           f"ON a.service_date = b.service_date AND a.route_name = b.route_name")
-    return _upd(p, f"a.alight_ars = {V} AND a.alight_seq IS NULL AND b.max_seq IS NOT NULL",
-                {"alight_seq": "b.max_seq + 1"}, src=src)
+    return (f"SELECT * EXCLUDE (last_seq) REPLACE (IF({NO_ALIGHT_SEQ}, last_seq + 1, alight_seq) AS alight_seq) "
+            f"FROM {LAST.format(p=p)} r")
 
 
 def step_c6(p):
@@ -111,26 +107,32 @@ FROM {p}
 GROUP BY service_date, route_name, route_id, board_seq, board_ars, board_name, alight_seq, alight_ars, alight_name"""
 
 
+def modal_seq(p):
+    """Rows with ``new_seq``: the seq most rows of the day, route and boarding stop have."""
+    return f"""SELECT r.*, CASE WHEN r.board_seq IS NOT NULL THEN COALESCE(top.seq, r.board_seq) END AS new_seq
+FROM {p} r LEFT JOIN (
+  SELECT service_date, route_name, board_ars, list(board_seq ORDER BY votes DESC, board_seq NULLS LAST)[1] AS seq
+  FROM (SELECT service_date, route_name, board_ars, board_seq, COUNT(*) AS votes FROM {p} GROUP BY ALL) v
+  GROUP BY ALL) top
+ON r.board_ars = top.board_ars AND r.board_ars <> {V}
+   AND r.route_name = top.route_name AND r.service_date = top.service_date"""
+
+
 def step_k10(p):
-    mode = f"""(SELECT service_date, route_name, board_ars, board_seq AS mode_seq FROM (
-    SELECT service_date, route_name, board_ars, board_seq,
-           ROW_NUMBER() OVER (PARTITION BY service_date, route_name, board_ars
-                              ORDER BY COUNT(*) DESC, board_seq ASC NULLS LAST) AS rn
-    FROM {p} WHERE board_ars != {V}
-    GROUP BY service_date, route_name, board_ars, board_seq) r WHERE rn = 1)"""
-    src = (f"{p} a LEFT JOIN {mode} b ON a.service_date = b.service_date AND a.route_name = b.route_name "
-           f"AND a.board_ars = b.board_ars")
-    return _upd(p, "a.board_seq != b.mode_seq", {"board_seq": "b.mode_seq"}, src=src)
+    return f"SELECT * EXCLUDE (new_seq) REPLACE (new_seq AS board_seq) FROM ({modal_seq(p)}) m"
+
+
+def lowest_seq(p):
+    """Rows with ``new_seq``: the lowest alighting seq of rows alike in both stops, if they differ by little."""
+    return f"""SELECT * EXCLUDE (lo, hi), CASE WHEN alight_seq IS NULL THEN NULL
+  WHEN board_seq IS NOT NULL AND board_ars <> {V} AND alight_ars <> {V}
+       AND hi - lo BETWEEN 1 AND {SEQ_SPREAD_MAX} THEN lo ELSE alight_seq END AS new_seq
+FROM (SELECT *, MIN(alight_seq) OVER alike AS lo, MAX(alight_seq) OVER alike AS hi FROM {p}
+      WINDOW alike AS (PARTITION BY service_date, route_name, board_seq, board_ars, alight_ars)) r"""
 
 
 def step_k11(p):
-    agg = f"""(SELECT service_date, route_name, board_seq, board_ars, alight_ars, MIN(alight_seq) AS min_seq
-    FROM {p} WHERE board_ars != {V} AND alight_ars != {V}
-    GROUP BY service_date, route_name, board_seq, board_ars, alight_ars
-    HAVING COUNT(DISTINCT alight_seq) > 1 AND MAX(alight_seq) - MIN(alight_seq) <= {SEQ_SPREAD_MAX})"""
-    src = (f"{p} a LEFT JOIN {agg} b ON a.service_date = b.service_date AND a.route_name = b.route_name "
-           f"AND a.board_seq = b.board_seq AND a.board_ars = b.board_ars AND a.alight_ars = b.alight_ars")
-    return _upd(p, "a.alight_seq != b.min_seq", {"alight_seq": "b.min_seq"}, src=src)
+    return f"SELECT * EXCLUDE (new_seq) REPLACE (new_seq AS alight_seq) FROM ({lowest_seq(p)}) m"
 
 
 def step_k12a(p):
@@ -138,19 +140,23 @@ def step_k12a(p):
                 {"alight_seq": "a.board_seq + 1"})
 
 
+def next_stop(p):
+    """Rows with ``nxt``: the stop most rows board at one seq later."""
+    return f"""SELECT r.*, nxt.stop AS nxt FROM {p} r LEFT JOIN (
+  SELECT service_date, route_name, board_seq,
+         list({{'ars': board_ars, 'code': board_code, 'name': board_name}} ORDER BY votes DESC,
+              board_ars NULLS LAST, board_code NULLS LAST, board_name NULLS LAST)[1] AS stop
+  FROM (SELECT service_date, route_name, board_seq, board_ars, board_code, board_name, COUNT(*) AS votes
+        FROM {p} GROUP BY ALL) v
+  GROUP BY ALL) nxt
+ON r.board_seq + 1 = nxt.board_seq AND r.route_name = nxt.route_name AND r.service_date = nxt.service_date"""
+
+
 def step_k12b(p):
-    donors = f"""(SELECT * FROM (
-    SELECT service_date, route_name, board_seq, board_ars, board_code, board_name,
-           ROW_NUMBER() OVER (PARTITION BY service_date, route_name, board_seq
-                              ORDER BY COUNT(*) DESC, board_ars ASC NULLS LAST, board_code ASC NULLS LAST,
-                                       board_name ASC NULLS LAST) AS rn
-    FROM {p} WHERE board_seq IS NOT NULL
-    GROUP BY service_date, route_name, board_seq, board_ars, board_code, board_name) r WHERE rn = 1)"""
-    src = (f"{p} a LEFT JOIN {donors} b ON a.service_date = b.service_date AND a.route_name = b.route_name "
-           f"AND b.board_seq = a.board_seq + 1")
-    return _upd(p, "a.board_ars = a.alight_ars AND b.rn IS NOT NULL",
-                {"alight_seq": "a.board_seq + 1", "alight_ars": "b.board_ars",
-                 "alight_code": "b.board_code", "alight_name": "b.board_name"}, src=src)
+    moved = {"alight_seq": "board_seq + 1", "alight_ars": "nxt.ars", "alight_code": "nxt.code",
+             "alight_name": "nxt.name"}
+    sets = ", ".join(f"IF(board_ars = alight_ars AND nxt IS NOT NULL, {v}, {k}) AS {k}" for k, v in moved.items())
+    return f"SELECT * EXCLUDE (nxt) REPLACE ({sets}) FROM ({next_stop(p)}) m"
 
 
 GROUP1 = [step_c1, step_c2, step_c4, step_c5a, step_c5c1, step_c5c2_keep, step_c5b, step_c6, step_c7,
@@ -179,12 +185,9 @@ def step_counts_sql() -> str:
     for i, step in enumerate(order):
         src = "od" if i == 0 else f"s{i}"
         if step == "c5c2":
-            body = (f"SELECT a.service_date FROM {src} a JOIN {MAXSEQ.format(p=src)} b "
-                    f"ON a.service_date = b.service_date AND a.route_name = b.route_name WHERE {C2_COND}")
+            body = f"SELECT service_date FROM {LAST.format(p=src)} r WHERE {TOO_EARLY}"
         elif step == "c5b":
-            body = (f"SELECT a.service_date FROM {src} a JOIN {MAXSEQ.format(p=src)} b "
-                    f"ON a.service_date = b.service_date AND a.route_name = b.route_name "
-                    f"WHERE a.alight_ars = {V} AND a.alight_seq IS NULL")
+            body = f"SELECT service_date FROM {LAST.format(p=src)} r WHERE {NO_ALIGHT_SEQ} AND last_seq IS NOT NULL"
         else:
             body = f"SELECT a.service_date FROM {src} a WHERE {PRED[step]}"
         parts.append(f"n_{step} AS (SELECT service_date, COUNT(*) AS n FROM ({body}) x GROUP BY service_date)")
@@ -198,38 +201,15 @@ def step_counts_sql() -> str:
 def group23_counts_sql() -> str:
     """Affected rows per date for K10, K11 (group 2 on the stored table) and
     K12a, K12b (group 3 on the stored table)."""
-    mode = f"""(SELECT service_date, route_name, board_ars, board_seq AS mode_seq FROM (
-    SELECT service_date, route_name, board_ars, board_seq,
-           ROW_NUMBER() OVER (PARTITION BY service_date, route_name, board_ars
-                              ORDER BY COUNT(*) DESC, board_seq ASC NULLS LAST) AS rn
-    FROM od WHERE board_ars != {V}
-    GROUP BY service_date, route_name, board_ars, board_seq) r WHERE rn = 1)"""
-    spread = f"""(SELECT service_date, route_name, board_seq, board_ars, alight_ars, MIN(alight_seq) AS min_seq
-    FROM g2a WHERE board_ars != {V} AND alight_ars != {V}
-    GROUP BY service_date, route_name, board_seq, board_ars, alight_ars
-    HAVING COUNT(DISTINCT alight_seq) > 1 AND MAX(alight_seq) - MIN(alight_seq) <= {SEQ_SPREAD_MAX})"""
-    donors = f"""(SELECT DISTINCT service_date, route_name, board_seq FROM g3a WHERE board_seq IS NOT NULL)"""
-    return oracle_with("od") + f""",
-g2a AS ({step_k10("od")}),
-g3a AS ({step_k12a("od")}),
-n_k10 AS (SELECT a.service_date, COUNT(*) AS n FROM od a JOIN {mode} b
-          ON a.service_date = b.service_date AND a.route_name = b.route_name AND a.board_ars = b.board_ars
-          WHERE a.board_seq != b.mode_seq GROUP BY a.service_date),
-n_k11 AS (SELECT a.service_date, COUNT(*) AS n FROM g2a a JOIN {spread} b
-          ON a.service_date = b.service_date AND a.route_name = b.route_name AND a.board_seq = b.board_seq
-          AND a.board_ars = b.board_ars AND a.alight_ars = b.alight_ars
-          WHERE a.alight_seq != b.min_seq GROUP BY a.service_date),
-n_k12a AS (SELECT a.service_date, COUNT(*) AS n FROM od a
-           WHERE a.board_seq = a.alight_seq AND a.board_ars = a.alight_ars AND a.board_ars != {V}
-           GROUP BY a.service_date),
-n_k12b AS (SELECT a.service_date, COUNT(*) AS n FROM g3a a JOIN {donors} b
-           ON a.service_date = b.service_date AND a.route_name = b.route_name AND b.board_seq = a.board_seq + 1
-           WHERE a.board_ars = a.alight_ars GROUP BY a.service_date),
-dates AS (SELECT DISTINCT service_date FROM od)
-SELECT d.service_date, COALESCE(n_k10.n, 0) AS k10, COALESCE(n_k11.n, 0) AS k11,
-       COALESCE(n_k12a.n, 0) AS k12a, COALESCE(n_k12b.n, 0) AS k12b
-FROM dates d
-LEFT JOIN n_k10 ON n_k10.service_date = d.service_date
-LEFT JOIN n_k11 ON n_k11.service_date = d.service_date
-LEFT JOIN n_k12a ON n_k12a.service_date = d.service_date
-LEFT JOIN n_k12b ON n_k12b.service_date = d.service_date"""
+    none = {"k10": "0", "k11": "0", "k12a": "0", "k12b": "0"}
+    changed = {
+        "k10": ("new_seq <> board_seq", f"({modal_seq('od')})"),
+        "k11": ("new_seq <> alight_seq", f"({lowest_seq('g2a')})"),
+        "k12a": (f"board_seq = alight_seq AND board_ars = alight_ars AND board_ars <> {V}", "od"),
+        "k12b": ("board_ars = alight_ars AND nxt IS NOT NULL", f"({next_stop('g3a')})"),
+    }
+    parts = [f"SELECT service_date, {', '.join(f'{v} AS {k}' for k, v in {**none, step: f'COUNT(*) FILTER (WHERE {cond})'}.items())} "
+             f"FROM {rows} x GROUP BY service_date" for step, (cond, rows) in changed.items()]
+    sums = ", ".join(f"CAST(SUM({k}) AS BIGINT) AS {k}" for k in none)
+    return (oracle_with("od") + f",\ng2a AS ({step_k10('od')}),\ng3a AS ({step_k12a('od')})\n"
+            + f"SELECT service_date, {sums} FROM (" + "\nUNION ALL\n".join(parts) + ") u GROUP BY service_date")
