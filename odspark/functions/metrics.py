@@ -22,12 +22,17 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def div(a, b) -> Column:
+    """Integer division of longs (no detour over doubles)."""
+    return F.call_function("div", _c(a).cast("long"), _c(b).cast("long"))
+
+
 def hourly_load(onboard) -> Column:
     """Negative on-board counts are 0; otherwise the mean per service hour,
     rounded half up. NULL stays NULL."""
     x = _c(onboard).cast("long")
     return (F.when(x < 0, F.lit(0).cast("long"))
-            .otherwise(F.floor((x * 2 + SERVICE_HOURS) / (2 * SERVICE_HOURS)).cast("long")))
+            .otherwise(div(x * 2 + SERVICE_HOURS, F.lit(2 * SERVICE_HOURS))))
 
 
 def pct1(num, den) -> Column:
@@ -35,7 +40,7 @@ def pct1(num, den) -> Column:
     NULL when ``den`` is 0 or NULL."""
     a = _c(num).cast("long")
     b = F.nullif(_c(den).cast("long"), F.lit(0).cast("long"))
-    return (F.floor((a * 2000 + b) / (b * 2)).cast("long") / F.lit(10.0))
+    return div(a * 2000 + b, b * 2) / F.lit(10.0)
 
 
 def grade(pct) -> Column:

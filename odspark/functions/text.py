@@ -25,11 +25,26 @@ def remove_quotes(c) -> Column:
     return F.replace(_c(c), F.lit('"'), F.lit(""))
 
 
+# Decimal notation with an optional exponent; type suffixes ('1d', '2f') and
+# words (NaN, Infinity) that casts accept are not numbers here.
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+# The texts a data-frame CSV reader takes as missing by default.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+           "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
 def to_number(c) -> Column:
-    """``to_numeric(errors='coerce')``: non-numeric text becomes NULL (a
-    plain cast raises under ANSI mode); NaN/inf are NULL too."""
-    d = _c(c).try_cast("double")
-    return F.when(F.isnan(d) | (F.abs(d) == float("inf")), F.lit(None).cast("double")).otherwise(d)
+    """``to_numeric(errors='coerce')``: text that is not a finite decimal
+    number becomes NULL (a plain cast raises under ANSI mode)."""
+    text = strip(_c(c).cast("string"))
+    d = F.when(text.rlike(NUMBER), text).try_cast("double")
+    return F.when(F.abs(d) != float("inf"), d)
+
+
+def missing_to_null(c, tokens=MISSING) -> Column:
+    """NULL for the texts that stand for a missing value; others unchanged."""
+    return F.when(~_c(c).isin(list(tokens)), _c(c))
 
 
 def zfill(c, width: int = 5) -> Column:

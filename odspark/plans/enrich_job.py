@@ -15,15 +15,17 @@ import json
 from pyspark.sql import SparkSession
 
 from odspark.operators import enrich as en
+from odspark.session import staging
 from odspark.sources import io
 
 
 def run(spark: SparkSession, target: str, reference: str, out: str, stages: int = 3,
         od_store: str | None = None, null_value: str | None = None) -> dict:
-    enriched = en.enrich_od(io.read_raw_csv(spark, target, null_value=null_value),
-                            io.read_raw_csv(spark, reference, null_value=null_value),
-                            fill_stages=stages)
-    io.write_csv(enriched, out, sep="|")
+    with staging(spark):
+        enriched = en.enrich_od(io.read_raw_csv(spark, target, null_value=null_value),
+                                io.read_raw_csv(spark, reference, null_value=null_value),
+                                fill_stages=stages)
+        io.write_csv(enriched, out, sep="|")
     written = io.read_raw_csv(spark, out, sep="|")      # report on what was written
     if od_store:
         io.write_od(io.to_od_schema(written), od_store)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odspark.operators import correct as cr
-from odspark.session import cut_lineage
+from odspark.session import cut_lineage, staging
 from odspark.sources import io
 
 
@@ -41,7 +41,9 @@ def correct_all(od: DataFrame) -> NightlyResult:
     g1 = cut_lineage(cr.dedup_sum(cr.od_only(tagged.where(~F.col("t_c5c2")))), "group1_dedup")
     g2 = cut_lineage(cr.fix_sequence(g1), "group2")
     g3 = cr.fix_same_stop_od(g2)
-    return NightlyResult(g3, anomalies, counts, cr.residual_counts(g1), cr.detect_bidirectional(od))
+    # staged like the rest: the job may replace the table that ``od`` reads
+    bidirectional = cut_lineage(cr.detect_bidirectional(od), "bidirectional")
+    return NightlyResult(g3, anomalies, counts, cr.residual_counts(g1), bidirectional)
 
 
 def run_nightly(spark: SparkSession, od_path: str, final_path: str, staging_path: str,
@@ -51,13 +53,11 @@ def run_nightly(spark: SparkSession, od_path: str, final_path: str, staging_path
     res = correct_all(od)
     # staged before anything is replaced, so the job may also correct its
     # source table in place (od_path == final_path)
-    staged_anomalies = f"{staging_path.rstrip('/')}_anomalies"
-    io.write_anomalies(res.anomalies, staged_anomalies)
-    anomalies = io.read_od(spark, staged_anomalies, dates)
+    anomalies = cut_lineage(res.anomalies, "anomalies")
     riders_anom = anomalies.agg(F.sum("riders")).first()[0] or 0
     io.publish(res.corrected, staging_path, final_path,
-               checks=[io.riders_conserved(riders_in - riders_anom)])
-    io.write_anomalies(anomalies, anomaly_path)
+               checks=[io.riders_conserved(riders_in - riders_anom)], dates=dates)
+    io.write_anomalies(anomalies, anomaly_path, dates=dates)
     return res
 
 
@@ -77,13 +77,14 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--date", action="append", required=True)
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("odspark-nightly").getOrCreate()
-    res = run_nightly(spark, args.od, args.final, args.staging, args.anomalies, args.date)
-    flagged = res.bidirectional.groupBy("service_date").agg(
-        F.sort_array(F.collect_set("route_name")).alias("bidirectional_routes"))
-    report = (res.step_counts.join(res.residuals, "service_date", "full")
-              .join(flagged, "service_date", "left"))
-    (report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("service_date").parquet(args.report))
+    with staging(spark):
+        res = run_nightly(spark, args.od, args.final, args.staging, args.anomalies, args.date)
+        flagged = res.bidirectional.groupBy("service_date").agg(
+            F.sort_array(F.collect_set("route_name")).alias("bidirectional_routes"))
+        report = (res.step_counts.join(res.residuals, "service_date", "full")
+                  .join(flagged, "service_date", "left"))
+        (report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("service_date").parquet(args.report))
 
 
 if __name__ == "__main__":

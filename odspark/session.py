@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,6 +76,27 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return f"{base}/odspark-tables/{name}-{uuid.uuid4().hex}"
 
 
+_STAGED: list[list[str]] = []
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a table folder through the session's file systems."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def staging(spark: SparkSession):
+    """Tables staged inside this block are removed when it ends. Frames that
+    read them must be written out before."""
+    _STAGED.append([])
+    try:
+        yield
+    finally:
+        for path in _STAGED.pop():
+            drop_path(spark, path)
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut the lineage by writing ``df`` as a parquet table under the shared
     ``spark.checkpoint.dir`` and reading it back.
@@ -84,23 +106,33 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     pushdown.
     """
     path = staged_path(df.sparkSession, name)
+    if _STAGED:
+        _STAGED[-1].append(path)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+MAX_SHUFFLE_PARTITIONS = 20_000
+
+
 def cluster_settings(input_bytes: int, total_cores: int,
-                     target_partition_bytes: int = 256 << 20) -> dict:
+                     target_partition_bytes: int = 256 << 20,
+                     shuffled_share: float = 0.1) -> dict:
     """SQL settings sized for a cluster run over ``input_bytes`` of OD data.
 
     * scans split at 256 MB, so a task reads a bounded slice whatever the
       table size;
-    * the initial shuffle partition count follows the input (one partition
-      per 256 MB, at least 2 waves of the cores); AQE then coalesces small
+    * the initial shuffle partition count follows the bytes that reach a
+      shuffle, not the input: aggregates combine on the map side, so
+      ``shuffled_share`` of the input at most is assumed; at least 2 waves of
+      the cores, and never more than MAX_SHUFFLE_PARTITIONS, because the
+      driver tracks map tasks times partitions. AQE coalesces small
       partitions to the advisory size and splits skewed ones;
     * broadcasts stay capped at 64 MB of measured size — larger sides
       sort-merge.
     """
-    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    shuffled = int(input_bytes * shuffled_share)
+    parts = min(MAX_SHUFFLE_PARTITIONS, max(2 * total_cores, -(-shuffled // target_partition_bytes)))
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(parts),

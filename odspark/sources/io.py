@@ -9,25 +9,31 @@ directories; a publish replaces only the dates being written.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odspark.constants import OD_COLUMNS
+from odspark.functions.text import MISSING, missing_to_null
 from odspark.schema import OD_SCHEMA
+from odspark.session import drop_path
 
 
 def read_raw_csv(spark: SparkSession, path: str, sep: str = ",", null_value: str | None = None,
-                 encoding: str = "UTF-8") -> DataFrame:
+                 encoding: str = "UTF-8", missing=MISSING) -> DataFrame:
     """Header CSV, all columns ``StringType``, names trimmed.
     A leading UTF-8 BOM is dropped by the reader; CRLF endings are handled;
-    quoted fields may contain the separator; ``null_value`` (e.g. 'NULL')
-    becomes NULL."""
+    quoted fields may contain the separator. The texts in ``missing`` (and
+    ``null_value``, if given) become NULL."""
     r = (spark.read.option("header", True).option("inferSchema", False).option("sep", sep)
          .option("encoding", encoding).option("quote", '"').option("escape", '"'))
-    if null_value is not None:
-        r = r.option("nullValue", null_value)
     df = r.csv(path)
-    return df.toDF(*[n.strip().lstrip("﻿") for n in df.columns])
+    tokens = [*missing, *([] if null_value is None else [null_value])]
+    names = [n.strip().lstrip("\ufeff") for n in df.columns]
+    df = df.toDF(*[f"_c{i}" for i in range(len(names))])
+    return df.select(*[missing_to_null(f"_c{i}", tokens).alias(n) for i, n in enumerate(names)])
 
 
 def write_csv(df: DataFrame, path: str, sep: str = "|", header: bool = True,
@@ -50,17 +56,34 @@ def to_od_schema(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def write_od(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """OD store: parquet partitioned by service date. With dynamic partition
-    overwrite only the dates present in ``df`` are replaced.
+def _by_date(df: DataFrame) -> DataFrame:
+    """Rows of one date together, big dates over several tasks (the planner
+    sizes the parts), so a write makes few files per date."""
+    return df.select(*OD_COLUMNS).hint("rebalance", "service_date")
+
 
-    No shuffle before the write (a repartition by route would hand a hot
-    route to one writer task); rows are sorted within each task by route and
-    seq instead, so every file's row groups are clustered by route and a
-    route filter skips row groups by their parquet statistics."""
-    (df.select(*OD_COLUMNS).sortWithinPartitions("service_date", "route_name", "board_seq")
+def write_od(df: DataFrame, path: str, mode: str = "overwrite", dates=None) -> None:
+    """OD store: parquet partitioned by service date. Only the dates in
+    ``df`` are replaced (dynamic partition overwrite); with ``dates``, all of
+    these are, also those without rows, which become empty.
+
+    A rebalance by date bounds the files per date and splits a big date by
+    size, not by route; rows are then sorted by route and seq, so row groups
+    are clustered by route and a route filter skips by parquet statistics."""
+    (_by_date(df).sortWithinPartitions("service_date", "route_name", "board_seq")
        .write.mode(mode).option("partitionOverwriteMode", "dynamic")
        .partitionBy("service_date").parquet(path))
+    if dates is not None:
+        drop_empty_dates(df, path, dates)
+
+
+def drop_empty_dates(df: DataFrame, path: str, dates) -> None:
+    """Remove the partitions of requested dates that ``df`` has no row of."""
+    spark = df.sparkSession
+    held = {r[0] for r in df.where(F.col("service_date").isin(list(dates)))
+            .select("service_date").distinct().collect()}  # at most the requested dates
+    for d in set(dates) - held:
+        drop_path(spark, f"{path.rstrip('/')}/service_date={d}")
 
 
 def read_od(spark: SparkSession, path: str, dates=None) -> DataFrame:
@@ -72,41 +95,49 @@ def read_od(spark: SparkSession, path: str, dates=None) -> DataFrame:
     return df.select(*OD_COLUMNS)
 
 
-def write_anomalies(anomalies: DataFrame, path: str) -> None:
+def write_anomalies(anomalies: DataFrame, path: str, dates=None) -> None:
     """The anomaly side output, one partition per service date. The
-    dates written are replaced (dynamic partition overwrite) rather than
-    appended to, so re-running a date after a failure cannot duplicate its
-    anomalies; other dates are kept."""
-    (anomalies.select(*OD_COLUMNS).write.mode("overwrite")
+    requested ``dates`` are replaced, also those without anomalies now
+    (without ``dates``: the dates present), so a repeated run neither
+    duplicates nor keeps stale anomalies; other dates are kept."""
+    (_by_date(anomalies).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("service_date").parquet(path))
+    if dates is not None:
+        drop_empty_dates(anomalies, path, dates)
 
 
 def materialize(df: DataFrame, path: str, refresh: bool = False) -> DataFrame:
-    """Reuse the stored result unless ``refresh`` or it does not exist."""
+    """Reuse the stored result unless ``refresh`` or it does not exist.
+    Any other read error is raised: it must not overwrite a stored table."""
     spark = df.sparkSession
     if not refresh:
         try:
             return spark.read.parquet(path)
-        except Exception:  # not written yet
-            pass
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def publish(df: DataFrame, staging_path: str, final_path: str, checks=None) -> DataFrame:
-    """Write every produced date to a staging table, validate it there,
-    and only then replace those dates in the final table (dynamic partition
-    overwrite). A failed check leaves the final table untouched.
+def publish(df: DataFrame, staging_path: str, final_path: str, checks=None, dates=None) -> DataFrame:
+    """Write the produced dates to a staging table of this run, validate
+    it there, and only then replace those dates (and the requested ``dates``)
+    in the final table. A failed check leaves the final table untouched.
 
-    ``checks``: callables ``staged_df -> None`` that raise on failure.
+    Each run stages under its own name below ``staging_path``, so nothing of
+    an earlier night is read back. ``checks``: callables ``staged_df -> None``
+    that raise on failure.
     """
     spark = df.sparkSession
-    df.select(*OD_COLUMNS).write.mode("overwrite").partitionBy("service_date").parquet(staging_path)
-    staged = read_od(spark, staging_path)
+    run_path = f"{staging_path.rstrip('/')}/run-{uuid.uuid4().hex}"
+    _by_date(df).write.mode("errorifexists").partitionBy("service_date").parquet(run_path)
+    staged = read_od(spark, run_path)
     for check in checks or []:
         check(staged)
-    write_od(staged, final_path, mode="overwrite")
-    return read_od(spark, final_path)
+    write_od(staged, final_path, mode="overwrite", dates=dates)
+    drop_path(spark, run_path)
+    return read_od(spark, final_path, dates)
 
 
 def riders_conserved(expected_total: int):
