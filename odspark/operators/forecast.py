@@ -27,16 +27,18 @@ def day_type(days: DataFrame, holidays: DataFrame, day_col: str = "day") -> Data
             .drop("_h"))
 
 
-def lag_features(daily: DataFrame, holidays: DataFrame, lags=(7, 30)) -> DataFrame:
-    """M2/M3: per (route, day) riders with riders 7 and 30 days earlier,
-    weekday, month and day type."""
+ROUTE_KEY = ("route_name",)
+STOP_KEY = ("route_name", "stop_id", "direction")
+
+
+def lag_features(daily: DataFrame, holidays: DataFrame, lags=(7, 30), key=ROUTE_KEY) -> DataFrame:
+    """M2/M3: per key and day the riders with those 7 and 30 days earlier,
+    weekday, month and day type. ``key`` is the route, or route, stop and
+    direction (boarding or alighting)."""
     out = daily
     for k in lags:
-        past = daily.select(c("route_name").alias(f"_r{k}"),
-                            F.date_add(c("day"), k).alias(f"_d{k}"),
-                            c("riders").alias(f"lag_{k}"))
-        out = (out.join(past, (c("route_name") == c(f"_r{k}")) & (c("day") == c(f"_d{k}")), "left")
-               .drop(f"_r{k}", f"_d{k}"))
+        past = daily.select(*key, F.date_add(c("day"), k).alias("day"), c("riders").alias(f"lag_{k}"))
+        out = out.join(past, [*key, "day"], "left")
     out = out.withColumn("weekday", F.dayofweek("day")).withColumn("month", F.month("day"))
     return day_type(out, holidays)
 
@@ -52,26 +54,50 @@ def naive_predictions(features: DataFrame) -> DataFrame:
     return features.withColumn("predicted", c("lag_7").cast("double"))
 
 
-def train_predict_gbt(features: DataFrame, cut: str, max_iter: int = 20) -> DataFrame:
+def model_inputs(features: DataFrame, cut: str, key=STOP_KEY, lags=(7, 30)) -> DataFrame:
+    """Numeric inputs of M5 for every row, train and test alike.
+
+    Route and stop enter as their mean riders over the training period (a
+    number, so any count of routes and stops fits the trees); a missing lag is
+    filled with the mean of the key (of the route, of all, in that order) and
+    flagged. The means are aggregates joined back on their keys."""
+    data = temporal_split(features, cut).withColumn("label", c("riders").cast("double"))
+    train = data.where(c("split") == "train")
+    of_key = train.groupBy(*key).agg(F.avg("label").alias("_key_mean"))
+    of_route = train.groupBy("route_name").agg(F.avg("label").alias("route_mean"))
+    overall = train.agg(F.avg("label")).first()[0] or 0.0  # one number
+    out = data.join(of_route, "route_name", "left")
+    out = out.join(of_key, list(key), "left") if tuple(key) != ROUTE_KEY else out.withColumn("_key_mean", c("route_mean"))
+    out = out.withColumn("route_mean", F.coalesce("route_mean", F.lit(float(overall))))
+    out = out.withColumn("stop_mean", F.coalesce("_key_mean", "route_mean")).drop("_key_mean")
+    for k in lags:
+        out = (out.withColumn(f"no_lag_{k}", c(f"lag_{k}").isNull().cast("double"))
+               .withColumn(f"in_lag_{k}", F.coalesce(c(f"lag_{k}").cast("double"), c("stop_mean"))))
+    kinds = ["weekday", "saturday", "sunday", "holiday"]
+    for t in kinds:
+        out = out.withColumn(f"is_{t}", (c("day_type") == t).cast("double"))
+    if "direction" in out.columns:
+        out = out.withColumn("is_alight", (c("direction") == "alight").cast("double"))
+    return out
+
+
+def train_predict_gbt(features: DataFrame, cut: str, max_iter: int = 20, key=STOP_KEY) -> DataFrame:
     """M5: gradient-boosted trees on the lag/calendar features (training is
-    distributed by Spark ML); predictions for the test period."""
+    distributed by Spark ML); a prediction for every row of the test period."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    data = temporal_split(features.where(c("lag_7").isNotNull() & c("lag_30").isNotNull()), cut)
-    data = data.withColumn("label", c("riders").cast("double"))
+    data = model_inputs(features, cut, key)
+    inputs = [x for x in data.columns if x.startswith(("in_lag_", "no_lag_", "is_"))]
     pipe = Pipeline(stages=[
-        StringIndexer(inputCols=["route_name", "day_type"], outputCols=["route_ix", "day_type_ix"],
-                      handleInvalid="keep"),
-        VectorAssembler(inputCols=["route_ix", "day_type_ix", "weekday", "month", "lag_7", "lag_30"],
-                        outputCol="features"),
+        VectorAssembler(inputCols=["route_mean", "stop_mean", "weekday", "month", *inputs], outputCol="features"),
         GBTRegressor(featuresCol="features", labelCol="label", maxIter=max_iter, seed=7,
                      predictionCol="predicted"),
     ])
     model = pipe.fit(data.where(c("split") == "train"))
     return (model.transform(data.where(c("split") == "test"))
-            .select("route_name", "day", "riders", "predicted"))
+            .select(*key, "day", "day_type", "riders", "predicted"))
 
 
 def model_scores(pred: DataFrame) -> DataFrame:
@@ -89,12 +115,17 @@ def model_scores(pred: DataFrame) -> DataFrame:
 
 
 def hour_ratio(tx: DataFrame, routes: DataFrame) -> DataFrame:
-    """M8: share of each boarding hour in a stop's riders (per route)."""
-    agg = (tx.join(routes, "route_id")
-           .groupBy("route_name", c("board_stop_id").alias("stop_id"), F.hour("board_ts").alias("hour"))
-           .agg(F.sum("riders").cast("long").alias("riders")))
-    # at most 24 rows per (route, stop): the window partition is bounded
-    total = F.sum("riders").over(Window.partitionBy("route_name", "stop_id"))
+    """M8: share of each hour in a stop's riders, per route, stop and
+    direction (boarding at the boarding stop, alighting at the alighting stop)."""
+    ends = F.explode(F.array(
+        F.struct(c("board_stop_id").alias("stop_id"), F.lit("board").alias("direction")),
+        F.struct(c("alight_stop_id").alias("stop_id"), F.lit("alight").alias("direction")))).alias("e")
+    agg = (tx.select("route_id", "riders", F.hour("board_ts").alias("hour"), ends)
+           .groupBy("route_id", "e.stop_id", "e.direction", "hour").agg(F.sum("riders").alias("riders"))
+           .join(routes, "route_id")
+           .groupBy("route_name", "stop_id", "direction", "hour").agg(F.sum("riders").cast("long").alias("riders")))
+    # at most 24 rows per key: the window partition is bounded
+    total = F.sum("riders").over(Window.partitionBy("route_name", "stop_id", "direction"))
     return agg.withColumn("ratio", c("riders") / total)
 
 
@@ -110,15 +141,16 @@ def hour_split(daily_pred: DataFrame, ratios: DataFrame, weights: DataFrame,
                holidays: DataFrame) -> DataFrame:
     """M7: daily prediction x stop hour ratio x day-type weight (plain
     product; the original does not say how weights are normalised).
-    ``daily_pred`` (route_name, day, predicted) is one row per requested
-    route-day; the fan-out is that route's stops x hours."""
+    ``daily_pred`` (route_name, stop_id, direction, day, predicted) is split
+    over its own stop's hours, whose ratios sum to 1, so the split riders
+    before weights sum to the prediction; ``split_riders`` holds them."""
     d = day_type(daily_pred, holidays)
-    return (d.join(ratios, "route_name")
+    return (d.join(ratios.drop("riders"), list(STOP_KEY))
             .join(weights.select("day_type", "hour", "weight"), ["day_type", "hour"], "left")
-            .withColumn("predicted_riders",
-                        c("predicted") * c("ratio") * F.coalesce(c("weight"), F.lit(1.0)))
-            .select("route_name", "stop_id", "day", "day_type", "hour", "predicted", "ratio",
-                    "weight", "predicted_riders"))
+            .withColumn("split_riders", c("predicted") * c("ratio"))
+            .withColumn("predicted_riders", c("split_riders") * F.coalesce(c("weight"), F.lit(1.0)))
+            .select(*STOP_KEY, "day", "day_type", "hour", "predicted", "ratio", "weight", "split_riders",
+                    "predicted_riders"))
 
 
 def section_share(tx: DataFrame, stops: DataFrame, seq_from: int, seq_to: int,

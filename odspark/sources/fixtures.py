@@ -101,6 +101,13 @@ FROM {od} WHERE board_ars IS NOT NULL
 SELECT CAST(o_orderdate AS DATE) AS day, concat('R', CAST(l_suppkey % 10 AS VARCHAR(10))) AS route_name,
   CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS riders
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY 1, 2
+""",
+    "daily_stop": """
+SELECT route_name, stop_id, direction, day, CAST(sum(riders) AS BIGINT) AS riders
+FROM (SELECT route_id, board_stop_id AS stop_id, 'board' AS direction, CAST(board_ts AS DATE) AS day, riders FROM {tx}
+      UNION ALL
+      SELECT route_id, alight_stop_id, 'alight', CAST(board_ts AS DATE), riders FROM {tx}) e
+JOIN {routes} r ON e.route_id = r.route_id GROUP BY 1, 2, 3, 4
 """,
     "holiday": """
 SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM {orders}
@@ -114,7 +121,7 @@ CROSS JOIN (VALUES ('weekday'), ('saturday'), ('sunday'), ('holiday')) d(dt) CRO
 }
 
 # views with one row per fact row (the rest are small dimensions)
-_FACT_VIEWS = ("od", "tx", "ref_day", "target_day", "daily_od")
+_FACT_VIEWS = ("od", "tx", "ref_day", "target_day", "daily_od", "daily_stop")
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -218,6 +225,9 @@ class Tables:
     def daily_od(self) -> DataFrame:
         return self.view("daily_od")
 
+    def daily_stop(self) -> DataFrame:
+        return self.view("daily_stop")
+
     def holiday(self) -> DataFrame:
         return self.view("holiday")
 
