@@ -150,8 +150,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     # no shuffle of texts: runs are told by row fingerprint and first window
     runs = staged(rows_of(docs, key, text).mapInArrow(find, "row long, start long, n int, gram long, cls long"), "runs")
     # one row per anchor and task goes through this shuffle; most anchors occur once and end here
-    again = (runs.groupBy("gram").agg(F.count("*").alias("c"), (F.min("cls") != F.max("cls")).alias("mixed"))
-             .where("c > 1").select("gram", "mixed"))
+    # written before the join, so that both of its sides are plain shuffles and a hot anchor can be split
+    again = staged(runs.groupBy("gram").agg(F.count("*").alias("c"), (F.min("cls") != F.max("cls")).alias("mixed"))
+                   .where("c > 1").select("gram", "mixed"), "shared-anchors")
     runs = staged(runs.join(again, "gram"), "shared-runs")
     kinds = runs.groupBy("gram", "cls").agg(F.count("*").alias("c"), F.max("mixed").alias("mixed"),
                                             F.min(F.struct("row", "start", "n")).alias("rep"))
