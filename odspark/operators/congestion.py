@@ -82,8 +82,10 @@ def stop_order() -> list:
             F.col("stop_name").asc_nulls_last()]
 
 
-def congestion(od: DataFrame, loc: DataFrame | None = None, routes=None, dates=None) -> DataFrame:
-    """Congestion rows for every (date, route) in scope."""
+def congestion(od: DataFrame, loc: DataFrame | None = None, routes=None, dates=None,
+               ordered: bool = False) -> DataFrame:
+    """Congestion rows for every (date, route) in scope.
+    ``ordered`` sorts by date, route and stop order (request-sized results)."""
     flows = stop_flows(_filter_scope(od, routes, dates))
     w_run = Window.partitionBy(*ROUTE_KEY).orderBy(*stop_order()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -104,33 +106,40 @@ def congestion(od: DataFrame, loc: DataFrame | None = None, routes=None, dates=N
     else:
         rows = rows.withColumn("lat", F.lit(None).cast("double")).withColumn(
             "lon", F.lit(None).cast("double"))
-    return rows.select("service_date", "route_name", "seq", "ars", "stop_name", "load",
+    rows = rows.select("service_date", "route_name", "seq", "ars", "stop_name", "load",
                        "max_load", "pct", "grade", "color", "lat", "lon", "total_riders")
+    return rows.orderBy(*ROUTE_KEY, *stop_order()) if ordered else rows
 
 
 def congestion_for_routes(od: DataFrame, loc: DataFrame | None, routes: str | list,
                           date: str | None = None, ordered: bool = False) -> DataFrame:
-    """Comma-separated (or listed) routes, trimmed. ``route_order`` is
-    the position in the request; ``ordered=True`` sorts the rows as the
+    """Comma-separated (or listed) routes, trimmed; a route named twice
+    is returned once per mention. ``route_order`` is the position in the
+    request; ``ordered=True`` sorts the rows as the
     endpoint returns them (request order, then stop order) — a global sort,
     meant for request-sized results."""
     names = [r.strip() for r in (routes.split(",") if isinstance(routes, str) else routes)]
     names = [n for n in names if n]
     dates = None if date is None else [date]
     rows = congestion(od, loc, routes=names, dates=dates)
-    order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("route_name"))
-    rows = rows.withColumn("route_order", order.cast("int"))
+    wanted = F.array(*[F.lit(n) for n in names])
+    mentions = F.filter(F.sequence(F.lit(1), F.lit(max(1, len(names)))),
+                        lambda i: F.get(wanted, i - 1) == F.col("route_name"))
+    rows = rows.withColumn("route_order", F.explode(mentions))
     return rows.orderBy("route_order", "service_date", *stop_order()) if ordered else rows
 
 
-def stops_by_route(od: DataFrame, routes=None, dates=None) -> DataFrame:
-    """Boarding stop names per route in route order; a name repeats
-    when it has several seqs."""
-    return (_filter_scope(od, routes, dates)
+def stops_by_route(od: DataFrame, routes=None, dates=None, ordered: bool = False) -> DataFrame:
+    """Boarding stop names per route with ``pos``, their place in route
+    order (seq, then name); a name repeats when it has several seqs.
+    ``ordered=True`` sorts by it (request-sized results)."""
+    rows = (_filter_scope(od, routes, dates)
             .where(F.col("board_ars") != VIRTUAL_ARS)
-            .groupBy("service_date", "route_name", "board_name", "board_seq")
-            .agg(F.min("board_seq").alias("seq"))
-            .select("service_date", "route_name", F.col("board_name").alias("stop_name"), "seq"))
+            .select("service_date", "route_name", F.col("board_name").alias("stop_name"),
+                    F.col("board_seq").alias("seq")).distinct())
+    place = Window.partitionBy(*ROUTE_KEY).orderBy(F.col("seq").asc_nulls_last(), F.col("stop_name").asc_nulls_last())
+    rows = rows.withColumn("pos", F.row_number().over(place))
+    return rows.orderBy(*ROUTE_KEY, "pos") if ordered else rows
 
 
 def section_congestion(cong: DataFrame, sections: DataFrame) -> DataFrame:

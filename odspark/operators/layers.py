@@ -2,10 +2,8 @@
 
 The original builds these per date and per route in driver loops; here
 each layer is one DataFrame over all dates and routes, keyed by
-``service_date``. Per-date scalars (network max, densest stop) are windows
-partitioned by date over the per-stop congestion table — one row per stop
-of the day, never raw OD rows — so the congestion aggregate is computed
-once instead of once more for an aggregate-and-join.
+``service_date``. Per-date scalars (network max, densest stop) are partial
+aggregates over the staged per-stop table, joined back on the date.
 """
 
 from __future__ import annotations
@@ -18,6 +16,7 @@ from odspark.functions.metrics import gradient_color, marker_radius, pct1, text_
 from odspark.functions.text import date_label
 from odspark.operators.congestion import ROUTE_KEY, stop_order
 from odspark.operators.od import nested_od
+from odspark.session import cut_lineage
 
 
 def mapped(cong: DataFrame) -> DataFrame:
@@ -25,12 +24,19 @@ def mapped(cong: DataFrame) -> DataFrame:
     return cong.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
+def _beside_day_max(rows: DataFrame, measure: str, name: str) -> DataFrame:
+    """``name``: the largest ``measure`` of the row's date. The per-stop rows
+    are staged, their maxima are a partial aggregate (one row per date), and
+    the small result is joined back: no task sees a whole date."""
+    rows = cut_lineage(rows, "per-stop")
+    peak = rows.groupBy("service_date").agg(F.max(measure).alias(name))
+    return rows.join(peak, "service_date")
+
+
 def network_congestion(cong: DataFrame) -> DataFrame:
     """Load relative to the largest load of any mapped stop on that
     date (0 when that max is not positive); the grade stays the route's."""
-    day = Window.partitionBy("service_date")
-    return (mapped(cong)
-            .withColumn("network_max_load", F.max("load").over(day))
+    return (_beside_day_max(mapped(cong), "load", "network_max_load")
             .withColumn("network_pct",
                         F.when(F.col("network_max_load") > 0, pct1("load", "network_max_load"))
                         .otherwise(F.lit(0.0)))
@@ -55,7 +61,8 @@ def segments(cong: DataFrame) -> DataFrame:
 
 def markers(cong: DataFrame, od: DataFrame) -> DataFrame:
     """One marker per mapped stop with the OD popup payload (X18) as
-    JSON arrays, the date label and the text colour of the header."""
+    JSON arrays, the date label and the colours of the two popup headers
+    (fill: ``color`` / ``network_color``; text: by the same percent)."""
     payload = nested_od(od).select(
         "service_date", "route_name", "ars",
         F.to_json(F.coalesce("destinations", F.array().cast(
@@ -67,6 +74,7 @@ def markers(cong: DataFrame, od: DataFrame) -> DataFrame:
             .select(*ROUTE_KEY, date_label("service_date").alias("date_label"), "seq", "ars",
                     "stop_name", "lat", "lon", "load", "total_riders", "pct", "grade", "color",
                     text_color("pct").alias("text_color"), "network_pct", "network_color",
+                    text_color("network_pct").alias("network_text_color"),
                     F.coalesce("destinations", F.lit("[]")).alias("destinations"),
                     F.coalesce("origins", F.lit("[]")).alias("origins")))
 
@@ -77,7 +85,7 @@ def stop_density(cong: DataFrame) -> DataFrame:
     dens = (mapped(cong).where(F.col("stop_name").isNotNull())
             .groupBy("service_date", "ars", "stop_name", "lat", "lon")
             .agg(F.sum("load").cast("long").alias("total_load")))
-    out = (dens.withColumn("max_total_load", F.max("total_load").over(Window.partitionBy("service_date")))
+    out = (_beside_day_max(dens, "total_load", "max_total_load")
            .withColumn("density_pct",
                        F.when(F.col("max_total_load") > 0, pct1("total_load", "max_total_load"))
                        .otherwise(F.lit(0.0))))

@@ -7,7 +7,7 @@ of the all-stops result, so one job serves every stop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from odspark.constants import VIRTUAL_ARS
@@ -29,7 +29,19 @@ def _od_side(od: DataFrame, key_ars: str, other_name: str, other_seq: str,
             .agg(F.sum("riders").cast("long").alias("riders"),
                  F.min(other_seq).cast("int").alias("seq"))
             .select("service_date", "route_name", F.col(key_ars).alias("ars"),
-                    F.col(other_name).alias("stop_name"), "riders", "seq"))
+                    F.col(other_name).alias("stop_name"), "riders", "seq")
+            .withColumn("pos", _place("service_date", "route_name", "ars")))
+
+
+def _place(*key):
+    """Place of a stop in its list: by seq, then name (a list is one route's stops)."""
+    return F.row_number().over(Window.partitionBy(*key).orderBy(
+        F.col("seq").asc_nulls_last(), F.col("stop_name").asc_nulls_last()))
+
+
+def in_order(od_rows: DataFrame) -> DataFrame:
+    """O2: OD rows by date, route, ARS and place (request-sized results)."""
+    return od_rows.orderBy("service_date", "route_name", "ars", "pos")
 
 
 def destinations(od: DataFrame) -> DataFrame:
@@ -63,12 +75,14 @@ def od_for_stops(od: DataFrame) -> DataFrame:
             .groupBy("service_date", "route_name", F.col("e.ars").alias("ars"),
                      F.col("e.stop_name").alias("stop_name"), F.col("e.direction").alias("direction"))
             .agg(F.sum("riders").cast("long").alias("riders"), F.min("e.seq").cast("int").alias("seq"))
-            .select("service_date", "route_name", "ars", "stop_name", "riders", "seq", "direction"))
+            .select("service_date", "route_name", "ars", "stop_name", "riders", "seq", "direction")
+            .withColumn("pos", _place("service_date", "route_name", "ars", "direction")))
 
 
 def od_for_stop(od: DataFrame, route: str, ars: str, date: str) -> DataFrame:
-    """K21 for one stop (filters push down to the scan)."""
-    scoped = od.where((F.col("route_name") == route) & (F.col("service_date") == date))
+    """K21 for one stop (filters, the stop's included, push down to the scan)."""
+    here = (F.col("board_ars") == ars) | (F.col("alight_ars") == ars)
+    scoped = od.where((F.col("route_name") == route) & (F.col("service_date") == date) & here)
     return od_for_stops(scoped).where(F.col("ars") == ars)
 
 

@@ -91,13 +91,16 @@ def _pairs(tx: DataFrame, stops: DataFrame) -> DataFrame:
 
 def section_pairs(tx, stops, seq_from: int, seq_to: int, route: str | None = None) -> DataFrame:  # Q8
     """Riders per (boarding stop, alighting stop) inside a seq range, for one
-    route or — ``route=None`` — every route at once."""
+    route or — ``route=None`` — every route at once; ``pos`` is the pair's
+    place within its route by descending riders."""
     p = _pairs(tx, stops).where(c("board_stop_seq").between(seq_from, seq_to)
                                 & c("alight_stop_seq").between(seq_from, seq_to))
     if route is not None:
         p = p.where(c("board_route") == route)
-    return (p.groupBy(c("board_route").alias("route_name"), "board_stop", "alight_stop")
-            .agg(F.sum("riders").cast("long").alias("riders")))
+    out = (p.groupBy(c("board_route").alias("route_name"), "board_stop", "alight_stop")
+           .agg(F.sum("riders").cast("long").alias("riders")))
+    place = Window.partitionBy("route_name").orderBy(c("riders").desc(), "board_stop", "alight_stop")
+    return out.withColumn("pos", F.row_number().over(place))
 
 
 def top_od_pairs(tx, stops, k: int = 20) -> DataFrame:             # Q9

@@ -15,15 +15,16 @@ V = O.V
 
 # --------------------------------------------------------------------------
 # Several routes in one job, in the requested order (all ten routes,
-# listed out of order and with stray spaces, as the endpoint receives them)
-ROUTE_LIST = " R3, R0,R7 ,R1,R9, R2,R5,R8 , R4,R6"
+# out of order, with stray spaces and one named twice, as the endpoint receives them)
+ROUTE_LIST = " R3, R0,R7 ,R1,R9, R2,R5,R8 , R4,R6,R3"
 
 
 def _k19_sql():
     return (oracle_with("od", "loc") + "," + O.congestion_ctes()
             + f"""SELECT {O.CONG_COLS},
-  CAST(list_position(['R3','R0','R7','R1','R9','R2','R5','R8','R4','R6'], route_name) AS INTEGER) AS route_order
-FROM cong WHERE route_name IN ('R3','R0','R7','R1','R9','R2','R5','R8','R4','R6')""")
+  CAST(route_order AS INTEGER) AS route_order
+FROM cong JOIN (SELECT unnest(['R3','R0','R7','R1','R9','R2','R5','R8','R4','R6','R3']) AS route_name,
+                       unnest(range(1, 12)) AS route_order) req USING (route_name)""")
 
 
 @register("congestion_multi", _k19_sql)
@@ -36,9 +37,10 @@ def congestion_multi(spark, sf_dir):
 # K20
 def _k20_sql():
     return oracle_with("od") + f"""
-SELECT service_date, route_name, board_name AS stop_name, CAST(MIN(board_seq) AS INTEGER) AS seq
-FROM od WHERE board_ars != {V}
-GROUP BY service_date, route_name, board_name, board_seq"""
+SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY service_date, route_name ORDER BY seq NULLS LAST, stop_name NULLS LAST)
+               AS INTEGER) AS pos
+FROM (SELECT DISTINCT service_date, route_name, board_name AS stop_name, CAST(board_seq AS INTEGER) AS seq
+      FROM od WHERE board_ars <> {V}) x"""
 
 
 @register("stops_by_route", _k20_sql)
@@ -89,24 +91,29 @@ WHERE b.from_pos IS NOT NULL AND r.pos >= b.from_pos AND (b.to_pos IS NULL OR r.
 @register("section_congestion", _k16_sql)
 def section_congestion(spark, sf_dir):
     t = T(spark, sf_dir)
-    cong = cg.congestion(t.od(), t.loc())
-    out = cg.section_congestion(cong, _section_requests(t))
+    requests = _section_requests(t)
+    # only the requested routes and dates are aggregated
+    od = t.od().join(requests.select("service_date", "route_name").distinct(), ["service_date", "route_name"], "left_semi")
+    out = cg.section_congestion(cg.congestion(od, t.loc()), requests)
     return out.withColumn("pos", F.col("pos").cast("int"))
 
 
 # --------------------------------------------------------------------------
 # K21 (every stop), K22
+PLACE = """CAST(ROW_NUMBER() OVER (PARTITION BY service_date, route_name, ars{more}
+  ORDER BY seq NULLS LAST, stop_name NULLS LAST) AS INTEGER) AS pos"""
+
+
 def _k21_sql():
     return oracle_with("od") + f"""
-SELECT service_date, route_name, board_ars AS ars, alight_name AS stop_name,
-       CAST(SUM(riders) AS BIGINT) AS riders, CAST(MIN(alight_seq) AS INTEGER) AS seq, 'destination' AS direction
-FROM od WHERE alight_ars != {V} AND board_ars IS NOT NULL
-GROUP BY service_date, route_name, board_ars, alight_name
-UNION ALL
-SELECT service_date, route_name, alight_ars, board_name, CAST(SUM(riders) AS BIGINT),
-       CAST(MIN(board_seq) AS INTEGER), 'origin'
-FROM od WHERE board_ars != {V} AND alight_ars IS NOT NULL
-GROUP BY service_date, route_name, alight_ars, board_name"""
+SELECT *, {PLACE.format(more=', direction')} FROM (
+  SELECT service_date, route_name, e.ars, e.stop_name, CAST(SUM(riders) AS BIGINT) AS riders,
+         CAST(MIN(e.seq) AS INTEGER) AS seq, e.direction
+  FROM (SELECT service_date, route_name, riders, unnest([
+          {{'direction': 'destination', 'ars': board_ars, 'stop_name': alight_name, 'seq': alight_seq, 'far': alight_ars}},
+          {{'direction': 'origin', 'ars': alight_ars, 'stop_name': board_name, 'seq': board_seq, 'far': board_ars}}]) AS e
+        FROM od) u
+  WHERE e.far <> {V} AND e.ars IS NOT NULL GROUP BY ALL) g"""
 
 
 @register("od_for_stop", _k21_sql)
@@ -115,13 +122,12 @@ def od_for_stop(spark, sf_dir):
 
 
 def _k22_sql(side):
-    key, name, seq = (("board_ars", "alight_name", "alight_seq") if side == "b"
-                      else ("alight_ars", "board_name", "board_seq"))
+    key, far = ("board", "alight") if side == "b" else ("alight", "board")
     return oracle_with("od") + f"""
-SELECT service_date, route_name, {key} AS ars, {name} AS stop_name,
-       CAST(SUM(riders) AS BIGINT) AS riders, CAST(MIN({seq}) AS INTEGER) AS seq
-FROM od WHERE board_ars != {V} AND alight_ars != {V}
-GROUP BY service_date, route_name, {key}, {name}"""
+SELECT *, {PLACE.format(more='')} FROM (
+  SELECT service_date, route_name, {key}_ars AS ars, {far}_name AS stop_name, CAST(SUM(riders) AS BIGINT) AS riders,
+         CAST(MIN({far}_seq) AS INTEGER) AS seq
+  FROM od WHERE {V} NOT IN (board_ars, alight_ars) GROUP BY ALL) g"""
 
 
 @register("od_all_boarding", lambda: _k22_sql("b"))
@@ -202,6 +208,7 @@ SELECT n.service_date, n.route_name, strftime(strptime(n.service_date, '%Y%m%d')
        n.seq, n.ars, n.stop_name, n.lat, n.lon, n.load, n.total_riders, n.pct, n.grade, n.color,
        CASE WHEN n.pct > 50 THEN 'white' ELSE 'black' END AS text_color,
        n.network_pct, {O.color_sql('n.network_pct')} AS network_color,
+       CASE WHEN n.network_pct > 50 THEN 'white' ELSE 'black' END AS network_text_color,
        COALESCE(CAST(d.destinations AS VARCHAR), '[]') AS destinations,
        COALESCE(CAST(o.origins AS VARCHAR), '[]') AS origins
 FROM net n
