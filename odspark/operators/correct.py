@@ -5,9 +5,9 @@ column is computed from the *old* row (``_update``), so copying four
 boarding fields onto the alighting end can never read a half-updated row.
 Row-local steps collapse into a single projection; steps that need a
 per-key statistic (route max seq, seq mode, alighting-seq spread, next
-stop) aggregate first — partial aggregation, no window over raw rows — and
-join the small result back (broadcast when its measured size allows,
-sort-merge with skew splitting otherwise).
+stop) aggregate first — partial aggregation, no window over raw rows —
+stage the small result and join it back to the rows that can change; the
+others pass by the join (``_beside``).
 
 Every step adds a boolean tag column (``t_<step>``) so affected-row counts
 come from one aggregate at the end instead of one job per step.
@@ -15,6 +15,8 @@ come from one aggregate at the end instead of one job per step.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from odspark.constants import (BIDIRECTIONAL_MAX_SEQ, CASE_C1_SEQ_RANGE, CASE_C2
                                CASE_C2_MIN_SEQ, EXEMPT_ARS, FIRST_FILL_YEAR_PREFIX, OD_COLUMNS,
                                SEQ_SPREAD_MAX, TERMINAL_VIRTUAL_CODE, VIRTUAL_ARS,
                                VIRTUAL_NAME_KEYWORDS)
+from odspark.session import cut_lineage
 
 ROUTE = ["service_date", "route_name"]
 DEDUP_KEY = ["service_date", "route_name", "route_id", "board_seq", "board_ars", "board_name",
@@ -44,6 +47,31 @@ def _update(df: DataFrame, tag: str | None, pred: Column, sets: dict) -> DataFra
     return df.select(*cols)
 
 
+def _beside(rows: DataFrame, candidates: Column, small: DataFrame, key: list, name: str) -> DataFrame:
+    """``rows`` with the columns of ``small`` (one row per key) beside the
+    candidates; the other rows, which cannot change, get NULLs and pass by
+    the join.
+
+    ``small`` is staged first: its size is then known when the join is
+    planned, so the fact is not shuffled while it is below the broadcast
+    limit, and beyond it both sides are plain shuffles that Spark can split
+    at a hot key."""
+    small = cut_lineage(small, name)
+    is_candidate = F.coalesce(candidates, F.lit(False))
+    new = [n for n in small.columns if n not in key]
+    hit = rows.where(is_candidate).join(small, key, "left").select(*rows.columns, *new)
+    rest = rows.where(~is_candidate).select(
+        *rows.columns, *[F.lit(None).cast(small.schema[n].dataType).alias(n) for n in new])
+    return hit.unionByName(rest)
+
+
+def _most(n: str, *ties: str) -> Column:
+    """Aggregate: the tie columns of the largest count, smallest ties first
+    with NULLs last. A minimum combines on the map side; no window, no sort."""
+    order = [x for t in ties for x in (c(t).isNull().alias(f"{t}_null"), c(t).alias(t))]
+    return F.min(F.struct((-c(n)).alias("less"), *order))
+
+
 def _virtual_name(col: str) -> Column:
     cond = None
     for kw in VIRTUAL_NAME_KEYWORDS:
@@ -95,9 +123,10 @@ def c5_terminal_virtual_seq(df):
                  & c("board_seq").between(lo, hi),
                  dict(zip(ALIGHT4, [c(x) for x in BOARD4])))
     # the route max is constant from here to case B: no step in between
-    # changes board_seq, and C2 never removes the max row (its ratio is 100)
-    j = c1.join(route_max_seq(c1), ROUTE, "left")
+    # changes board_seq, and C2 never removes the max row (its ratio is 100).
+    # Only rows without an alighting seq at the virtual stop look at it.
     tail = (c("alight_ars") == VIRTUAL_ARS) & c("alight_seq").isNull()
+    j = _beside(c1, tail, route_max_seq(c1), ROUTE, "route-max")
     c2 = j.withColumn("t_c5c2", F.coalesce(
         tail & (c("board_seq") * 100 < c("route_max_seq") * CASE_C2_MAX_PCT)
         & (c("board_seq") >= CASE_C2_MIN_SEQ), F.lit(False)))
@@ -199,10 +228,9 @@ def k10_seq_by_mode(df: DataFrame) -> DataFrame:
     key = ROUTE + ["board_ars"]
     counts = (df.where(c("board_ars") != VIRTUAL_ARS)
               .groupBy(*key, "board_seq").agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy(*key).orderBy(c("n").desc(), c("board_seq").asc_nulls_last())
-    mode = (counts.withColumn("rn", F.row_number().over(w)).where(c("rn") == 1)
-            .select(*key, c("board_seq").alias("mode_seq")))
-    j = df.join(mode, key, "left")
+    mode = counts.groupBy(*key).agg(_most("n", "board_seq").alias("m")).select(*key, c("m.board_seq").alias("mode_seq"))
+    movable = (c("board_ars") != VIRTUAL_ARS) & c("board_seq").isNotNull()
+    j = _beside(df, movable, mode, key, "seq-mode")
     return _update(j, "t_k10", c("board_seq") != c("mode_seq"),
                    {"board_seq": c("mode_seq")}).drop("mode_seq")
 
@@ -217,7 +245,9 @@ def k11_alight_seq_spread(df: DataFrame) -> DataFrame:
                                  F.max("alight_seq").alias("max_alight_seq"))
               .where((c("max_alight_seq") - c("min_alight_seq")).between(1, SEQ_SPREAD_MAX))
               .drop("max_alight_seq"))
-    j = df.join(spread, key, "left")
+    movable = ((c("board_ars") != VIRTUAL_ARS) & (c("alight_ars") != VIRTUAL_ARS)
+               & c("board_seq").isNotNull() & c("alight_seq").isNotNull())
+    j = _beside(df, movable, spread, key, "seq-spread")
     return _update(j, "t_k11", c("alight_seq") != c("min_alight_seq"),
                    {"alight_seq": c("min_alight_seq")}).drop("min_alight_seq")
 
@@ -229,33 +259,31 @@ def sequence_fixes(od: DataFrame) -> DataFrame:
     alighting-seq spread over K10's output (K11) follow from one aggregate
     per (date, route, board ARS, board seq, alight ARS) holding the row
     count and the min / max alighting seq: the seq of each group is mapped
-    through the mode and the spreads are re-aggregated. The OD rows are read
-    twice (the aggregate, the update) instead of four times, and every
-    shuffle is map-side combined.
+    through the mode and the spreads are re-aggregated. The aggregate is
+    staged, and so are mode and spread (see ``_beside``): every shuffle is
+    map-side combined and none carries OD rows while they are small.
     """
     key = ROUTE + ["board_ars"]
-    g = (od.where(c("board_ars") != VIRTUAL_ARS)
-         .groupBy(*key, "board_seq", "alight_ars")
-         .agg(F.count(F.lit(1)).alias("n"), F.min("alight_seq").alias("lo"),
-              F.max("alight_seq").alias("hi")))
+    g = cut_lineage(od.where(c("board_ars") != VIRTUAL_ARS)
+                    .groupBy(*key, "board_seq", "alight_ars")
+                    .agg(F.count(F.lit(1)).alias("n"), F.min("alight_seq").alias("lo"),
+                         F.max("alight_seq").alias("hi")), "seq-groups")
     counts = g.groupBy(*key, "board_seq").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*key).orderBy(c("n").desc(), c("board_seq").asc_nulls_last())
-    mode = (counts.withColumn("rn", F.row_number().over(w)).where(c("rn") == 1)
-            .select(*key, c("board_seq").alias("mode_seq")))
+    mode = cut_lineage(counts.groupBy(*key).agg(_most("n", "board_seq").alias("m"))
+                       .select(*key, c("m.board_seq").alias("mode_seq")), "seq-mode")
     moved = F.coalesce(c("board_seq") != c("mode_seq"), F.lit(False))
-    # the alighting virtual stop is excluded in the update predicate rather
-    # than by a filter here: a filter would be pushed below ``g`` and stop
-    # the two uses of ``g`` from sharing one exchange
-    spread = (g.join(mode, key, "left")
+    spread = (g.where(c("alight_ars") != VIRTUAL_ARS).join(mode, key, "left")
               .withColumn("board_seq", F.when(moved, c("mode_seq")).otherwise(c("board_seq")))
               .groupBy(*key, "board_seq", "alight_ars")
               .agg(F.min("lo").alias("min_alight_seq"), F.max("hi").alias("max_alight_seq"))
               .where((c("max_alight_seq") - c("min_alight_seq")).between(1, SEQ_SPREAD_MAX))
               .drop("max_alight_seq"))
-    k10 = _update(od.join(mode, key, "left"), "t_k10", c("board_seq") != c("mode_seq"),
+    movable = (c("board_ars") != VIRTUAL_ARS) & c("board_seq").isNotNull()
+    k10 = _update(_beside(od, movable, mode, key, "seq-mode"), "t_k10", c("board_seq") != c("mode_seq"),
                   {"board_seq": c("mode_seq")}).drop("mode_seq")
-    j = k10.join(spread, key + ["board_seq", "alight_ars"], "left")
-    return _update(j, "t_k11", (c("alight_ars") != VIRTUAL_ARS) & (c("alight_seq") != c("min_alight_seq")),
+    both = movable & (c("alight_ars") != VIRTUAL_ARS) & c("alight_seq").isNotNull()
+    j = _beside(k10, both, spread, key + ["board_seq", "alight_ars"], "seq-spread")
+    return _update(j, "t_k11", c("alight_seq") != c("min_alight_seq"),
                    {"alight_seq": c("min_alight_seq")}).drop("min_alight_seq")
 
 
@@ -279,28 +307,22 @@ def next_stop_donors(df: DataFrame) -> DataFrame:
     counts = (df.where(c("board_seq").isNotNull())
               .groupBy(*key, "board_ars", "board_code", "board_name")
               .agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy(*key).orderBy(
-        c("n").desc(), c("board_ars").asc_nulls_last(), c("board_code").asc_nulls_last(),
-        c("board_name").asc_nulls_last())
-    return (counts.withColumn("rn", F.row_number().over(w)).where(c("rn") == 1)
-            .select(*ROUTE, c("board_seq").alias("next_seq"), c("board_ars").alias("next_ars"),
-                    c("board_code").alias("next_code"), c("board_name").alias("next_name"),
-                    F.lit(True).alias("has_next")))
+    best = counts.groupBy(*key).agg(_most("n", "board_ars", "board_code", "board_name").alias("m"))
+    return best.select(*ROUTE, c("board_seq").alias("next_seq"), c("m.board_ars").alias("next_ars"),
+                       c("m.board_code").alias("next_code"), c("m.board_name").alias("next_name"),
+                       F.lit(True).alias("has_next"))
 
 
 def k12b_same_stop_by_ars(df: DataFrame) -> DataFrame:
     """Equal ARS at both ends (virtual included) and a stop at seq+1 on the
-    same route and date: alight there."""
-    donors = (next_stop_donors(df)
-              .withColumnRenamed("service_date", "next_date")
-              .withColumnRenamed("route_name", "next_route"))
-    j = df.join(donors, (c("service_date") == c("next_date")) & (c("route_name") == c("next_route"))
-                & (c("next_seq") == c("board_seq") + 1), "left")
-    pred = (c("board_ars") == c("alight_ars")) & c("has_next")
-    out = _update(j, "t_k12b", pred, {"alight_seq": c("board_seq") + 1, "alight_ars": c("next_ars"),
-                                      "alight_code": c("next_code"), "alight_name": c("next_name")})
-    return out.drop("next_date", "next_route", "next_seq", "next_ars", "next_code", "next_name",
-                    "has_next")
+    same route and date: alight there. Rows with different ARS pass by."""
+    same = c("board_ars") == c("alight_ars")
+    rows = df.withColumn("next_seq", c("board_seq") + 1)
+    j = _beside(rows, same, next_stop_donors(df), ROUTE + ["next_seq"], "next-stop")
+    out = _update(j, "t_k12b", same & c("has_next"),
+                  {"alight_seq": c("next_seq"), "alight_ars": c("next_ars"),
+                   "alight_code": c("next_code"), "alight_name": c("next_name")})
+    return out.drop("next_seq", "next_ars", "next_code", "next_name", "has_next")
 
 
 def fix_same_stop_od(od: DataFrame) -> DataFrame:
@@ -360,15 +382,16 @@ def fill_null_codes(od: DataFrame, end: str = "board") -> DataFrame:
           .where(c("n") > 0)
           .withColumn("rn", F.row_number().over(best(["service_date", "ars"])))
           .where(c("rn") == 1).select("service_date", "ars", c("code").alias("code2")))
-    # only rows whose code is NULL need a donor: the others pass through
-    # untouched (no shuffle), and each half's filter reaches the scan
-    known = od.where(c(code).isNotNull()).select(*OD_COLUMNS)
-    missing = od.where(c(code).isNull())
-    j = (missing.join(s1, missing[ars] == s1["ars"], "left").drop("ars")
-         .join(s2.withColumnRenamed("service_date", "_d"),
-               (c("service_date") == c("_d")) & (c(ars) == c("ars")), "left"))
-    filled = j.select(*[F.coalesce(c("code1"), c("code2")).alias(code) if n == code else c(n)
-                        for n in OD_COLUMNS])
+    # only rows with an ARS and no code can be filled: the others pass through
+    # untouched (no shuffle), and each half's filter reaches the scan; the
+    # donors are staged, so their size is known when the join is planned
+    wanted = c(code).isNull() & c(ars).isNotNull()
+    both = (targets.join(s1, "ars", "left").join(s2, ["service_date", "ars"], "left")
+            .select("service_date", c("ars").alias(ars), F.coalesce("code1", "code2").alias("_code"))
+            .where(c("_code").isNotNull()))
+    known = od.where(~wanted).select(*OD_COLUMNS)
+    filled = (od.where(wanted).drop(code).join(cut_lineage(both, "code-donors"), ["service_date", ars], "left")
+              .withColumnRenamed("_code", code).select(*OD_COLUMNS))
     return known.unionByName(filled)
 
 
@@ -379,7 +402,7 @@ def apply_code_updates(od: DataFrame, updates: DataFrame, end: str = "board") ->
     matching rows get that ``{end}_code`` (the smallest when a key repeats)."""
     key = ["service_date", "route_name", "board_ars", "alight_ars"]
     u = updates.where(c("code").isNotNull()).groupBy(*key).agg(F.min("code").alias("_code"))
-    j = od.join(u, key, "left")
+    j = _beside(od, reduce(lambda x, y: x & y, [c(k).isNotNull() for k in key]), u, key, "code-updates")
     code = f"{end}_code"
     return j.select(*[F.coalesce(c("_code"), c(code)).alias(code) if n == code else c(n)
                       for n in OD_COLUMNS])
