@@ -112,7 +112,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     hits = None
     for k in sizes:
         own = lookup.where(F.col("k") == k).drop("k")
-        part = (_with_shingles(base, k).select("row", F.size("wh").alias("words"), F.posexplode("sh").alias("i", "h"))
+        # the outer form: Spark would else filter on the array's size, and evaluate it twice for that
+        part = (_with_shingles(base, k).select("row", F.size("wh").alias("words"), F.posexplode_outer("sh").alias("i", "h"))
                 .join(small(own), "h").select("row", "words", "i", F.lit(k).alias("k"), "item_row", "n", "j", "h"))
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
@@ -144,7 +145,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     hashed = _word_hashes(texts.drop("_key"), "_text")
     for k in sizes:
         part = (_with_shingles(hashed, k).select("row", "sh", F.explode("ws").alias("w")).where(F.col("w.k") == k)
-                .select("row", "w.*", F.explode(F.slice("sh", F.col("w.start") + 1, F.col("w.width") - (k - 1))).alias("h")))
+                .select("row", "w.*", F.explode_outer(F.slice("sh", F.col("w.start") + 1, F.col("w.width") - (k - 1))).alias("h")))
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         parts = hashed.select("row", F.lit(0).alias("k"), F.lit(0).alias("start"), F.lit(0).alias("width"),
