@@ -9,12 +9,11 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odspark.llm import (chat_events, decontam, near_dedup, packing, quality, suffix_dedup, token_store,
+from odspark.llm import (chat_events, decontam, near_dedup, oracles, packing, quality, suffix_dedup, token_store,
                          unigram_count, url_filter, window_dedup)
 from odspark.llm.staging import ship_package
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLE: dict[str, str] = {}
 
 
 def _query(fn):
@@ -32,7 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    return oracles.all_sql()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +47,8 @@ def _vocabulary(name: str) -> str:
 @_query
 def op1_url_filter(spark, sf_dir):
     """Every page url with its host, path, longest fitting rule and verdict."""
-    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), url_filter.RULES)
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), url_filter.RULES).select(
+        "page_id", "host", "path", "rule", "verdict")
 
 
 @_query

@@ -3,6 +3,7 @@
 import io
 import struct
 import zlib
+from functools import lru_cache
 
 import pytest
 
@@ -14,9 +15,14 @@ WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def library_ids(path, text):
+@lru_cache
+def tokenizer(path):
     from tokenizers import Tokenizer
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path)
+
+
+def library_ids(path, text):
+    return tokenizer(path).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path, spaces", [(WORD, "dropped"), (BYTE, "leading")])
