@@ -11,6 +11,8 @@ similarity is the sum of smaller weights over the sum of larger ones.
    if it holds enough of an item's shingles anywhere. Every match gives a
    window: the item laid so that the two shingles coincide, moved inside the
    document. This drops no window that could verify as the best one around it.
+   A match carries the shingle hashes of its window, so the texts are read
+   once and never shuffled.
 2. Each window gets a 64-bit SimHash of its weighted shingles.
 3. Multi-index blocks: fingerprints within ``radius`` bits agree in at least one
    of ``radius + 1`` blocks (pigeonhole), so an equi-join on blocks finds every
@@ -107,19 +109,26 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     table = item_shingles(items, item_key, item_text, shingle)
     sizes = [r["k"] for r in table.select("k").distinct().collect()]  # at most `shingle` values
     lookup = table.select("item_row", "n", "k", "j", "h")
-    small = F.broadcast if table.count() <= MAX_BROADCAST else (lambda d: d)
-    base = _word_hashes(docs.select(_row_id(key, text), F.col(text).alias("_text")), "_text")
+    bounded = table.count() <= MAX_BROADCAST
+    small = F.broadcast if bounded else (lambda d: d)
+    texts = docs.select(_row_id(key, text), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    base = _word_hashes(texts, "_text")
+    width = F.least("n", "words")
+    start = F.least(F.greatest(F.col("i") - F.col("j"), F.lit(0)), F.col("words") - width)
     hits = None
     for k in sizes:
         own = lookup.where(F.col("k") == k).drop("k")
         # the outer form: Spark would else filter on the array's size, and evaluate it twice for that
-        part = (_with_shingles(base, k).select("row", F.size("wh").alias("words"), F.posexplode_outer("sh").alias("i", "h"))
-                .join(small(own), "h").select("row", "words", "i", F.lit(k).alias("k"), "item_row", "n", "j", "h"))
+        part = (_with_shingles(base, k)
+                .select("row", "_key", "sh", F.size("wh").alias("words"), F.posexplode_outer("sh").alias("i", "h")))
+        part = (part if bounded else part.drop("sh")).join(small(own), "h").select(
+            "row", "_key", "item_row", F.lit(k).alias("k"), "i", "h", start.alias("start"), width.alias("width"),
+            *([F.slice("sh", start + 1, width - (k - 1)).alias("body")] if bounded else []))
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
-        hits = base.select("row", F.lit(0).alias("words"), F.lit(0).alias("i"), F.lit(0).alias("k"),
-                           F.lit(0).cast("long").alias("item_row"), F.lit(0).alias("n"), F.lit(0).alias("j"),
-                           F.lit(0).cast("long").alias("h")).where(F.lit(False))
+        hits = docs.sparkSession.createDataFrame(
+            [], f"row long, _key {docs.schema[key].dataType.simpleString()}, item_row long, k int, i int, h long, "
+                "start int, width int, body array<long>")
     hits = staged(hits, "hits")
 
     # an item's weight by shingle, and its total
@@ -131,26 +140,23 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
             .groupBy("row", "item_row").agg(F.sum(F.least("c", "w")).alias("common"))
             .join(small(totals), "item_row").where(100 * F.col("common") >= percent * F.col("total"))
             .select("row", "item_row"))
-    width = F.least("n", "words")
-    start = F.least(F.greatest(F.col("i") - F.col("j"), F.lit(0)), F.col("words") - width)
-    windows = staged(hits.join(held, ["row", "item_row"])
-                     .select("row", "item_row", "k", start.alias("start"), width.alias("width")).distinct(), "windows")
-
-    # shingles of the windows, from the documents that have one
-    per_row = windows.groupBy("row").agg(F.collect_set(F.struct("k", "start", "width")).alias("ws"))
-    again = docs.select(_row_id(key, text), F.col(text).alias("_text"), F.col(key).alias("_key"))
-    texts = staged(again.join(per_row, "row").dropDuplicates(["row"]), "window-texts")
-    named = texts.select("row", "_key")
-    parts = None
-    hashed = _word_hashes(texts.drop("_key"), "_text")
-    for k in sizes:
-        part = (_with_shingles(hashed, k).select("row", "sh", F.explode("ws").alias("w")).where(F.col("w.k") == k)
-                .select("row", "w.*", F.explode_outer(F.slice("sh", F.col("w.start") + 1, F.col("w.width") - (k - 1))).alias("h")))
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        parts = hashed.select("row", F.lit(0).alias("k"), F.lit(0).alias("start"), F.lit(0).alias("width"),
-                              F.lit(0).cast("long").alias("h")).where(F.lit(False))
-    counts = staged(parts.groupBy("row", "k", "start", "width", "h").agg(F.count("*").alias("c")), "window-shingles")
+    place = ["row", "k", "start", "width"]
+    held_hits = staged(hits.join(held, ["row", "item_row"]), "held-hits")
+    windows = held_hits.select("row", "_key", "item_row", *place[1:]).distinct()
+
+    # shingles of the windows: brought along by the hits, or read again
+    if bounded or not sizes:
+        parts = held_hits.dropDuplicates(place).select(*place, F.explode_outer("body").alias("h"))
+    else:
+        per_row = windows.groupBy("row").agg(F.collect_set(F.struct("k", "start", "width")).alias("ws"))
+        again = _word_hashes(texts.join(per_row.hint("merge"), "row").dropDuplicates(["row"]), "_text")
+        parts = None
+        for k in sizes:
+            part = (_with_shingles(again, k).select("row", "sh", F.explode("ws").alias("w")).where(F.col("w.k") == k)
+                    .select("row", "w.*", F.explode_outer(
+                        F.slice("sh", F.col("w.start") + 1, F.col("w.width") - (k - 1))).alias("h")))
+            parts = part if parts is None else parts.unionByName(part)
+    counts = staged(parts.groupBy(*place, "h").agg(F.count("*").alias("c")), "window-shingles")
     window_fp = (counts.groupBy("row", "k", "start", "width")
                  .agg(*simhash(F.col("h"), F.col("c")), F.sum("c").alias("size"))
                  .select("row", "k", "start", "width", "size", fingerprint().alias("fp")))
@@ -158,25 +164,25 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                .select("item_row", fingerprint().alias("item_fp")))
 
     # multi-index Hamming join: equal block, then the distance
-    left = (windows.join(window_fp, ["row", "k", "start", "width"])
-            .select("row", "item_row", "k", "start", "width", "size", "fp", blocks(F.col("fp"), radius))
+    left = (windows.join(window_fp, place)
+            .select("row", "_key", "item_row", "k", "start", "width", "size", "fp", blocks(F.col("fp"), radius))
             .select("*", "_b.*").drop("_b"))
     right = (item_fp.select("item_row", "item_fp", blocks(F.col("item_fp"), radius))
              .select("*", "_b.*").drop("_b"))
     near = (left.join(right, ["item_row", "block", "bits"])
             .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-            .select("row", "item_row", "k", "start", "width", "size").distinct())
+            .select("row", "_key", "item_row", "k", "start", "width", "size").distinct())
 
     # exact weighted similarity of the pairs that are left
-    exact = (near.join(counts, ["row", "k", "start", "width"]).join(small(weights), ["item_row", "h"])
-             .groupBy("row", "item_row", "start", "width", "size").agg(F.sum(F.least("c", "w")).alias("n_common"))
+    exact = (near.join(counts, place).join(small(weights), ["item_row", "h"])
+             .groupBy("row", "_key", "item_row", "start", "width", "size").agg(F.sum(F.least("c", "w")).alias("n_common"))
              .join(small(totals), "item_row")
              .withColumn("n_union", F.col("size") + F.col("total") - F.col("n_common"))
              .where(100 * F.col("n_common") >= percent * F.col("n_union")))
     rank = F.struct((F.col("n_common") / F.col("n_union")).alias("s"), (-F.col("start")).alias("p"))
-    best = exact.groupBy("row", "item_row").agg(F.max_by(F.struct("start", "width", "n_common", "n_union"), rank).alias("b"))
+    best = exact.groupBy("row", "_key", "item_row").agg(F.max_by(F.struct("start", "width", "n_common", "n_union"), rank).alias("b"))
     ids = table.select("item_row", F.col("item").alias(item_key)).distinct()
-    return (best.join(named, "row").join(ids, "item_row")
+    return (best.join(ids, "item_row")
             .select("row", F.col("_key").alias(key), item_key, "item_row", F.col("b.start").alias("window_start"),
                     F.col("b.width").alias("window_words"), "b.n_common", "b.n_union"))
 

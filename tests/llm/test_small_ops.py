@@ -133,7 +133,17 @@ def brute_contaminated(texts, items):
     return out
 
 
-def test_contaminated(spark, docs, empty_docs):
+def decontam_rows(rows):
+    from pyspark.sql import Row
+    out = []
+    for r in rows:
+        d = r.asDict()
+        d.pop("item_row")
+        out.append(Row(**d))
+    return out
+
+
+def test_contaminated(spark, docs, empty_docs, monkeypatch):
     r = random.Random(8)
     vocab = ["w%d" % i for i in range(60)]
     items = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([1, 3, 5, 9, 20, 45])))) for i in range(14)]
@@ -150,6 +160,10 @@ def test_contaminated(spark, docs, empty_docs):
     frame = docs(texts, clash=True)
     got = decontam.contaminated(frame, table).collect()
     assert {(x.doc_id, x.item_id) for x in got} == brute_contaminated(texts, items)
+    monkeypatch.setattr(decontam, "MAX_BROADCAST", 0)  # items too many to broadcast
+    assert sorted(decontam.contaminated(frame, table).drop("item_row").collect()) == sorted(
+        x for x in decontam_rows(got))
+    monkeypatch.undo()
     clean = {x.doc_id for x in decontam.clean_documents(frame, table).collect()}
     assert clean == set(range(len(texts))) - {x.doc_id for x in got}
     assert decontam.contaminated(empty_docs, table).count() == 0
