@@ -17,6 +17,8 @@ never shuffled on a hot key without AQE skew splitting available.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from odspark.functions.text import remove_quotes, strip, to_number, zfill
@@ -59,12 +61,24 @@ def _most_frequent(df: DataFrame, key: list, value: str, out: str) -> DataFrame:
             .select(*key, c(value).alias(out)))
 
 
-def route_vote(tgt: DataFrame, ref: DataFrame) -> DataFrame:
+def _match(left: DataFrame, right: DataFrame, key: list, how: str, null_keys: str) -> DataFrame:
+    """Equi-join on ``key``; ``null_keys="match"`` also joins missing keys
+    with each other (as data-frame merges do), ``"drop"`` does not (SQL)."""
+    if null_keys not in ("drop", "match"):
+        raise ValueError(f"null_keys: {null_keys}")
+    if null_keys == "drop":
+        return left.join(right, key, how)
+    r = right.select(*[c(k).alias(f"_r_{k}") if k in key else c(k) for k in right.columns])
+    cond = reduce(lambda x, y: x & y, [c(k).eqNullSafe(c(f"_r_{k}")) for k in key])
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in key])
+
+
+def route_vote(tgt: DataFrame, ref: DataFrame, null_keys: str = "drop") -> DataFrame:
     """K2: per route name, the reference route id sharing the most distinct
     (boarding stop name, seq) pairs; ties go to the smaller id."""
     t = tgt.select("route_name", "board_name", "board_seq_num").distinct()
     r = ref.select("route_id", "board_name", "board_seq_num").distinct()
-    counts = (t.join(r, ["board_name", "board_seq_num"])
+    counts = (_match(t, r, ["board_name", "board_seq_num"], "inner", null_keys)
               .where(c("route_name").isNotNull() & c("route_id").isNotNull())
               .groupBy("route_name", "route_id").agg(F.count(F.lit(1)).alias("matches")))
     w = Window.partitionBy("route_name").orderBy(c("matches").desc(), c("route_id").asc())
@@ -85,17 +99,20 @@ def route_name_vote(tgt: DataFrame, ref: DataFrame) -> DataFrame:
             .select("route_id", "route_name", "matches"))
 
 
-def attach_codes(tgt: DataFrame, ref: DataFrame) -> DataFrame:
+def attach_codes(tgt: DataFrame, ref: DataFrame, null_keys: str = "drop") -> DataFrame:
     """K3: route id by vote, then boarding / alighting standard codes by
-    (route id, seq) from the reference day (whose 9-char ARS is the code)."""
-    routes = route_vote(tgt, ref).drop("matches")
-    bmap = _most_frequent(ref.where(c("board_seq_num").isNotNull()),
+    (route id, seq) from the reference day (whose 9-char ARS is the code).
+    ``null_keys="match"``: a missing seq takes the code of the route's
+    missing seq, as the original's merges do."""
+    routes = route_vote(tgt, ref, null_keys).drop("matches")
+    known = (lambda n: F.lit(True)) if null_keys == "match" else (lambda n: c(n).isNotNull())
+    bmap = _most_frequent(ref.where(known("board_seq_num")),
                           ["route_id", "board_seq_num"], "board_ars", "board_code")
-    amap = _most_frequent(ref.where(c("alight_seq_num").isNotNull()),
+    amap = _most_frequent(ref.where(known("alight_seq_num")),
                           ["route_id", "alight_seq_num"], "alight_ars", "alight_code")
-    return (tgt.join(routes, "route_name", "left")
-            .join(bmap, ["route_id", "board_seq_num"], "left")
-            .join(amap, ["route_id", "alight_seq_num"], "left"))
+    out = tgt.join(routes, "route_name", "left")
+    out = _match(out, bmap, ["route_id", "board_seq_num"], "left", null_keys)
+    return _match(out, amap, ["route_id", "alight_seq_num"], "left", null_keys)
 
 
 def _mode_map(side: DataFrame, key: str, code: str) -> DataFrame:
@@ -175,13 +192,14 @@ def fill_codes(df: DataFrame, fill_stages: int = 3) -> DataFrame:
     return known.unionByName(filled)
 
 
-def enrich_od(target_raw: DataFrame, reference_raw: DataFrame, fill_stages: int = 3) -> DataFrame:
+def enrich_od(target_raw: DataFrame, reference_raw: DataFrame, fill_stages: int = 3,
+              null_keys: str = "drop") -> DataFrame:
     """K1..K8. ``fill_stages``: 1 = by ARS, 2 = + by stop name,
     3 = + across ends (alighting from boarding first, then boarding from the
     updated alighting). Output: the 12 columns, all text."""
     tgt = normalise_target(target_raw)
     ref = normalise_reference(reference_raw)
-    df = attach_codes(tgt, ref)
+    df = attach_codes(tgt, ref, null_keys)
     df = df.withColumn("board_ars", zfill("board_ars")).withColumn("alight_ars", zfill("alight_ars"))
     df = df.select(*[c(n).cast("string").alias(n) for n in OUT_COLUMNS])
     # staged once: the fill cascade reads these rows three times (two side

@@ -9,7 +9,9 @@ from odspark.operators import correct as cr
 from odspark.operators import lookup as lk
 from odspark.plans import oracle_correct as OC
 from odspark.plans.registry import T, register
-from odspark.session import cut_lineage
+from odspark.functions.text import missing_to_null, to_number
+from odspark.session import cut_lineage, staged_path
+from odspark.sources import io
 from odspark.sources.fixtures import oracle_with
 
 # prefixes of group 1: each step seen on the data it meets in the chain
@@ -214,18 +216,58 @@ def null_alight_codes(spark, sf_dir):
 
 
 # F5 / F6 in batch form: the request table holds every key present in the data
-@register("by_board_ars", lambda: oracle_with("od")
-          + "SELECT * FROM od WHERE board_ars IN (SELECT DISTINCT board_ars FROM od)")
+# the looked-up keys come from the data: busy boarding stops, and routes with far stops
+BUSY_RIDERS, FAR_SEQ = 200, 100
+
+
+@register("by_board_ars", lambda: oracle_with("od") + f"""
+SELECT * FROM od SEMI JOIN (
+  SELECT board_ars FROM od GROUP BY board_ars HAVING SUM(riders) > {BUSY_RIDERS}) busy USING (board_ars)""")
 def by_board_ars(spark, sf_dir):
     od = T(spark, sf_dir).od()
-    return lk.by_board_ars(od, od.select("board_ars").distinct())
+    busy = od.groupBy("board_ars").agg(F.sum("riders").alias("n")).where(F.col("n") > BUSY_RIDERS)
+    return lk.by_board_ars(od, busy.select("board_ars"))
 
 
-@register("by_route", lambda: oracle_with("od")
-          + "SELECT * FROM od WHERE route_name IN (SELECT DISTINCT route_name FROM od)")
+@register("by_route", lambda: oracle_with("od") + f"""
+SELECT * FROM od SEMI JOIN (SELECT DISTINCT route_name FROM od WHERE board_seq > {FAR_SEQ}) far USING (route_name)""")
 def by_route(spark, sf_dir):
     od = T(spark, sf_dir).od()
-    return lk.by_route(od, od.select("route_name").distinct())
+    return lk.by_route(od, od.where(F.col("board_seq") > FAR_SEQ).select("route_name"))
+
+
+# --------------------------------------------------------------------------
+# The date-partitioned store, written and read back for two dates
+STORE_DATES = ["20231017", "20251014"]
+
+
+@register("od_store_dates", lambda: oracle_with("od")
+          + f"SELECT * FROM od WHERE service_date IN ('{STORE_DATES[0]}', '{STORE_DATES[1]}')")
+def od_store_dates(spark, sf_dir):
+    path = staged_path(spark, "od-store")
+    io.write_od(T(spark, sf_dir).od(), path)
+    return io.read_od(spark, path, STORE_DATES)
+
+
+# --------------------------------------------------------------------------
+# Text as raw files hold it; missing tokens and strict numbers
+def _raw_text(col: str) -> str:
+    return f"""CASE l_orderkey % 9 WHEN 0 THEN 'NULL' WHEN 1 THEN 'nan' WHEN 2 THEN concat({col}, 'd') WHEN 3 THEN ''
+  WHEN 4 THEN concat(' ', {col}, ' ') WHEN 5 THEN concat({col}, 'e2') WHEN 6 THEN concat('-', {col}, '.50')
+  WHEN 7 THEN 'Infinity' ELSE {col} END"""
+
+
+RAW_SQL = f"""SELECT l_orderkey, l_linenumber, l_partkey, {_raw_text('CAST(l_partkey AS VARCHAR(12))')} AS raw FROM lineitem"""
+
+
+@register("raw_text_numbers", lambda: f"""
+SELECT l_orderkey, l_linenumber, CASE WHEN raw NOT IN ('', 'NULL', 'nan') THEN raw END AS kept,
+       CASE l_orderkey % 9 WHEN 4 THEN l_partkey WHEN 5 THEN l_partkey * 100.0 WHEN 6 THEN -l_partkey - 0.5
+         WHEN 8 THEN l_partkey END AS number
+FROM ({RAW_SQL}) r""".replace(" END AS number", " END::DOUBLE AS number"))
+def raw_text_numbers(spark, sf_dir):
+    raw = spark.sql(RAW_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=T(spark, sf_dir).raw("lineitem"))
+    return raw.select("l_orderkey", "l_linenumber", missing_to_null("raw").alias("kept"), to_number("raw").alias("number"))
 
 
 # --------------------------------------------------------------------------

@@ -55,19 +55,11 @@ def _load_all() -> None:
     from odspark.plans import queries_forecast  # noqa: F401
 
 
-_TABLES: dict[tuple, Tables] = {}
-
-
 def T(spark: SparkSession, sf_dir: str) -> Tables:
-    """Fixture tables, shared by all queries of one session and directory."""
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # Spark Connect
-        app = spark.conf.get("spark.app.id", "")
-    key = (id(spark), app, sf_dir.rstrip("/"))
-    if key not in _TABLES:
-        _TABLES[key] = Tables(spark, sf_dir)
-    return _TABLES[key]
+    """Fixture tables, shared by all queries of one session and directory.
+    They live on the session object and go with it."""
+    held = spark.__dict__.setdefault("_odspark_tables", {})
+    return held.setdefault(sf_dir.rstrip("/"), Tables(spark, sf_dir))
 
 
 @register("congestion_by_route", O.q_congestion_by_route)

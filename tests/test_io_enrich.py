@@ -183,3 +183,25 @@ def test_enrich_job_end_to_end(spark, tmpdir_path):
     expected = E.queries()["null_report"](spark, "/root/testdata/sf0.001").first().asDict()
     assert rep == expected
     assert io.read_od(spark, os.path.join(tmpdir_path, "od")).count() == rep["total_rows"]
+
+
+def test_missing_keys_match_on_request(spark):
+    cols = "route_name string, board_name string, board_seq string, alight_name string, alight_seq string"
+    tgt = en.normalise_target(spark.createDataFrame([("A", "S", None, "T", "2"), ("A", "S", "1", "T", None)], cols))
+    ref = en.normalise_reference(spark.createDataFrame(
+        [("7", "S", "1", "c1", "T", "2", "c2"), ("7", "S", None, "c0", "T", None, "c9")],
+        "route_id string, board_name string, board_seq string, board_ars string, alight_name string, "
+        "alight_seq string, alight_ars string"))
+    drop = {(r.board_seq, r.board_code, r.alight_code) for r in en.attach_codes(tgt, ref).collect()}
+    match = {(r.board_seq, r.board_code, r.alight_code) for r in en.attach_codes(tgt, ref, "match").collect()}
+    assert drop == {(None, None, "c2"), ("1", "c1", None)}
+    assert match == {(None, "c0", "c2"), ("1", "c1", "c9")}
+
+
+def test_raw_csv_missing_tokens_and_numbers(spark, tmpdir_path):
+    from odspark.functions.text import to_number
+    p = os.path.join(tmpdir_path, "raw.csv")
+    with open(p, "w") as f:
+        f.write("a,b\nNULL,1\nnan,1d\nN/A,2f\nx, 3.5 \n,1e3\n")
+    rows = io.read_raw_csv(spark, p).select("a", to_number("b").alias("b")).collect()
+    assert sorted(rows, key=str) == sorted([(None, 1.0), (None, None), (None, None), ("x", 3.5), (None, 1000.0)], key=str)
