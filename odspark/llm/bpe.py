@@ -1,13 +1,14 @@
 """Byte-pair encoding of whole texts through the tokenizers library, with a memo.
 
-A text is cut where no token of the given tokenizer can reach across; every
-distinct piece goes through the library once per worker and its ids are kept
-in a bounded memo. The result equals encoding the whole text in one call.
+A text is cut where no token of the given tokenizer can reach across. The
+pieces of some megabytes of texts are told apart by 64-bit hashes, so only
+distinct pieces are looked at one by one; each goes through the library once
+per worker and its ids are kept in a bounded memo. The texts' ids are then
+gathered from those of the distinct pieces. The result equals encoding each
+whole text in one call.
 
 Plain pieces (letters) are sent many to a call, with the digit 0 between them:
-digits and letters never share a token, so the 0's id marks the borders. A
-piece that ends in one punctuation mark behind a letter is put together from
-its two parts, which the pre-tokenizers keep apart as well.
+digits and letters never share a token, so the 0's id marks the borders.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from odspark.llm import rolling as R
+
 MEMO_ENTRIES = 800_000
 _LONGEST = 64
 _BATCH = 4 << 20
@@ -32,16 +35,45 @@ assert array("I").itemsize == 4 and sys.byteorder == "little"
 # ASCII and Latin letters: composed forms, none of them a number
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(f" ?[{_LETTERS}]+")
-_TAILED = re.compile(f"( ?[{_LETTERS}]+)([.,;:!?])")
-_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-_ODD_SPACES = [p for c in _SPACES for p in {c + " ", " " + c}]
-_ODD_ASCII = [p for p in _ODD_SPACES if p.isascii()]
-
-
-def _odd_spaces(text: str) -> bool:
-    """Whether some space stands next to white space or at an end of the text."""
-    return (text[0].isspace() or text[-1].isspace()
-            or any(p in text for p in (_ODD_ASCII if text.isascii() else _ODD_SPACES)))
+# ASCII characters that some definition of white space counts
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+# first two bytes of other white space, and the bytes before its last one
+_WIDE_SECOND = {0xC2: (0x85, 0xA0), 0xE1: (0x9A,), 0xE2: (0x80, 0x81), 0xE3: (0x80,)}
+_BEFORE_LAST = np.isin(np.arange(256), (0xC2, 0x9A, 0x80, 0x81))
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.isin(np.arange(256), list(b".,;:!?"))
+
+
+def _marks_behind_letters(data: np.ndarray) -> np.ndarray:
+    """Positions of punctuation marks behind an ASCII or Latin-1 letter: every
+    pre-tokenizer here ends a run of letters before them."""
+    at = np.flatnonzero(_MARK[data])
+    at = at[at > 1]
+    before, before2 = data[at - 1], data[at - 2]
+    latin = (before2 == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+    return at[_LETTER[before] | latin]
+
+
+def _cut_at_single_spaces(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Starts of pieces: of each text; every space and line break between two
+    characters none of which may be white space, and what follows the break."""
+    at = np.flatnonzero((data == 32) | (data == 10))
+    first, last = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    full = off[:-1] < off[1:]
+    first[off[:-1][full]] = True
+    last[off[1:][full] - 1] = True
+    at = at[~(first[at] | last[at])]
+    padded = np.concatenate((np.zeros(2, np.uint8), data, np.zeros(2, np.uint8)))
+    before2, before, after, after2 = (padded[at + k] for k in (0, 1, 3, 4))
+    odd = _SPACE[before] | _SPACE[after] | ((before >= 0x80) & _BEFORE_LAST[before2])
+    for head, seconds in _WIDE_SECOND.items():
+        odd |= (after == head) & np.isin(after2, seconds)
+    at = at[~odd]
+    return np.concatenate((off[:-1][full], at, at[data[at] == 10] + 1))
 
 
 class MemoEncoder:
@@ -49,32 +81,30 @@ class MemoEncoder:
 
     ``spaces`` says how the pre-tokenizer treats white space: ``dropped`` (no
     token holds any; cut at every ASCII space) or ``leading`` (a single space
-    between two other characters belongs to the word behind it; cut before
-    it, leave any other white space inside its piece)."""
+    between two other characters belongs to the word behind it, a single line
+    break stands alone; cut there, leave any other white space inside its
+    piece). Both kinds cut before punctuation behind a letter."""
 
     def __init__(self, path: str, spaces: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaces = spaces
-        self.memo: dict[bytes | str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
         self.border = self.tokenizer.encode("0", add_special_tokens=False).ids
         assert len(self.border) == 1
 
-    def _pieces(self, text: bytes) -> list:
+    def _pieces(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and text of each piece."""
+        marks = _marks_behind_letters(data)
         if self.spaces == "dropped":
-            return text.split()  # of bytes: the six ASCII spaces only
-        text = text.decode()
-        parts = text.split(" ")
-        if not _odd_spaces(text):
-            return parts[:1] + [" " + p for p in parts[1:]]
-        out = [parts[0]]
-        for before, p in zip(parts, parts[1:]):
-            if not before or not p or before[-1].isspace() or p[0].isspace():
-                out[-1] += " " + p
-            else:
-                out.append(" " + p)
-        return out
+            start, end, _ = R.words(data, off)
+            start, end = np.sort(np.concatenate((start, marks))), np.sort(np.concatenate((end, marks)))
+        else:
+            start = np.unique(np.concatenate((_cut_at_single_spaces(data, off), marks)))
+            # a mark that opens a text is no letter's neighbour there: its text starts anyway
+            end = np.append(start[1:], len(data))
+        return start, end, np.searchsorted(off, start, "right") - 1
 
     def _plain_ids(self, pieces: list[str]) -> list[bytes]:
         """ids of pieces of letters, many to a call."""
@@ -94,57 +124,56 @@ class MemoEncoder:
                 a = b + 1
         return out
 
-    def _learn(self, new: set) -> None:
-        memo, text = self.memo, (lambda p: p.decode()) if self.spaces == "dropped" else (lambda p: p)
-        back = (lambda s: s.encode()) if self.spaces == "dropped" else (lambda s: s)
-        plain, other, tailed = [], [], []
+    def _learn(self, new: list[bytes]) -> None:
+        plain, other = [], []
         for p in new:
-            s = text(p)
-            if _PLAIN.fullmatch(s):
-                plain.append(s)
-            elif m := _TAILED.fullmatch(s):
-                tailed.append((p, m[1], m[2]))
-            else:
-                other.append(s)
-        known = set(plain)
-        for _, head, _ in tailed:
-            if head not in known and back(head) not in memo:
-                known.add(head)
-                plain.append(head)
-        for s, ids in zip(plain, self._plain_ids(plain)):
-            memo[back(s)] = ids
-        for s, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False) if other else ()):
-            memo[back(s)] = array("I", e.ids).tobytes()
-        marks = {}
-        for p, head, mark in tailed:
-            if mark not in marks:
-                marks[mark] = array("I", self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes()
-            memo[p] = memo[back(head)] + marks[mark]
-
-    def encode_many(self, texts: list[bytes | None]) -> list[bytes]:
-        """ids of each UTF-8 text; new pieces of all texts are learnt together."""
-        cut = [self._pieces(t) if t else () for t in texts]
-        memo = self.memo
-        every = set().union(*cut)
-        new = every.difference(memo)
+            s = p.decode()
+            (plain if _PLAIN.fullmatch(s) else other).append((p, s))
+        for (p, _), ids in zip(plain, self._plain_ids([s for _, s in plain])):
+            self.memo[p] = ids
+        if other:
+            for (p, _), e in zip(other, self.tokenizer.encode_batch([s for _, s in other], add_special_tokens=False)):
+                self.memo[p] = array("I", e.ids).tobytes()
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """ids of distinct pieces, learning the new ones."""
+        found = list(map(self.memo.get, pieces))
+        new = [p for p, ids in zip(pieces, found) if ids is None]
         if new:
-            if len(memo) + len(new) > MEMO_ENTRIES:
-                memo.clear()
-                new = every
+            if len(self.memo) + len(new) > MEMO_ENTRIES:
+                self.memo.clear()
+                new = pieces
             self._learn(new)
-        out = [b"".join(map(memo.__getitem__, pieces)) for pieces in cut]
-        for p in [p for p in new if len(p) > _LONGEST]:
-            del memo[p]
-        return out
+            found = [self.memo[p] for p in pieces]
+            for p in [p for p in new if len(p) > _LONGEST]:
+                del self.memo[p]
+        return found
 
     def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
-        """ids of each text of an Arrow column, a few megabytes at a time."""
-        step = max(1, _BATCH // (texts.nbytes // max(1, len(texts)) + 1))
-        for a in range(0, len(texts), step):
-            yield from self.encode_many(texts.slice(a, step).cast(pa.binary()).to_pylist())
+        """ids of each text of an Arrow column, some megabytes at a time."""
+        data, off = R.text_bytes(texts)
+        for i, j in R.slices(off, _BATCH):
+            yield from self._encode(data[off[i]:off[j]], off[i:j + 1] - off[i])
+
+    def _encode(self, data: np.ndarray, off: np.ndarray) -> Iterator[bytes]:
+        start, end, doc = self._pieces(data, off)
+        raw = data.tobytes()
+        _, one, which = np.unique(R.word_hashes(data, start, end), return_index=True, return_inverse=True)
+        ids = self._ids([raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())])
+        size = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        n = size[which]
+        stop = np.cumsum(n)
+        begin = (np.cumsum(size) - size)[which]
+        out = flat[np.repeat(begin - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)].tobytes()
+        total = np.zeros(len(off) - 1, np.int64)
+        np.add.at(total, doc, n)
+        ends = 4 * np.cumsum(total)
+        for a, b in zip((ends - 4 * total).tolist(), ends.tolist()):
+            yield out[a:b]
 
     def encode(self, text: str | None) -> bytes:
-        return self.encode_many([(text or "").encode()])[0]
+        return next(self.encode_column(pa.array([text], pa.string())))
 
 
 @lru_cache(maxsize=4)
