@@ -24,7 +24,7 @@ import pyarrow as pa
 
 from odspark.llm import rolling as R
 
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 500_000
 _LONGEST = 64
 _BATCH = 4 << 20
 _PER_CALL = 256
@@ -176,7 +176,8 @@ class MemoEncoder:
         return next(self.encode_column(pa.array([text], pa.string())))
 
 
-@lru_cache(maxsize=4)
+@R.keeps_memo
+@lru_cache(maxsize=2)
 def encoder(path: str, spaces: str) -> MemoEncoder:
     import os
 

@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from odspark.llm.staging import text_volume
 
 CHUNK, KEY, ROW = "_chunk", "_doc", "_row"
-MIN_CHUNK, MAX_CHUNK = 8 << 20, 64 << 20
+MIN_CHUNK, MAX_CHUNK = 4 << 20, 64 << 20
 SMALLEST = -(1 << 63)
 
 
 def chunk_bytes(volume: int) -> int:
     """Chunks grow with the square root of the data, within fixed bounds."""
-    return int(min(MAX_CHUNK, max(MIN_CHUNK, math.sqrt(volume * (64 << 10)))))
+    return int(min(MAX_CHUNK, max(MIN_CHUNK, math.sqrt(volume * (16 << 10)))))
 
 
 def _key(key: str):

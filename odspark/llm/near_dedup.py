@@ -54,6 +54,7 @@ _ADD = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 
 def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, shingle hash) of all distinct shingles, in order of document and hash."""
+    R.drop_memos()
     data = R.lower_ascii(data)
     s, e, doc = R.words(data, off)
     wh = R.word_hashes(data, s, e)

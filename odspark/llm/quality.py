@@ -68,6 +68,7 @@ def line_hashes(lines: list[str]) -> np.ndarray:
 
 
 def _slice_stats(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
+    R.drop_memos()
     n = len(off) - 1
     s, e, doc = R.words(data, off)
     h = R.byte_prefix(data)

@@ -89,6 +89,22 @@ def byte_span(h: np.ndarray, start, end, which: int = 0) -> np.ndarray:
     return mix(span(h, start, end, _BASES[which]) + (end - start).astype(_U) * _U(0x632BE59BD9B4E019))
 
 
+_MEMOS: list = []
+
+
+def keeps_memo(cached):
+    """Mark a cached constructor whose object grows while tasks of one operator run."""
+    _MEMOS.append(cached)
+    return cached
+
+
+def drop_memos() -> None:
+    """Free what earlier operators left in this Python worker, which Spark uses again."""
+    for cached in _MEMOS:
+        if cached.cache_info().currsize:
+            cached.cache_clear()
+
+
 def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of an Arrow string or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

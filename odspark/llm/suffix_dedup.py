@@ -56,6 +56,7 @@ class _Runs:
     FIELDS = ("doc", "start", "n", "anchor", "gram", "cls")
 
     def __init__(self, data: np.ndarray, off: np.ndarray, length: int, gram: int):
+        R.drop_memos()
         self.length, self.size = length, gram
         parts = []
         for i, j in R.slices(off):

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from odspark.llm import rolling as R
+
 UNKNOWN_PENALTY = 10.0
 MEMO_ENTRIES = 400_000
 _SEGMENT = re.compile("▁+[^▁]*")
@@ -113,6 +115,7 @@ class UnigramCounter:
         return total
 
 
+@R.keeps_memo
 @lru_cache(maxsize=2)
 def _counter(model_path: str) -> UnigramCounter:
     return UnigramCounter(load_vocabulary(model_path))

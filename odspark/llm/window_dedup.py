@@ -36,13 +36,14 @@ from odspark.llm import rolling as R
 from odspark.llm.chunked import CHUNK, KEY, chunk_documents, ordered, pack, unpack
 
 WORDS = 13
-HASHES_PER_RANGE = 1_500_000
+HASHES_PER_RANGE = 800_000
 
 
 class _Windows:
     """Window hashes of one chunk, with the documents they start in."""
 
     def __init__(self, table: pa.Table, text: str, k: int):
+        R.drop_memos()
         self.table = ordered(table, text)
         self.docs = self.table.column(KEY).to_numpy()
         self.data, self.off = R.text_bytes(self.table.column(text))
@@ -58,14 +59,14 @@ class _Windows:
         self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         self.row = np.concatenate(doc) if doc else np.empty(0, np.int32)
         # rows are in order of id: the first row with a hash has its smallest id
-        self.order = np.argsort(self.hashes, kind="stable")
+        self.order = np.argsort(self.hashes, kind="stable").astype(np.int32)
         sorted_h = self.hashes[self.order]
         new = np.ones(len(sorted_h), bool)
         new[1:] = sorted_h[1:] != sorted_h[:-1]
         self.starts = np.flatnonzero(new)
         self.distinct = sorted_h[self.starts]
         self.first = self.row[self.order[self.starts]]
-        self.nth = np.cumsum(new) - 1  # distinct index of each sorted hash
+        self.nth = np.cumsum(new, dtype=np.int32) - 1  # distinct index of each sorted hash
 
 
 def _ranges(distinct: np.ndarray, bits: int) -> np.ndarray:
@@ -94,6 +95,7 @@ def remove_repeats(docs: DataFrame, k: int = WORDS, key: str = "doc_id", text: s
             if out else sent.empty_table()
 
     def judge(table: pa.Table) -> pa.Table:
+        R.drop_memos()
         got = table.to_pydict()
         hashes = [np.cumsum(unpack(h, np.uint64), dtype=np.uint64) for h in got["hashes"]]
         first = [np.cumsum(unpack(d, np.int64))[unpack(w, np.uint32)] for d, w in zip(got["docs"], got["who"])]
