@@ -47,10 +47,13 @@ def _od_scans(plan: str) -> int:
     return sum(1 for s in scans if "board_ars#" in s and "alight_ars#" in s)
 
 
-def test_map_markers_two_od_scans(spark):
-    # congestion once (network max is a window, not a second aggregate) + the payload once
+def test_map_markers_scan_and_no_window_per_date(spark):
+    # the congestion rows are staged once; what is left reads the OD fact for the payload only
     plan = plan_of(E.queries()["map_markers"](spark, SF))
-    assert _od_scans(plan) == 2
+    assert _od_scans(plan) == 1
+    for name in ("map_markers", "map_segments", "network_congestion", "stop_density"):
+        plan = plan_of(E.queries()[name](spark, SF))
+        assert not re.search(r"windowspecdefinition\(service_date#\d+, (?!route_name)", plan), name
 
 
 def test_null_fill_splits_on_pushed_null_filter(spark):
