@@ -10,9 +10,8 @@ similarity is the sum of smaller weights over the sum of larger ones.
    are first matched shingle by shingle with the items; a document goes on only
    if it holds enough of an item's shingles anywhere. Every match gives a
    window: the item laid so that the two shingles coincide, moved inside the
-   document. This drops no window that could verify as the best one around it.
-   A match carries the shingle hashes of its window, so the texts are read
-   once and never shuffled.
+   document. A match carries the shingle hashes of its window, so the texts are
+   read once and never shuffled.
 2. Each window gets a 64-bit SimHash of its weighted shingles.
 3. Multi-index blocks: fingerprints within ``radius`` bits agree in at least one
    of ``radius + 1`` blocks (pigeonhole), so an equi-join on blocks finds every
@@ -20,6 +19,11 @@ similarity is the sum of smaller weights over the sum of larger ones.
    fingerprints differ in 11 bits on average with a standard deviation of 3;
    the radius of 26 leaves out less than one in a million.
 4. The exact similarity of the remaining pairs decides.
+5. An item whose parts stand in another order has its best window between the
+   laid ones. So pairs of step 1 that no laid window confirms are judged at
+   every window start, exactly and in one pass over their matches
+   (``sliding_best``). The verdict is that of all windows; the window shown is
+   the best laid one, or the best of all when no laid one verifies.
 
 Only DataFrame functions are used. The table of item shingles is broadcast
 after its rows are counted (MAX_BROADCAST); beyond that it is shuffled.
@@ -34,7 +38,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odspark.llm.staging import staged
@@ -101,6 +105,29 @@ def blocks(fp: Column, radius: int) -> Column:
         for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])).alias("_b")
 
 
+def sliding_best(matches: DataFrame, weights: DataFrame, small) -> DataFrame:
+    """The window of most common weight, and its lowest start, over all window starts of each pair.
+
+    matches(row, _key, item_row, k, i, h, words, width). A shingle at i counts in
+    the windows that hold it but not as many equal ones before it as the item has:
+    an interval of starts. So the common weight by start is a running sum over the
+    interval ends, which rises at interval starts only."""
+    pair = ["row", "_key", "item_row", "k", "words", "width"]
+    seen = (matches.groupBy(*pair, "h").agg(F.sort_array(F.collect_set("i")).alias("at"))
+            .join(small(weights), ["item_row", "h"]))
+    first = lambda i, x: F.greatest(F.lit(0), i - (F.col("width") - F.col("k")),
+                                    F.coalesce(F.get("at", x - F.col("w").cast("int")) + 1, F.lit(0)))
+    spans = seen.select(*pair, F.explode(F.transform("at", lambda i, x: F.struct(first(i, x).alias("a"), i.alias("b")))).alias("s"))
+    steps = (spans.select(*pair, F.explode(F.array(F.struct(F.col("s.a").alias("at"), F.lit(1).alias("d")),
+                                                   F.struct((F.col("s.b") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e"))
+             .groupBy(*pair, F.col("e.at").alias("start")).agg(F.sum("e.d").alias("d")))
+    common = F.sum("d").over(Window.partitionBy(*pair).orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
+    return (steps.withColumn("n_common", common).where(F.col("start") <= F.col("words") - F.col("width"))
+            .groupBy(*pair).agg(F.max(F.struct("n_common", (-F.col("start")).alias("p"))).alias("m"))
+            .select("row", "_key", "item_row", (-F.col("m.p")).alias("start"), "width",
+                    (F.col("width") - (F.col("k") - 1)).cast("long").alias("size"), F.col("m.n_common").alias("n_common")))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
                  item_key: str = "item_id", item_text: str = "text", shingle: int = SHINGLE,
                  percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
@@ -122,13 +149,13 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         part = (_with_shingles(base, k)
                 .select("row", "_key", "sh", F.size("wh").alias("words"), F.posexplode_outer("sh").alias("i", "h")))
         part = (part if bounded else part.drop("sh")).join(small(own), "h").select(
-            "row", "_key", "item_row", F.lit(k).alias("k"), "i", "h", start.alias("start"), width.alias("width"),
+            "row", "_key", "item_row", F.lit(k).alias("k"), "i", "h", "words", start.alias("start"), width.alias("width"),
             *([F.slice("sh", start + 1, width - (k - 1)).alias("body")] if bounded else []))
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         hits = docs.sparkSession.createDataFrame(
             [], f"row long, _key {docs.schema[key].dataType.simpleString()}, item_row long, k int, i int, h long, "
-                "start int, width int, body array<long>")
+                "words int, start int, width int, body array<long>")
     hits = staged(hits, "hits")
 
     # an item's weight by shingle, and its total
@@ -174,11 +201,17 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
             .select("row", "_key", "item_row", "k", "start", "width", "size").distinct())
 
     # exact weighted similarity of the pairs that are left
-    exact = (near.join(counts, place).join(small(weights), ["item_row", "h"])
-             .groupBy("row", "_key", "item_row", "start", "width", "size").agg(F.sum(F.least("c", "w")).alias("n_common"))
-             .join(small(totals), "item_row")
-             .withColumn("n_union", F.col("size") + F.col("total") - F.col("n_common"))
-             .where(100 * F.col("n_common") >= percent * F.col("n_union")))
+    verified = lambda pairs: (pairs.join(small(totals), "item_row")
+                              .withColumn("n_union", F.col("size") + F.col("total") - F.col("n_common"))
+                              .where(100 * F.col("n_common") >= percent * F.col("n_union")).drop("total"))
+    laid = staged(verified(near.join(counts, place).join(small(weights), ["item_row", "h"])
+                           .groupBy("row", "_key", "item_row", "start", "width", "size")
+                           .agg(F.sum(F.least("c", "w")).alias("n_common"))), "laid")
+
+    # every window start of the pairs that no laid window confirms
+    rest = held_hits.select("row", "_key", "item_row", "k", "i", "h", "words", "width").join(
+        laid.select("row", "item_row").distinct(), ["row", "item_row"], "left_anti")
+    exact = laid.unionByName(verified(sliding_best(rest, weights, small)))
     rank = F.struct((F.col("n_common") / F.col("n_union")).alias("s"), (-F.col("start")).alias("p"))
     best = exact.groupBy("row", "_key", "item_row").agg(F.max_by(F.struct("start", "width", "n_common", "n_union"), rank).alias("b"))
     ids = table.select("item_row", F.col("item").alias(item_key)).distinct()

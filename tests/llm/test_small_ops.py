@@ -185,3 +185,27 @@ def test_hamming_blocks_find_all_within_radius(spark):
     x = d.select("id", decontam.blocks(F.col("a"), decontam.RADIUS))
     y = d.select("id", decontam.blocks(F.col("b"), decontam.RADIUS))
     assert x.join(y, ["id", "_b"]).select("id").distinct().count() == len(pairs)
+
+
+def test_contaminated_by_items_in_another_order(spark, docs):
+    """Halves swapped, parts reversed, repeated words: the best window lies between the laid ones."""
+    r = random.Random(12)
+    items, texts = [], []
+    for i, (n, cuts) in enumerate([(100, [50]), (60, [30]), (200, [160]), (100, [25, 50, 75]), (40, [20]), (30, [10])]):
+        words = [f"i{i}w{k}" if k % 9 else "_" for k in range(n)]
+        items.append((i, " ".join(words)))
+        parts = [words[a:b] for a, b in zip([0, *cuts], [*cuts, n])][::-1]
+        moved = [w for p in parts for w in p]
+        pad = [f"pad{k}" for k in range(r.randrange(40, 90))]
+        texts += [" ".join(pad + moved + pad), " ".join(moved), " ".join(pad + moved), " ".join(moved[:n // 2] + pad + moved[n // 2:])]
+    items.append((9, "_ _ _ _ _ _ _ _ " + " ".join(f"x{k}" for k in range(30))))
+    texts.append(" ".join([f"x{k}" for k in range(30)] + ["_"] * 8 + ["_", "end"]))
+    got = decontam.contaminated(docs(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_contaminated(texts, items)
+    assert {(x.doc_id, x.item_id) for x in got} == want and len(want) >= 10
+    for x in got:  # the figures are those of the window shown
+        w, item = texts[x.doc_id].split(), dict(items)[x.item_id].split()
+        have, need = [Counter(tuple(t[a:a + 5]) for a in range(len(t) - 4))
+                      for t in (w[x.window_start:x.window_start + x.window_words], item)]
+        common = sum((have & need).values())
+        assert (x.n_common, x.n_union) == (common, sum(have.values()) + sum(need.values()) - common)
