@@ -209,3 +209,13 @@ def test_contaminated_by_items_in_another_order(spark, docs):
                       for t in (w[x.window_start:x.window_start + x.window_words], item)]
         common = sum((have & need).values())
         assert (x.n_common, x.n_union) == (common, sum(have.values()) + sum(need.values()) - common)
+
+
+def test_heavy_shingles_do_not_hide_the_laid_window(spark, docs):
+    """A run of one word swings all bits of a fingerprint; the similarity stays 120 of 156."""
+    items = [(i, " ".join([f"q{i}w{k}" for k in range(124)] + [f"_{i}"] * 18)) for i in range(12)]
+    texts = [" ".join([f"pad{k}" for k in range(40)] + [f"q{i}w{k}" for k in range(124)] + [f"={i}"] * 18
+                      + [f"pad{k}" for k in range(40)]) for i in range(12)]
+    got = decontam.contaminated(docs(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.item_id, x.window_start, x.n_common, x.n_union) for x in got) == [
+        (i, i, 40, 120, 156) for i in range(12)]
