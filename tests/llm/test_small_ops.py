@@ -67,6 +67,18 @@ def test_components_on_paths_and_stars(spark):
     assert got[400] == got[401] == 400 and 300 not in got
 
 
+def test_components_on_shuffled_paths(spark):
+    from odspark.llm.components import components
+    r = random.Random(3)
+    edges = []
+    for k, n in enumerate((1200, 300)):
+        nodes = list(range(10_000 * k, 10_000 * k + n))
+        r.shuffle(nodes)
+        edges += list(zip(nodes, nodes[1:]))
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: i // 10_000 * 10_000 for i in [*range(1200), *range(10_000, 10_300)]}
+
+
 def brute_conversations(rows):
     out = {}
     for conv in {r[0] for r in rows}:
