@@ -9,8 +9,9 @@ allow rule always decides its own url first: a block never overrides it, and
 it does not lift the block of other members.
 
 Edges are read from the page itself (``<link rel="canonical">``, ``<meta
-http-equiv="refresh">``, ``og:url``) and may be given as a table (redirect
-logs). Components are found by min-label hooking with pointer jumping over
+http-equiv="refresh">``, ``og:url``; every one of them) and may be given as a
+table (redirect logs). Targets are resolved against the page's url (``<base>``
+is not read), ``&amp;`` is decoded, and urls meet with scheme and host lower-cased. Components are found by min-label hooking with pointer jumping over
 written tables, restricted to urls that have an edge; a page without links
 costs no shuffle.
 
@@ -36,6 +37,7 @@ RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 MAX_RULES = 10_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ORIGIN = r"(?s)^(.*?://[^/?#]*)"
 _CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _OG_URL = r"(?is)<meta\b(?=[^>]*\bproperty\s*=\s*[\"']?og:url\b)[^>]*\bcontent\s*=\s*[\"']?([^\"'\s>]+)"
 _REFRESH = (r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)"
@@ -86,14 +88,44 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
     return best["action"], best["rule"]
 
 
+def node_key(url: Column) -> Column:
+    """The url with scheme and host lower-cased: pages and targets meet under it."""
+    origin = F.regexp_extract(url, _ORIGIN, 1)
+    return F.concat(F.translate(origin, _UPPER, _LOWER), F.substring(url, F.length(origin) + 1, F.length(url)))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that starts with ``/`` without its ``.`` and ``..`` segments."""
+    parts = F.split(F.regexp_replace(path, r"/(\.\.?)$", "/$1/"), "/")
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), lambda acc, x: (
+        F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc)
+        .otherwise(F.concat(acc, F.array(x)))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolve(target: Column, page: Column) -> Column:
+    """The absolute url of a link target on a page; null for the page itself, other schemes or a page without ``://``."""
+    t = F.replace(target, F.lit("&amp;"), F.lit("&"))
+    origin, at = F.regexp_extract(page, _ORIGIN, 1), url_path(page)
+    path = F.regexp_extract(t, r"(?s)^([^?#]*)", 1)
+    rest = F.substring(t, F.length(path) + 1, F.length(t))
+    folder = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(at, r"[^/]*$", ""), r"^/", ""))
+    return (F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(t.rlike(r"^[^:/?#]+://"), t))
+            .when((F.length(t) == 0) | t.startswith("#") | (origin == ""), F.lit(None))
+            .when(t.startswith("//"), F.concat(F.regexp_extract(origin, r"(?s)^(.*?:)//", 1), t))
+            .when(t.startswith("/"), F.concat(origin, _without_dots(path), rest))
+            .when(t.startswith("?"), F.concat(origin, at, t))
+            .otherwise(F.concat(origin, _without_dots(F.concat(folder, path)), rest)))
+
+
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) of canonical links and refresh redirects with absolute targets."""
-    targets = F.array(*[F.nullif(F.regexp_extract(F.col(html), p, 1), F.lit(""))
-                        for p in (_CANONICAL, _OG_URL, _REFRESH)])
+    """(src, dst) of all canonical links, og:urls and refresh redirects, targets resolved."""
+    targets = F.concat(*[F.regexp_extract_all(F.col(html), F.lit(p), F.lit(1)) for p in (_CANONICAL, _OG_URL, _REFRESH)])
     has = F.col(html).rlike(r"(?i)rel\s*=\s*[\"']?canonical|og:url|http-equiv\s*=\s*[\"']?refresh")
     return (pages.where(has & F.col(url).isNotNull())
-            .select(F.col(url).alias("src"), F.explode(targets).alias("dst"))
-            .where(F.col("dst").contains("://") & (F.col("src") != F.col("dst"))))
+            .select(F.col(url).alias("src"), F.explode(targets).alias("target"))
+            .select("src", resolve(F.col("target"), F.col("src")).alias("dst"))
+            .where(F.col("dst").isNotNull() & (F.col("src") != F.col("dst"))))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], edges: DataFrame | None = None,
@@ -110,18 +142,18 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], edges: DataFrame
     for p in parts:
         linked = p if linked is None else linked.unionByName(p)
     if linked is not None:
-        linked = staged(linked.select(F.col("src").alias("a"), F.col("dst").alias("b")), "links")
+        linked = staged(linked.select(node_key(F.col("src")).alias("a"), node_key(F.col("dst")).alias("b")), "links")
         if linked.isEmpty():
             linked = None
     if linked is None:
-        out = judged.withColumn("component", F.col("url")).withColumn("_blocked", F.lit(False))
+        out = judged.withColumn("component", node_key(F.col("url"))).withColumn("_blocked", F.lit(False))
     else:
         comp = components(linked)
         member_action, _ = matching_rule(url_host(F.col("node")), url_path(F.col("node")), rules)
         flags = comp.groupBy("component").agg(F.max(member_action.eqNullSafe("block")).alias("_blocked"))
         alias = comp.join(flags, "component")
-        out = (judged.join(alias, F.col("url") == F.col("node"), "left")
-               .withColumn("component", F.coalesce("component", "url")))
+        out = (judged.join(alias, node_key(F.col("url")) == F.col("node"), "left")
+               .withColumn("component", F.coalesce("component", node_key(F.col("url")))))
     verdict = F.coalesce(F.col("_m.action"), F.when(F.col("_blocked"), "block").otherwise("allow"))
     return out.select(key, "url", "host", "path", F.col("_m.rule").alias("rule"),
                       verdict.alias("verdict"), "component")

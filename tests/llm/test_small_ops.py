@@ -79,6 +79,20 @@ def test_components_on_shuffled_paths(spark):
     assert got == {i: i // 10_000 * 10_000 for i in [*range(1200), *range(10_000, 10_300)]}
 
 
+def test_relative_repeated_and_escaped_targets(spark):
+    page = '<head><link rel="canonical" href="%s"></head>'
+    moved = '<meta http-equiv="refresh" content="0; url=%s">'
+    rows = [(1, "http://x.net/old", page % "/es/new"), (2, "http://a.org/2", page % "//y.net/fr/2"),
+            (3, "http://z.net/es2/a/b", moved % "../../es/3"), (4, "http://q.net/n?x", page % "es/4"),
+            (5, "http://e.net/es/5?a=1&b=2", ""), (6, "http://f.org/6", page % "http://E.NET/es/5?a=1&amp;b=2"),
+            (7, "http://G.org/7", ""), (8, "http://h.org/8", page % "http://g.org/7" + page % "http://t.net/es/8"),
+            (9, "http://i.org/9", page % "#top" + page % "mailto:a@b.net"), (10, "no scheme", page % "/es/x"),
+            (11, "http://j.org/p?u=1", page % "/r?u=http://k.net/es/")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(d, url_filter.RULES).collect()}
+    assert got == {i: "allow" if i in (9, 10, 11) else "block" for i in range(1, 12)}
+
+
 def brute_conversations(rows):
     out = {}
     for conv in {r[0] for r in rows}:
