@@ -1,6 +1,7 @@
 """Deduplication operators against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -184,6 +185,30 @@ def test_odd_sketch_estimates():
         assert abs(np.mean(err)) < 0.03 and np.max(np.abs(err)) < near_dedup.MARGIN
 
 
+def test_odd_sketch_filter_loses_less_than_the_bands():
+    """Exact tail of the estimate at the limit, and a true link whose sketches differ that much."""
+    import numpy as np
+    n, bits = near_dedup.SAMPLES, near_dedup.SKETCH_BITS
+    rng = np.random.default_rng(3)
+    sets = [np.arange(100, dtype=np.uint64), np.arange(8, 108, dtype=np.uint64)]
+    base = rng.integers(0, 1 << 63, bits // 64).astype(np.uint64)
+
+    def verified(differing):
+        flip = sum(1 << k for k in range(differing))
+        other = base ^ np.array([flip >> 64 * w & (1 << 64) - 1 for w in range(bits // 64)], np.uint64)
+        return near_dedup._links(np.array([1, 2]), sets, np.stack([base, other]), 75) == [(1, 2)]
+
+    widest = max(d for d in range(bits // 2) if verified(d))
+    odd, lost = np.zeros(bits + 1), 0.0  # odd bits after two tosses for each differing sample
+    odd[0] = 1
+    up = (bits - np.arange(bits + 1)) / bits
+    for d in range(n + 1):
+        lost += math.comb(n, d) * 0.25 ** d * 0.75 ** (n - d) * odd[widest + 1:].sum()
+        for _ in range(2):
+            odd = np.concatenate(([0], (odd * up)[:-1])) + np.concatenate(((odd * (1 - up))[1:], [0]))
+    assert lost < 5e-6
+
+
 def brute_quality(t):
     w = WORD.findall(t or "")
     lines = [x for x in (t or "").split("\n") if WORD.search(x)]
