@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from odspark.llm import chat_events, decontam, quality, url_filter
+from odspark.llm import chat_events, decontam, oracles_words, quality, url_filter
 
 WORDS = "list_filter(regexp_split_to_array(coalesce({t}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -140,4 +140,4 @@ FROM t GROUP BY conv_id"""
 def all_sql() -> dict[str, str]:
     return {"op1_url_filter": url_filter_sql(), "op5_minhash_dedup": near_dedup_sql(),
             "op6_decontamination": decontamination_sql(), "op7_quality_rules": quality_sql(),
-            "op8_substring_dedup": substring_sql(), "op9_chat_formatting": chat_sql()}
+            "op8_substring_dedup": substring_sql(), "op9_chat_formatting": chat_sql()} | oracles_words.all_sql()

@@ -9,9 +9,10 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odspark.llm import (chat_events, decontam, near_dedup, oracles, packing, quality, suffix_dedup, token_store,
-                         unigram_count, url_filter, window_dedup)
+from odspark.llm import (chat_events, decontam, merkle, near_dedup, oracles, packing, quality, secret_ledger,
+                         suffix_dedup, token_store, unigram_count, url_filter, variant_grams, window_dedup)
 from odspark.llm.staging import ship_package
+from odspark.session import staged_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -145,6 +146,33 @@ def op10_packing(spark, sf_dir):
                                               "sequence_id", "offset")
 
 
+@_query
+def op11_secret_scans(spark, sf_dir):
+    """Every document's secrets: its one version is scanned against a new ledger."""
+    found = secret_ledger.scan_versions(_table(spark, sf_dir, "documents"), staged_path(spark, "secret-ledger"), ["doc_id"])
+    base = [r.kind for r in secret_ledger.BASE]
+    counts = [secret_ledger.counted("spans", k).alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(secret_ledger.listed("spans", base), 256).alias("base_sha256"),
+                        secret_ledger.listed("spans").alias("spans"))
+
+
+@_query
+def op12_merkle_manifest(spark, sf_dir):
+    """Every document's leaf, roots and proof; a seventh of the leaves was tampered with before it is verified."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    m = merkle.document_manifest(_table(spark, sf_dir, "documents"), changed=tampered)
+    m = m.withColumn("folded_root", merkle.folded(F.col("check_leaf"), F.col("steps")))
+    return m.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("steps.h", ""), 256).alias("proof_sha256"),
+                    "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@_query
+def op13_spelling_variants(spark, sf_dir):
+    """Every word of the documents with its more frequent spelling and that form's root."""
+    return variant_grams.group_variants(_table(spark, sf_dir, "documents")).select(
+        "word", "form", "root", "n", "n_near", "form_n")
+
+
 @_query
 def pipeline(spark, sf_dir):
     """The corpus pipeline's last stage: packed pieces."""
