@@ -19,8 +19,8 @@ rule gets a new version and is run again, the other rules are not.
 
 Defined results: a null text is the empty text; null paths and versions are
 values like others; repeated rows (same path, version and text) each get the
-findings, and one blob's spans are told apart, so scanning a blob twice changes
-nothing; a very long text is scanned whole, by one task; an empty table gives
+findings; a picked version that is repeated is scanned by every task that holds
+one of its rows, which changes nothing, as a blob's spans are told apart; a very long text is scanned whole, by one task; an empty table gives
 an empty result and writes nothing; only the key columns and the text are read,
 so other columns cannot clash. Spans are code points, end exclusive.
 """
