@@ -1,7 +1,7 @@
 """Byte-pair encoding of whole texts through the tokenizers library, with a memo.
 
 A text is cut where no token of the given tokenizer can reach across. The
-pieces of some megabytes of texts are told apart by 64-bit hashes, so only
+pieces of some megabytes of texts are told apart by their bytes, so only
 distinct pieces are looked at one by one; each goes through the library once
 per worker and its ids are kept in a bounded memo. The texts' ids are then
 gathered from those of the distinct pieces. The result equals encoding each
@@ -13,28 +13,25 @@ digits and letters never share a token, so the 0's id marks the borders.
 
 from __future__ import annotations
 
-import re
 import sys
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 
 from odspark.llm import rolling as R
 
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 300_000
 _LONGEST = 64
-_BATCH = 4 << 20
+_BATCH = 2 << 20
 _PER_CALL = 256
 
 # ids are kept as C unsigned ints: four bytes, little-endian
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 
-# ASCII and Latin letters: composed forms, none of them a number
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_PLAIN = re.compile(f" ?[{_LETTERS}]+")
 # ASCII characters that some definition of white space counts
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -76,6 +73,69 @@ def _cut_at_single_spaces(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.concatenate((off[:-1][full], at, at[data[at] == 10] + 1))
 
 
+def _plain(pieces: list[bytes]) -> np.ndarray:
+    """Which pieces are ASCII or Latin-1 letters (composed forms, none of them a
+    number), with a space in front or none."""
+    end = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    if not len(data):
+        return np.zeros(len(pieces), bool)
+    ok = _LETTER[data]
+    second = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)) + 1
+    ok[second] = ok[second - 1] = True
+    bad = np.concatenate(([0], np.cumsum(~ok)))
+    first = np.concatenate(([0], end[:-1]))
+    first = first + (data[np.minimum(first, len(data) - 1)] == 32)
+    return (first < end) & (bad[end] == bad[np.minimum(first, end)])
+
+
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_WIDE = 16
+
+
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct byte spans [start, end), and which of them each span is.
+
+    Exact: spans of up to 16 bytes are compared as two 64-bit numbers and their
+    length (a hash only brings equal ones together; where two different ones meet
+    under it, they are sorted by the numbers themselves), longer ones as bytes."""
+    n = end - start
+    padded = np.concatenate((data, np.zeros(3 * 8, np.uint8)))
+    eight = np.ndarray(len(padded) - 7, "<u8", buffer=padded, strides=(1,))
+    short = np.flatnonzero(n <= _WIDE)
+    size, at = n[short], start[short]
+    lo = eight[at] & _HEAD[np.minimum(size, 8)]
+    hi = eight[at + 8] & _HEAD[np.maximum(size - 8, 0)]
+    size = size.astype(np.uint64)
+    h = R.mix(lo + R.mix(hi * np.uint64(0x9E3779B97F4A7C15) + size))
+    order = np.argsort(h)
+
+    def changes(order, *values):
+        new = np.zeros(len(order), bool)
+        for v in values:
+            v = v[order]
+            new[1:] |= v[1:] != v[:-1]
+        new[:1] = True
+        return new
+
+    new = changes(order, lo, hi, size)
+    if (new != changes(order, h)).any():
+        order = np.lexsort((size, hi, lo))
+        new = changes(order, lo, hi, size)
+    which = np.empty(len(n), np.int64)
+    which[short[order]] = np.cumsum(new) - 1
+    raw, one = data.tobytes(), short[order[new]]
+    pieces = [raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())]
+    wide = np.flatnonzero(n > _WIDE)
+    if len(wide):
+        seen: dict[bytes, int] = {}
+        first = len(pieces)
+        which[wide] = [seen.setdefault(raw[a:b], first + len(seen))
+                       for a, b in zip(start[wide].tolist(), end[wide].tolist())]
+        pieces += seen
+    return pieces, which
+
+
 class MemoEncoder:
     """ids of texts as little-endian unsigned 32-bit integers.
 
@@ -90,7 +150,9 @@ class MemoEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaces = spaces
+        # the pieces of late, and those of the time before: what is met again moves up
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.border = self.tokenizer.encode("0", add_special_tokens=False).ids
         assert len(self.border) == 1
 
@@ -101,52 +163,56 @@ class MemoEncoder:
             start, end, _ = R.words(data, off)
             start, end = np.sort(np.concatenate((start, marks))), np.sort(np.concatenate((end, marks)))
         else:
-            start = np.unique(np.concatenate((_cut_at_single_spaces(data, off), marks)))
+            opens = np.zeros(len(data), bool)
+            opens[_cut_at_single_spaces(data, off)] = True
+            opens[marks] = True
+            start = np.flatnonzero(opens)
             # a mark that opens a text is no letter's neighbour there: its text starts anyway
             end = np.append(start[1:], len(data))
         return start, end, np.searchsorted(off, start, "right") - 1
 
-    def _plain_ids(self, pieces: list[str]) -> list[bytes]:
+    def _plain_ids(self, pieces: list[bytes]) -> Iterator[bytes]:
         """ids of pieces of letters, many to a call."""
-        sep = " 0 " if self.spaces == "dropped" else "0"
-        out = []
+        sep = b" 0 " if self.spaces == "dropped" else b"0"
         calls = [pieces[a:a + _PER_CALL] for a in range(0, len(pieces), _PER_CALL)]
-        for part, e in zip(calls, self.tokenizer.encode_batch_fast([sep.join(c) for c in calls],
+        for part, e in zip(calls, self.tokenizer.encode_batch_fast([sep.join(c).decode() for c in calls],
                                                                    add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             cut = np.flatnonzero(ids == self.border[0])
             if len(cut) != len(part) - 1:
                 raise RuntimeError("a border was lost between pieces")
-            raw, ends = ids.tobytes(), cut.tolist() + [len(ids)]
-            a = 0
-            for b in ends:
-                out.append(raw[4 * a:4 * b])
-                a = b + 1
-        return out
+            raw, starts = ids.tobytes(), [0, *(4 * cut + 4).tolist()]
+            yield from map(raw.__getitem__, map(slice, starts, [*(4 * cut).tolist(), len(raw)]))
 
     def _learn(self, new: list[bytes]) -> None:
-        plain, other = [], []
-        for p in new:
-            s = p.decode()
-            (plain if _PLAIN.fullmatch(s) else other).append((p, s))
-        for (p, _), ids in zip(plain, self._plain_ids([s for _, s in plain])):
-            self.memo[p] = ids
+        plain = _plain(new).tolist()
+        letters = list(compress(new, plain))
+        self.memo.update(zip(letters, self._plain_ids(letters)))
+        other = [p for p, letter in zip(new, plain) if not letter]
         if other:
-            for (p, _), e in zip(other, self.tokenizer.encode_batch([s for _, s in other], add_special_tokens=False)):
+            for p, e in zip(other, self.tokenizer.encode_batch([p.decode() for p in other], add_special_tokens=False)):
                 self.memo[p] = array("I", e.ids).tobytes()
 
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
         """ids of distinct pieces, learning the new ones."""
         found = list(map(self.memo.get, pieces))
-        new = [p for p, ids in zip(pieces, found) if ids is None]
-        if new:
-            if len(self.memo) + len(new) > MEMO_ENTRIES:
-                self.memo.clear()
-                new = pieces
+        lacking = [k for k, ids in enumerate(found) if ids is None]
+        if lacking:
+            new = []
+            for k in lacking:
+                p = pieces[k]
+                ids = self.older.get(p)
+                if ids is None:
+                    new.append(p)
+                else:
+                    self.memo[p] = ids
             self._learn(new)
-            found = [self.memo[p] for p in pieces]
+            for k in lacking:
+                found[k] = self.memo[pieces[k]]
             for p in [p for p in new if len(p) > _LONGEST]:
                 del self.memo[p]
+            if len(self.memo) > MEMO_ENTRIES // 2:
+                self.memo, self.older = {}, self.memo
         return found
 
     def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
@@ -157,10 +223,9 @@ class MemoEncoder:
 
     def _encode(self, data: np.ndarray, off: np.ndarray) -> Iterator[bytes]:
         start, end, doc = self._pieces(data, off)
-        raw = data.tobytes()
-        _, one, which = np.unique(R.word_hashes(data, start, end), return_index=True, return_inverse=True)
-        ids = self._ids([raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())])
-        size = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+        pieces, which = distinct_spans(data, start, end)
+        ids = self._ids(pieces)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
         n = size[which]
         stop = np.cumsum(n)

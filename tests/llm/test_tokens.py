@@ -183,3 +183,40 @@ def test_shortest_pack_first_places_each_rank_once():
                 assert o == at
                 at += n
             assert at <= size
+
+
+def thue_morse(n):
+    """Two different texts whose polynomial hashes modulo 2**64 agree for every odd base."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("path,spaces", [(BYTE, "leading"), (WORD, "dropped")])
+def test_pieces_with_one_polynomial_hash_keep_their_own_ids(path, spaces):
+    from odspark.llm.bpe import MemoEncoder
+    enc = MemoEncoder(path, spaces)
+    for n in (1024, 2048):
+        a, b = thue_morse(n)
+        for text in (f"{a} {b}", f"x {b} {a} {b} y", f"{b}\n{a}", f"{a} {a}b {b}"):
+            assert list(array_of(enc.encode(text))) == library_ids(path, text)
+
+
+def array_of(raw):
+    return struct.unpack(f"<{len(raw) // 4}I", raw)
+
+
+def test_distinct_spans():
+    import random
+
+    import numpy as np
+
+    from odspark.llm.bpe import distinct_spans
+    r = random.Random(6)
+    spans = ["".join(r.choice("ab\x00\x01\x08é") for _ in range(r.choice([0, 1, 2, 7, 8, 9, 15, 16, 17, 40])))[:r.randrange(1, 41)]
+             for _ in range(3000)]
+    raw = [s.encode() for s in spans]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    end = np.cumsum([len(x) for x in raw])
+    pieces, which = distinct_spans(data, end - [len(x) for x in raw], end)
+    assert len(set(pieces)) == len(pieces) == len(set(raw))
+    assert [pieces[k] for k in which] == raw
