@@ -259,8 +259,8 @@ def test_quality(docs, empty_docs):
         texts.append("\n".join(lines))
     rows = [(f"h{i % 3}" if i % 7 else None, t) for i, t in enumerate(texts)]
     frame = docs(texts, clash=True)
-    want = brute_judge(rows, 4, 0.1, 0.5)
-    limits = dict(min_docs=4, max_share=0.1, min_kept_share=0.5)
+    want = brute_judge(rows, 4, 0.05, 0.5)
+    limits = dict(min_docs=4, max_share=0.05, min_kept_share=0.5)
     got = {r.doc_id: r for r in quality.judge_documents(frame, **limits).collect()}
     for i, (b, removed, kept, _) in enumerate(want):
         g = got[i]
