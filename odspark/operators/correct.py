@@ -6,8 +6,8 @@ boarding fields onto the alighting end can never read a half-updated row.
 Row-local steps collapse into a single projection; steps that need a
 per-key statistic (route max seq, seq mode, alighting-seq spread, next
 stop) aggregate first — partial aggregation, no window over raw rows —
-stage the small result and join it back to the rows that can change; the
-others pass by the join (``_beside``).
+stage the small result and join it back, in the same scan, to the rows that
+can change (``_beside``).
 
 Every step adds a boolean tag column (``t_<step>``) so affected-row counts
 come from one aggregate at the end instead of one job per step.
@@ -47,22 +47,37 @@ def _update(df: DataFrame, tag: str | None, pred: Column, sets: dict) -> DataFra
     return df.select(*cols)
 
 
-def _beside(rows: DataFrame, candidates: Column, small: DataFrame, key: list, name: str) -> DataFrame:
+# Rows that are no candidates are dealt to so many join keys of their own.
+SPREAD = 1 << 14
+
+
+def _staged_side(small: DataFrame, name: str) -> DataFrame:
+    """The small side of ``_beside``: written first, so that its size is known
+    when the join is planned. ``_deal`` is stored (a literal would be folded
+    into the condition and leave the join key)."""
+    return cut_lineage(small.withColumn("_deal", F.lit(0)), name)
+
+
+def _beside(rows: DataFrame, candidates: Column, small: DataFrame, key: list, name: str | None = None) -> DataFrame:
     """``rows`` with the columns of ``small`` (one row per key) beside the
-    candidates; the other rows, which cannot change, get NULLs and pass by
-    the join.
-
-    ``small`` is staged first: its size is then known when the join is
-    planned, so the fact is not shuffled while it is below the broadcast
-    limit, and beyond it both sides are plain shuffles that Spark can split
-    at a hot key."""
-    small = cut_lineage(small, name)
+    candidates; the other rows, which cannot change, get NULLs.
+
+    One scan and one left join: a row that is no candidate has NULL keys, so it
+    matches nothing. While the staged ``small`` is below the broadcast limit the
+    fact is not shuffled; beyond it both sides are plain shuffles, in which the
+    candidates can be split at a hot key by Spark and the others, whatever
+    share they have, are dealt evenly by a hash of the row. ``small`` comes
+    from ``_staged_side`` unless ``name`` says how to stage it."""
+    if name is not None:
+        small = _staged_side(small, name)
     is_candidate = F.coalesce(candidates, F.lit(False))
-    new = [n for n in small.columns if n not in key]
-    hit = rows.where(is_candidate).join(small, key, "left").select(*rows.columns, *new)
-    rest = rows.where(~is_candidate).select(
-        *rows.columns, *[F.lit(None).cast(small.schema[n].dataType).alias(n) for n in new])
-    return hit.unionByName(rest)
+    new = [n for n in small.columns if n not in key and n != "_deal"]
+    even = F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)).cast("int") + 1
+    left = rows.select("*", F.when(is_candidate, 0).otherwise(even).alias("_own_deal"),
+                       *[F.when(is_candidate, c(k)).alias(f"_key_{k}") for k in key])
+    right = small.select("_deal", *[c(k).alias(f"_small_{k}") for k in key], *new)
+    same = reduce(lambda x, y: x & y, [c(f"_key_{k}") == c(f"_small_{k}") for k in key], c("_own_deal") == c("_deal"))
+    return left.join(right, same, "left").select(*rows.columns, *new)
 
 
 def _most(n: str, *ties: str) -> Column:
@@ -269,8 +284,8 @@ def sequence_fixes(od: DataFrame) -> DataFrame:
                     .agg(F.count(F.lit(1)).alias("n"), F.min("alight_seq").alias("lo"),
                          F.max("alight_seq").alias("hi")), "seq-groups")
     counts = g.groupBy(*key, "board_seq").agg(F.sum("n").alias("n"))
-    mode = cut_lineage(counts.groupBy(*key).agg(_most("n", "board_seq").alias("m"))
-                       .select(*key, c("m.board_seq").alias("mode_seq")), "seq-mode")
+    mode = _staged_side(counts.groupBy(*key).agg(_most("n", "board_seq").alias("m"))
+                        .select(*key, c("m.board_seq").alias("mode_seq")), "seq-mode")
     moved = F.coalesce(c("board_seq") != c("mode_seq"), F.lit(False))
     spread = (g.where(c("alight_ars") != VIRTUAL_ARS).join(mode, key, "left")
               .withColumn("board_seq", F.when(moved, c("mode_seq")).otherwise(c("board_seq")))
@@ -279,7 +294,7 @@ def sequence_fixes(od: DataFrame) -> DataFrame:
               .where((c("max_alight_seq") - c("min_alight_seq")).between(1, SEQ_SPREAD_MAX))
               .drop("max_alight_seq"))
     movable = (c("board_ars") != VIRTUAL_ARS) & c("board_seq").isNotNull()
-    k10 = _update(_beside(od, movable, mode, key, "seq-mode"), "t_k10", c("board_seq") != c("mode_seq"),
+    k10 = _update(_beside(od, movable, mode, key), "t_k10", c("board_seq") != c("mode_seq"),
                   {"board_seq": c("mode_seq")}).drop("mode_seq")
     both = movable & (c("alight_ars") != VIRTUAL_ARS) & c("alight_seq").isNotNull()
     j = _beside(k10, both, spread, key + ["board_seq", "alight_ars"], "seq-spread")
@@ -367,32 +382,36 @@ def fill_null_codes(od: DataFrame, end: str = "board") -> DataFrame:
     donors = (od.where(c(code).isNotNull() & c(ars).isNotNull())
               .groupBy(c(ars).alias("ars"), "service_date", c(code).alias("code"))
               .agg(F.count(F.lit(1)).alias("n")))
-    best = lambda key: Window.partitionBy(*key).orderBy(c("n").desc(), c("code").asc())
-    s1 = (donors.where(c("service_date").startswith(FIRST_FILL_YEAR_PREFIX))
-          .groupBy("ars", "code").agg(F.sum("n").alias("n"))
-          .withColumn("rn", F.row_number().over(best(["ars"]))).where(c("rn") == 1)
-          .select("ars", c("code").alias("code1")))
+    by_code = donors.groupBy("ars", "code").agg(
+        F.sum("n").alias("n"), F.sum(F.when(c("service_date").startswith(FIRST_FILL_YEAR_PREFIX), c("n"))).alias("n1"))
+    # the codes of every ARS in order of preference over all dates
+    place = F.row_number().over(Window.partitionBy("ars").orderBy(c("n").desc(), c("code").asc())) - 1
+    ranking = cut_lineage(by_code.select("ars", "code", "n", "n1", place.alias("place")), "code-ranking")
+    s1 = (ranking.where(c("n1").isNotNull()).groupBy("ars").agg(_most("n1", "code").alias("m"))
+          .select("ars", c("m.code").alias("code1")))
     targets = (od.where(c(code).isNull() & c(ars).isNotNull())
                .select("service_date", c(ars).alias("ars")).distinct())
-    totals = donors.groupBy("ars", "code").agg(F.sum("n").alias("n_all"))
-    s2 = (targets.join(totals, "ars")
-          .join(donors, ["ars", "service_date", "code"], "left")
-          .select("service_date", "ars", "code",
-                  (c("n_all") - F.coalesce(c("n"), F.lit(0))).alias("n"))
-          .where(c("n") > 0)
-          .withColumn("rn", F.row_number().over(best(["service_date", "ars"])))
-          .where(c("rn") == 1).select("service_date", "ars", c("code").alias("code2")))
-    # only rows with an ARS and no code can be filled: the others pass through
-    # untouched (no shuffle), and each half's filter reaches the scan; the
-    # donors are staged, so their size is known when the join is planned
-    wanted = c(code).isNull() & c(ars).isNotNull()
+    # A date's own rows lower the counts of its own codes only. So its best donor
+    # is the best of its own codes, lowered, or the first place of the ranking
+    # that none of its own codes has: behind the run 0, 1, 2, ... of own places.
+    own = (donors.withColumnRenamed("n", "own").join(targets, ["service_date", "ars"], "left_semi")
+           .join(ranking, ["ars", "code"]))
+    nth = F.row_number().over(Window.partitionBy("service_date", "ars").orderBy("place")) - 1
+    lowered = F.struct((c("own") - c("n")).alias("less"), "code")
+    walked = (own.withColumn("nth", nth).groupBy("service_date", "ars")
+              .agg(F.count_if(c("place") == c("nth")).alias("first"),
+                   F.min(F.when(c("n") > c("own"), lowered)).alias("mine")))
+    free = ranking.select("ars", c("place").alias("first"), F.struct((-c("n")).alias("less"), "code").alias("other"))
+    s2 = (targets.join(walked, ["service_date", "ars"], "left")
+          .withColumn("first", F.coalesce("first", F.lit(0)).cast("int")).join(free, ["ars", "first"], "left")
+          .select("service_date", "ars", F.when(c("mine") < c("other"), c("mine")).otherwise(
+              F.coalesce("other", "mine"))["code"].alias("code2")))
+    # only rows with an ARS and no code can be filled
     both = (targets.join(s1, "ars", "left").join(s2, ["service_date", "ars"], "left")
             .select("service_date", c("ars").alias(ars), F.coalesce("code1", "code2").alias("_code"))
             .where(c("_code").isNotNull()))
-    known = od.where(~wanted).select(*OD_COLUMNS)
-    filled = (od.where(wanted).drop(code).join(cut_lineage(both, "code-donors"), ["service_date", ars], "left")
-              .withColumnRenamed("_code", code).select(*OD_COLUMNS))
-    return known.unionByName(filled)
+    filled = _beside(od, c(code).isNull() & c(ars).isNotNull(), both, ["service_date", ars], "code-donors")
+    return filled.select(*[F.coalesce(c(code), c("_code")).alias(code) if n == code else c(n) for n in OD_COLUMNS])
 
 
 # --------------------------------------------------------------------------

@@ -50,8 +50,9 @@ def test_fact_is_not_exchanged(spark, make_od, tmpdir_path, name):
 
 
 @pytest.mark.parametrize("name", ["k10", "k11", "k13"])
-def test_hot_virtual_stop_bypasses_the_join(spark, make_od, tmpdir_path, name):
-    """Rows at the virtual stop are no candidates: they reach no exchange."""
+def test_hot_virtual_stop_is_dealt_evenly(spark, make_od, tmpdir_path, name):
+    """Rows at the virtual stop are no candidates: beyond the broadcast limit
+    they have keys of their own, and the fact is still read once by the join."""
     make_od(hot_rows()).write.parquet(f"{tmpdir_path}/od")
     od = spark.read.parquet(f"{tmpdir_path}/od")
     keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
@@ -66,4 +67,30 @@ def test_hot_virtual_stop_bypasses_the_join(spark, make_od, tmpdir_path, name):
         for k, v in saved.items():
             spark.conf.set(k, v)
     assert got == rows_of(STEPS[name](make_od(hot_rows())))
-    assert "SortMergeJoin" in plan and "Union" in plan
+    assert "SortMergeJoin" in plan and "Union" not in plan
+    assert re.search(r"Exchange hashpartitioning\([^)]*_own_deal", plan)
+
+
+@pytest.mark.parametrize("name", sorted(STEPS))
+def test_one_scan_of_the_fact(spark, make_od, tmpdir_path, name):
+    """Statistics are staged before; the corrected rows come from one scan."""
+    make_od(hot_rows()).write.parquet(f"{tmpdir_path}/od")
+    plan = STEPS[name](spark.read.parquet(f"{tmpdir_path}/od"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[[^\]]*riders#", plan)) == 1 and "Union" not in plan
+
+
+def test_best_donor_of_another_date(spark, make_od):
+    """K13 against all pairs of targets and codes, with ties and dates that hold the most frequent codes."""
+    import random
+    from collections import Counter
+    r = random.Random(12)
+    rows = [od_row(date=f"2023{r.randrange(1, 7):02}01", bars=r.choice(["a", "a", "b", None]),
+                   bcode=r.choice([None, None, "c1", "c2", "c3", "c4", "c5"]), riders=i) for i in range(300)]
+    rows += [od_row(date="20230901", bars="z", bcode=None, riders=900), od_row(date="20230901", bars="z", bcode="own", riders=901),
+             od_row(date="20230902", bars="y", bcode=None, riders=902)]
+    got = {x.riders: x.board_code for x in cr.fill_null_codes(make_od(rows)).collect()}
+    for date, ars, code, riders in [(x[0], x[4], x[5], x[-1]) for x in rows]:
+        if code is None and ars is not None:
+            n = Counter(x[5] for x in rows if x[4] == ars and x[5] is not None and x[0] != date)
+            code = min(n, key=lambda k: (-n[k], k), default=None)
+        assert got[riders] == code
