@@ -8,11 +8,13 @@ from odspark.constants import FIRST_FILL_YEAR_PREFIX, OD_COLUMNS
 from odspark.operators import correct as cr
 from odspark.operators import lookup as lk
 from odspark.plans import oracle_correct as OC
+from odspark.plans.pipeline import run_snapshot
 from odspark.plans.registry import T, register
 from odspark.functions.text import missing_to_null, to_number
 from odspark.session import cut_lineage, staged_path
 from odspark.sources import io
 from odspark.sources.fixtures import oracle_with
+from odspark.sources.snapshots import Snapshots
 
 # prefixes of group 1: each step seen on the data it meets in the chain
 _G1 = {
@@ -170,6 +172,32 @@ def correct_pipeline(spark, sf_dir):
     return cr.correct_pipeline(T(spark, sf_dir).od(), cut=cut_lineage)
 
 
+def _rerun_sql():
+    final = OC.chain(OC.GROUP1 + [OC.step_dedup] + OC.GROUP2 + [OC.step_dedup] + OC.GROUP3 + [OC.step_dedup])
+    taken = OC.chain(OC.GROUP1[:5] + [OC.step_c5c2_anomalies])
+    per_date = "SELECT service_date, COUNT(*) AS n, SUM(riders) AS riders FROM {t} GROUP BY service_date"
+    return f"""WITH f AS ({per_date.format(t=f"({final})")}), a AS ({per_date.format(t=f"({taken})")}),
+raw AS ({oracle_with("od")} {per_date.format(t="od")})
+SELECT service_date, CAST(raw.riders AS BIGINT) AS riders_in, CAST(COALESCE(f.riders, 0) AS BIGINT) AS riders_final,
+  CAST(COALESCE(a.riders, 0) AS BIGINT) AS riders_anomalies, COALESCE(f.n, 0) AS rows_final, COALESCE(a.n, 0) AS rows_anomalies
+FROM raw LEFT JOIN f USING (service_date) LEFT JOIN a USING (service_date)"""
+
+
+@register("nightly_rerun", _rerun_sql)
+def nightly_rerun(spark, sf_dir):
+    """The nightly job twice over one snapshot store: what each date holds after the second run."""
+    od = T(spark, sf_dir).od()
+    dates = [r[0] for r in od.select("service_date").distinct().collect()]  # the dates of the run
+    store = Snapshots(spark, staged_path(spark, "nightly-store"))
+    run_snapshot(store, dates, source=od)
+    run_snapshot(store, dates)
+    held = [store.read(t).groupBy("service_date").agg(F.sum("riders").cast("long").alias(f"riders_{n}"),
+                                                      F.count("*").alias(f"rows_{n}"))
+            for t, n in (("input", "in"), ("od", "final"), ("anomalies", "anomalies"))]
+    out = held[0].join(held[1], "service_date", "left").join(held[2], "service_date", "left").na.fill(0)
+    return out.select("service_date", "riders_in", "riders_final", "riders_anomalies", "rows_final", "rows_anomalies")
+
+
 # --------------------------------------------------------------------------
 # NULL codes from other dates
 def _fill_sql(end):

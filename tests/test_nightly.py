@@ -3,10 +3,13 @@
 import glob
 import os
 
+import pytest
+
 from conftest import od_row
 from odspark.plans import pipeline
 from odspark.session import ensure_checkpoint_dir
 from odspark.sources import io
+from odspark.sources.snapshots import ConcurrentRun, Snapshots
 
 D1, D2 = "20231017", "20251014"
 
@@ -37,22 +40,93 @@ def test_two_nights_with_one_staging_path(spark, make_od, tmpdir_path):
     assert not glob.glob(f"{stage}/run-*")
 
 
-def test_in_place_command_line_and_vanishing_rows(spark, make_od, tmpdir_path):
-    store, stage, anom, rep = (f"{tmpdir_path}/{x}" for x in ("store", "stage", "anom", "rep"))
-    io.write_od(make_od(rows(D1) + rows(D2) + [anomaly(D1), anomaly(D2)]), store)
-    args = ["--od", store, "--final", store, "--staging", stage, "--anomalies", anom, "--report", rep]
-    before = set(os.listdir(f"{ensure_checkpoint_dir(spark)}/odspark-tables")) if os.path.isdir(
-        f"{ensure_checkpoint_dir(spark)}/odspark-tables") else set()
-    pipeline.main(args + ["--date", D1, "--date", D2])
-    assert set(os.listdir(f"{ensure_checkpoint_dir(spark)}/odspark-tables")) == before  # nothing is left staged
+def test_in_place_is_refused_for_plain_tables(spark, make_od, tmpdir_path):
+    io.write_od(make_od(rows(D1)), f"{tmpdir_path}/od")
+    with pytest.raises(ValueError, match="run_snapshot"):
+        pipeline.run_nightly(spark, f"{tmpdir_path}/od", f"{tmpdir_path}/od/", f"{tmpdir_path}/s", f"{tmpdir_path}/a", [D1])
+    assert total(io.read_od(spark, f"{tmpdir_path}/od")) == total(make_od(rows(D1)))
+
+
+def held(store):
+    """Riders per table and date."""
+    return {(t, r[0]): r[1] for t in ("input", "od", "anomalies")
+            for r in store.read(t).groupBy("service_date").sum("riders").collect()}
+
+
+def test_command_line_repeats_in_place_without_loss(spark, make_od, tmpdir_path):
+    src, root, rep = (f"{tmpdir_path}/{x}" for x in ("src", "store", "rep"))
+    io.write_od(make_od(rows(D1) + rows(D2) + [anomaly(D1), anomaly(D2)]), src)
+    staged = f"{ensure_checkpoint_dir(spark)}/odspark-tables"
+    before = set(os.listdir(staged)) if os.path.isdir(staged) else set()
+    args = ["--store", root, "--report", rep]
+    pipeline.main(args + ["--od", src, "--date", D1, "--date", D2])
+    assert set(os.listdir(staged)) == before  # nothing is left staged
     assert spark.read.parquet(rep).count() == 2
-    assert total(io.read_od(spark, anom)) == 18
-    # the second run has no anomalies left in the corrected table: the old ones go
-    pipeline.main(args + ["--date", D1])
-    assert total(io.read_od(spark, anom, [D1])) == 0 and total(io.read_od(spark, anom, [D2])) == 9
-    # a requested date without rows becomes empty
-    io.write_od(make_od([]), store, dates=[D1])
-    assert total(io.read_od(spark, store, [D1])) == 0 and total(io.read_od(spark, store, [D2])) > 0
+    store, want = Snapshots(spark, root), total(make_od(rows(D1)))
+    once = held(store)
+    assert once == {(t, d): n for d in (D1, D2) for t, n in (("input", want + 9), ("od", want), ("anomalies", 9))}
+    rows_once = sorted(map(tuple, store.read("od").collect()))
+    for dates in ([D1], [D1, D2]):
+        pipeline.main(args + [x for d in dates for x in ("--date", d)])
+        assert held(store) == once and sorted(map(tuple, store.read("od").collect())) == rows_once
+    # new input without the anomaly, and then without rows, for one date only
+    io.write_od(make_od(rows(D1)), src, dates=[D1])
+    pipeline.main(args + ["--od", src, "--date", D1])
+    assert held(store) == {k: v for k, v in once.items() if k != ("anomalies", D1)} | {("input", D1): want}
+    pipeline.run_snapshot(store, [D1], source=make_od([]))
+    assert held(store) == {k: v for k, v in once.items() if k[1] == D2}
+    # an older version still reads what it held
+    assert store.read("anomalies", [D1], version=1).count() == 1
+    assert store.vacuum() > 0 and held(store) == {k: v for k, v in once.items() if k[1] == D2}
+    assert store.versions() == [5]
+
+
+@pytest.mark.parametrize("killed_at", ["input", "od", "anomalies", "switch"])
+def test_a_killed_run_changes_nothing(spark, make_od, tmpdir_path, monkeypatch, killed_at):
+    store = Snapshots(spark, f"{tmpdir_path}/store")
+    pipeline.run_snapshot(store, [D1], source=make_od(rows(D1) + [anomaly(D1)]))
+    before = held(store)
+    write, switch = Snapshots.write, Snapshots.switch
+
+    def dying_write(self, run, table, df):
+        out = write(self, run, table, df)
+        if table == killed_at:
+            raise KeyboardInterrupt
+        return out
+
+    def dying_switch(self, *args):
+        raise KeyboardInterrupt
+    monkeypatch.setattr(Snapshots, "write", dying_write)
+    if killed_at == "switch":
+        monkeypatch.setattr(Snapshots, "switch", dying_switch)
+    more = make_od(rows(D1) + rows(D1) + [anomaly(D1), anomaly(D1)])
+    with pytest.raises(KeyboardInterrupt):
+        pipeline.run_snapshot(store, [D1], source=more)
+    monkeypatch.setattr(Snapshots, "write", write)
+    monkeypatch.setattr(Snapshots, "switch", switch)
+    assert held(store) == before and store.vacuum() > 0 and held(store) == before
+    pipeline.run_snapshot(store, [D1], source=more)
+    after = held(store)
+    assert after[("input", D1)] == after[("od", D1)] + after[("anomalies", D1)] == 2 * before[("input", D1)]
+
+
+def test_lost_riders_and_concurrent_runs_are_refused(spark, make_od, tmpdir_path, monkeypatch):
+    store = Snapshots(spark, f"{tmpdir_path}/store")
+    pipeline.run_snapshot(store, [D1], source=make_od(rows(D1)))
+    seen, before = store.pointer(), held(store)
+    write = Snapshots.write
+    monkeypatch.setattr(Snapshots, "write", lambda self, run, table, df: write(self, run, table, df.limit(2)))
+    with pytest.raises(ValueError, match="riders not conserved"):
+        pipeline.run_snapshot(store, [D1])
+    monkeypatch.setattr(Snapshots, "write", write)
+    pipeline.run_snapshot(store, [D1])  # meanwhile
+    run = store.new_run()
+    store.write(run, "od", make_od(rows(D1)))
+    with pytest.raises(ConcurrentRun):
+        store.switch(run, ["od"], [D1], seen)
+    store.write(run, "anomalies", make_od([anomaly(D2)]))
+    store.switch(run, ["anomalies"], [D2], seen)  # other dates do not meet
+    assert held(store) == before | {("anomalies", D2): 9}
 
 
 def test_files_per_date_stay_bounded(spark, make_od, tmpdir_path):
@@ -62,7 +136,6 @@ def test_files_per_date_stay_bounded(spark, make_od, tmpdir_path):
 
 
 def test_materialize_raises_on_other_errors(spark, make_od, tmpdir_path):
-    import pytest
     path = f"{tmpdir_path}/stored"
     io.materialize(make_od(rows(D1)), path)
     for f in glob.glob(f"{path}/*.parquet"):
