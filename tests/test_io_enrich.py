@@ -110,18 +110,19 @@ def test_nightly_job_is_idempotent(spark, tmpdir_path):
 
 
 def test_nightly_job_in_place(spark, tmpdir_path):
-    from odspark.plans.pipeline import run_nightly
+    from odspark.plans.pipeline import run_snapshot
     from odspark.sources.fixtures import Tables
+    from odspark.sources.snapshots import Snapshots
     od = Tables(spark, "/root/testdata/sf0.001").od()
-    table = os.path.join(tmpdir_path, "od")
-    io.write_od(od, table)
-    rin = od.agg(F.sum("riders")).first()[0]
-    run_nightly(spark, table, table, os.path.join(tmpdir_path, "stg"),
-                os.path.join(tmpdir_path, "anom"), ["20231017"])
-    after = io.read_od(spark, table)
-    ranom = io.read_od(spark, os.path.join(tmpdir_path, "anom")).agg(F.sum("riders")).first()[0]
-    assert after.agg(F.sum("riders")).first()[0] + ranom == rin   # other dates untouched
-    assert after.select("service_date").distinct().count() == 3
+    store = Snapshots(spark, os.path.join(tmpdir_path, "store"))
+    dates = [r[0] for r in od.select("service_date").distinct().collect()]
+    run_snapshot(store, dates, source=od)
+    before = sorted(map(tuple, store.read("anomalies").collect()))
+    run_snapshot(store, ["20231017"])
+    riders = [store.read(t).agg(F.sum("riders")).first()[0] for t in ("input", "od", "anomalies")]
+    assert riders[0] == riders[1] + riders[2] == od.agg(F.sum("riders")).first()[0]
+    assert before and sorted(map(tuple, store.read("anomalies").collect())) == before
+    assert store.read("od").select("service_date").distinct().count() == len(dates) == 3
 
 
 def test_nightly_cli(spark, tmpdir_path):
@@ -130,8 +131,7 @@ def test_nightly_cli(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "od")
     io.write_od(Tables(spark, "/root/testdata/sf0.001").od(), src)
     rep = os.path.join(tmpdir_path, "report")
-    main(["--od", src, "--final", os.path.join(tmpdir_path, "final"), "--staging",
-          os.path.join(tmpdir_path, "stg"), "--anomalies", os.path.join(tmpdir_path, "anom"),
+    main(["--od", src, "--store", os.path.join(tmpdir_path, "store"),
           "--report", rep, "--date", "20231017", "--date", "20251014"])
     r = spark.read.parquet(rep)
     assert r.count() == 2 and "c5c2" in r.columns and "null_board_seq" in r.columns
