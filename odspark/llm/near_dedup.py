@@ -13,8 +13,8 @@ sequence when it is shorter). Two texts are linked when 100 * intersection >=
 3. A bucket is a band key with two classes or more; its hub is the smallest
    class. All classes of a bucket stand under its hub, so every candidate
    pair meets in the group of some hub, once per hub instead of per band.
-4. Groups are dealt to tasks in blocks of bounded size (a group of any size is
-   a triangle of block pairs). Inside a block, sketches select pairs whose
+4. Groups are dealt to tasks in blocks bounded in classes and shingles (a group
+   of any size is a triangle of block pairs). Inside a block, sketches select pairs whose
    estimate is not below the limit by more than their error; these are
    verified on the full sets, and only a spanning set of links leaves the
    task: a row per class, never a row per pair.
@@ -47,7 +47,10 @@ SKETCH_BITS = 256
 # bits. A true link at 0.75 is lost with 1.9e-6 (4.4e-4 without FOLDING).
 MARGIN = 0.2
 FOLDING = 0.1
+# Of one block's two sides: at most so many classes and, on average, shingles.
 BLOCK = 2048
+BLOCK_SHINGLES = 1 << 20
+_BATCH_BYTES = 4 << 20
 
 _rng = np.random.Generator(np.random.PCG64(5))
 _MUL = _rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -183,13 +186,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     rows = staged(document_rows(docs, key, text), "near-rows")
     full = rows.where("n_shingles > 0")
     classes = staged(full.groupBy("node").agg(F.min("_doc").alias("least"),
-                                              F.min_by(F.struct(ROW, "bands"), "_doc").alias("one"))
-                     .select("node", "least", f"one.{ROW}", "one.bands"), "near-classes")
-    member = classes.select("node", F.explode("bands").alias("band"))
+                                              F.min_by(F.struct(ROW, "bands", "n_shingles"), "_doc").alias("one"))
+                     .select("node", "least", f"one.{ROW}", "one.bands", "one.n_shingles"), "near-classes")
+    member = classes.select("node", "n_shingles", F.explode("bands").alias("band"))
     buckets = (member.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("hub"))
                .where("c > 1").select("band", "hub"))
-    under = staged(member.join(buckets, "band").select("hub", "node").distinct(), "near-groups")
-    parts = under.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
+    under = staged(member.join(buckets, "band").select("hub", "node", "n_shingles").distinct(), "near-groups")
+    parts = staged(under.groupBy("hub").agg(F.ceil(F.greatest(
+        F.count("*") / F.lit(block), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("parts")), "near-parts")
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     placed = (under.join(parts, "hub").select("hub", "node", mine.alias("p"), "parts")
@@ -211,8 +215,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
                                                        b.column(2).slice(i, n).to_pylist())):
                     s = h[ends[k - 1] if k else 0:ends[k]].tobytes()
                     out += [(x, node, s, sketch[k].tobytes()) for x in blocks]
-                for a in range(0, len(out), 2000):
-                    cols = list(zip(*out[a:a + 2000]))
+                size = np.cumsum([len(x[2]) + 64 for x in out], dtype=np.int64)
+                cuts = np.flatnonzero(np.diff(size // _BATCH_BYTES)) + 1
+                for a, z in zip([0, *cuts], [*cuts, len(out)] if out else []):
+                    cols = list(zip(*out[a:z]))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
                         names=["block", "node", "members", "sketch"])
