@@ -73,30 +73,82 @@ def _match(left: DataFrame, right: DataFrame, key: list, how: str, null_keys: st
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in key])
 
 
+# A pair is common when matching its routes directly would give more than so
+# many rows for each route that has it.
+COMMON = 64
+
+
+def best_overlap(a: DataFrame, b: DataFrame, who: str, whom: str, elements: list, null_keys: str = "drop",
+                 common: int = COMMON) -> DataFrame:
+    """For every ``who`` of ``a`` the ``whom`` of ``b`` that shares the most
+    distinct elements with it: (who, whom, matches); ties go to the smaller.
+
+    Rare elements first: they are matched directly, which gives at most
+    ``common`` rows for each row of the sides. The common ones of a ``who``, h in
+    number, can lift a candidate by h at most, so only candidates within h of its
+    best are counted over them. Only where the rare ones give the best no more
+    than h can somebody without a rare match win; there the sets of common
+    elements decide alone, and routes with equal sets count as one (the smallest
+    name stands for them). So an element that all routes have does not pair them.
+
+    NULL elements match each other only with ``null_keys="match"``; a NULL
+    ``who`` or ``whom`` takes no part."""
+    if null_keys not in ("drop", "match"):
+        raise ValueError(f"null_keys: {null_keys}")
+
+    def side(df, name):
+        df = df.where(c(name).isNotNull())
+        if null_keys == "drop":
+            df = df.where(reduce(lambda x, y: x & y, [c(e).isNotNull() for e in elements]))
+        return df.select(c(name), F.struct(*elements).alias("e")).distinct()  # NULL fields of structs are equal
+    a, b = cut_lineage(side(a, who), "vote-left"), cut_lineage(side(b, whom), "vote-right")
+    n_a, n_b = (df.groupBy("e").agg(F.count("*").alias(n)) for df, n in ((a, "na"), (b, "nb")))
+    kinds = cut_lineage(n_a.join(n_b, "e").select(
+        "e", (c("na") * c("nb") > common * (c("na") + c("nb"))).alias("common")), "vote-elements")
+    many = kinds.where("common").select("e")
+    if many.isEmpty():
+        votes = a.join(b, "e").groupBy(who, whom).agg(F.count("*").alias("matches"))
+    else:
+        few = kinds.where(~c("common")).select("e")
+        rare = cut_lineage(a.join(few, "e").join(b, "e").groupBy(who, whom).agg(F.count("*").alias("m")), "vote-rare")
+        a_many, b_many = (cut_lineage(df.join(many, "e", "left_semi"), "vote-common") for df in (a, b))
+        limits = cut_lineage(a_many.groupBy(who).agg(F.count("*").alias("h"))
+                             .join(rare.groupBy(who).agg(F.max("m").alias("best")), who, "full")
+                             .select(who, F.coalesce("h", F.lit(0)).alias("h"), F.coalesce("best", F.lit(0)).alias("best")),
+                             "vote-limits")
+        able = rare.join(limits, who).where(c("m") + c("h") >= c("best")).select(who, whom, "m")
+        lifted = (able.join(a_many, who).join(b_many, [whom, "e"]).groupBy(who, whom).agg(F.count("*").alias("more")))
+        votes = able.join(lifted, [who, whom], "left").select(
+            who, whom, (c("m") + F.coalesce("more", F.lit(0))).alias("matches"))
+        sets = lambda df, name: df.groupBy(name).agg(F.array_sort(F.collect_list("e")).alias("set"))
+        open_ = sets(a_many.join(limits.where(c("h") >= c("best")), who, "left_semi"), who)
+        kinds_a = cut_lineage(open_.withColumn("kind", F.sha2(F.to_json(F.struct("set")), 256)), "vote-sets")
+        kinds_b = sets(b_many, whom).groupBy("set").agg(F.min(whom).alias(whom))
+        shared = (kinds_a.select("kind", "set").distinct().select("kind", F.explode("set").alias("e"))
+                  .join(kinds_b.select(whom, F.explode("set").alias("e")), "e")
+                  .groupBy("kind", whom).agg(F.count("*").alias("matches")))
+        first = shared.groupBy("kind").agg(_foremost(whom).alias("v")).select("kind", "v")
+        alone = kinds_a.join(first, "kind").select(who, c(f"v.{whom}").alias(whom), (-c("v.less")).alias("matches"))
+        votes = votes.unionByName(alone)
+    return votes.groupBy(who).agg(_foremost(whom).alias("v")).select(
+        who, c(f"v.{whom}").alias(whom), (-c("v.less")).alias("matches"))
+
+
+def _foremost(name: str):
+    """Aggregate: most matches, then the smallest name."""
+    return F.min(F.struct((-c("matches")).alias("less"), c(name).alias(name)))
+
+
 def route_vote(tgt: DataFrame, ref: DataFrame, null_keys: str = "drop") -> DataFrame:
     """K2: per route name, the reference route id sharing the most distinct
     (boarding stop name, seq) pairs; ties go to the smaller id."""
-    t = tgt.select("route_name", "board_name", "board_seq_num").distinct()
-    r = ref.select("route_id", "board_name", "board_seq_num").distinct()
-    counts = (_match(t, r, ["board_name", "board_seq_num"], "inner", null_keys)
-              .where(c("route_name").isNotNull() & c("route_id").isNotNull())
-              .groupBy("route_name", "route_id").agg(F.count(F.lit(1)).alias("matches")))
-    w = Window.partitionBy("route_name").orderBy(c("matches").desc(), c("route_id").asc())
-    return (counts.withColumn("_rn", F.row_number().over(w)).where(c("_rn") == 1)
-            .select("route_name", "route_id", "matches"))
+    return best_overlap(tgt, ref, "route_name", "route_id", ["board_name", "board_seq_num"], null_keys)
 
 
 def route_name_vote(tgt: DataFrame, ref: DataFrame) -> DataFrame:
     """The vote turned round — per reference route id, the target route
     name sharing the most (stop name, seq) pairs; ties to the smaller name."""
-    t = tgt.select("route_name", "board_name", "board_seq_num").distinct()
-    r = ref.select("route_id", "board_name", "board_seq_num").distinct()
-    counts = (t.join(r, ["board_name", "board_seq_num"])
-              .where(c("route_name").isNotNull() & c("route_id").isNotNull())
-              .groupBy("route_id", "route_name").agg(F.count(F.lit(1)).alias("matches")))
-    w = Window.partitionBy("route_id").orderBy(c("matches").desc(), c("route_name").asc())
-    return (counts.withColumn("_rn", F.row_number().over(w)).where(c("_rn") == 1)
-            .select("route_id", "route_name", "matches"))
+    return best_overlap(ref, tgt, "route_id", "route_name", ["board_name", "board_seq_num"])
 
 
 def attach_codes(tgt: DataFrame, ref: DataFrame, null_keys: str = "drop") -> DataFrame:
