@@ -2,7 +2,7 @@
 
 ``judge_urls`` decides every url of a table. A rule ``host/path`` fits its host
 and all subdomains when the url's path starts with the rule's path; of the
-rules that fit, the longest wins. A url without a fitting rule is blocked when
+rules that fit, the longest wins, and of equally long ones an allow rule. A url without a fitting rule is blocked when
 some url of its alias component (redirect targets and canonical links, taken
 as undirected edges) is blocked by a rule; else it is allowed. An explicit
 allow rule always decides its own url first: a block never overrides it, and
@@ -34,7 +34,8 @@ from odspark.llm.staging import staged
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
          ("block", "net/es/"), ("block", "net/fr/")]
 
-MAX_RULES = 10_000
+# Up to so many rules are a literal in the plan; more are a table that is joined.
+RULES_IN_PLAN = 500
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ORIGIN = r"(?s)^(.*?://[^/?#]*)"
@@ -60,34 +61,61 @@ def split_rule(rule: str) -> tuple[str, str]:
     return host, slash + path
 
 
+def host_suffixes(host: Column) -> Column:
+    """The host and all its parent domains."""
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)),
+                       lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
-    """(action, rule) of the longest fitting rule, or nulls.
-
-    The rules are a driver-side list of at most MAX_RULES entries: they become
-    one lookup table in the expression, keyed by host, so a url costs one
-    lookup per host suffix and no join."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are held in an expression")
-    by_host: dict[str, list[tuple[int, str, str, str]]] = {}
+    """(action, rule) of the longest fitting rule, or nulls; of equally long
+    ones an allow rule goes first, then the larger text.
+
+    The rules become one lookup table in the expression, keyed by host, so a url
+    costs one lookup per host suffix and no join."""
+    by_host: dict[str, list[tuple]] = {}
     for action, rule in rules:
         h, p = split_rule(rule)
-        by_host.setdefault(h, []).append((len(rule), rule, p, action))
-    kind = "map<string,array<struct<len:int,rule:string,path:string,action:string>>>"
+        by_host.setdefault(h, []).append((len(rule), action == "allow", rule, p, action))
+    kind = "map<string,array<struct<len:int,allow:boolean,rule:string,path:string,action:string>>>"
     if not by_host:
         return F.lit(None).cast("string"), F.lit(None).cast("string")
-    entry = lambda r: F.struct(F.lit(r[0]).alias("len"), F.lit(r[1]).alias("rule"),
-                               F.lit(r[2]).alias("path"), F.lit(r[3]).alias("action"))
+    entry = lambda r: F.struct(*[F.lit(v).alias(n) for v, n in zip(r, ("len", "allow", "rule", "path", "action"))])
     table = F.create_map(*[x for h, rs in sorted(by_host.items())
                            for x in (F.lit(h), F.array(*[entry(r) for r in sorted(rs)]))]).cast(kind)
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    found = F.flatten(F.transform(suffixes, lambda s: F.coalesce(
+    found = F.flatten(F.transform(host_suffixes(host), lambda s: F.coalesce(
         F.try_element_at(table, s), F.array().cast(kind[len("map<string,"):-1]))))
     best = F.array_max(F.filter(found, lambda r: path.startswith(r["path"])))
     return best["action"], best["rule"]
 
 
+def with_rule(rows: DataFrame, rules: list[tuple[str, str]], in_plan: int = RULES_IN_PLAN) -> DataFrame:
+    """``rows`` (host, path and others) with _m, the action and rule of the longest
+    fitting rule (see ``matching_rule``), for any number of rules.
+
+    A long list is a table. Distinct (host, path) pairs meet it by equality: of
+    each parent domain that has rules, the beginnings of the path in the lengths
+    that its rules have. So a domain with many rules costs a url its number of
+    different lengths, not of rules. The best rule of each pair is joined back."""
+    if len(rules) <= in_plan:
+        action, rule = matching_rule(F.col("host"), F.col("path"), rules)
+        return rows.withColumn("_m", F.struct(action.alias("action"), rule.alias("rule")))
+    table = [(*split_rule(r), len(r), a == "allow", r, a) for a, r in set(rules)]
+    known = staged(rows.sparkSession.createDataFrame(table, "h string, p string, len int, allow boolean, rule string, action string")
+                   .groupBy("h", "p").agg(F.max(F.struct("len", "allow", "rule", "action")).alias("best")), "url-rules")
+    lengths = staged(known.groupBy(F.col("h").alias("_h")).agg(F.collect_set(F.length("p")).alias("sizes")), "url-rule-lengths")
+    pairs = rows.select("host", "path").distinct()
+    begun = (pairs.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("h")).join(lengths, F.col("h") == F.col("_h"))
+             .select("host", "path", "h", F.explode(F.filter("sizes", lambda k: k <= F.length("path"))).alias("k"))
+             .select("host", "path", "h", F.substr("path", F.lit(1), F.col("k")).alias("p")))
+    best = staged(begun.join(known, ["h", "p"]).groupBy(F.col("host").alias("_host"), F.col("path").alias("_path"))
+                  .agg(F.max("best").alias("_best")), "url-best-rules")
+    return (rows.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
+            .withColumn("_m", F.struct(F.col("_best.action").alias("action"), F.col("_best.rule").alias("rule")))
+            .drop("_host", "_path", "_best"))
+
+
 def node_key(url: Column) -> Column:
     """The url with scheme and host lower-cased: pages and targets meet under it."""
     origin = F.regexp_extract(url, _ORIGIN, 1)
@@ -135,9 +163,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], edges: DataFrame
         [] if edges is None else [edges.select("src", "dst").where("src is not null and dst is not null")])
     rows = pages.select(F.col(key).alias(key), F.col(url).alias("url"))
     host, path = url_host(F.col("url")), url_path(F.col("url"))
-    action, rule = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = (rows.withColumn("host", host).withColumn("path", path)
-              .withColumn("_m", F.struct(action.alias("action"), rule.alias("rule"))))
+    judged = with_rule(rows.withColumn("host", host).withColumn("path", path), rules)
     linked = None
     for p in parts:
         linked = p if linked is None else linked.unionByName(p)
@@ -149,8 +175,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], edges: DataFrame
         out = judged.withColumn("component", node_key(F.col("url"))).withColumn("_blocked", F.lit(False))
     else:
         comp = components(linked)
-        member_action, _ = matching_rule(url_host(F.col("node")), url_path(F.col("node")), rules)
-        flags = comp.groupBy("component").agg(F.max(member_action.eqNullSafe("block")).alias("_blocked"))
+        members = with_rule(comp.withColumn("host", url_host(F.col("node"))).withColumn("path", url_path(F.col("node"))), rules)
+        flags = members.groupBy("component").agg(F.max(F.col("_m.action").eqNullSafe("block")).alias("_blocked"))
         alias = comp.join(flags, "component")
         out = (judged.join(alias, node_key(F.col("url")) == F.col("node"), "left")
                .withColumn("component", F.coalesce("component", node_key(F.col("url")))))

@@ -44,6 +44,34 @@ def test_judge_urls(spark):
     assert url_filter.judge_urls(d.limit(0), url_filter.RULES).count() == 0
 
 
+def test_many_rules_are_a_table(spark):
+    """20,000 rules by a join, and the same answers as in the plan."""
+    rules = [(("allow", "block")[i % 3 == 0], f"h{i % 700}.net/{'abc'[i % 3] * (i % 5)}{i % 40}") for i in range(20_000)]
+    rules += [*url_filter.RULES, ("allow", "net/"), ("block", "h3.net/")]
+    urls = URLS + [f"http://{sub}h{i}.net/{'abc'[i % 3] * k}{j}" for i in range(0, 705, 47) for sub in ("", "x.") for k in range(5) for j in (7, 39)]
+    d = spark.createDataFrame([(i, u) for i, u in enumerate(urls + urls[5:9])], "page_id long, url string")
+    got = url_filter.judge_urls(d, rules, html=None).collect()
+    assert len(got) == len(urls) + 4
+    for r in got:
+        host, path, action, rule = brute_url(r.url, rules)
+        best = max((len(x), a == "allow", x) for a, x in rules if x == rule or (
+            rule and len(x) == len(rule) and (host == x.split("/")[0] or host.endswith("." + x.split("/")[0]))
+            and path.startswith("/" + x.split("/", 1)[1]))) if rule else None
+        assert (r.host, r.path, r.rule) == (host, path, best and best[2]), r
+        assert r.verdict == ("allow" if best is None or best[1] else "block")
+    small = spark.createDataFrame([(u, *brute_url(u, [])[:2]) for u in urls], "url string, host string, path string")
+    few = rules[:40] + rules[-7:]
+    both = [{(x.url, x._m) for x in url_filter.with_rule(small, few, limit).collect()} for limit in (0, 500)]
+    assert both[0] == both[1]
+
+
+def test_allow_goes_before_block_on_one_rule(spark):
+    d = spark.createDataFrame([(1, "http://x.net/es/1")], "page_id long, url string")
+    for rules in ([("allow", "net/es/"), ("block", "net/es/")], [("block", "net/es/"), ("allow", "net/es/")]):
+        for extra in ([], [("block", f"h{i}.org/") for i in range(600)]):
+            assert url_filter.judge_urls(d, rules + extra, html=None).first().verdict == "allow"
+
+
 def test_blocks_reach_aliases_but_not_allowed_urls(spark):
     page = '<head><link rel="canonical" href="%s"></head>'
     moved = '<meta http-equiv="refresh" content="0; url=%s">'
