@@ -58,18 +58,26 @@ def model_inputs(features: DataFrame, cut: str, key=STOP_KEY, lags=(7, 30)) -> D
     """Numeric inputs of M5 for every row, train and test alike.
 
     Route and stop enter as their mean riders over the training period (a
-    number, so any count of routes and stops fits the trees); a missing lag is
-    filled with the mean of the key (of the route, of all, in that order) and
-    flagged. The means are aggregates joined back on their keys."""
+    number, so any count of routes and stops fits the trees). A training row's
+    own label is left out of its means: the input must not tell the answer. A
+    key without other training days takes the route's mean, a route without any
+    the mean of all. A missing lag is filled with the mean of the key (of the
+    route, of all, in that order) and flagged. Sums and counts are aggregates
+    joined back on their keys."""
     data = temporal_split(features, cut).withColumn("label", c("riders").cast("double"))
     train = data.where(c("split") == "train")
-    of_key = train.groupBy(*key).agg(F.avg("label").alias("_key_mean"))
-    of_route = train.groupBy("route_name").agg(F.avg("label").alias("route_mean"))
-    overall = train.agg(F.avg("label")).first()[0] or 0.0  # one number
-    out = data.join(of_route, "route_name", "left")
-    out = out.join(of_key, list(key), "left") if tuple(key) != ROUTE_KEY else out.withColumn("_key_mean", c("route_mean"))
-    out = out.withColumn("route_mean", F.coalesce("route_mean", F.lit(float(overall))))
-    out = out.withColumn("stop_mean", F.coalesce("_key_mean", "route_mean")).drop("_key_mean")
+    held = lambda name: (F.sum("label").alias(f"_{name}_sum"), F.count("label").alias(f"_{name}_n"))
+    total = train.agg(*held("all")).first()  # one row
+    out = data.join(train.groupBy("route_name").agg(*held("route")), "route_name", "left")
+    if tuple(key) != ROUTE_KEY:
+        out = out.join(train.groupBy(*key).agg(*held("key")), list(key), "left")
+    own = (c("split") == "train") & c("label").isNotNull()
+    without = lambda s, n: (s - F.when(own, c("label")).otherwise(0.0)) / F.nullif(
+        (n - own.cast("int")).cast("double"), F.lit(0.0))
+    overall = without(F.lit(float(total["_all_sum"] or 0.0)), F.lit(total["_all_n"]))
+    out = out.withColumn("route_mean", F.coalesce(without(c("_route_sum"), c("_route_n")), overall, F.lit(0.0)))
+    of_key = c("route_mean") if tuple(key) == ROUTE_KEY else F.coalesce(without(c("_key_sum"), c("_key_n")), c("route_mean"))
+    out = out.withColumn("stop_mean", of_key).drop("_route_sum", "_route_n", "_key_sum", "_key_n")
     for k in lags:
         out = (out.withColumn(f"no_lag_{k}", c(f"lag_{k}").isNull().cast("double"))
                .withColumn(f"in_lag_{k}", F.coalesce(c(f"lag_{k}").cast("double"), c("stop_mean"))))

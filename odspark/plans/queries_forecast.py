@@ -169,6 +169,29 @@ def stop_lag_features(spark, sf_dir):
     return _stop_features(T(spark, sf_dir))
 
 
+@register("model_inputs", lambda: oracle_with("daily_stop") + f""", f AS MATERIALIZED (
+SELECT d.*, a.riders AS lag_7, b.riders AS lag_30, CASE WHEN d.day < DATE '{CUT}' THEN 1 ELSE 0 END AS own
+FROM daily_stop d
+LEFT JOIN daily_stop a ON (a.route_name = d.route_name AND a.stop_id = d.stop_id AND a.direction = d.direction
+                           AND a.day = d.day - INTERVAL 7 DAY)
+LEFT JOIN daily_stop b ON (b.route_name = d.route_name AND b.stop_id = d.stop_id AND b.direction = d.direction
+                           AND b.day = d.day - INTERVAL 30 DAY)),
+k AS (SELECT route_name, stop_id, direction, CAST(SUM(riders) AS DOUBLE) AS s, COUNT(*) AS n FROM f WHERE own = 1 GROUP BY ALL),
+r AS (SELECT route_name, SUM(s) AS s, SUM(n) AS n FROM k GROUP BY route_name),
+o AS (SELECT SUM(s) AS s, SUM(n) AS n FROM r),
+m AS (SELECT f.*, COALESCE((r.s - own * riders) / CAST(NULLIF(r.n - own, 0) AS DOUBLE),
+                           (o.s - own * riders) / CAST(NULLIF(o.n - own, 0) AS DOUBLE), 0.0) AS route_mean,
+             (k.s - own * riders) / CAST(NULLIF(k.n - own, 0) AS DOUBLE) AS key_mean
+      FROM f CROSS JOIN o LEFT JOIN r USING (route_name) LEFT JOIN k USING (route_name, stop_id, direction))
+SELECT route_name, stop_id, direction, day, route_mean, COALESCE(key_mean, route_mean) AS stop_mean,
+  COALESCE(CAST(lag_7 AS DOUBLE), key_mean, route_mean) AS in_lag_7,
+  COALESCE(CAST(lag_30 AS DOUBLE), key_mean, route_mean) AS in_lag_30 FROM m""")
+def model_inputs(spark, sf_dir):
+    """M3: the means and filled lags that M5 learns from, each training row's own label left out."""
+    x = fc.model_inputs(_stop_features(T(spark, sf_dir)), CUT)
+    return x.select(*fc.STOP_KEY, "day", "route_mean", "stop_mean", "in_lag_7", "in_lag_30")
+
+
 @register("model_predictions", lambda: oracle_with("daily_stop") + f"""
 SELECT route_name, stop_id, direction, day, riders, TRUE AS predicted
 FROM daily_stop WHERE day >= DATE '{CUT}'""")

@@ -26,14 +26,31 @@ def test_forty_routes_and_missing_lags_are_all_predicted(spark):
     assert len(p) == want and all(r.predicted is not None for r in p)
 
 
-def test_no_training_rows_of_a_stop_fall_back_to_route_and_all(spark):
-    rows = [("A", 1, "board", dt.date(2024, 1, 1), 4), ("A", 2, "board", dt.date(2024, 2, 1), 9),
-            ("B", 3, "board", dt.date(2024, 2, 1), 7)]
-    d = spark.createDataFrame(rows, "route_name string, stop_id long, direction string, day date, riders long")
+def inputs(spark, rows):
+    d = spark.createDataFrame([(r, s, "board", dt.date(2024, m, k), n) for r, s, m, k, n in rows],
+                              "route_name string, stop_id long, direction string, day date, riders long")
     hol = spark.createDataFrame([], "day date")
     x = fc.model_inputs(fc.lag_features(d, hol, key=fc.STOP_KEY), "2024-01-15").collect()
-    assert {(r.route_name, r.stop_id): r.stop_mean for r in x} == {("A", 1): 4.0, ("A", 2): 4.0, ("B", 3): 4.0}
-    assert all(r.in_lag_7 == 4.0 and r.no_lag_7 == 1.0 for r in x)
+    return {(r.route_name, r.stop_id, r.day.month, r.day.day): r for r in x}
+
+
+def test_no_training_rows_of_a_stop_fall_back_to_route_and_all(spark):
+    x = inputs(spark, [("A", 1, 1, 1, 4), ("A", 2, 2, 1, 9), ("B", 3, 2, 1, 7)])
+    assert {k[:2]: r.stop_mean for k, r in x.items() if k[2] == 2} == {("A", 2): 4.0, ("B", 3): 4.0}
+    assert all(r.in_lag_7 == 4.0 and r.no_lag_7 == 1.0 for k, r in x.items() if k[2] == 2)
+    assert x["A", 1, 1, 1].stop_mean == 0.0  # nothing but its own label
+
+
+def test_a_training_row_does_not_see_its_own_label(spark):
+    x = inputs(spark, [("A", 1, 1, 1, 100), ("A", 2, 1, 1, 4), ("A", 2, 1, 2, 8), ("A", 2, 2, 1, 5), ("A", 1, 2, 1, 5),
+                       ("B", 7, 1, 3, 50)])
+    one = x["A", 1, 1, 1]  # a stop with one training day takes the route's mean of the other rows
+    assert one.route_mean == one.stop_mean == one.in_lag_7 == 6.0
+    assert (x["A", 2, 1, 1].stop_mean, x["A", 2, 1, 2].stop_mean) == (8.0, 4.0)
+    assert x["A", 2, 1, 1].route_mean == 54.0
+    assert (x["B", 7, 1, 3].stop_mean, x["B", 7, 1, 3].route_mean) == (112 / 3, 112 / 3)
+    # rows of the test period are not in the means and see them whole
+    assert x["A", 2, 2, 1].stop_mean == 6.0 and x["A", 1, 2, 1].stop_mean == 100.0 and x["A", 1, 2, 1].route_mean == 112 / 3
 
 
 def test_hour_split_conserves_riders(spark):
