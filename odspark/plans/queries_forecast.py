@@ -156,7 +156,12 @@ def section_share(spark, sf_dir):
     return fc.section_share(t.tx(), t.stops(), SECTION_FROM, SECTION_TO)
 
 
-@register("stop_lag_features", lambda: oracle_with("daily_stop", "holiday") + f"""
+def _with_daily_stop(*names):
+    """The stop table is read three times: computed once."""
+    return oracle_with("daily_stop", *names).replace("daily_stop AS (", "daily_stop AS MATERIALIZED (")
+
+
+@register("stop_lag_features", lambda: _with_daily_stop("holiday") + f"""
 SELECT d.*, a.riders AS lag_7, b.riders AS lag_30, CAST(dayofweek(d.day) + 1 AS INTEGER) AS weekday,
        CAST(month(d.day) AS INTEGER) AS month, {DAYTYPE_SQL.format(d='d.day')} AS day_type
 FROM daily_stop d LEFT JOIN holiday h ON h.day = d.day
@@ -169,7 +174,7 @@ def stop_lag_features(spark, sf_dir):
     return _stop_features(T(spark, sf_dir))
 
 
-@register("model_inputs", lambda: oracle_with("daily_stop") + f""", f AS MATERIALIZED (
+@register("model_inputs", lambda: _with_daily_stop() + f""", f AS MATERIALIZED (
 SELECT d.*, a.riders AS lag_7, b.riders AS lag_30, CASE WHEN d.day < DATE '{CUT}' THEN 1 ELSE 0 END AS own
 FROM daily_stop d
 LEFT JOIN daily_stop a ON (a.route_name = d.route_name AND a.stop_id = d.stop_id AND a.direction = d.direction
