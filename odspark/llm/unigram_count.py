@@ -11,8 +11,14 @@ characters count one token per UTF-8 byte (byte fallback).
 Text form: a ``▁`` before the text, every space becomes ``▁``. No piece has a
 ``▁`` behind another character, so the lattice falls apart before each ``▁``
 that follows another character: each such segment is solved once per worker
-and remembered (a bounded memo). Scores are whole numbers, so the cut changes
-no sum and no tie.
+and remembered (a bounded memo). With whole-number scores the cut changes no
+sum and no tie. With others the library adds floating-point scores from the
+start of the text, so a choice may hang on what stands before. A remembered
+segment also holds the scores of its best path and the smallest lead of any
+choice in it; where the lead exceeds all possible rounding, the path's scores
+are added in the whole text's order, and else the segment is solved again at
+the score reached so far. Both give the whole text's own sums and ties. Only the
+last (longest piece) ends are held, however long a text without spaces is.
 
 Defined results: null and empty texts have 0 tokens; repeated rows are counted
 row by row; an empty table gives an empty result; only the named columns are
@@ -21,8 +27,10 @@ read, so further columns cannot clash.
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +40,8 @@ from odspark.llm import rolling as R
 
 UNKNOWN_PENALTY = 10.0
 MEMO_ENTRIES = 400_000
+MEMO_CHARS = 64
+EPSILON = 2.0 ** -52
 _SEGMENT = re.compile("▁+[^▁]*")
 
 
@@ -43,17 +53,27 @@ def load_vocabulary(model_path: str) -> list[tuple[str, float]]:
     return [(m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size())]
 
 
+class Solved(NamedTuple):
+    tokens: int
+    score: float              # of the text up to the segment's end
+    path: tuple[float, ...]   # scores of the best path's pieces (short segments only)
+    gap: float                # smallest lead of a choice over the next best one
+    reach: float              # bound of the sums that were compared
+
+
 class UnigramCounter:
-    """Counts tokens of segments; ``pieces`` are (piece, whole-number score)."""
+    """Counts tokens of texts; ``pieces`` are (piece, score)."""
 
     def __init__(self, pieces: list[tuple[str, float]], unk_id: int = 0):
         import ahocorasick
 
-        self.scores = scores = dict(pieces)
-        if any(s != int(s) for s in scores.values()):
-            raise ValueError("scores must be whole numbers")
+        self.scores = scores = {p: float(s) for p, s in pieces}
+        if not all(map(math.isfinite, scores.values())):
+            raise ValueError("scores must be finite numbers")
         if any("▁" in p.lstrip("▁") for p in scores) or "▁" not in scores:
             raise ValueError("▁ must be a piece and stand only at the start of pieces")
+        self.whole = all(s.is_integer() for s in scores.values())
+        self.longest = max(map(len, scores))
         self.unk = min(scores.values()) - UNKNOWN_PENALTY
         self.byte_fallback = all(f"<0x{b:02X}>" in scores for b in range(256))
         self.automaton = ahocorasick.Automaton()
@@ -61,7 +81,7 @@ class UnigramCounter:
             if p:  # a text match of the unknown piece itself counts as unknown
                 self.automaton.add_word(p, (len(p), s, p == pieces[unk_id][0]))
         self.automaton.make_automaton()
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str, Solved] = {}
 
     def _run(self, text: str) -> int:
         """Tokens of a fused run of unknown characters."""
@@ -69,49 +89,84 @@ class UnigramCounter:
             return 1
         return len(text.encode())
 
-    def segment(self, seg: str) -> int:
-        n = len(seg)
-        by_end: list[list] = [[] for _ in range(n + 1)]
-        single = [False] * n
-        for last, (size, score, unk) in self.automaton.iter(seg):
-            by_end[last + 1].append((last + 1 - size, score, unk))
-            if size == 1:
-                single[last] = True
-        # best score, pieces before the open run of unknown characters, start
-        # of that run (-1: none). Pulling each end's matches in order of start
-        # is the relaxation order of pushing start by start.
-        best, pieces, run = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    def segment(self, seg: str, base: float = 0.0) -> Solved:
+        """One segment, behind a text whose best score is ``base``."""
+        n, traced = len(seg), len(seg) <= MEMO_CHARS
+        # Only the last ends are looked back at: best score, pieces before the
+        # open run of unknown characters, start of that run (-1: none).
+        ring = min(n, self.longest) + 1
+        best, pieces, run = [base] * ring, [0] * ring, [-1] * ring
+        back: list[tuple[int, float]] = [(0, 0.0)]
+        gap, reach = math.inf, abs(base)
+        matches = self.automaton.iter(seg)
+        match = next(matches, None)
         for end in range(1, n + 1):
-            cands = by_end[end]
-            if not single[end - 1]:
+            cands, single = [], False
+            while match is not None and match[0] == end - 1:
+                size, score, unk = match[1]
+                cands.append((end - size, score, unk))
+                single = single or size == 1
+                match = next(matches, None)
+            if not single:
                 cands.append((end - 1, self.unk, True))
+            # pulling an end's matches in order of start is the relaxation
+            # order of pushing start by start
             cands.sort()
-            top = None
+            top = second = -math.inf
             for start, score, unk in cands:
-                s = best[start] + score
-                if top is None or s > top:
-                    top, origin, unknown = s, start, unk
-            best[end] = top
+                s = best[start % ring] + score
+                reach = max(reach, abs(s))
+                if s > top:
+                    top, second, origin, unknown, step = s, top, start, unk, score
+                elif s > second:
+                    second = s
+            gap = min(gap, top - second)
+            if traced:
+                back.append((origin, step))
+            o, e = origin % ring, end % ring
+            open_run, before = run[o], pieces[o]
+            best[e] = top
             if unknown:
-                pieces[end], run[end] = pieces[origin], origin if run[origin] < 0 else run[origin]
+                pieces[e], run[e] = before, origin if open_run < 0 else open_run
             else:
-                open_run = run[origin]
-                pieces[end] = pieces[origin] + 1 + (self._run(seg[open_run:origin]) if open_run >= 0 else 0)
-        return pieces[n] + (self._run(seg[run[n]:]) if run[n] >= 0 else 0)
+                pieces[e] = before + 1 + (self._run(seg[open_run:origin]) if open_run >= 0 else 0)
+                run[e] = -1
+        last = n % ring
+        path, at = [], n
+        while traced and at:
+            at, step = back[at]
+            path.append(step)
+        return Solved(pieces[last] + (self._run(seg[run[last]:]) if run[last] >= 0 else 0),
+                      best[last], tuple(reversed(path)), gap, reach + reach + abs(base))
+
+    def _known(self, seg: str) -> Solved:
+        """The remembered solution of a segment (solved now, if there is none)."""
+        found = self.memo.get(seg)
+        if found is None:
+            found = self.segment(seg)
+            if len(seg) <= MEMO_CHARS:
+                if len(self.memo) >= MEMO_ENTRIES:
+                    self.memo.clear()
+                self.memo[seg] = found
+        return found
 
     def count(self, text: str) -> int:
         if not text:
             return 0
-        memo, total = self.memo, 0
-        for seg in _SEGMENT.findall("▁" + text.replace(" ", "▁")):
-            c = memo.get(seg)
-            if c is None:
-                c = self.segment(seg)
-                if len(seg) <= 64:
-                    if len(memo) >= MEMO_ENTRIES:
-                        memo.clear()
-                    memo[seg] = c
-            total += c
+        segments = _SEGMENT.finditer("▁" + text.replace(" ", "▁"))
+        if self.whole:
+            return sum(self._known(m[0]).tokens for m in segments)
+        base, total = 0.0, 0
+        for m in segments:
+            seg = m[0]
+            found = self._known(seg) if len(seg) <= MEMO_CHARS else None
+            if found is None or found.gap <= 4 * (len(seg) + 1) * EPSILON * (found.reach + abs(base)):
+                found = self.segment(seg, base)
+                base = found.score
+            else:
+                for step in found.path:  # the whole text's own order of additions
+                    base += step
+            total += found.tokens
         return total
 
 

@@ -62,6 +62,51 @@ def test_unigram_ties_and_bytes():
             assert counter.count(s) == len(t.encode(s, add_special_tokens=False).ids), repr(s)
 
 
+def unigram_library(vocab):
+    from tokenizers import Tokenizer, normalizers
+    from tokenizers.models import Unigram
+    t = Tokenizer(Unigram(vocab, unk_id=0, byte_fallback=len(vocab) > 256))
+    t.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+    return lambda text: len(t.encode(text, add_special_tokens=False).ids)
+
+
+def test_unigram_fractional_scores():
+    """Log probabilities of the 32k pieces: any score, not whole numbers only."""
+    import math
+    vocab = [(p, s if i < 3 else -math.log(i + 2.5)) for i, (p, s) in enumerate(unigram_count.load_vocabulary(PIECES))]
+    counter, library = unigram_count.UnigramCounter(vocab), unigram_library(vocab)
+    assert not counter.whole
+    texts = [t or "" for t in messy_texts(12, 300)]
+    for text in texts + [" ".join(texts), "x".join(texts).replace(" ", "")]:
+        assert counter.count(text) == library(text), repr(text[:80])
+
+
+def test_unigram_fractional_ties_follow_rounding():
+    """Sums that are equal in exact numbers and differ by rounding: which path wins
+    changes with the text before, so a remembered segment may not be reused."""
+    import random
+    vocab = [("<unk>", -0.7), ("▁", -0.1), ("a", -0.1), ("b", -0.2), ("c", -0.3), ("ab", -0.3), ("bc", -0.5), ("abc", -0.6),
+             ("▁a", -0.2), ("▁ab", -0.4), ("ca", -0.4), ("bca", -0.6)]
+    counter, library, r = unigram_count.UnigramCounter(vocab), unigram_library(vocab), random.Random(8)
+    differ = set()
+    for _ in range(400):
+        s = "".join(r.choice("aabbcc  é") for _ in range(r.randrange(200)))
+        assert counter.count(s) == library(s), repr(s)
+        before = " ".join(["abc"] * r.randrange(60))
+        differ.add(library(before + " abcabc") - library(before))
+    assert len(differ) > 1  # the fixture reaches such choices
+    assert counter.count("") == 0 and unigram_count.UnigramCounter([("<unk>", 0.0), ("▁", -0.5)]).count("zz") == 2
+    with pytest.raises(ValueError):
+        unigram_count.UnigramCounter([("<unk>", 0.0), ("▁", float("nan"))])
+
+
+def test_unigram_long_text_without_spaces():
+    vocab = unigram_count.load_vocabulary(PIECES)
+    text = "".join(t or "" for t in messy_texts(13, 200)).replace(" ", "") * 5
+    assert len(text) > 20_000
+    assert unigram_count.UnigramCounter(vocab).count(text) == unigram_library(vocab)(text)
+
+
 def test_count_tokens_frame(docs, empty_docs):
     texts = messy_texts(3, 40)
     counter = unigram_count.UnigramCounter(unigram_count.load_vocabulary(PIECES))
