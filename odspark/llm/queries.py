@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 import corpus_pipeline
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odspark.llm import (chat_events, decontam, merkle, near_dedup, oracles, packing, quality, secret_ledger,
@@ -113,20 +113,44 @@ _DELTA_CHARS = 256
 
 
 def conversation_events(rows: DataFrame) -> DataFrame:
-    """The log of a conversation table: a message per row, assistant texts streamed as deltas."""
+    """The event log of a conversation table, as a chat service would have kept it.
+
+    Assistant texts are streamed as deltas. By the checksum of its text, a third
+    of the turns stands at once; a third opens with a draft that is edited, or is
+    regenerated while it streams; a third takes both ways, with the edit or the
+    second stream as its last word. Drafts, streams and last words of all turns
+    lie in one sequence of the conversation: first every turn's opening, then the
+    drafts, then the corrections, so the events of a turn are not adjacent in it.
+    Repeated (conv, turn) rows are turns of their own, ordered by role and text."""
     from pyspark.sql import Window
 
     nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    r = rows.select("conv_id", F.struct("turn", nth.alias("nth")).alias("position"), "role", "text")
+    text = F.coalesce("text", F.lit(""))
+    draft = F.concat(F.reverse(text), F.lit(" <|end|> draft"))
     streamed = F.col("role").eqNullSafe("assistant")
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length("text") / _DELTA_CHARS).cast("int")))
-    opened = r.select("conv_id", "position", F.lit(0).alias("seq"), F.lit("message").alias("kind"), "role",
-                      F.when(streamed, "").otherwise(F.col("text")).alias("text"))
-    deltas = (r.where(streamed & F.col("text").isNotNull())
-              .select("conv_id", "position", F.explode(steps).alias("seq"), "role", "text")
-              .select("conv_id", "position", "seq", F.lit("delta").alias("kind"), "role",
-                      F.substring("text", (F.col("seq") - 1) * _DELTA_CHARS + 1, F.lit(_DELTA_CHARS)).alias("text")))
-    return opened.unionByName(deltas)
+    way = F.crc32(F.encode(text, "UTF-8")) % 3
+
+    def event(phase: int, kind: str, body: Column, step: Column = F.lit(0)) -> Column:
+        return F.struct((F.lit(phase) * F.lit(1 << 40) + step).alias("seq"), F.lit(kind).alias("kind"), body.alias("text"))
+
+    def stream(phase: int, body: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(body)), F.lit(_DELTA_CHARS))
+        return F.transform(starts, lambda i: event(phase, "delta", F.substring(body, i, F.lit(_DELTA_CHARS)), i))
+
+    empty = F.lit("")
+    opened = F.array(event(0, "message", F.when(streamed, empty).when(way == 0, text).otherwise(draft)))
+    once = F.when(streamed, F.concat(opened, stream(1, text))).otherwise(opened)
+    again = F.when(streamed, F.concat(opened, stream(1, draft), F.array(event(2, "regenerate", empty)), stream(3, text))
+                   ).otherwise(F.concat(opened, F.array(event(2, "edit", text))))
+    both = F.when(streamed, F.concat(opened, stream(1, draft), F.array(event(2, "edit", draft), event(3, "regenerate", empty)),
+                                     stream(4, text))
+                  ).otherwise(F.concat(opened, F.array(event(1, "regenerate", empty)), stream(2, draft),
+                                       F.array(event(3, "edit", empty)), stream(4, text)))
+    log = F.when(way == 0, once).when(way == 1, again).otherwise(both)
+    # the turns are numbered in a step of their own, before the events multiply them
+    turns = rows.select("conv_id", F.struct("turn", nth.alias("nth")).alias("position"), "role", log.alias("log"))
+    return (turns.select("conv_id", "position", "role", F.explode("log").alias("e"))
+            .select("conv_id", "position", "role", "e.*"))
 
 
 @_query

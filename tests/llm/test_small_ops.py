@@ -146,6 +146,27 @@ def test_conversations_read_back(spark):
     assert none.count() == 0
 
 
+def test_event_log_supersedes_turns(spark):
+    """The derived log holds drafts, edits and regenerations, and the fold undoes them, whatever the order of rows;
+    repeated (conv, turn) rows are turns of their own; further columns are not read."""
+    rows = [(i % 5, i // 5 % 9, ("user", "assistant", None)[i % 3], f"text {i} " * (i % 50), i, "x") for i in range(120)]
+    rows += [(1, 2, "user", None, 0, "x"), (1, 2, "user", None, 0, "y"), (None, 0, "assistant", "lone", 0, "z")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq long, kind string")
+    events = conversation_events(d)
+    log = events.collect()
+    assert {e.kind for e in log} == {"message", "delta", "edit", "regenerate"}
+    assert sum("draft" in (e.text or "") for e in log) > 50
+    by_turn = Counter((e.conv_id, e.position) for e in log)
+    assert len(by_turn) == len(rows) and max(by_turn.values()) >= 5
+    # in the order of the conversation's sequence, another turn's events stand between those of a turn
+    order = [e.position for e in sorted((e for e in log if e.conv_id == 1), key=lambda e: e.seq)]
+    assert sum(a != b for a, b in zip(order, order[1:])) > len(set(order))
+    turns = chat_events.fold_events(events.orderBy("text", "kind")).collect()
+    key = lambda r: tuple((x is not None, x) for x in r)
+    got = sorted(((t.conv_id, t.position.turn, t.role, t.text) for t in turns), key=key)
+    assert got == sorted(((c, t, r, x or "") for c, t, r, x, *_ in rows), key=key)
+
+
 def test_no_control_string_survives(spark):
     r = random.Random(6)
     texts = ["".join(r.choice(chat_events.CONTROL + ["\\", "|", "<", "["]) for _ in range(20)) for _ in range(100)]
