@@ -17,8 +17,9 @@ start of the text, so a choice may hang on what stands before. A remembered
 segment also holds the scores of its best path and the smallest lead of any
 choice in it; where the lead exceeds all possible rounding, the path's scores
 are added in the whole text's order, and else the segment is solved again at
-the score reached so far. Both give the whole text's own sums and ties. Only the
-last (longest piece) ends are held, however long a text without spaces is.
+the score reached so far. Both give the whole text's own sums and ties. Matches are
+taken as the automaton finds them: a few numbers a character are held, and the
+matches of one end at a time, however long a text without spaces is.
 
 Defined results: null and empty texts have 0 tokens; repeated rows are counted
 row by row; an empty table gives an empty result; only the named columns are
@@ -73,7 +74,6 @@ class UnigramCounter:
         if any("▁" in p.lstrip("▁") for p in scores) or "▁" not in scores:
             raise ValueError("▁ must be a piece and stand only at the start of pieces")
         self.whole = all(s.is_integer() for s in scores.values())
-        self.longest = max(map(len, scores))
         self.unk = min(scores.values()) - UNKNOWN_PENALTY
         self.byte_fallback = all(f"<0x{b:02X}>" in scores for b in range(256))
         self.automaton = ahocorasick.Automaton()
@@ -81,7 +81,7 @@ class UnigramCounter:
             if p:  # a text match of the unknown piece itself counts as unknown
                 self.automaton.add_word(p, (len(p), s, p == pieces[unk_id][0]))
         self.automaton.make_automaton()
-        self.memo: dict[str, Solved] = {}
+        self.memo: dict[str, int | Solved] = {}
 
     def _run(self, text: str) -> int:
         """Tokens of a fused run of unknown characters."""
@@ -89,61 +89,80 @@ class UnigramCounter:
             return 1
         return len(text.encode())
 
+    def tokens(self, seg: str) -> int:
+        """Tokens of one segment under whole-number scores."""
+        # per end: best score, pieces before the open run of unknown
+        # characters, start of that run (-1: none)
+        best, pieces, run = [0.0], [0], [-1]
+        matches, done = self.automaton.iter(seg), (len(seg), None)
+        at, match = next(matches, done)
+        for end in range(1, len(seg) + 1):
+            top, origin, unknown, single = -math.inf, end, False, False
+            while at < end:
+                size, score, unk = match
+                start = end - size
+                s = best[start] + score
+                # relaxing by start: the earlier start stays on a tie
+                if s > top or s == top and start < origin:
+                    top, origin, unknown = s, start, unk
+                if size == 1:
+                    single = True
+                at, match = next(matches, done)
+            if not single and best[-1] + self.unk > top:
+                top, origin, unknown = best[-1] + self.unk, end - 1, True
+            self._extend(seg, origin, unknown, pieces, run)
+            best.append(top)
+        return pieces[-1] + (self._run(seg[run[-1]:]) if run[-1] >= 0 else 0)
+
+    def _extend(self, seg: str, origin: int, unknown: bool, pieces: list, run: list) -> None:
+        """One more end, reached from ``origin`` by a piece or an unknown character."""
+        open_run, n = run[origin], pieces[origin]
+        if unknown:
+            run.append(origin if open_run < 0 else open_run)
+        else:
+            run.append(-1)
+            n += 1 if open_run < 0 else 1 + self._run(seg[open_run:origin])
+        pieces.append(n)
+
     def segment(self, seg: str, base: float = 0.0) -> Solved:
-        """One segment, behind a text whose best score is ``base``."""
-        n, traced = len(seg), len(seg) <= MEMO_CHARS
-        # Only the last ends are looked back at: best score, pieces before the
-        # open run of unknown characters, start of that run (-1: none).
-        ring = min(n, self.longest) + 1
-        best, pieces, run = [base] * ring, [0] * ring, [-1] * ring
-        back: list[tuple[int, float]] = [(0, 0.0)]
+        """One segment under any scores, behind a text whose best score is ``base``:
+        as ``tokens``, with the path's scores and the smallest lead of a choice."""
+        best, pieces, run, back = [base], [0], [-1], [(0, 0.0)]
         gap, reach = math.inf, abs(base)
-        matches = self.automaton.iter(seg)
-        match = next(matches, None)
-        for end in range(1, n + 1):
+        matches, done = self.automaton.iter(seg), (len(seg), None)
+        at, match = next(matches, done)
+        for end in range(1, len(seg) + 1):
             cands, single = [], False
-            while match is not None and match[0] == end - 1:
-                size, score, unk = match[1]
+            while at < end:
+                size, score, unk = match
                 cands.append((end - size, score, unk))
                 single = single or size == 1
-                match = next(matches, None)
+                at, match = next(matches, done)
             if not single:
                 cands.append((end - 1, self.unk, True))
-            # pulling an end's matches in order of start is the relaxation
-            # order of pushing start by start
             cands.sort()
-            top = second = -math.inf
-            for start, score, unk in cands:
-                s = best[start % ring] + score
-                reach = max(reach, abs(s))
-                if s > top:
-                    top, second, origin, unknown, step = s, top, start, unk, score
-                elif s > second:
-                    second = s
-            gap = min(gap, top - second)
-            if traced:
-                back.append((origin, step))
-            o, e = origin % ring, end % ring
-            open_run, before = run[o], pieces[o]
-            best[e] = top
-            if unknown:
-                pieces[e], run[e] = before, origin if open_run < 0 else open_run
-            else:
-                pieces[e] = before + 1 + (self._run(seg[open_run:origin]) if open_run >= 0 else 0)
-                run[e] = -1
-        last = n % ring
-        path, at = [], n
-        while traced and at:
+            sums = [best[start] + score for start, score, _ in cands]
+            top = max(sums)
+            origin, step, unknown = cands[sums.index(top)]
+            reach = max(reach, -min(sums), top)
+            if len(sums) > 1:
+                sums.remove(top)
+                gap = min(gap, top - max(sums))
+            self._extend(seg, origin, unknown, pieces, run)
+            best.append(top)
+            back.append((origin, step))
+        path, at = [], len(seg)
+        while at:
             at, step = back[at]
             path.append(step)
-        return Solved(pieces[last] + (self._run(seg[run[last]:]) if run[last] >= 0 else 0),
-                      best[last], tuple(reversed(path)), gap, reach + reach + abs(base))
+        return Solved(pieces[-1] + (self._run(seg[run[-1]:]) if run[-1] >= 0 else 0),
+                      best[-1], tuple(reversed(path)), gap, reach + reach + abs(base))
 
-    def _known(self, seg: str) -> Solved:
+    def _known(self, seg: str):
         """The remembered solution of a segment (solved now, if there is none)."""
         found = self.memo.get(seg)
         if found is None:
-            found = self.segment(seg)
+            found = self.tokens(seg) if self.whole else self.segment(seg)
             if len(seg) <= MEMO_CHARS:
                 if len(self.memo) >= MEMO_ENTRIES:
                     self.memo.clear()
@@ -153,11 +172,11 @@ class UnigramCounter:
     def count(self, text: str) -> int:
         if not text:
             return 0
-        segments = _SEGMENT.finditer("▁" + text.replace(" ", "▁"))
+        text = "▁" + text.replace(" ", "▁")
         if self.whole:
-            return sum(self._known(m[0]).tokens for m in segments)
+            return sum(map(self._known, _SEGMENT.findall(text)))
         base, total = 0.0, 0
-        for m in segments:
+        for m in _SEGMENT.finditer(text):
             seg = m[0]
             found = self._known(seg) if len(seg) <= MEMO_CHARS else None
             if found is None or found.gap <= 4 * (len(seg) + 1) * EPSILON * (found.reach + abs(base)):
