@@ -27,6 +27,7 @@ from odspark.functions.text import strip_first_char
 
 ROUTE_KEY = ["service_date", "route_name"]
 STOP_KEY = ROUTE_KEY + ["seq", "ars", "stop_name"]
+SECTION_COLS = ["seq", "ars", "stop_name", "load", "max_load", "pct", "grade", "color", "lat", "lon", "total_riders"]
 
 
 def _filter_scope(od: DataFrame, routes=None, dates=None) -> DataFrame:
@@ -148,21 +149,24 @@ def section_congestion(cong: DataFrame, sections: DataFrame) -> DataFrame:
     it (inclusive). Missing ``to`` runs to the route end; missing ``from``
     gives no rows. Percent keeps the whole-route max.
 
-    ``sections`` is a (small) request table; the slice is computed with
-    windows per request over that route's stops only.
+    One array of stops per date and route (a route has hundreds of stops) is
+    joined to the requests; a request looks its two stops up by position and
+    explodes its own slice, so no window runs over requests times stops. A NULL
+    ``from`` gives no rows, a NULL ``to`` runs to the end.
     """
-    pos_w = Window.partitionBy(*ROUTE_KEY).orderBy(*stop_order())
-    ranked = cong.withColumn("pos", F.row_number().over(pos_w))
+    last = lambda col: (F.col(col).isNull(), F.col(col))  # noqa: E731  NULLs last
+    named = [F.col(n) for n in SECTION_COLS]
+    order = [x.alias(f"_o{i}") for i, x in enumerate(
+        [*last("seq"), *last("ars"), *last("stop_name")])]
+    routes = cong.groupBy(*ROUTE_KEY).agg(F.array_sort(F.collect_list(F.struct(*order, *named))).alias("stops"))
     req = sections.select(*ROUTE_KEY, "from_name", "to_name")
-    joined = ranked.join(req, ROUTE_KEY, "inner")
-    sec = Window.partitionBy(*ROUTE_KEY, "from_name", "to_name")
-    from_pos = F.min(F.when(F.col("stop_name") == F.col("from_name"), F.col("pos"))).over(sec)
-    with_from = joined.withColumn("from_pos", from_pos)
-    to_pos = F.min(F.when((F.col("stop_name") == F.col("to_name"))
-                          & (F.col("pos") >= F.col("from_pos")), F.col("pos"))).over(sec)
-    out = (with_from.withColumn("to_pos", to_pos)
-           .where(F.col("from_pos").isNotNull() & (F.col("pos") >= F.col("from_pos"))
-                  & (F.col("to_pos").isNull() | (F.col("pos") <= F.col("to_pos")))))
-    return out.select("service_date", "route_name", "from_name", "to_name", "pos", "seq", "ars",
-                      "stop_name", "load", "max_load", "pct", "grade", "color", "lat", "lon",
-                      "total_riders")
+    names = F.transform("stops", lambda s: s["stop_name"])
+    first = F.array_position(names, F.col("from_name")).cast("int")
+    found = (routes.join(req, ROUTE_KEY).withColumn("first", first).where(F.col("first") > 0)
+             .withColumn("rest", F.slice("stops", F.col("first"), F.size("stops"))))
+    upto = F.array_position(F.transform("rest", lambda s: s["stop_name"]), F.col("to_name")).cast("int")
+    size = F.when(upto > 0, upto).otherwise(F.size("rest"))
+    out = found.select(*ROUTE_KEY, "from_name", "to_name", "first",
+                       F.posexplode(F.slice("rest", F.lit(1), size)).alias("nth", "s"))
+    return out.select(*ROUTE_KEY, "from_name", "to_name", (F.col("first") + F.col("nth")).alias("pos"),
+                      *[F.col("s")[n].alias(n) for n in SECTION_COLS])

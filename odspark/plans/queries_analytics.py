@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from odspark.operators import congestion as cg
 from odspark.operators import layers as ly
 from odspark.operators import od as odo
+from odspark.plans import maps
 from odspark.plans import oracle as O
 from odspark.plans.registry import T, register
+from odspark.session import cut_lineage, staged_path
+from odspark.sources import io
 from odspark.sources.fixtures import oracle_with
 
 V = O.V
@@ -242,3 +245,49 @@ FROM dp""")
 def stop_density(spark, sf_dir):
     t = T(spark, sf_dir)
     return ly.stop_density(cg.congestion(t.od(), t.loc()))
+
+
+# --------------------------------------------------------------------------
+# The stored congestion after one date of the OD store changed
+CHANGED = "20241019"
+LEFT = "CASE WHEN service_date = '{d}' THEN riders % 2 = 1 ELSE TRUE END"
+
+
+def _reuse_sql():
+    return (oracle_with("od", "loc") + "," + O.congestion_ctes(where=LEFT.format(d=CHANGED))
+            + f"SELECT {O.CONG_COLS}, service_date = '{CHANGED}' AS recomputed FROM cong")
+
+
+@register("congestion_reuse", _reuse_sql)
+def congestion_reuse(spark, sf_dir):
+    """Congestion is stored, one date of the source loses its rows with even riders,
+    and the store is brought up to date: the rows then held, and which dates were computed again."""
+    t = T(spark, sf_dir)
+    od_path, cache = staged_path(spark, "reuse-od"), staged_path(spark, "reuse-congestion")
+    io.write_od(t.od(), od_path)
+    maps.refresh_congestion(spark, od_path, t.loc(), cache)
+    io.write_od(t.od().where((F.col("service_date") == CHANGED) & (F.col("riders") % 2 == 1)), od_path, dates=[CHANGED])
+    again = maps.refresh_congestion(spark, od_path, t.loc(), cache)
+    return maps.read_congestion(spark, cache).withColumn("recomputed", F.col("service_date").isin(again))
+
+
+# --------------------------------------------------------------------------
+# S3: the dates of a request table prune the store's partitions at run time
+@register("od_store_requests", lambda: oracle_with("od") + f"""
+SELECT service_date, route_name, ars, CAST(SUM(riders) AS BIGINT) AS riders
+FROM (SELECT service_date, route_name, board_ars AS ars, riders FROM od
+      WHERE service_date IN (SELECT service_date FROM od GROUP BY service_date
+                             HAVING SUM(riders) < 0.99 * (SELECT MAX(n) FROM (SELECT SUM(riders) AS n FROM od GROUP BY service_date) s)
+                                 OR MIN(service_date) = (SELECT MIN(service_date) FROM od))) b
+GROUP BY ALL""")
+def od_store_requests(spark, sf_dir):
+    """Riders per stop on the first date of the store and on those below 99 % of the busiest
+    one: the dates stay a table, which prunes the store's partitions."""
+    od = T(spark, sf_dir).od()
+    path = staged_path(spark, "requests-od")
+    io.write_od(od, path)
+    days = od.groupBy("service_date").agg(F.sum("riders").alias("n"))
+    top = days.agg(F.max("n").alias("top"), F.min("service_date").alias("first")).first()  # one row
+    wanted = cut_lineage(days, "request-dates").where((F.col("n") < 0.99 * top.top) | (F.col("service_date") == top.first))
+    return (io.read_od(spark, path, wanted).groupBy("service_date", "route_name", F.col("board_ars").alias("ars"))
+            .agg(F.sum("riders").cast("long").alias("riders")))

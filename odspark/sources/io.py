@@ -88,11 +88,17 @@ def drop_empty_dates(df: DataFrame, path: str, dates) -> None:
 
 def read_od(spark: SparkSession, path: str, dates=None) -> DataFrame:
     """OD store scan; ``dates`` prune partitions. The declared schema keeps
-    ``service_date`` text (partition discovery would infer an integer)."""
-    df = spark.read.schema(OD_SCHEMA).parquet(path)
-    if dates is not None:
-        df = df.where(F.col("service_date").isin(list(dates)))
-    return df.select(*OD_COLUMNS)
+    ``service_date`` text (partition discovery would infer an integer).
+
+    ``dates`` is a list, or a table of requests with a ``service_date`` column:
+    the semi join on the partition column then prunes the scan at run time
+    (dynamic partition pruning), without the dates passing the driver. Spark
+    adds the pruning where the requests are filtered and small enough to be
+    broadcast; otherwise the join alone picks the rows."""
+    df = spark.read.schema(OD_SCHEMA).parquet(path).select(*OD_COLUMNS)
+    if isinstance(dates, DataFrame):
+        return df.join(dates.select("service_date"), "service_date", "left_semi").select(*OD_COLUMNS)
+    return df if dates is None else df.where(F.col("service_date").isin(list(dates)))
 
 
 def write_anomalies(anomalies: DataFrame, path: str, dates=None) -> None:
@@ -147,3 +153,68 @@ def riders_conserved(expected_total: int):
         if got != expected_total:
             raise ValueError(f"riders not conserved: expected {expected_total}, staged {got}")
     return check
+
+
+# --------------------------------------------------------------------------
+# Reuse by the fingerprint of the inputs
+FINGERPRINTS = "_inputs"  # a name that table scans pass over
+
+
+def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """(service_date, fingerprint) of a date-partitioned table: a digest of the
+    names, sizes and times of each date's files. The files are listed by Spark;
+    no content is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    date = F.regexp_extract("path", "service_date=([^/]+)/", 1)
+    mark = F.sha2(F.concat_ws("|", "path", "length", F.unix_micros("modificationTime")), 256)
+    return (files.select(date.alias("service_date"), mark.alias("mark")).groupBy("service_date")
+            .agg(F.sha2(F.array_join(F.array_sort(F.collect_list("mark")), ""), 256).alias("fingerprint")))
+
+
+def rows_fingerprint(df: DataFrame) -> str:
+    """A digest of a (dimension) table's rows, whatever their order."""
+    row = F.xxhash64(*[F.struct(F.col(f"`{n}`").isNull(), F.col(f"`{n}`")) for n in df.columns])
+    n, total = df.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)"))).first()  # one row
+    return f"{df.schema.simpleString()}:{n}:{total}"
+
+
+def refresh_dates(spark: SparkSession, source: str, path: str, compute, parameters: str = "") -> list[str]:
+    """Bring the stored result at ``path`` up to date; the dates that changed.
+
+    ``source`` is a date-partitioned table, ``compute(dates)`` gives the result
+    rows (with ``service_date``) of those dates from it. A date is computed again
+    when its files, or ``parameters`` (a text: settings, ``rows_fingerprint`` of
+    side tables), differ from those its stored rows came from; the files of all
+    other dates stay as they are. A date that has left the source is removed.
+
+    The fingerprints stand beside the rows. That of a changed date is removed
+    before its rows are replaced and written after them, so a killed run leaves
+    a date to be computed again, never one that looks current and is not."""
+    held_at = f"{path.rstrip('/')}/{FINGERPRINTS}"
+    # a row per date on the driver
+    now = {r.service_date: f"{r.fingerprint}:{parameters}" for r in file_fingerprints(spark, source).collect()}
+    held = {r.service_date: r.fingerprint for r in _stored_fingerprints(spark, held_at).collect()}
+    stale = sorted(d for d, f in now.items() if held.get(d) != f)
+    gone = sorted(set(held) - set(now))
+    for d in stale + gone:
+        drop_path(spark, f"{held_at}/service_date={d}")
+        # also a changed date's rows: it may have none now
+        drop_path(spark, f"{path.rstrip('/')}/service_date={d}")
+    if stale:
+        rows = compute(stale)
+        (rows.hint("rebalance", "service_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("service_date").parquet(path))
+        marks = spark.createDataFrame([(d, now[d]) for d in stale], "service_date string, fingerprint string")
+        (marks.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("service_date").parquet(held_at))
+    return stale + gone
+
+
+def _stored_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    schema = "fingerprint string, service_date string"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
