@@ -89,25 +89,75 @@ def model_inputs(features: DataFrame, cut: str, key=STOP_KEY, lags=(7, 30)) -> D
     return out
 
 
-def train_predict_gbt(features: DataFrame, cut: str, max_iter: int = 20, key=STOP_KEY) -> DataFrame:
-    """M5: gradient-boosted trees on the lag/calendar features (training is
-    distributed by Spark ML); a prediction for every row of the test period."""
+def _inputs_of(data: DataFrame) -> list[str]:
+    return ["route_mean", "stop_mean", "weekday", "month",
+            *[x for x in data.columns if x.startswith(("in_lag_", "no_lag_", "is_"))]]
+
+
+def fit_gbt(features: DataFrame, cut: str, max_iter: int = 20, key=STOP_KEY):
+    """M5: gradient-boosted trees fitted to the days before the cut-off (a
+    Spark ML pipeline model; training is distributed)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     data = model_inputs(features, cut, key)
-    inputs = [x for x in data.columns if x.startswith(("in_lag_", "no_lag_", "is_"))]
     pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=["route_mean", "stop_mean", "weekday", "month", *inputs], outputCol="features"),
+        VectorAssembler(inputCols=_inputs_of(data), outputCol="features"),
         GBTRegressor(featuresCol="features", labelCol="label", maxIter=max_iter, seed=7,
                      predictionCol="predicted"),
     ])
-    model = pipe.fit(data.where(c("split") == "train"))
+    return pipe.fit(data.where(c("split") == "train"))
+
+
+def save_model(model, path: str) -> None:
+    """Store a fitted model, in place of one that is there."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def predict(model, features: DataFrame, cut: str, key=STOP_KEY) -> DataFrame:
+    """A prediction for every row of the test period. ``features`` holds the
+    training period too: the means that enter the trees come from it."""
+    data = model_inputs(features, cut, key)
     return (model.transform(data.where(c("split") == "test"))
             .select(*key, "day", "day_type", "riders", "predicted"))
 
 
+def train_predict_gbt(features: DataFrame, cut: str, max_iter: int = 20, key=STOP_KEY) -> DataFrame:
+    """M5: ``fit_gbt`` and ``predict`` in one."""
+    return predict(fit_gbt(features, cut, max_iter, key), features, cut, key)
+
+
+def model_sql(model) -> str:
+    """The fitted trees as one SQL expression over the columns of ``model_inputs``.
+
+    It holds for every engine that knows CASE and DOUBLE, so predictions can be
+    made, and checked, where no Spark ML is. NULL inputs do not occur there. The
+    numbers carry 17 digits, so that each reads back as the same double. A tree
+    has at most 2 ** (depth + 1) nodes."""
+    assembler, gbt = model.stages
+    names = assembler.getInputCols()
+
+    def number(x: float) -> str:
+        return f"({x:.16e})"
+
+    def node(n) -> str:
+        if n.subtreeDepth() == 0:
+            return number(n.prediction())
+        split = n.split()
+        return (f"CASE WHEN {names[split.featureIndex()]} <= {number(split.threshold())} "
+                f"THEN {node(n.leftChild())} ELSE {node(n.rightChild())} END")
+
+    return "(" + " + ".join(f"{number(w)} * {node(t._call_java('rootNode'))}"
+                            for w, t in zip(gbt.treeWeights, gbt.trees)) + ")"
+
+
 def model_scores(pred: DataFrame) -> DataFrame:
     """M6: per route MAE and R² over (riders, predicted), 4 decimals."""
     p = pred.where(c("predicted").isNotNull() & c("riders").isNotNull())

@@ -60,3 +60,47 @@ def test_hour_split_conserves_riders(spark):
            .where(F.abs(F.col("s") - F.col("p")) > 1e-6))
     assert bad.count() == 0
     assert out.select("day").distinct().count() > 100
+
+
+def test_predictions_and_scores_recomputed_by_another_engine(spark, tmpdir_path):
+    """The inputs come from DuckDB's own SQL, the trees from the exported expression:
+    every prediction, MAE and R2 is compared as a number. A reloaded model is the same."""
+    from odspark.plans import registry
+    from odspark.plans.queries_forecast import CUT
+    from odspark.plans.registry import T
+    from oracle_harness import duck
+    sf = "/root/testdata/sf0.001"
+    t = T(spark, sf)
+    features = fc.lag_features(t.daily_stop(), t.holiday(), key=fc.STOP_KEY)
+    model = fc.fit_gbt(features, CUT, max_iter=4)
+    sql = fc.model_sql(model)
+    fc.save_model(model, f"{tmpdir_path}/model")
+    fc.save_model(model, f"{tmpdir_path}/model")  # again, in place
+    again = fc.load_model(f"{tmpdir_path}/model")
+    assert fc.model_sql(again) == sql and sql.count("CASE WHEN") > 20
+
+    pred = fc.predict(again, features, CUT).cache()
+    got = {tuple(r[k] for k in (*fc.STOP_KEY, "day")): r for r in pred.collect()}
+    oracle, con = registry.oracle_sql(), duck(sf)
+    kinds = ", ".join(f"CASE WHEN day_type = '{k}' THEN 1.0 ELSE 0.0 END AS is_{k}"
+                      for k in ("weekday", "saturday", "sunday", "holiday"))
+    con.execute(f"CREATE TABLE i AS {oracle['model_inputs']}")
+    con.execute(f"CREATE TABLE f AS {oracle['stop_lag_features']}")
+    con.execute(f"""CREATE TABLE p AS SELECT *, {sql} AS predicted FROM (
+      SELECT i.*, riders, weekday, month, CASE WHEN lag_7 IS NULL THEN 1.0 ELSE 0.0 END AS no_lag_7,
+             CASE WHEN lag_30 IS NULL THEN 1.0 ELSE 0.0 END AS no_lag_30, {kinds},
+             CASE WHEN direction = 'alight' THEN 1.0 ELSE 0.0 END AS is_alight
+      FROM i JOIN f USING (route_name, stop_id, direction, day) WHERE day >= DATE '{CUT}') x""")
+    want = con.sql("SELECT route_name, stop_id, direction, day, riders, predicted FROM p").fetchall()
+    assert len(want) == len(got) > 1000 and len({round(w[-1], 6) for w in want}) > 5
+    for *k, riders, value in want:
+        r = got[tuple(k)]
+        assert r.riders == riders and abs(r.predicted - value) <= 1e-9 * max(1.0, abs(value)), k
+    scores = {r.route_name: r for r in fc.model_scores(pred).collect()}
+    rows = con.sql("""SELECT route_name, AVG(ABS(riders - predicted)), COUNT(*),
+      1 - SUM((riders - predicted) ^ 2) / NULLIF(SUM((riders - m) ^ 2), 0.0)
+      FROM (SELECT *, AVG(CAST(riders AS DOUBLE)) OVER (PARTITION BY route_name) AS m FROM p) x GROUP BY route_name""").fetchall()
+    assert len(rows) == len(scores) > 1
+    for route, mae, n, r2 in rows:
+        s = scores[route]
+        assert s.n == n and abs(s.mae - mae) < 1e-4 and abs(s.r2 - r2) < 1e-4
