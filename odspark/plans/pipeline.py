@@ -73,6 +73,28 @@ def run_snapshot(store: Snapshots, dates: list[str], source: DataFrame | None =
     return res
 
 
+def update_codes(store: Snapshots, updates: DataFrame, end: str = "board") -> list[str]:
+    """K15 on a snapshot store: set ``{end}_code`` where ``updates`` (service_date,
+    route_name, board_ars, alight_ars, code) says so, in the kept input and in the
+    corrected rows; the dates rewritten. Only dates that both the updates and the
+    store hold are read and written; the files of all others stay as they are, and
+    one pointer switches the rewritten ones, so a killed update changes nothing."""
+    seen, run = store.pointer(), store.new_run()
+    stored = {d for t, d in seen if t in ("input", "od")}
+    named = updates.where(F.col("code").isNotNull()).select("service_date").distinct()
+    dates = sorted({r[0] for r in named.collect()} & stored)  # a row per date
+    if not dates:
+        return []
+    tables = [t for t in ("input", "od") if any((t, d) in seen for d in dates)]
+    for t in tables:
+        before, riders = total_riders(store.read(t, dates))
+        after = store.write(run, t, cr.apply_code_updates(before, updates, end))
+        if riders.get["riders"] != after:
+            raise ValueError(f"riders not conserved in {t}: {riders.get['riders']} read, {after} written")
+    store.switch(run, tables, dates, seen)
+    return dates
+
+
 def run_nightly(spark: SparkSession, od_path: str, final_path: str, staging_path: str,
                 anomaly_path: str, dates: list[str]) -> NightlyResult:
     """Corrected rows and anomalies of ``dates`` as plain date partitions. The

@@ -298,6 +298,32 @@ def raw_text_numbers(spark, sf_dir):
     return raw.select("l_orderkey", "l_linenumber", missing_to_null("raw").alias("kept"), to_number("raw").alias("number"))
 
 
+# --------------------------------------------------------------------------
+# Pipe-separated files written and read back, broken lines kept apart
+def _line(cols, mark="''"):
+    return "concat_ws('|', " + ", ".join(f"COALESCE(NULLIF(CAST({n} AS VARCHAR(100)), ''), {mark})" for n in cols) + ")"
+
+
+BROKEN_LINE = f"""CASE WHEN riders % 10 = 3 THEN {_line(OD_COLUMNS[:-2])}
+  WHEN riders % 10 = 7 THEN concat({_line(OD_COLUMNS)}, '|x') END"""
+
+
+@register("csv_round_trip", lambda: oracle_with("od") + f"""
+SELECT CASE WHEN broken IS NULL THEN 'row' ELSE 'bad' END AS kind, COALESCE(broken, fields) AS line, COUNT(*) AS n
+FROM (SELECT {BROKEN_LINE} AS broken, {_line(OD_COLUMNS, "'-'")} AS fields FROM od) l GROUP BY ALL""")
+def csv_round_trip(spark, sf_dir):
+    """The OD table as pipe-separated files, a fifth of its lines broken (fields missing or too
+    many): every row as read back (``-`` for NULL) and every line set aside, with their counts."""
+    od = T(spark, sf_dir).od().withColumn("_broken", F.expr(BROKEN_LINE))
+    good, bad = staged_path(spark, "csv-good"), staged_path(spark, "csv-bad")
+    io.write_csv(od.where(F.col("_broken").isNull()).select(*OD_COLUMNS), good, header=False)
+    od.where(F.col("_broken").isNotNull()).select("_broken").write.text(bad)
+    back, broken = io.read_checked_csv(spark, [good, bad], OD_COLUMNS, sep="|", header=False)
+    rows = back.select(F.lit("row").alias("kind"), F.expr(_line(OD_COLUMNS, "'-'")).alias("line"))
+    lines = broken.select(F.lit("bad").alias("kind"), F.col(io.BAD_LINE).alias("line"))
+    return rows.unionByName(lines).groupBy("kind", "line").agg(F.count("*").alias("n"))
+
+
 # --------------------------------------------------------------------------
 # J20..J22: batch restores from masters derived from the data
 from odspark.operators import restore as rs  # noqa: E402

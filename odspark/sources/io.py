@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from odspark.constants import OD_COLUMNS
 from odspark.functions.text import MISSING, missing_to_null
 from odspark.schema import OD_SCHEMA
-from odspark.session import drop_path
+from odspark.session import cut_lineage, drop_path
 
 
 def read_raw_csv(spark: SparkSession, path: str, sep: str = ",", null_value: str | None = None,
@@ -36,6 +36,28 @@ def read_raw_csv(spark: SparkSession, path: str, sep: str = ",", null_value: str
     return df.select(*[missing_to_null(f"_c{i}", tokens).alias(n) for i, n in enumerate(names)])
 
 
+BAD_LINE = "bad_line"
+
+
+def read_checked_csv(spark: SparkSession, path, columns, sep: str = ",", header: bool = True,
+                     encoding: str = "UTF-8", missing=MISSING) -> tuple[DataFrame, DataFrame]:
+    """S1/S12 with bad records kept: the rows of the named text columns (in file
+    order, cleaned as by ``read_raw_csv``) and, as ``bad_line``, the whole lines
+    that do not hold exactly these fields. Empty lines are no records. ``path`` is
+    a path or a list; with ``header`` the first line of each file is passed over.
+
+    The files are parsed once: what was read is staged, rows and lines come from
+    there (Spark refuses to read the bad lines alone from the raw files)."""
+    fields = [f"_c{i}" for i in range(len(columns))]
+    schema = ", ".join(f"{f} string" for f in [*fields, "_bad"])
+    raw = (spark.read.schema(schema).option("header", header).option("sep", sep).option("encoding", encoding)
+           .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", "_bad").option("columnPruning", False).csv(path))
+    held = cut_lineage(raw, "csv")
+    rows = held.where(F.col("_bad").isNull()).select(*[missing_to_null(f, missing).alias(n) for f, n in zip(fields, columns)])
+    return rows, held.where(F.col("_bad").isNotNull()).select(F.col("_bad").alias(BAD_LINE))
+
+
 def write_csv(df: DataFrame, path: str, sep: str = "|", header: bool = True,
               mode: str = "overwrite") -> None:
     """CSV sink; the pipe separator keeps names containing commas in

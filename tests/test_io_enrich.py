@@ -31,6 +31,17 @@ def test_pipe_csv_roundtrip(spark, tmpdir_path):
     assert sorted(tuple(r) for r in back.collect()) == [("a,b", "1"), ('say "hi" | x', "2")]
 
 
+def test_bad_records_are_kept_apart(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "raw.csv")
+    with open(p, "wb") as f:
+        f.write("\ufeffa,b,c\r\n1,2,3\r\n1,2\r\n\r\n1,2,3,4\r\n\"x,y\",NULL,3\r\n\"open,2,3\r\n,,\r\n".encode("utf-8"))
+    rows, bad = io.read_checked_csv(spark, p, ["a", "b", "c"])
+    assert rows.columns == ["a", "b", "c"] and bad.columns == [io.BAD_LINE]
+    assert sorted((r.a or "", r.b, r.c) for r in rows.collect()) == [("", None, None), ("1", "2", "3"), ("x,y", None, "3")]
+    assert sorted(r.bad_line for r in bad.collect()) == ['"open,2,3', "1,2", "1,2,3,4"]
+    assert bad.count() == 3 and rows.select("c").where("c = '3'").count() == 2  # pruned columns change nothing
+
+
 def test_store_and_publish(spark, make_od, tmpdir_path):
     od = make_od([od_row(date="20231017", riders=3), od_row(date="20241019", riders=4)])
     final = os.path.join(tmpdir_path, "final")

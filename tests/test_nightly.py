@@ -144,3 +144,24 @@ def test_materialize_raises_on_other_errors(spark, make_od, tmpdir_path):
     with pytest.raises(Exception):
         io.materialize(make_od(rows(D2)), path).count()
     assert all(open(f, "rb").read() == b"not parquet" for f in glob.glob(f"{path}/*.parquet"))
+
+
+def test_code_update_rewrites_touched_dates_only(spark, make_od, tmpdir_path):
+    days = ["20231017", "20241019", "20251014"]
+    store = Snapshots(spark, os.path.join(tmpdir_path, "store"))
+    pipeline.run_snapshot(store, days, source=make_od([od_row(date=d, bcode=None if i else "c0", riders=5 + i)
+                                              for i, d in enumerate(days)]))
+    before, riders = store.pointer(), [r.riders for r in store.read("od").orderBy("service_date").collect()]
+    updates = spark.createDataFrame(
+        [(days[1], "R1", "01001", "01002", "new"), (days[2], "R1", "01001", "01002", None),
+         ("19990101", "R1", "01001", "01002", "x")],
+        "service_date string, route_name string, board_ars string, alight_ars string, code string")
+    assert pipeline.update_codes(store, updates) == [days[1]]
+    after = store.pointer()
+    assert {k for k in after if after[k] != before[k]} == {("input", days[1]), ("od", days[1])}
+    for table in ("input", "od"):
+        assert [r.board_code == "new" for r in store.read(table).orderBy("service_date").collect()] == [False, True, False]
+    assert [r.riders for r in store.read("od").orderBy("service_date").collect()] == riders
+    assert pipeline.update_codes(store, updates.where("code = 'x'")) == []
+    pipeline.run_snapshot(store, days)  # the update outlives a repeated run
+    assert [r.board_code for r in store.read("od", [days[1]]).collect()] == ["new"]
