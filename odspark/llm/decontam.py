@@ -10,8 +10,10 @@ similarity is the sum of smaller weights over the sum of larger ones.
    are first matched shingle by shingle with the items; a document goes on only
    if it holds enough of an item's shingles anywhere. Every match gives a
    window: the item laid so that the two shingles coincide, moved inside the
-   document. A match carries the shingle hashes of its window, so the texts are
-   read once and never shuffled.
+   document. Matches that follow one another in document and item lay one
+   window; only the first of such a run lays it and carries its shingle hashes.
+   So a match is one row per document shingle and item, even where both
+   repeat one word, and the texts are read once and never shuffled.
 2. Each window gets a 64-bit SimHash of its weighted shingles.
 3. Multi-index blocks: fingerprints within ``radius`` bits agree in at least one
    of ``radius + 1`` blocks (pigeonhole), so an equi-join on blocks finds every
@@ -74,15 +76,17 @@ def _row_id(key: str, text: str) -> Column:
 
 
 def item_shingles(items: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(item, n, k, j, h): every shingle of every item; n words, size k, start j."""
+    """(item, n, k, j, h, prev): every shingle of every item; n words, size k, start j,
+    prev the shingle that starts a word before (null: none)."""
     base = _word_hashes(items.select(F.col(key).alias("item"), F.col(text).alias("_text")), "_text").where(
         F.size("wh") > 0).withColumn("item_row", F.monotonically_increasing_id())
     base = staged(base, "items")
     out = None
     for k in range(1, shingle + 1):
         mine = base.where(F.size("wh") >= k if k == shingle else F.size("wh") == k)
-        part = _with_shingles(mine, k).select("item_row", "item", F.size("wh").alias("n"), F.lit(k).alias("k"),
-                                              F.posexplode("sh").alias("j", "h"))
+        part = (_with_shingles(mine, k).select("item_row", "item", F.size("wh").alias("n"), F.lit(k).alias("k"), "sh",
+                                               F.posexplode("sh").alias("j", "h"))
+                .withColumn("prev", F.get("sh", F.col("j") - 1)).drop("sh"))
         out = part if out is None else out.unionByName(part)
     return staged(out, "item-shingles")
 
@@ -137,27 +141,31 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     the best window of each contaminated document and item."""
     table = item_shingles(items, item_key, item_text, shingle)
     sizes = [r["k"] for r in table.select("k").distinct().collect()]  # at most `shingle` values
-    lookup = table.select("item_row", "n", "k", "j", "h")
+    # one row per item and distinct shingle, with all its places in the item
+    lookup = table.groupBy("item_row", "n", "k", "h").agg(F.collect_list(F.struct("j", "prev")).alias("at"))
     bounded = table.count() <= MAX_BROADCAST
     small = F.broadcast if bounded else (lambda d: d)
     texts = docs.select(_row_id(key, text), F.col(key).alias("_key"), F.col(text).alias("_text"))
     base = _word_hashes(texts, "_text")
     width = F.least("n", "words")
-    start = F.least(F.greatest(F.col("i") - F.col("j"), F.lit(0)), F.col("words") - width)
+    place_of = lambda j: F.least(F.greatest(F.col("i") - j, F.lit(0)), F.col("words") - width)
+    opens = F.filter("at", lambda a: a["prev"].isNull() | F.col("before").isNull() | (a["prev"] != F.col("before")))
     hits = None
     for k in sizes:
         own = lookup.where(F.col("k") == k).drop("k")
         # the outer form: Spark would else filter on the array's size, and evaluate it twice for that
         part = (_with_shingles(base, k)
-                .select("row", "_key", "sh", F.size("wh").alias("words"), F.posexplode_outer("sh").alias("i", "h")))
+                .select("row", "_key", "sh", F.size("wh").alias("words"), F.posexplode_outer("sh").alias("i", "h"))
+                .withColumn("before", F.get("sh", F.col("i") - 1)))
+        body = lambda j: F.slice("sh", place_of(j) + 1, width - (k - 1)) if bounded else F.lit(None).cast("array<bigint>")
+        lays = F.transform(opens, lambda a: F.struct(place_of(a["j"]).alias("start"), body(a["j"]).alias("body")))
         part = (part if bounded else part.drop("sh")).join(small(own), "h").select(
-            "row", "_key", "item_row", F.lit(k).alias("k"), "i", "h", "words", start.alias("start"), width.alias("width"),
-            *([F.slice("sh", start + 1, width - (k - 1)).alias("body")] if bounded else []))
+            "row", "_key", "item_row", F.lit(k).alias("k"), "i", "h", "words", width.alias("width"), lays.alias("lays"))
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         hits = docs.sparkSession.createDataFrame(
             [], f"row long, _key {docs.schema[key].dataType.simpleString()}, item_row long, k int, i int, h long, "
-                "words int, start int, width int, body array<long>")
+                "words int, width int, lays array<struct<start int, body array<long>>>")
     hits = staged(hits, "hits")
 
     # an item's weight by shingle, and its total
@@ -171,11 +179,13 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
             .select("row", "item_row"))
     place = ["row", "k", "start", "width"]
     held_hits = staged(hits.join(held, ["row", "item_row"]), "held-hits")
-    windows = held_hits.select("row", "_key", "item_row", *place[1:]).distinct()
+    laid_at = held_hits.select("row", "_key", "item_row", "k", "width", F.explode("lays").alias("l")).select(
+        "row", "_key", "item_row", "k", "l.start", "width", "l.body")
+    windows = laid_at.select("row", "_key", "item_row", *place[1:]).distinct()
 
     # shingles of the windows: brought along by the hits, or read again
     if bounded or not sizes:
-        parts = held_hits.dropDuplicates(place).select(*place, F.explode_outer("body").alias("h"))
+        parts = laid_at.dropDuplicates(place).select(*place, F.explode_outer("body").alias("h"))
     else:
         per_row = windows.groupBy("row").agg(F.collect_set(F.struct("k", "start", "width")).alias("ws"))
         again = _word_hashes(texts.join(per_row.hint("merge"), "row").dropDuplicates(["row"]), "_text")

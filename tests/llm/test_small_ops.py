@@ -294,3 +294,24 @@ def test_heavy_shingles_do_not_hide_the_laid_window(spark, docs):
     got = decontam.contaminated(docs(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((x.doc_id, x.item_id, x.window_start, x.n_common, x.n_union) for x in got) == [
         (i, i, 40, 120, 156) for i in range(12)]
+
+
+def test_matches_of_one_repeated_word_grow_in_proportion(spark, docs, monkeypatch):
+    """A run of one word against an item of the same word: rows and windows double with both, no product."""
+    from pyspark.sql import functions as F
+    real, seen = decontam.staged, []
+
+    def spy(df, name):
+        out = real(df, name)
+        if name == "hits":
+            seen.append(out.agg(F.count("*"), F.sum(F.size("lays"))).first())
+        return out
+
+    monkeypatch.setattr(decontam, "staged", spy)
+    for n in (50, 100):
+        texts = [" ".join(["a"] * 4 * n), " ".join(["b"] + ["a"] * (n - 2) + ["b"]), "a a a a b a a a a a b"]
+        items = [(1, " ".join(["a"] * n)), (2, "a a a a b a a a a a")]
+        got = decontam.contaminated(docs(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {(x.doc_id, x.item_id) for x in got} == brute_contaminated(texts, items)
+    (rows, lays), (rows2, lays2) = seen
+    assert rows2 <= 2.2 * rows and lays2 <= 2.2 * lays
