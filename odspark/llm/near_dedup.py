@@ -4,12 +4,13 @@ A text's set holds its distinct five-word shingles (A-Z lower-cased; the whole
 sequence when it is shorter). Two texts are linked when 100 * intersection >=
 75 * union; components of links are the groups.
 
-1. One pass over the texts makes a small row per document: set size, set
-   fingerprint, 32 band keys of four MinHash values each, and an odd sketch:
+1. One pass over the texts makes a small row per document: set size, a
+   128-bit digest of the whole set, 32 band keys of four MinHash values each, and an odd sketch:
    the MinHash samples are folded into a parity bitmap, so the bits in which
    two sketches differ estimate how many samples differ. A pair at similarity
    0.75 shares no band with probability 5e-6.
-2. Documents with equal sets are one class; the rest works on classes.
+2. Documents with equal sets (size and digest) are one class, which gets a
+   number of its own; the rest works on classes.
 3. A bucket is a band key with two classes or more; its hub is the smallest
    class. All classes of a bucket stand under its hub, so every candidate
    pair meets in the group of some hub, once per hub instead of per band.
@@ -28,6 +29,8 @@ result; only the key and the text are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,6 +53,8 @@ FOLDING = 0.1
 # Of one block's two sides: at most so many classes and, on average, shingles.
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 20
+# The digest of a set, in two halves.
+SET = ["set_a", "set_b"]
 _BATCH_BYTES = 4 << 20
 
 _rng = np.random.Generator(np.random.PCG64(5))
@@ -69,8 +74,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     short = np.flatnonzero((n > 0) & (n < SHINGLE))
     if len(short):
         first = np.searchsorted(doc, short)
-        whole = R.mix(R.span(R.prefix(wh, R.WORD_BASE), first, first + n[short], R.WORD_BASE)
-                      + n[short].astype(np.uint64))
+        whole = R.run_hashes(wh, first, first + n[short])
         h, d = np.concatenate((h, whole)), np.concatenate((d, short))
     order = np.argsort(h, kind="stable")
     order = order[np.argsort(d[order].astype(np.int32), kind="stable")]
@@ -105,7 +109,7 @@ def estimate(differing: np.ndarray) -> np.ndarray:
 
 
 def document_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One small row per document: id, row fingerprint, set size and fingerprint, sketch, bands."""
+    """One small row per document: id, row fingerprint, set size and digest, sketch, bands."""
     def run(batches):
         for b in batches:
             data, off = R.text_bytes(b.column(2))
@@ -113,9 +117,10 @@ def document_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 n = j - i
                 d, h = shingle_sets(data[off[i]:off[j]], off[i:j + 1] - off[i])
                 size = np.bincount(d, minlength=n)
-                cum = np.concatenate(([np.uint64(0)], np.cumsum(R.mix(h), dtype=np.uint64)))
                 ends = np.cumsum(size)
-                whole = R.mix(cum[ends] - cum[ends - size] + size.astype(np.uint64))
+                # the shingles of a set are in order, so equal sets have equal bytes
+                whole = np.frombuffer(b"".join(blake2b(h[z - c:z], digest_size=16).digest()
+                                               for z, c in zip(ends.tolist(), size.tolist())), "<i8").reshape(n, 2)
                 mins, sketch = signatures(d, h, n)
                 bands = np.zeros((n, BANDS), np.uint64)
                 for k in range(BANDS):
@@ -127,11 +132,11 @@ def document_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                     pa.array(np.arange(n + 1, dtype=np.int32) * m.shape[1]), pa.array(m.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, n), b.column(1).slice(i, n), pa.array(size.astype(np.int64)),
-                     pa.array(whole.view(np.int64)), lists(sketch), lists(bands)],
-                    names=["_doc", ROW, "n_shingles", "node", "sketch", "bands"])
+                     pa.array(whole[:, 0]), pa.array(whole[:, 1]), lists(sketch), lists(bands)],
+                    names=["_doc", ROW, "n_shingles", *SET, "sketch", "bands"])
 
     rows = docs.select(_key(key).alias("_doc"), F.xxhash64(_key(key), text).alias(ROW), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, f"_doc long, {ROW} long, n_shingles long, node long, "
+    return rows.mapInArrow(run, f"_doc long, {ROW} long, n_shingles long, {SET[0]} long, {SET[1]} long, "
                                 "sketch array<long>, bands array<long>")
 
 
@@ -185,9 +190,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """One row per document: key, n_shingles, component_id, kept."""
     rows = staged(document_rows(docs, key, text), "near-rows")
     full = rows.where("n_shingles > 0")
-    classes = staged(full.groupBy("node").agg(F.min("_doc").alias("least"),
-                                              F.min_by(F.struct(ROW, "bands", "n_shingles"), "_doc").alias("one"))
-                     .select("node", "least", f"one.{ROW}", "one.bands", "one.n_shingles"), "near-classes")
+    # the numbers are fixed by the write: each committed partition has a range of its own
+    classes = staged(full.groupBy(*SET).agg(F.min("_doc").alias("least"),
+                                            F.min_by(F.struct(ROW, "bands", "n_shingles"), "_doc").alias("one"))
+                     .select(F.monotonically_increasing_id().alias("node"), *SET, "least", f"one.{ROW}", "one.bands",
+                             "one.n_shingles"), "near-classes")
     member = classes.select("node", "n_shingles", F.explode("bands").alias("band"))
     buckets = (member.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("hub"))
                .where("c > 1").select("band", "hub"))
@@ -252,7 +259,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     roots = group.join(classes.select("node", "least"), "node").groupBy("component").agg(
         F.min("least").alias("component_id"))
     named = group.join(roots, "component").select("node", "component_id")
-    out = rows.join(classes.select("node", "least"), "node", "left").join(named, "node", "left")
+    out = rows.join(classes.select(*SET, "node", "least"), SET, "left").join(named, "node", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("_doc")).otherwise(F.coalesce("component_id", "least"))
     shown = lambda c: F.when(c != F.lit(SMALLEST), c)
     return out.select(shown(F.col("_doc")).alias(key), "n_shingles", shown(own).alias("component_id"),

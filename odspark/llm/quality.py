@@ -54,10 +54,9 @@ def _normal_lines(data, s, e, w0, w1) -> np.ndarray:
     moved = np.concatenate(([0], np.cumsum(keep)))
     a, b = moved[s], moved[e]
     left = b > a  # a word of digits only leaves nothing
-    h = R.byte_span(R.byte_prefix(R.lower_ascii(data)[keep]), a[left], b[left])
+    h = R.word_hashes(R.lower_ascii(data)[keep], a[left], b[left])
     nth = np.concatenate(([0], np.cumsum(left)))
-    p = R.prefix(h, R.WORD_BASE)
-    return R.mix(R.span(p, nth[w0], nth[w1], R.WORD_BASE) + (nth[w1] - nth[w0]).astype(np.uint64))
+    return R.run_hashes(h, nth[w0], nth[w1])
 
 
 def line_hashes(lines: list[str]) -> np.ndarray:
@@ -72,7 +71,7 @@ def _slice_stats(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     n = len(off) - 1
     s, e, doc = R.words(data, off)
     h = R.byte_prefix(data)
-    wh = R.byte_span(h, s, e)
+    wh = R.span_hashes(data, h, s, e)
     cum = lambda mask: np.concatenate(([0], np.cumsum(mask)))
     heads = cum((data & 0xC0) != 0x80)
     symbols = cum(_SYMBOLS[data])
@@ -98,7 +97,7 @@ def _slice_stats(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     w0, w1 = np.searchsorted(s, ls, "left"), np.searchsorted(s, le, "left")
     full = np.flatnonzero(w1 > w0)
     ls, le, w0, w1, ldoc = ls[full], le[full], w0[full], w1[full], ldoc[full]
-    raw = R.byte_span(h, ls, le)
+    raw = R.span_hashes(data, h, ls, le)
     pair = np.unique(np.stack((ldoc.astype(np.uint64), raw), 1), axis=0) if len(raw) else np.empty((0, 2), np.uint64)
     distinct = np.bincount(pair[:, 0].astype(np.int64), minlength=n)
 

@@ -2,7 +2,10 @@
 
 Texts are handled as their UTF-8 bytes. A polynomial prefix hash modulo 2**64
 gives the hash of any byte span from two prefix values; words and word windows
-are hashed the same way one level up. All functions work on one Arrow array at
+are hashed the same way one level up. For every odd base there are known
+different texts of 1,024 and more letters with one such hash, so
+``span_hashes`` and ``run_hashes`` take a digest of the content for long spans
+and the polynomial for short ones only. All functions work on one Arrow array at
 a time and cut it into slices of bounded size, so memory does not grow with
 the batch.
 """
@@ -10,6 +13,7 @@ the batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +93,33 @@ def byte_span(h: np.ndarray, start, end, which: int = 0) -> np.ndarray:
     return mix(span(h, start, end, _BASES[which]) + (end - start).astype(_U) * _U(0x632BE59BD9B4E019))
 
 
+# From this length on a span is told apart by a digest of its content.
+LONG = 256
+
+
+def digest64(content) -> int:
+    return int.from_bytes(blake2b(content, digest_size=8).digest(), "little")
+
+
+def _with_digests(hashes: np.ndarray, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    for i in np.flatnonzero(end - start >= LONG):
+        hashes[i] = digest64(np.ascontiguousarray(values[start[i]:end[i]]))
+    return hashes
+
+
+def span_hashes(data: np.ndarray, h: np.ndarray, start, end) -> np.ndarray:
+    """Hashes of the byte spans [start, end) of ``data``, whose prefix values are ``h``."""
+    start, end = np.asarray(start, np.int64), np.asarray(end, np.int64)
+    return _with_digests(byte_span(h, start, end), data, start, end)
+
+
+def run_hashes(wh: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs [start, end) of word hashes."""
+    start, end = np.asarray(start, np.int64), np.asarray(end, np.int64)
+    whole = mix(span(prefix(wh, WORD_BASE), start, end, WORD_BASE) + (end - start).astype(_U))
+    return _with_digests(whole, wh, start, end)
+
+
 _MEMOS: list = []
 
 
@@ -162,7 +193,7 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(data, s, e) -> np.ndarray:
-    return byte_span(byte_prefix(data), s, e)
+    return span_hashes(data, byte_prefix(data), s, e)
 
 
 def windows(wh: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

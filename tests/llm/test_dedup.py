@@ -270,3 +270,45 @@ def test_quality(docs, empty_docs):
     clean = {r.doc_id: r.text for r in quality.clean_documents(frame, **limits).collect()}
     assert clean == {i: w[3] if w[1] else texts[i] for i, w in enumerate(want) if w[2]}
     assert quality.judge_documents(empty_docs).count() == 0 and quality.clean_documents(empty_docs).count() == 0
+
+
+def one_hash_pair(a, b, bits=10):
+    """Two different lists of 2**bits symbols with one polynomial hash modulo 2**64, whatever its odd base."""
+    odd = [bin(i).count("1") % 2 for i in range(1 << bits)]
+    return [(a, b)[x] for x in odd], [(b, a)[x] for x in odd]
+
+
+def test_long_spans_are_told_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    from odspark.llm import rolling as R
+    x, y = ("".join(w) for w in one_hash_pair("a", "b"))
+    data, off = R.text_bytes(pa.array([x, y, x]))
+    polynomial = R.byte_span(R.byte_prefix(data), off[:-1], off[1:])
+    assert polynomial[0] == polynomial[1]  # why the digests are needed
+    got = R.word_hashes(data, off[:-1], off[1:])
+    assert got[0] == got[2] != got[1]
+    runs = np.concatenate([np.array(w, np.uint64) for w in one_hash_pair(3, 11)] * 2)
+    at = np.arange(0, 4096, 1024)
+    got = R.run_hashes(runs, at, at + 1024)
+    assert got[0] == got[2] and got[1] == got[3] and got[0] != got[1]
+    short = R.span_hashes(data, R.byte_prefix(data), [0, 2048], [R.LONG - 1, 2048 + R.LONG - 1])
+    assert short[0] == short[1]
+
+
+def test_texts_with_one_polynomial_hash(docs):
+    x, y = ("".join(w) for w in one_hash_pair("a", "b"))
+    rest = " ".join(f"w{i}" for i in range(12))
+    texts = [x, y, f"{rest} {x}", f"{rest} {y}", f"{rest} {x}", f"{x}\n{y}\n{x}"]
+    texts += [" ".join(w) for w in one_hash_pair("some", "other")]
+    got = near_dedup.near_duplicates(docs(texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_components(texts)
+    got = window_dedup.remove_repeats(docs(texts)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, " ".join(WORD.findall(r.text or ""))) for r in got} == brute_windows(texts)
+    rows = [(f"h{i % 3}" if i % 7 else None, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in quality.judge_documents(docs(texts), min_docs=1, max_share=0).collect()}
+    for i, (b, removed, kept, _) in enumerate(brute_judge(rows, 1, 0, quality.MIN_KEPT_SHARE)):
+        g = got[i]
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed) == b
+        assert (g.n_line_words_removed, g.kept) == (removed, kept)
