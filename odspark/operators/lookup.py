@@ -12,10 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from odspark.session import cut_lineage
+
 
 def find_by(od: DataFrame, column: str, keys) -> DataFrame:
     if isinstance(keys, DataFrame):
-        k = keys.select(F.col(keys.columns[0]).alias(column)).distinct()
+        # staged: their stored size is known before ``od`` would be shuffled by a hot key
+        k = cut_lineage(keys.select(F.col(keys.columns[0]).alias(column)).distinct(), "looked-up")
         return od.join(k, column, "left_semi")
     return od.where(F.col(column).isin(list(keys)))
 
