@@ -81,12 +81,14 @@ def top_alighting_stops(tx, stops, k: int = 20):                   # Q7
 
 
 def _pairs(tx: DataFrame, stops: DataFrame) -> DataFrame:
-    """Role-playing double join of the stop dimension (boarding, alighting)."""
+    """Role-playing double join of the stop dimension (boarding, alighting). Riders are
+    added up per pair of stop ids first, so that names are joined to pairs, not to trips."""
     s1 = stops.select(c("stop_id").alias("board_stop_id"), c("stop_name").alias("board_stop"),
                       c("route_name").alias("board_route"), c("stop_seq").alias("board_stop_seq"))
     s2 = stops.select(c("stop_id").alias("alight_stop_id"), c("stop_name").alias("alight_stop"),
                       c("stop_seq").alias("alight_stop_seq"))
-    return tx.join(s1, "board_stop_id").join(s2, "alight_stop_id")
+    ids = tx.groupBy("board_stop_id", "alight_stop_id").agg(F.sum("riders").alias("riders"))
+    return ids.join(s1, "board_stop_id").join(s2, "alight_stop_id")
 
 
 def section_pairs(tx, stops, seq_from: int, seq_to: int, route: str | None = None) -> DataFrame:  # Q8
