@@ -9,9 +9,10 @@ can fan out) with a deterministic pick — the value on most rows, then the
 smallest — where the original keeps "the first row in file order", which
 a distributed table does not have. Keys are SQL keys: NULL never matches.
 
-At scale the maps are small (routes x seqs, stops) and are broadcast when
-their measured size allows; the target table is scanned once per stage and
-never shuffled on a hot key without AQE skew splitting available.
+At scale the maps are small (routes x seqs, stops); each is staged before it
+meets the rows, so its stored size decides on a broadcast before the target
+table is shuffled. That table is scanned once per stage and never shuffled on
+a hot key without AQE skew splitting available.
 """
 
 from __future__ import annotations
@@ -156,15 +157,15 @@ def attach_codes(tgt: DataFrame, ref: DataFrame, null_keys: str = "drop") -> Dat
     (route id, seq) from the reference day (whose 9-char ARS is the code).
     ``null_keys="match"``: a missing seq takes the code of the route's
     missing seq, as the original's merges do."""
-    routes = route_vote(tgt, ref, null_keys).drop("matches")
+    routes = cut_lineage(route_vote(tgt, ref, null_keys).drop("matches"), "route-ids")
     known = (lambda n: F.lit(True)) if null_keys == "match" else (lambda n: c(n).isNotNull())
     bmap = _most_frequent(ref.where(known("board_seq_num")),
                           ["route_id", "board_seq_num"], "board_ars", "board_code")
     amap = _most_frequent(ref.where(known("alight_seq_num")),
                           ["route_id", "alight_seq_num"], "alight_ars", "alight_code")
     out = tgt.join(routes, "route_name", "left")
-    out = _match(out, bmap, ["route_id", "board_seq_num"], "left", null_keys)
-    return _match(out, amap, ["route_id", "alight_seq_num"], "left", null_keys)
+    out = _match(out, cut_lineage(bmap, "board-map"), ["route_id", "board_seq_num"], "left", null_keys)
+    return _match(out, cut_lineage(amap, "alight-map"), ["route_id", "alight_seq_num"], "left", null_keys)
 
 
 def _mode_map(side: DataFrame, key: str, code: str) -> DataFrame:
@@ -232,6 +233,7 @@ def fill_codes(df: DataFrame, fill_stages: int = 3) -> DataFrame:
     a = (a.where(c("orig_code").isNull())
          .select(c("alight_ars").alias("_aa"), c("alight_name").alias("_an"),
                  c("alight_code").alias("_alight_code")))
+    b, a = cut_lineage(b, "board-fills"), cut_lineage(a, "alight-fills")
     known = df.where(c("board_code").isNotNull() & c("alight_code").isNotNull())
     need = df.where(c("board_code").isNull() | c("alight_code").isNull())
     out = (need.join(b, c("board_code").isNull() & c("board_ars").eqNullSafe(c("_ba"))
