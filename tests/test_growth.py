@@ -110,3 +110,9 @@ def test_stored_views_are_not_dealt_to_a_fixed_number_of_tasks(spark, monkeypatc
     t = fx.Tables(spark, "/root/testdata/sf0.001")
     t.od(), t.tx(), t.daily_stop(), t.daily_od(), t.target_day()
     assert len(seen) >= 5 and not [n for n, p in seen.items() if "RoundRobin" in p and "REBALANCE" not in p]
+
+
+def test_rows_without_a_day_or_riders_do_not_stop_the_fit(spark):
+    d, hol = odd_days(spark)
+    p = fc.train_predict_gbt(fc.lag_features(d, hol, key=fc.STOP_KEY, once=True), "2024-01-20", max_iter=1).collect()
+    assert len(p) == d.where("day >= DATE '2024-01-20'").count() and all(r.predicted is not None for r in p)
