@@ -357,14 +357,56 @@ def dedup_sum(od: DataFrame) -> DataFrame:
     the codes. ``min`` over text needs a sort-based aggregate; running it on
     the collapsed rows instead of the raw ones halves the cost.
     """
-    pre = (od.groupBy(*DEDUP_KEY, "board_code", "alight_code")
-           .agg(F.sum("riders").alias("riders")))
+    return _smallest_codes(od.groupBy(*DEDUP_KEY, "board_code", "alight_code")
+                           .agg(F.sum("riders").alias("riders")))
+
+
+def _smallest_codes(pre: DataFrame) -> DataFrame:
     return (pre.groupBy(*DEDUP_KEY)
             .agg(F.min("board_code").alias("board_code"), F.min("alight_code").alias("alight_code"),
                  F.sum("riders").cast("int").alias("riders"))
             .select(*OD_COLUMNS))
 
 
+# Copies of one row are made in steps of so many.
+COPIES = 10_000
+
+
+class FoldedGroup1:
+    """The rows of ``group1_tagged``, folded by dedup's first aggregate: a row
+    per dedup key, codes and tags (bits of ``_tags``) with riders ``riders`` and
+    ``_n`` rows; anomalies also per ``_own``, the riders of each. Nothing is
+    lost: step counts, anomalies and the deduplicated rest follow from the
+    folded rows, so the rows need not be stored before they meet the shuffle."""
+
+    def __init__(self, tagged: DataFrame):
+        self.tags = tags(tagged)
+        bits = [F.when(c(t), 1 << i).otherwise(0) for i, t in enumerate(self.tags)]
+        self.rows = (tagged.withColumn("_tags", reduce(lambda x, y: x + y, bits))
+                     .withColumn("_own", F.when(c("t_c5c2"), c("riders")))
+                     .groupBy(*DEDUP_KEY, "board_code", "alight_code", "_tags", "_own")
+                     .agg(F.sum("riders").alias("riders"), F.count(F.lit(1)).alias("_n")))
+
+    def _has(self, tag: str) -> Column:
+        return c("_tags").bitwiseAND(1 << self.tags.index(tag)) != 0
+
+    def counts(self) -> DataFrame:
+        """Affected rows per step and date."""
+        return self.rows.groupBy("service_date").agg(
+            *[F.sum(F.when(self._has(t), c("_n")).otherwise(0)).alias(t[2:]) for t in self.tags])
+
+    def anomalies(self) -> DataFrame:
+        """The rows taken out, each as often as it came."""
+        steps = F.explode(F.sequence(F.lit(1), c("_n"), F.lit(COPIES)))
+        copies = F.explode(F.sequence(c("_from"), F.least(c("_n"), c("_from") + (COPIES - 1))))
+        return od_only(self.rows.where(self._has("t_c5c2")).withColumn("_from", steps).withColumn("_copy", copies)
+                       .withColumn("riders", c("_own")))
+
+    def dedup(self) -> DataFrame:
+        """``dedup_sum`` of the rows that stay."""
+        return _smallest_codes(self.rows.where(~self._has("t_c5c2")))
+
+
 def duplicate_groups(od: DataFrame) -> DataFrame:
     """Returned count of dedup: groups with more than one row, per date."""
     return (od.groupBy(*DEDUP_KEY).agg(F.count(F.lit(1)).alias("n")).where(c("n") > 1)

@@ -41,18 +41,18 @@ class NightlyResult:
 def correct_all(od: DataFrame) -> NightlyResult:
     """Run the three groups; every frame returned is backed by a written
     table, so consumers do not recompute the chain. The first of these writes
-    counts the riders that came in."""
-    tagged, riders_in = total_riders(cr.group1_tagged(od))
-    tagged = cut_lineage(tagged, "group1")
-    counts = tagged.groupBy("service_date").agg(
-        *[F.count_if(F.col(t)).alias(t[2:]) for t in cr.tags(tagged)])
-    anomalies = cr.od_only(tagged.where(F.col("t_c5c2")))
-    g1 = cut_lineage(cr.dedup_sum(cr.od_only(tagged.where(~F.col("t_c5c2")))), "group1_dedup")
+    counts the riders that came in (above the aggregate: a metric below it is
+    lost when the shuffle turns out empty)."""
+    folded = cr.FoldedGroup1(cr.group1_tagged(od))
+    folded.rows, riders_in = total_riders(folded.rows)
+    folded.rows = cut_lineage(folded.rows, "group1")
+    g1 = cut_lineage(folded.dedup(), "group1_dedup")
     g2 = cut_lineage(cr.fix_sequence(g1), "group2")
     g3 = cr.fix_same_stop_od(g2)
     # staged like the rest: the job may replace the table that ``od`` reads
     bidirectional = cut_lineage(cr.detect_bidirectional(od), "bidirectional")
-    return NightlyResult(g3, anomalies, counts, cr.residual_counts(g1), bidirectional, riders_in.get["riders"])
+    return NightlyResult(g3, folded.anomalies(), folded.counts(), cr.residual_counts(g1), bidirectional,
+                         riders_in.get["riders"])
 
 
 def run_snapshot(store: Snapshots, dates: list[str], source: DataFrame | None = None) -> NightlyResult:

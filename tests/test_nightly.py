@@ -4,8 +4,10 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import od_row
+from odspark.operators import correct as cr
 from odspark.plans import pipeline
 from odspark.session import ensure_checkpoint_dir
 from odspark.sources import io
@@ -165,3 +167,26 @@ def test_code_update_rewrites_touched_dates_only(spark, make_od, tmpdir_path):
     assert pipeline.update_codes(store, updates.where("code = 'x'")) == []
     pipeline.run_snapshot(store, days)  # the update outlives a repeated run
     assert [r.board_code for r in store.read("od", [days[1]]).collect()] == ["new"]
+
+
+def test_group_one_is_folded_before_it_is_stored(spark, make_od, monkeypatch):
+    taken = [anomaly(D1), anomaly(D1)[:-1] + (None,), anomaly(D2), anomaly(D2)[:-1] + (4,)]
+    virtual = [od_row(date=D2, bars=None, bname="기점가상1", bseq=None, riders=n) for n in (1, None, 2)]
+    once = rows(D1) + rows(D2) + taken + virtual
+    od, seen, cut = make_od(once * 25 + taken), {}, pipeline.cut_lineage
+
+    def counted(df, name="stage"):
+        out = cut(df, name)
+        seen[name] = out.count()
+        return out
+    monkeypatch.setattr(pipeline, "cut_lineage", counted)
+    monkeypatch.setattr(cr, "COPIES", 4, raising=False)
+    res = pipeline.correct_all(od)
+    assert seen["group1"] <= len(once) < od.count()
+    text = lambda df: sorted(map(repr, df.collect()))
+    assert text(res.anomalies) == text(cr.anomaly_rows(od)) and res.anomalies.count() == 26 * len(taken)
+    assert text(res.corrected) == text(cr.correct_pipeline(od))
+    tagged = cr.group1_tagged(od)
+    want = tagged.groupBy("service_date").agg(*[F.count_if(F.col(t)).alias(t[2:]) for t in cr.tags(tagged)])
+    assert text(res.step_counts) == text(want)
+    assert res.riders_in == od.agg(F.sum("riders")).first()[0]
