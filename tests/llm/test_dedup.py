@@ -59,6 +59,64 @@ def test_suffix_dedup_messy_and_empty(docs, empty_docs):
     assert suffix_dedup.remove_repeats(empty_docs).count() == 0
 
 
+@pytest.mark.parametrize("max_group", [20_000, 1])
+def test_suffix_dedup_texts_of_one_polynomial_hash(docs, max_group):
+    """Strings made to share the polynomial hash are different texts: nothing of them repeats."""
+    import numpy as np
+    from odspark.llm import rolling as R
+    twins = [("wghwhiigdzjkaiasloljqwdgghqmlpit", "izpblggpdwevvrwslbuzhqnqldysyuxm"),
+             ("gtjknecwlbuzxjbnzpaluletzuauancf", "bpgufyovpadpfntwyzmzsnyryzphrixj")]
+    for pair in twins:
+        h = R.byte_prefix(np.frombuffer("".join(pair).encode(), np.uint8))
+        assert len(set(R.byte_span(h, [0, 32], [32, 64]).tolist())) == 1
+    r = random.Random(17)
+    texts = []
+    for _ in range(12):
+        a, b = ("".join(r.choice("abcdefgh ") for _ in range(n)) for n in (r.randrange(400), r.randrange(400, 500)))
+        texts += [a + x + b[len(a):] for x in r.choice(twins)]
+    want = brute_bytes(texts, 400)
+    clean = [k for k, v in want.items() if not v[1]]
+    assert len(clean) >= 12
+    got = suffix_dedup.remove_repeats(docs(texts), max_group=max_group).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.text or b"")).hexdigest())
+            for r in got} == want
+
+
+def test_suffix_dedup_line_repeated_in_a_document(docs, monkeypatch):
+    """A line that some documents repeat all over makes a row per document and class, not per place."""
+    r = random.Random(18)
+    line = "".join(r.choice("abcdefgh ") for _ in range(120))
+    texts = [line * 150 + str(k) * 30 for k in range(5)] + ["y" * 900, "y" * 650, None]
+    sizes, staged = {}, suffix_dedup.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        sizes[name] = out.count()
+        return out
+    monkeypatch.setattr(suffix_dedup, "staged", counted)
+    got = suffix_dedup.remove_repeats(docs(texts)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.text or b"")).hexdigest())
+            for r in got} == brute_bytes(texts, 400)
+    assert sizes["shared-runs"] < 60
+
+
+def test_runs_in_rows_of_bounded_size(monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(suffix_dedup, "ROW_RUNS", 7)
+    monkeypatch.setattr(suffix_dedup, "BATCH_ROWS", 5)
+    texts = [b"ab" * 90 + b"c" * 50, b"", b"ab" * 60, b"x"]
+    off = np.cumsum([0] + [len(t) for t in texts])
+    runs = suffix_dedup._Runs(np.frombuffer(b"".join(texts), np.uint8), off, 40, 12)
+    found = []
+    for doc, start, n, gram, cls, more in runs.rows():
+        assert len(doc) <= 5
+        for k, m in enumerate(more.to_pylist()):
+            places = [int(start[k]), *np.frombuffer(m, np.int64).tolist()]
+            assert len(places) <= 7
+            found += [(int(doc[k]), x, int(n[k]), int(gram[k]), int(cls[k])) for x in places]
+    assert sorted(found) == sorted(zip(*(getattr(runs, c).tolist() for c in ("doc", "start", "n", "gram", "cls"))))
+
+
 def test_suffix_sort_order():
     import numpy as np
     from odspark.llm.suffix_sort import Suffixes
